@@ -51,11 +51,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
         w = weights.select(F.col("source").alias("__w"), F.col("weight").cast("double"))
         sizes = sizes.join(w, F.col("__source").eqNullSafe(F.col("__w")), "left").select("__source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     sizes = cut(sizes)
-    total = sizes.agg(F.sum("size").cast("double").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.lit(float(epochs)) * F.try_divide(F.col("all_size") * F.col("weight"), F.col("all_weight") * F.col("size"))
+    total = sizes.agg(F.sum("size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()  # two numbers
+    all_size, all_weight = (F.lit(v).cast("double") for v in total)
+    rate = F.lit(float(epochs)) * F.try_divide(all_size * F.col("weight"), all_weight * F.col("size"))
     return (
-        sizes.crossJoin(F.broadcast(total))  # one row of totals
-        .select("__source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+        sizes.select("__source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
         .withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / DRAW)).cast("int"))
         .withColumn("cdf", poisson_cdf(F.col("rate") / F.col("draws")))
     )
