@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casemill.llm import bytes_bpe, lempel_ziv, mixing, secrets, token_counts, trie, vectors
+from casemill.llm import bytes_bpe, lattice, lempel_ziv, mixing, quality, secrets, token_counts, toxicity, trie, vectors
 
-QUERIES = {f.__name__: f for f in (secrets.op1_secret_scan, trie.op2_simhash_trie, bytes_bpe.op6_byte_bpe, lempel_ziv.op7_lempel_ziv, mixing.op8_poisson_mix, token_counts.op9_rank_merge_counts, vectors.op10_histogram_topk)}
+QUERIES = {f.__name__: f for f in (secrets.op1_secret_scan, trie.op2_simhash_trie, lattice.op3_lattice_likelihood, toxicity.op4_ordinal_toxicity, quality.op5_random_indexing_quality, bytes_bpe.op6_byte_bpe, lempel_ziv.op7_lempel_ziv, mixing.op8_poisson_mix, token_counts.op9_rank_merge_counts, vectors.op10_histogram_topk)}
 ORACLE_SQL = {"op8_poisson_mix": mixing.OP8_SQL, "op10_histogram_topk": vectors.OP10_SQL}
