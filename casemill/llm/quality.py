@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str
     few = F.broadcast(chosen)  # at most SAMPLE rows of two numbers
     of_ids = own.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text for an id
     table = of_ids.mapInArrow(_features(vectors), "doc_id long, x array<float>").join(few, "doc_id").orderBy("doc_id").select("x", "y").toArrow()
-    x = np.array(table["x"].to_pylist(), np.float64).reshape(table.num_rows, -1)
+    x = np.array(table["x"].to_pylist(), np.float64).reshape(table.num_rows, DIM + len(SHAPES) + 2)
     return vectors, Network(x, table["y"].to_numpy().astype(np.float64))
 
 
