@@ -124,7 +124,7 @@ def triage_cases(spark, sf_dir):
     c = cases(spark, sf_dir)
     status = F.when(F.col("status") == "F", "Charge sheeted").when(F.col("status") == "P", "Undetected").otherwise("Under Investigation")
     priced = F.when((F.col("status") == "F") & (F.col("case_id") % 3 > 0), F.col("money")).otherwise(F.col("money") * 0.8)
-    return c.withColumn("status", status).withColumn("money", priced)
+    return c.withColumns({"status": status, "money": priced})
 
 
 TRIAGE_SQL = f"""{CASES_SQL}, tc AS (SELECT case_id, area, category, ts, CASE status WHEN 'F' THEN 'detected' WHEN 'P' THEN 'undetected' ELSE 'open' END AS state,
