@@ -135,8 +135,8 @@ def profiles(involved: DataFrame, cases: DataFrame, case_id: str, area: str, kin
         n = rows.filter(F.col(column).isNotNull() & (F.col("h").isNotNull() if column == "band" else F.lit(True))).groupBy("id", column).agg(F.count("*").alias("n"))
         return n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), column)).alias("v")).select("id", F.col(f"v.{column}").alias(name))
 
-    ranked = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dst")))
-    main = ranked.groupBy("id").agg(F.countDistinct("dst").alias("n_cases"), F.sort_array(F.collect_set("area")).alias("areas"), F.sort_array(F.collect_list(F.when(F.col("r") <= 25, F.col("dst")))).alias("cases"))
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dst"))).filter("r <= 25").groupBy("id").agg(F.sort_array(F.collect_list("dst")).alias("cases"))
+    main = rows.groupBy("id").agg(F.countDistinct("dst").alias("n_cases"), F.sort_array(F.collect_set("area")).alias("areas")).join(first, "id")
     return main.join(commonest("kind", "top_kind"), "id", "left").join(commonest("band", "peak_band"), "id", "left").select("id", "n_cases", "areas", "top_kind", "peak_band", "cases")
 
 

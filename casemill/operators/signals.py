@@ -80,9 +80,12 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, contamination: float = 0.
     if not n:
         return unavailable(spark, "key string, score double", "no rows")
     size = min(sample, n)
-    deal = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    u = F.pmod(F.xxhash64("key", "tree", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = rows.select("key", "x", deal).filter(u <= min(1.0, 2.0 * size / n + 20.0 / n))
+    # each row is dealt to a tree by its hash; only with few rows are there copies to deal
+    wanted = trees * (2 * size + 20)
+    copies = min(trees, max(1, -(-wanted // n)))
+    u = F.pmod(F.xxhash64("key", "copy", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = rows.select("key", "x", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy")).filter(u <= wanted / (n * copies))
+    drawn = drawn.withColumn("tree", F.pmod(F.xxhash64("copy", "key", F.lit(seed)), F.lit(trees)).cast("int")).drop("copy")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
@@ -198,11 +201,11 @@ def mo_signatures(df: DataFrame, roles: RoleMap, key: str, min_cases: int = 8, m
         return unavailable(df.sparkSession, "subtype string, band string, n long, n_areas long, areas array<string>, ids array<string>", "needs a time, an area and a category")
     rows = df.select(F.col(kind).cast("string").alias("subtype"), F.col(roles.area).cast("string").alias("area"), F.hour(try_ts(df, roles.time)).alias("h"), F.col(key).alias("id"))
     rows = rows.filter("h IS NOT NULL AND subtype IS NOT NULL AND area IS NOT NULL").withColumn("band", hour_band(F.col("h")))
-    # the smallest three ids of each area are enough for the smallest three of all
-    per_area = rows.withColumn("r", F.row_number().over(W.partitionBy("subtype", "band", "area").orderBy("id")))
-    per_area = per_area.groupBy("subtype", "band", "area").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= 3, F.col("id"))).alias("ids"))
-    out = per_area.groupBy("subtype", "band").agg(F.sum("n").alias("n"), F.count("*").alias("n_areas"), F.slice(F.sort_array(F.collect_list("area")), 1, 4).alias("areas"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, 3).alias("ids"))
-    out = out.filter((F.col("n") >= min_cases) & (F.col("n_areas") >= min_areas)).orderBy(F.desc("n"), "subtype", "band").limit(top)
+    groups = ["subtype", "band"]
+    n = rows.groupBy(*groups, "area").agg(F.count("*").alias("n")).groupBy(*groups).agg(F.sum("n").alias("n"), F.count("*").alias("n_areas"), F.slice(F.sort_array(F.collect_list("area")), 1, 4).alias("areas"))
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy(*groups).orderBy("id"))).filter("r <= 3")  # cut off before the shuffle
+    out = n.join(first.groupBy(*groups).agg(F.sort_array(F.collect_list("id")).alias("ids")), groups)
+    out = out.filter((F.col("n") >= min_cases) & (F.col("n_areas") >= min_areas)).orderBy(F.desc("n"), "subtype", "band").limit(top).select(*groups, "n", "n_areas", "areas", "ids")
     return out.withColumn("ids", F.transform("ids", lambda i: i.cast("string")))
 
 
