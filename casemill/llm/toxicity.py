@@ -40,31 +40,31 @@ KEPT = 300_000
 _TRIM = ".,;:!?\"'()[]{}|#$%&*+-/<=>@\\^_`~"
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without marks around them."""
-    return [w for raw in (text or "").lower().split() if (w := raw.strip(_TRIM))]
+def entries_of_word(raw: str) -> tuple[str, ...]:
+    """A lower-cased word without marks around it, and its longer beginnings, which inflected forms share."""
+    word = raw.strip(_TRIM)
+    return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)) if word else ()
 
 
-class Entries(dict):
-    """A word's entries: itself and its longer beginnings, which inflected forms share."""
+class Kept(dict):
+    """What a function gives for words, kept until there are too many."""
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, raw: str):
         if len(self) > KEPT:
             self.clear()
-        self[word] = out = (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k))
+        self[raw] = out = self.make(raw)
         return out
 
 
-_entries = Entries()
+_entries = Kept(entries_of_word)
 
 
-def entries_of(text: str | None) -> Counter:
-    """How often a text has each entry."""
-    out: Counter = Counter()
-    for word, n in Counter(words_of(text)).items():
-        for e in _entries[word]:
-            out[e] += n
-    return out
+def entries_of(text: str | None) -> set[str]:
+    """The entries that a text has."""
+    return set().union(*map(_entries.__getitem__, set((text or "").lower().split())))
 
 
 def _count(batches):
@@ -81,7 +81,7 @@ def _count(batches):
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = entries_of(text).keys()
+            own = entries_of(text)
             every.update(own)
             if y:
                 toxic.update(own)
@@ -125,23 +125,29 @@ class Ordinal:
     def _cuts(p) -> np.ndarray:
         return np.cumsum(np.concatenate([p[1], np.exp(p[2])]))
 
-    def at_least(self, text: str | None) -> np.ndarray:
+    def at_least(self, text: str | None, hits: Kept | None = None) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ..."""
-        i, v, _ = sparse(text, self.lexicon)
+        i, v, _ = sparse(text, hits if hits is not None else hits_in(self.lexicon))
         return 1 / (1 + np.exp(np.clip(self.cuts - v @ self.weights[i], -35, 35)))
 
 
-def sparse(text: str | None, lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+def hits_in(lexicon: dict[str, int]) -> Kept:
+    """Of each word, the numbers of its entries that are in the lexicon."""
+    starts = {e[: BEGINNINGS[0]] for e in lexicon}  # most words begin like no entry
+
+    def make(raw: str) -> tuple[int, ...]:
+        if raw.strip(_TRIM)[: BEGINNINGS[0]] not in starts:
+            return ()
+        return tuple(i for e in entries_of_word(raw) if (i := lexicon.get(e)) is not None)
+
+    return Kept(make)
+
+
+def sparse(text: str | None, hits: Kept) -> tuple[np.ndarray, np.ndarray, int]:
     """Lexicon entries of a text, their values, and how many of its words are in the lexicon or begin so."""
-    words = Counter(words_of(text))
-    own: Counter = Counter()
-    hits = 0
-    for word, n in words.items():
-        found = [i for e in _entries[word] if (i := lexicon.get(e)) is not None]
-        hits += n * bool(found)
-        for i in found:
-            own[i] += n
-    return np.fromiter(own, np.int64, len(own)), 1 + np.log(np.fromiter(own.values(), float, len(own))), hits
+    found = [h for h in map(hits.__getitem__, (text or "").lower().split()) if h]
+    own = Counter(i for h in found for i in h)
+    return np.fromiter(own, np.int64, len(own)), 1 + np.log(np.fromiter(own.values(), float, len(own))), len(found)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
@@ -163,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = cut(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
 
     def rows(batches):
+        hits = hits_in(lexicon)
         for batch in batches:
-            found = [sparse(t, lexicon) for t in batch.column(0).to_pylist()]
+            found = [sparse(t, hits) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": batch.column(1), "i": pa.array([f[0] for f in found], pa.list_(pa.int64())), "v": pa.array([f[1] for f in found], pa.list_(pa.float64())), "hits": pa.array([f[2] for f in found], pa.int64())})
 
     few = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # at most SAMPLE rows
@@ -183,10 +190,11 @@ def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
 
     def run(batches):
         none = np.zeros(GRADES - 1)
+        hits = None if model is None else hits_in(model.lexicon)
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                p = np.array([none if model is None else model.at_least(t) for t in batch.column(1).to_pylist()]).reshape(-1, GRADES - 1)
+                p = np.array([none if model is None else model.at_least(t, hits) for t in batch.column(1).to_pylist()]).reshape(-1, GRADES - 1)
                 each = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "severity": pa.array(p.sum(axis=1)), "grade": pa.array(each.argmax(axis=1).astype(np.int32)), "p_toxic": pa.array(p[:, 0]), "toxic": pa.array((p[:, 0] >= threshold).astype(np.int32))})
 
