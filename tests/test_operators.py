@@ -384,3 +384,24 @@ def test_kpis_and_evidence(spark):
     spikes = spark.createDataFrame([("A", "Theft", 1.0, 3.0, 200.0, 4.0)], "area string, category string, baseline_daily double, recent_daily double, pct_change double, z_score double")
     f = findings.from_spikes(spikes).first()
     assert f.severity == 70 and f.evidence["z_score"] == "4.0" and json.dumps(f.evidence)
+
+
+def test_entities_and_domain_pack(spark):
+    accused = spark.createDataFrame([(f"P{i % 20}", f"N{i % 20}", f"C{i}", f"98{i % 20:08}") for i in range(60)], "person_id string, accused_name string, fir_no string, phone string")
+    cases = spark.createDataFrame([(f"C{i}", ("Pending Trial", "Closed")[i % 2], "Heinous", datetime(2024, 1, 1)) for i in range(60)], "fir_no string, case_status string, gravity string, occurred timestamp_ntz")
+    p = profile.profile({"accused": accused, "cases": cases})
+    r = profile.entities(p).collect()
+    assert [(x.table, x.entity, x.id_column, x.label_column, x.link_columns) for x in r] == [("accused", "accused", "person_id", "accused_name", ["phone"])]
+    out = {x.id: x for x in profile.domain_pack(p, profile.top_values(cases), "cases").collect()}
+    assert set(out) == {"hour_of_day", "network", "open_cases", "pending_cases", "heinous_cases"} and out["open_cases"]["values"] == ["Pending Trial"]
+    plain = profile.profile({"t": spark.createDataFrame([(1, "x")], "n long, colour string")})
+    assert profile.domain_pack(plain, profile.top_values(cases), "t").count() == 0
+
+
+def test_resolution_table_and_suggestions(spark):
+    cases = spark.createDataFrame([(i, "A", datetime(2024, 1, 1)) for i in range(50)], "case_id long, district string, occurred_ts timestamp_ntz")
+    sheets = spark.createDataFrame([(i % 40, datetime(2024, 2, 1)) for i in range(80)], "case_id long, csdate timestamp_ntz")
+    p = profile.profile({"cases": cases, "chargesheets": sheets})
+    links = profile.relations(p)
+    assert [(r.table, r.column) for r in triage.resolution_table(p, links, "cases").collect()] == [("chargesheets", "csdate")]
+    assert {r.id for r in profile.suggestions(p, "cases").collect()} == {"total_records", "active_areas", "trend", "by_area"}
