@@ -8,7 +8,8 @@ SAMPLE labelled training rows (the smallest hashes); a temperature, fitted on a
 probabilities.
 
 Odd input: a null text is empty and is scored like an empty one. A null id belongs to fold crc32('') and has no label.
-Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of one class only, or
+A text
+of over PART bytes counts its distinct words part by part. Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of one class only, or
 none, the score is that class's share (0.5 without any). Repeated rows give repeated rows; an empty table gives an empty
 result.
 """
@@ -32,11 +33,15 @@ THRESHOLD = 0.3
 SAMPLE = 20_000
 BUCKETS, DIM, NONZERO = 8_192, 48, 4
 HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 3e-3, 1e-4
-#: Words whose buckets and shapes a worker keeps.
-KEPT = 400_000
-SHAPES = ("upper", "title", "digit", "symbol_run", "bare_symbol", "mark", "long", "non_ascii", "repeat", "plain")
-_TRIM = b".,;:!?\"'()[]{}|#$%&*+-/<=>@\\^_`~"
-_S = {name: i for i, name in enumerate(SHAPES)}
+#: Bytes of text that are taken apart at once; a longer text is taken in parts, cut at white space.
+PART = 100_000
+SHAPES = ("upper", "title", "digit", "symbol_run", "bare_symbol", "mark", "long", "non_ascii", "plain", "repeat")
+_BLANK, _LOWER, _UPPER, _DIGIT, _MARK, _HIGH = range(6)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[[0x20, 9, 10, 11, 12, 13]] = _BLANK
+_CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = _LOWER, _UPPER, _DIGIT, _HIGH
+_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def random_vectors(n: int, seed: int) -> np.ndarray:
@@ -48,80 +53,105 @@ def random_vectors(n: int, seed: int) -> np.ndarray:
     return out
 
 
-def shape_of(raw: bytes) -> tuple[int, int]:
-    """The bucket of a word without its marks and case, and its shapes as bits."""
-    core = raw.strip(_TRIM)
-    bits = 0
-    if core:
-        if core.isupper() and len(core) > 1:
-            bits |= 1 << _S["upper"]
-        elif core[:1].isupper() or raw[:1] >= b"\xc3" and core[:2] != core[:2].lower():
-            bits |= 1 << _S["title"]
-        if any(48 <= b <= 57 for b in core):
-            bits |= 1 << _S["digit"]
-        if len(core) > 18:
-            bits |= 1 << _S["long"]
-        if not core.isascii():
-            bits |= 1 << _S["non_ascii"]
-        marks = len(raw) - len(core)
-        if marks >= 2:
-            bits |= 1 << _S["symbol_run"]
-        elif marks:
-            bits |= 1 << _S["mark"]
-    else:
-        bits |= 1 << _S["bare_symbol"]
-    if not bits:
-        bits = 1 << _S["plain"]
-    return zlib.crc32(core.lower()) % BUCKETS, bits
-
-
-class Words(dict):
-    """Word to (number in this worker's table); the table holds buckets and shape bits."""
-
-    def __init__(self):
-        self.table: list[tuple[int, int]] = []
-
-    def __missing__(self, raw: bytes) -> int:
-        self[raw] = n = len(self.table)
-        self.table.append(shape_of(raw))
-        return n
-
-    def rows(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the words, and the mean of their shapes."""
-        if len(self.table) > KEPT:
-            self.clear()
-            self.table.clear()
-        words = (text or "").encode().split()
-        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if not len(n):
-            return n, np.zeros(len(SHAPES), np.float32)
-        used, back = np.unique(n, return_inverse=True)
-        known = np.array([self.table[i] for i in used], np.int64)
-        share = np.bincount(back, minlength=len(used)) / len(n)
-        shapes = ((known[:, 1:2] >> np.arange(len(SHAPES))) & 1).T @ share
-        shapes[_S["repeat"]] = 1 - len(used) / len(n)
-        return known[back, 0], shapes.astype(np.float32)
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashes(core: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, wherever it stands."""
+    n = len(core)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((core.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n))])
+    h = (sums[end] - sums[start]) * _powers(_BACK, n + 1)[start]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Parts:
+    """The words of a batch of texts: for each text its words and the means of their shapes, and its distinct words."""
+
+    def __init__(self, texts: list[bytes]):
+        n = len(texts)
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        of_text = np.cumsum(np.fromiter(map(len, texts), np.int64, n) + 1)
+        kind = _CLASS[data]
+        word = kind != _BLANK
+        start = np.flatnonzero(word & ~np.r_[False, word[:-1]])
+        end = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
+        text = np.searchsorted(of_text, start, side="right")
+        count = lambda k: (c := np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]))[end] - c[start]
+        lower, upper, digit, mark, high = (count(k) for k in (_LOWER, _UPPER, _DIGIT, _MARK, _HIGH))
+        size = end - start - mark  # bytes but for marks
+        shapes = np.zeros((len(SHAPES) - 1, len(start)), bool)
+        shapes[0] = (upper > 0) & (lower == 0) & (size > 1)
+        shapes[1] = (kind[start] == _UPPER) & ~shapes[0] if len(start) else False
+        shapes[2] = digit > 0
+        shapes[3] = (mark > 1) & (size > 0)
+        shapes[4] = size == 0
+        shapes[5] = (mark == 1) & (size > 0)
+        shapes[6] = size > 18
+        shapes[7] = high > 0
+        shapes[8] = ~shapes[:8].any(axis=0)
+        # words without their marks and in lower case
+        keep = (kind != _MARK) & word
+        at = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
+        core = data[keep] | np.where(kind[keep] == _UPPER, 0x20, 0).astype(np.uint8)
+        h = _hashes(core, at[start], at[end])
+        self.words = np.bincount(text, minlength=n).astype(np.int64)
+        key, counts = np.unique((text.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)), return_counts=True)
+        self.text, self.counts = (key >> np.uint64(40)).astype(np.int64), counts
+        self.bucket = ((key >> np.uint64(20)) & np.uint64((1 << 20) - 1)).astype(np.int64) % BUCKETS
+        self.shapes = np.zeros((n, len(SHAPES)))
+        per = np.maximum(self.words, 1)
+        for i in range(len(SHAPES) - 1):
+            self.shapes[:, i] = np.bincount(text, weights=shapes[i], minlength=n) / per
+        self.distinct = np.bincount(self.text, minlength=n)
+
+
+def _cut_text(data: bytes):
+    while len(data) > PART:
+        at = max(data.rfind(b" ", 0, PART), data.rfind(b"\n", 0, PART)) + 1 or PART
+        yield data[:at]
+        data = data[at:]
+    yield data
+
+
+def parts_of(texts: list[str | None]):
+    """(numbers of the texts, Parts) for groups of about PART bytes; a long text occurs in several."""
+    group, of, size = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in _cut_text((t or "").encode()):
+            group.append(piece)
+            of.append(i)
+            size += len(piece)
+            if size > PART:
+                yield np.array(of), Parts(group)
+                group, of, size = [], [], 0
+    if group:
+        yield np.array(of), Parts(group)
 
 
 def _contexts(batches):
-    """Sums, for each bucket, of the random vectors of the documents that hold it."""
-    words, total = Words(), np.zeros(BUCKETS * DIM, np.int64)
-    bank = random_vectors(4_096, 11).astype(np.int64)
+    """Sums, for each bucket, of the random vectors of the documents that hold its words."""
+    total = np.zeros(BUCKETS * DIM)
+    bank = random_vectors(4_096, 11)
     where = np.argsort(bank == 0, axis=1, kind="stable")[:, :NONZERO]
     sign = np.take_along_axis(bank, where, axis=1)
     any_row = False
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            buckets = np.unique(words.rows(text)[0])
-            if len(buckets):
-                any_row = True
-                d = zlib.crc32(text.encode()) % len(bank)
-                for at, s in zip(where[d], sign[d], strict=True):
-                    total[buckets * DIM + at] += s
+        texts = batch.column(0).to_pylist()
+        own = np.fromiter((zlib.crc32((t or "").encode()) % len(bank) for t in texts), np.int64, len(texts))
+        for of, p in parts_of(texts):
+            d = own[of[p.text]]
+            any_row |= bool(len(d))
+            for j in range(NONZERO):
+                total += np.bincount(p.bucket * DIM + where[d, j], weights=sign[d, j], minlength=len(total))
     if any_row:
-        total = total.reshape(BUCKETS, DIM)
-        used = np.flatnonzero((total != 0).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[used, i]) for i in range(DIM))], ["b", *(f"v{i}" for i in range(DIM))])
+        sums = total.astype(np.int64).reshape(BUCKETS, DIM)
+        used = np.flatnonzero((sums != 0).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(DIM))], ["b", *(f"v{i}" for i in range(DIM))])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -132,14 +162,27 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     if sums.num_rows:
         context[sums["b"].to_numpy()] = np.stack([sums[f"v{i}"].to_numpy() for i in range(DIM)], axis=1)
     length = np.linalg.norm(context, axis=1, keepdims=True)
-    return context / np.maximum(length, 1) + random_vectors(BUCKETS, 12) / NONZERO**0.5
+    return (context / np.maximum(length, 1) + random_vectors(BUCKETS, 12) / NONZERO**0.5).astype(np.float32)
 
 
-def features(text: str | None, words: Words, vectors: np.ndarray) -> np.ndarray:
-    buckets, shapes = words.rows(text)
-    used, n = np.unique(buckets, return_counts=True)
-    pooled = (n / max(1, len(buckets))) @ vectors[used] if len(used) else np.zeros(DIM)
-    return np.concatenate([pooled, shapes, [min(1.0, len(buckets) / 1000), float(len(buckets) == 0)]]).astype(np.float32)
+WIDTH = DIM + len(SHAPES) + 2
+
+
+def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """A row for each text: mean word vector, shares of shapes and repetition, length, emptiness."""
+    n = len(texts)
+    pooled, shapes, words, distinct = np.zeros((n, DIM)), np.zeros((n, len(SHAPES))), np.zeros(n), np.zeros(n)
+    for of, p in parts_of(texts):
+        v = vectors[p.bucket] * p.counts[:, None].astype(vectors.dtype)
+        first = np.flatnonzero(np.r_[True, p.text[1:] != p.text[:-1]]) if len(p.text) else np.zeros(0, np.int64)
+        if len(first):
+            np.add.at(pooled, of[p.text[first]], np.add.reduceat(v, first, axis=0))
+        np.add.at(shapes, of, p.shapes * p.words[:, None])
+        np.add.at(words, of, p.words)
+        np.add.at(distinct, of, p.distinct)
+    per = np.maximum(words, 1)
+    shapes[:, -1] = np.where(words > 0, per - distinct, 0)
+    return np.concatenate([pooled / per[:, None], shapes / per[:, None], np.minimum(1, words / 1000)[:, None], (words == 0)[:, None]], axis=1)
 
 
 class Network:
@@ -193,12 +236,11 @@ def training_labels(labels: DataFrame, column: str, folds: int, held_out: int, s
 
 def _features(vectors):
     def run(batches):
-        words, v = Words(), vectors.value
-        for batch in batches:
-            x = [features(t, words, v) for t in batch.column(1).to_pylist()]
-            n = DIM + len(SHAPES) + 2
-            flat = np.concatenate(x) if x else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), n).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                x = features(batch.column(1).to_pylist(), vectors.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return run
 
@@ -211,21 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str
     chosen = cut(training_labels(labels, column, FOLDS, HELD_OUT, SAMPLE))
     few = F.broadcast(chosen)  # at most SAMPLE rows of two numbers
     of_ids = own.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text for an id
-    table = of_ids.mapInArrow(_features(vectors), "doc_id long, x array<float>").join(few, "doc_id").orderBy("doc_id").select("x", "y").toArrow()
-    x = np.array(table["x"].to_pylist(), np.float64).reshape(table.num_rows, DIM + len(SHAPES) + 2)
+    table = of_ids.mapInArrow(_features(vectors), "doc_id long, x array<double>").join(few, "doc_id").orderBy("doc_id").select("x", "y").toArrow()
+    x = np.array(table["x"].to_pylist(), np.float64).reshape(table.num_rows, WIDTH)
     return vectors, Network(x, table["y"].to_numpy().astype(np.float64))
 
 
 def _scored(vectors, network: Network, at: int):
     """A function from a batch to its scores."""
-    words = Words()
-
-    def run(batch):
-        v = vectors.value
-        x = [features(t, words, v) for t in batch.column(at).to_pylist()]
-        return network.scores(np.array(x)) if x else np.zeros(0)
-
-    return run
+    return lambda batch: network.scores(features(batch.column(at).to_pylist(), vectors.value))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
