@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.lattice import fold
-from casemill.plans.lineage import cut
+from casemill.llm.quality import hashed_sample
+from casemill.plans.lineage import cut, small_or_not
 
 FOLDS, HELD_OUT = 5, 0
 #: Lexicon entries at most; the z-score of the log-odds ratio and the labelled texts that an entry needs.
 LEXICON, LEAST_Z, LEAST_TEXTS = 4_096, 3.0, 5
+#: Labels that are broadcast at most (12 bytes each); more meet the texts in a shuffled join.
+BROADCAST_LABELS = 1_000_000
 #: Labelled rows that the regression is fitted on at most.
 SAMPLE = 20_000
 GRADES, STEPS, RATE, DECAY = 4, 600, 0.1, 5e-4
@@ -41,9 +44,11 @@ _TRIM = ".,;:!?\"'()[]{}|#$%&*+-/<=>@\\^_`~"
 
 
 def entries_of_word(raw: str) -> tuple[str, ...]:
-    """A lower-cased word without marks around it, and its longer beginnings, which inflected forms share."""
+    """A lower-cased word without marks around it (if it is no longer than the longest beginning), and its beginnings,
+    which inflected forms share."""
     word = raw.strip(_TRIM)
-    return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)) if word else ()
+    whole = (word,) if 0 < len(word) <= BEGINNINGS[-1] else ()
+    return (*whole, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k))
 
 
 class Kept(dict):
@@ -155,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     y = y.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    learned = own.join(y, "doc_id")
-    counts = cut(learned.select("text", "y").mapInArrow(_count, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    y = cut(y)
+    learned = own.join(small_or_not(y, BROADCAST_LABELS), "doc_id")
+    counts = learned.select("text", "y").mapInArrow(_count, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     size = learned.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     if not size.t:
         return None
@@ -166,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # both parts: enough evidence, and words that are rare in other texts
     chosen = counts.filter(F.col("t") >= LEAST_TEXTS).select("word", z.alias("z"), odds.alias("odds")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5)).orderBy(F.desc("z"), "word").limit(LEXICON)
     lexicon = {w: i for i, w in enumerate(chosen.select("word").toArrow()["word"].to_pylist())}
-    sample = cut(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    sample = cut(hashed_sample(y, "doc_id", SAMPLE))
 
     def rows(batches):
         hits = hits_in(lexicon)
