@@ -171,15 +171,15 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = F.length("text")
     short = own.filter(n <= CHUNK).mapInArrow(_encode_short(path, pattern, with_ids), schema)
-    long = own.filter(n > CHUNK).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    last = F.ceil((n - OVERLAP) / F.lit(CHUNK)).cast("int") - 1  # what follows the last chunk is an overlap at most
+    last = F.greatest(F.ceil((n - OVERLAP) / F.lit(CHUNK)).cast("int") - 1, F.lit(0))  # what follows the last chunk is an overlap at most
+    cut_up = own.filter(n > CHUNK).select("doc_id", F.xxhash64("text").alias("key"), "text", last.alias("last")).select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
+    part = F.substring("text", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("part")
     chunks = (
-        long.select("doc_id", F.xxhash64("text").alias("key"), "copies", "text", F.greatest(last, F.lit(0)).alias("last"))
-        .select("doc_id", "key", "copies", "text", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
-        .select("doc_id", "key", "copies", "chunk", F.substring("text", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP)).alias("part"), (F.col("chunk") == F.col("last")).alias("is_last"))
-        .repartition("doc_id", "key", "chunk")
+        cut_up.select("doc_id", "key", "chunk", part, (F.col("chunk") == F.col("last")).alias("is_last"))
+        .groupBy("doc_id", "key", "chunk", "part", "is_last").agg(F.count("*").alias("copies"))  # deals the chunks out; equal rows are one
+        .select("doc_id", "key", "copies", "chunk", "part", "is_last")
         .mapInArrow(_cut_chunks(path, pattern), "doc_id long, key long, copies long, chunk int, core string, ends binary")
-    )
+    )
     return short.unionByName(chunks.groupBy("doc_id", "key").applyInArrow(_join_chunks(path, pattern, with_ids), schema))
 
 
