@@ -4,7 +4,8 @@ Labels say only whether a text is toxic, so grades are derived: a lexicon of wor
 toxic and other labelled texts is counted over all training labels; a toxic training text is of grade 1, 2 or 3 by the
 number of its words that are in the lexicon, cut at the terciles of the toxic ones (other texts: grade 0).
 P(grade <= k) = logistic(cut_k - w.x): one weight vector, ordered cuts. Features are sparse: 1 + log of the
-counts of the lexicon's entries, which are words and beginnings of words. The severity is the expected grade. The regression is fitted on at most SAMPLE
+counts of the lexicon's entries, which are words and beginnings of words; they are counted under 64-bit hashes, and
+only those that pass the tests are looked up in the toxic texts. The severity is the expected grade. The regression is fitted on at most SAMPLE
 labelled rows (the smallest hashes); lexicon and scores cover everything.
 
 Odd input: a null text is empty; a null id has no label and belongs to fold crc32(''); null labels are left out, the
@@ -19,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,9 @@ _TRIM = ".,;:!?\"'()[]{}|#$%&*+-/<=>@\\^_`~"
 
 
 def entries_of_word(raw: str) -> tuple[str, ...]:
-    """A lower-cased word without marks around it (if it is no longer than the longest beginning), and its beginnings,
-    which inflected forms share."""
+    """A lower-cased word without marks around it, and its beginnings, which inflected forms share."""
     word = raw.strip(_TRIM)
-    whole = (word,) if 0 < len(word) <= BEGINNINGS[-1] else ()
-    return (*whole, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k))
+    return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)) if word else ()
 
 
 class Kept(dict):
@@ -64,29 +64,34 @@ class Kept(dict):
         return out
 
 
-_entries = Kept(entries_of_word)
+def hash_of(entry: str) -> int:
+    """An entry's key while it is counted: 64 bits, so an entry of the lexicon shares it with hardly any other."""
+    return xxhash.xxh3_64_intdigest(entry.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def entries_of(text: str | None) -> set[str]:
-    """The entries that a text has."""
-    return set().union(*map(_entries.__getitem__, set((text or "").lower().split())))
+_hashes = Kept(lambda raw: tuple(map(hash_of, entries_of_word(raw))))
+
+
+def hashes_of(text: str | None) -> set[int]:
+    """The hashes of the entries that a text has."""
+    return set().union(*map(_hashes.__getitem__, set((text or "").lower().split())))
 
 
 def _count(batches):
-    """(word, texts, toxic texts) of (text, y) rows."""
+    """(hash, texts, toxic texts) of the entries of (text, y) rows."""
     every: Counter = Counter()
     toxic: Counter = Counter()
 
     def flush():
-        words = list(every)
-        out = pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([every[w] for w in words], pa.int64()), "t": pa.array([toxic[w] for w in words], pa.int64())})
+        keys = list(every)
+        out = pa.RecordBatch.from_pydict({"h": pa.array(keys, pa.int64()), "n": pa.array([every[h] for h in keys], pa.int64()), "t": pa.array([toxic[h] for h in keys], pa.int64())})
         every.clear()
         toxic.clear()
         return out
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = entries_of(text)
+            own = hashes_of(text)
             every.update(own)
             if y:
                 toxic.update(own)
@@ -95,6 +100,20 @@ def _count(batches):
     yield flush()
 
 
+def _written(hashes: set[int]):
+    """(hash, word) of the entries of (text) rows that have one of the hashes."""
+
+    def run(batches):
+        found: set[tuple[int, str]] = set()
+        known = Kept(lambda raw: tuple((h, e) for e in entries_of_word(raw) if (h := hash_of(e)) in hashes))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(*map(known.__getitem__, set((text or "").lower().split())))
+        yield pa.RecordBatch.from_pydict({"h": pa.array([h for h, _ in found], pa.int64()), "word": pa.array([e for _, e in found], pa.string())})
+
+    return run
+
+
 class Ordinal:
     """A proportional-odds model over lexicon features."""
 
@@ -162,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = y.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("y").alias("y"))
     y = cut(y)
     learned = own.join(small_or_not(y, BROADCAST_LABELS), "doc_id")
-    counts = learned.select("text", "y").mapInArrow(_count, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counts = learned.select("text", "y").mapInArrow(_count, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     size = learned.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     if not size.t:
         return None
@@ -170,8 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log(a / (size.t - F.col("t") + 0.5)) - F.log(b / (size.n - size.t - (F.col("n") - F.col("t")) + 0.5))
     z = odds / F.sqrt(1 / a + 1 / b)
     # both parts: enough evidence, and words that are rare in other texts
-    chosen = counts.filter(F.col("t") >= LEAST_TEXTS).select("word", z.alias("z"), odds.alias("odds")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5)).orderBy(F.desc("z"), "word").limit(LEXICON)
-    lexicon = {w: i for i, w in enumerate(chosen.select("word").toArrow()["word"].to_pylist())}
+    chosen = counts.filter(F.col("t") >= LEAST_TEXTS).select("h", z.alias("z"), odds.alias("odds")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5)).select("h", "z").toArrow()
+    z_of = dict(zip(chosen["h"].to_pylist(), chosen["z"].to_pylist(), strict=True))
+    # each of them is in some toxic text
+    spelled = learned.filter("y = 1").select("text").mapInArrow(_written(set(z_of)), "h long, word string").distinct().toArrow()
+    ranked = sorted(zip(spelled["word"].to_pylist(), spelled["h"].to_pylist(), strict=True), key=lambda e: (-z_of[e[1]], e[0]))[:LEXICON]
+    lexicon = {w: i for i, (w, _) in enumerate(ranked)}
     sample = cut(hashed_sample(y, "doc_id", SAMPLE))
 
     def rows(batches):

@@ -324,6 +324,18 @@ def test_op4_on_held_out_labels(spark):
     assert np.mean([got[i].toxic for i, t in y.items() if t == 0]) < 0.03
 
 
+def test_long_toxic_words_count_even_if_clean_words_begin_so(spark):
+    clean = ["characteristic", "characterful", "characterise"]
+    word = lambda i: "characterslime" if i % 4 == 0 else clean[i % 3]
+    rows = [(i, f"some {word(i)} text") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (10_000, "Characterslime!"), (10_001, "characteristic")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.severity(docs, labels).collect()}
+    assert got[10_000].toxic == 1 and got[10_001].toxic == 0
+    assert all(got[i].toxic == (i % 4 == 0) for i in range(600) if got[i].held_out)
+    assert "characterslime" in toxicity.fit(docs, labels).lexicon
+
+
 def test_classifiers_on_odd_input(spark):
     df = odd_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (4, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
