@@ -6,7 +6,9 @@ number of its words that are in the lexicon, cut at the terciles of the toxic on
 P(grade <= k) = logistic(cut_k - w.x): one weight vector, ordered cuts. Features are sparse: 1 + log of the
 counts of the lexicon's entries, which are words and beginnings of words; they are counted under 64-bit hashes, and
 only those that pass the tests are looked up in the toxic texts. The severity is the expected grade. The regression is fitted on at most SAMPLE
-labelled rows (the smallest hashes); lexicon and scores cover everything.
+labelled rows: all, or else half of them toxic if there are so many, of each label those of the smallest hashes.
+Probabilities are then put back to the shares of all training labels (Bayes: the odds of grade 1 or more change by a
+factor, the grades among toxic texts don't). Lexicon and scores cover everything.
 
 Odd input: a null text is empty; a null id has no label and belongs to fold crc32(''); null labels are left out, the
 largest label of an id counts; without toxic training labels every severity is 0. Repeated rows give repeated rows; an
@@ -29,8 +31,8 @@ from casemill.llm.quality import hashed_sample
 from casemill.plans.lineage import cut, small_or_not
 
 FOLDS, HELD_OUT = 5, 0
-#: Lexicon entries at most; the z-score of the log-odds ratio and the labelled texts that an entry needs.
-LEXICON, LEAST_Z, LEAST_TEXTS = 4_096, 3.0, 5
+#: The z-score of the log-odds ratio and the toxic texts that a lexicon entry needs; every entry that has them is kept.
+LEAST_Z, LEAST_TEXTS = 3.0, 5
 #: Labels that are broadcast at most (12 bytes each); more meet the texts in a shuffled join.
 BROADCAST_LABELS = 1_000_000
 #: Labelled rows that the regression is fitted on at most.
@@ -117,8 +119,9 @@ def _written(hashes: set[int]):
 class Ordinal:
     """A proportional-odds model over lexicon features."""
 
-    def __init__(self, lexicon: dict[str, int], rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, int], rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, odds: float = 1.0):
+        """odds: those of toxic rows among all training labels by those among ``rows``."""
+        self.lexicon, self.odds = lexicon, odds
         n, k = len(grades), GRADES - 1
         at = np.concatenate([np.full(len(i), r) for r, (i, _) in enumerate(rows)]).astype(np.int64) if n else np.zeros(0, np.int64)
         col = np.concatenate([i for i, _ in rows]) if n else np.zeros(0, np.int64)
@@ -152,7 +155,8 @@ class Ordinal:
     def at_least(self, text: str | None, hits: Kept | None = None) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ..."""
         i, v, _ = sparse(text, hits if hits is not None else hits_in(self.lexicon))
-        return 1 / (1 + np.exp(np.clip(self.cuts - v @ self.weights[i], -35, 35)))
+        p = 1 / (1 + np.exp(np.clip(self.cuts - v @ self.weights[i], -35, 35)))
+        return self.odds * p / (self.odds * p[0] + 1 - p[0])
 
 
 def hits_in(lexicon: dict[str, int]) -> Kept:
@@ -193,9 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z_of = dict(zip(chosen["h"].to_pylist(), chosen["z"].to_pylist(), strict=True))
     # each of them is in some toxic text
     spelled = learned.filter("y = 1").select("text").mapInArrow(_written(set(z_of)), "h long, word string").distinct().toArrow()
-    ranked = sorted(zip(spelled["word"].to_pylist(), spelled["h"].to_pylist(), strict=True), key=lambda e: (-z_of[e[1]], e[0]))[:LEXICON]
+    ranked = sorted(zip(spelled["word"].to_pylist(), spelled["h"].to_pylist(), strict=True), key=lambda e: (-z_of[e[1]], e[0]))
     lexicon = {w: i for i, (w, _) in enumerate(ranked)}
-    sample = cut(hashed_sample(y, "doc_id", SAMPLE))
+    # both labels are drawn by themselves, of ids that have a text, so that rare toxic ones are in the sample
+    known = cut(learned.groupBy("doc_id").agg(F.max("y").alias("y")))
+    share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    most = min(share.get(1, 0), max(SAMPLE // 2, SAMPLE - share.get(0, 0)))
+    parts = [hashed_sample(known.filter(F.col("y") == k), "doc_id", m) for k, m in ((1, most), (0, SAMPLE - most))]
+    sample = cut(parts[0].unionByName(parts[1]))
 
     def rows(batches):
         hits = hits_in(lexicon)
@@ -208,9 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, hits = table["y"].to_numpy() > 0, table["hits"].to_numpy()
     if not toxic.any():
         return None
+    drawn = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
+    odds = 1.0 if drawn.n == sum(share.values()) or drawn.t == drawn.n else share[1] / share[0] * (drawn.n - drawn.t) / drawn.t
     cuts = np.quantile(hits[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0).astype(np.int64)
-    return Ordinal(lexicon, [(np.array(i, np.int64), np.array(v)) for i, v in zip(table["i"].to_pylist(), table["v"].to_pylist(), strict=True)], grades)
+    return Ordinal(lexicon, [(np.array(i, np.int64), np.array(v)) for i, v in zip(table["i"].to_pylist(), table["v"].to_pylist(), strict=True)], grades, odds)
 
 
 def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
