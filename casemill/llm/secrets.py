@@ -13,10 +13,14 @@ result; other columns are not read (redact keeps them).
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import json
 import math
 import re
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +29,10 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Credential contexts. The value is group 1 or 2.
+#: Credential contexts. The value is group 1 or 2. Key words that end ordinary words (bypass) begin a word or a part of one.
 CONTEXT = re.compile(
-    rb"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;&]{6,})"""
+    rb"""(?:(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z]))|(?<![a-z])(?:db|my|sql|pg|user|admin|root|mail|smtp|ftp|ssh|http|o))(?:pass|auth|bearer)"""
+    rb"""|pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;&]{6,})"""
     rb"""|[a-z][a-z0-9+.-]{1,15}://[^\s:/@"'<>]{1,64}:([^\s/@"'<>]{6,})@""",
     re.IGNORECASE,
 )
@@ -37,7 +42,8 @@ HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b
 GUESSES = 8.0
 REDACTED = "[redacted]"
 
-# Common words of passwords and of texts about them, most common first.
+# Common words of passwords and of texts about them, most common first; the words of VOCABULARY follow.
+VOCABULARY = "word_bpe_49k.json"
 WORDS = """
 password pass word admin user login root test guest welcome secret token key access letmein master qwerty dragon monkey
 football baseball shadow sunshine princess iloveyou hello love summer winter spring autumn monday friday january june july
@@ -51,11 +57,21 @@ red black white silver gold north south east west one two three four five six se
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SWAPS = {ord(a): b for a, b in zip("@4830!15$7", "aabeoiisst", strict=True)}
 
-_RANK = {w: math.log10(i + 1) for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
+
+@functools.cache
+def ranks() -> tuple[dict[str, float], int]:
+    """log10 of each word's rank, and the longest word's length."""
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    ends = (t[:-4] for t in sorted(vocab, key=vocab.get) if t.endswith("</w>"))
+    words = dict.fromkeys([*WORDS, *(w for w in ends if len(w) >= 3 and w.isascii() and w.isalpha())])
+    return {w: math.log10(i + 1) for i, w in enumerate(words)}, max(map(len, words))
+
+
 _PLACE = {c: (r, i + r * 0.5) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row)}
 _NEAR = {a: {b for b in _PLACE if b != a and abs(_PLACE[a][0] - _PLACE[b][0]) <= 1 and abs(_PLACE[a][1] - _PLACE[b][1]) <= 1} for a in _PLACE}
 _DATE = re.compile(r"(?:19|20)\d\d|\d{6}|\d{8}|\d{1,2}([-/.])\d{1,2}\1(?:\d\d){1,2}|(?:19|20)\d\d([-/.])\d{1,2}\2\d{1,2}")
+WALK = math.log10(47)  # a walk's first key
 _PIECE = 0.3  # log10 for choosing the kind of one more piece
 
 
@@ -68,59 +84,112 @@ def _char_cost(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def pieces(value: str) -> list[tuple[int, int, float, str]]:
-    """The pieces other than brute force that can make up parts of a value: start, end, log10 guesses, kind."""
+def _brute(value: str) -> list[float]:
+    """log10 guesses of each prefix by its characters' classes."""
+    return [0.0, *itertools.accumulate(map(_char_cost, value))]
+
+
+def _lower(value: str) -> str:
+    return value.lower() if len(value.lower()) == len(value) else value
+
+
+def _turns(low: str) -> list[int | None]:
+    """For each place, the changes of direction up to it of the keyboard walk that it goes on with; None where it begins one."""
+    out: list[int | None] = [None] * len(low)
+    way = None
+    for j in range(1, len(low)):
+        if low[j] not in _NEAR.get(low[j - 1], ()):
+            continue
+        (r, x), (s, y) = _PLACE[low[j - 1]], _PLACE[low[j]]
+        old, way = way, (s - r, y > x)
+        out[j] = 0 if out[j - 1] is None else out[j - 1] + (way != old)
+    return out
+
+
+def _words_and_dates(value: str) -> list[tuple[int, int, float, str]]:
     n, out = len(value), []
-    low = value.lower() if len(value.lower()) == n else value
+    rank, longest = ranks()
+    low = _lower(value)
     plain = low.translate(SWAPS)
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _char_cost(c))
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for text, more in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if text in _RANK:
+                if text in rank:
                     case = value[i:j]
-                    out.append((i, j, _RANK[text] + more + (0.0 if case == case.lower() else 0.3 if case[0].isupper() else 0.9), "word"))
+                    out.append((i, j, rank[text] + more + (0.0 if case == case.lower() else 0.3 if case[0].isupper() else 0.9), "word"))
                     break
         for j in range(i + 4, min(n, i + 10) + 1):
             if _DATE.fullmatch(low, i, j):
                 out.append((i, j, 2.1 if j - i == 4 else 4.6, "date"))
-    i = 0
-    while i < n:  # the longest keyboard walk from each place that one starts
-        j, turns, way = i + 1, 0, None
-        while j < n and low[j] in _NEAR.get(low[j - 1], ()):
-            (r, x), (s, y) = _PLACE[low[j - 1]], _PLACE[low[j]]
-            turns += way is not None and way != (s - r, y > x)
-            way = (s - r, y > x)
+    return out
+
+
+def pieces(value: str) -> list[tuple[int, int, float, str]]:
+    """The pieces other than brute force that can make up parts of a value: start, end, log10 guesses, kind. Walks and
+    repeats may end at any place, so a long value can have many; guess_cost doesn't write them out."""
+    n, out, brute, turns = len(value), _words_and_dates(value), _brute(value), _turns(_lower(value))
+    for i in range(n):
+        j = i + 1
+        while j < n and turns[j] is not None:
             j += 1
-        if j - i >= 4:
-            out.append((i, j, math.log10(47) + 0.8 * turns + math.log10(j - i), "walk"))
-        i = max(j - 1, i + 1)
-    for period in range(1, 9):  # whole repeats of a unit
-        i = period
-        while i < n:
-            j = i
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            start, times = i - period, (j - i) // period + 1
-            if times >= 2 and times * period >= 3:
-                out.append((start, start + times * period, brute[i] - brute[start] + math.log10(times), "repeat"))
-            i = max(j, i + 1)
+            if j - i >= 4:
+                out.append((i, j, WALK + 0.8 * (turns[j - 1] - turns[i + 1]) + math.log10(j - i), "walk"))
+        for period in range(1, 9):
+            times = 2
+            while value[i : i + period] == value[i + (times - 1) * period : i + times * period] and i + times * period <= n:
+                if times * period >= 3:
+                    out.append((i, i + times * period, brute[i + period] - brute[i] + math.log10(times), "repeat"))
+                times += 1
     return out
 
 
+def _best_start(starts: list[tuple[float, int]], a: float, s: int, j: int) -> float:
+    """The least a + log10(j - s) of starts (a, s) by rising s, with a new last one. A start that an earlier one undercuts
+    once stays undercut (the gap between the logarithms only shrinks), as does one whose a a later one doesn't exceed, so
+    both are taken out."""
+    while starts and starts[-1][0] >= a:
+        starts.pop()
+    starts.append((a, s))
+    kept: list[tuple[float, int]] = []
+    least = math.inf
+    for a, s in starts:
+        if (cost := a + math.log10(j - s)) < least:
+            least = cost
+            kept.append((a, s))
+    starts[:] = kept
+    return least
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses that the cheapest segmentation of a value needs."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost, _ in pieces(value):
+    for i, j, cost, _ in _words_and_dates(value):
         ending.setdefault(j, []).append((i, cost))
+    chars, turns = _brute(value), _turns(_lower(value))
     best, brute = [0.0], [0.0]  # least cost of a prefix; of one that ends in a brute-force span
+    walks: list[tuple[float, int]] = []
+    runs = [0] * 9  # for each period, how many places in a row repeat what is a period before
+    repeats: list[dict[int, list[tuple[float, int]]]] = [{} for _ in runs]
     for j in range(1, n + 1):
-        span = min(brute[j - 1] if j > 1 else math.inf, best[j - 1] + _PIECE) + _char_cost(value[j - 1])
-        brute.append(span)
-        best.append(min([span, *(best[i] + _PIECE + cost for i, cost in ending.get(j, ()))]))
+        costs = [min(brute[j - 1] if j > 1 else math.inf, best[j - 1] + _PIECE) + _char_cost(value[j - 1])]
+        brute.append(costs[0])
+        costs += [best[i] + _PIECE + cost for i, cost in ending.get(j, ())]
+        if turns[j - 1] is None:
+            walks = []
+        elif j >= 4 and turns[j - 2] is not None and turns[j - 3] is not None:
+            costs.append(_best_start(walks, best[j - 4] - 0.8 * turns[j - 3], j - 4, j) + _PIECE + WALK + 0.8 * turns[j - 1])
+        for p in range(1, min(9, j)):
+            if value[j - 1] != value[j - 1 - p]:
+                runs[p], repeats[p] = 0, {}
+                continue
+            runs[p] += 1
+            times = 3 if p == 1 else 2
+            if runs[p] >= (times - 1) * p:
+                s = j - times * p
+                starts = repeats[p].setdefault(j % p, [])
+                costs.append(_best_start(starts, best[s] + chars[s + p] - chars[s], s, j) - math.log10(p) + _PIECE)
+        best.append(min(costs))
     return best[n] - _PIECE if n else 0.0
 
 

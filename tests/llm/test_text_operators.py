@@ -230,6 +230,49 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("") == 0.0 and secrets.guess_cost("é" * 5000) > 0
 
 
+def every_piece(value):
+    """Walks and repeats of all places and lengths, words of all stretches, by their definitions alone."""
+    low, out = value.lower(), []
+    for i in range(len(value)):
+        for j in range(i + 3, len(value) + 1):
+            part = low[i:j]
+            if part.translate(secrets.SWAPS) in secrets.ranks()[0] or part in secrets.ranks()[0]:
+                plain = part in secrets.ranks()[0]
+                case = 0.0 if value[i:j] == part else 0.3 if value[i].isupper() else 0.9
+                out.append((i, j, secrets.ranks()[0][part if plain else part.translate(secrets.SWAPS)] + (0 if plain else 0.6) + case))
+            if secrets._DATE.fullmatch(part):
+                out.append((i, j, 2.1 if j - i == 4 else 4.6))
+            if len(part) >= 4 and all(b in secrets._NEAR.get(a, ()) for a, b in zip(part, part[1:], strict=False)):
+                at = [secrets._PLACE[c] for c in part]
+                ways = [(s - r, y > x) for (r, x), (s, y) in zip(at, at[1:], strict=False)]
+                out.append((i, j, math.log10(47) + 0.8 * sum(a != b for a, b in zip(ways, ways[1:], strict=False)) + math.log10(len(part))))
+            for p in range(1, 9):
+                if len(part) % p == 0 and len(part) >= 2 * p and value[i:j] == value[i : i + p] * (len(part) // p):
+                    out.append((i, j, sum(map(secrets._char_cost, value[i : i + p])) + math.log10(len(part) // p)))
+    return out
+
+
+def test_guess_cost_offers_every_piece():
+    r = random.Random(7)
+    parts = ["asdf", "gh", "hello", "abab", "aaa", "qwer", "es", "zxc", "1234", "12", "Pass", "p@ss", "2021", "x", "Q", "sd", "\u00e9"]
+    for v in ["asdfghello", "aaaaaab", "abababa1", *("".join(r.choice(parts) for _ in range(r.randint(2, 7))) for _ in range(300))]:
+        best = [0.0]
+        own = [*every_piece(v), *((i, j, sum(map(secrets._char_cost, v[i:j]))) for i in range(len(v)) for j in range(i + 1, len(v) + 1))]
+        for j in range(1, len(v) + 1):
+            best.append(min(best[i] + secrets._PIECE + c for i, k, c in own if k == j))
+        assert math.isclose(secrets.guess_cost(v), best[-1] - secrets._PIECE, abs_tol=1e-9), v
+        assert sorted((i, j, round(c, 6)) for i, j, c, _ in secrets.pieces(v)) == sorted((i, j, round(c, 6)) for i, j, c in every_piece(v)), v
+    assert secrets.guess_cost("asdfghello") < secrets.GUESSES
+    assert all(secrets.guess_cost(v) > 0 for v in ("sd" * 20_000, "qwertrewq" * 3_000, "x" * 40_000))  # near linear
+
+
+def test_prose_is_no_secret():
+    for text in ("credentials: certificate", "bypass: something", "passphrase: remember", "bypass: kX8$mQ2!vN7z"):
+        assert secrets.scan(text)[0] == [], text
+    for text in ("pass: kX8$mQ2!vN7z", "db_pass=kX8$mQ2!vN7z", "dbPass=kX8$mQ2!vN7z", "dbpass=kX8$mQ2!vN7z", "oauth: kX8$mQ2!vN7z", "DB_PASSWORD=kX8$mQ2!vN7z", "mypassword: kX8$mQ2!vN7z"):
+        assert [k for *_, k in secrets.scan(text)[0]] == ["guess"], text
+
+
 def test_guess_spans_and_redaction(spark):
     text = "user pwd: kX8$mQ2!vN7z and https://bob:s3cr3tV4lue99x@h and pass: password1 end"
     spans, top = secrets.scan(text)
@@ -336,6 +379,25 @@ def test_long_toxic_words_count_even_if_clean_words_begin_so(spark):
     assert "characterslime" in toxicity.fit(docs, labels).lexicon
 
 
+def test_rare_toxic_labels_are_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    near = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    last = {r.id for r in spark.range(1500).orderBy(near.desc()).limit(20).collect()}  # a sample by hash alone leaves them out
+    docs = spark.createDataFrame([(i, "vile slime" if i in last else "fine words") for i in range(1500)] + [(2000, "slime")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in last)) for i in range(1500)] + [(i, 1) for i in range(5000, 9000)], "doc_id long, toxic int")  # and many have no text
+    got = {r.doc_id: r for r in toxicity.severity(docs, labels).collect()}
+    clean = [got[i].severity for i in range(1500) if i not in last]
+    assert got[2000].severity > 10 * max(clean) and max(clean) < 0.05 and all(got[i].toxic == 1 for i in last)
+
+
+def test_every_entry_that_passes_is_in_the_lexicon(spark):
+    r = random.Random(5)
+    bad = {"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(1200)}
+    docs = spark.createDataFrame([(i, " ".join(bad) if i % 3 == 0 else "fine words") for i in range(90)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")))
+    assert len(model.lexicon) > 4096 and bad <= set(model.lexicon)
+
+
 def test_classifiers_on_odd_input(spark):
     df = odd_docs(spark)
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(None, 1, 1), (4, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
