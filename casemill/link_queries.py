@@ -192,6 +192,14 @@ def l13_rates(spark, sf_dir):
     return triage.rate_by_area(features(spark, sf_dir, False), detection)
 
 
+def predictions(spark, sf_dir):
+    """Open cases with their predictions; without a model there are none. The factors are of no use here, so no importances."""
+    detection, duration = bundles(spark, sf_dir, repeats=0)
+    if detection.model is None:
+        raise ValueError(detection.reason)
+    return triage.score_open(features(spark, sf_dir, False), detection, duration)
+
+
 def all_findings(spark, sf_dir):
     c, e = cases(spark, sf_dir), events(spark, sf_dir)
     daily = signals.daily_counts(c, "ts", {"area": "area", "category": "category"})
@@ -199,21 +207,30 @@ def all_findings(spark, sf_dir):
     return findings.build(spark, {
         "spikes": lambda: findings.from_spikes(signals.spike_alerts(daily, ["area", "category"], z_threshold=0.0)),
         "risk": lambda: findings.from_risk(signals.area_risk(daily, demo=demo)),
+        "anomalies": lambda: findings.from_anomalies(signals.anomalies(c, CASE_ROLES, "case_id", limit=20)),
         "repeats": lambda: findings.from_repeats(graph.repeat_entities(involved(spark, sf_dir))),
         "gaps": lambda: findings.from_digest(profile.digest(c.select("area", "status"))),
         "clusters": lambda: findings.from_clusters(signals.time_clusters(e, EVENT_ROLES, 0.2)),
         "correlation": lambda: findings.from_correlation(signals.correlation(c, "area", demo)),
         "emerging": lambda: findings.from_emerging(signals.emerging(daily)),
         "methods": lambda: findings.from_methods(signals.mo_signatures(e, EVENT_ROLES, "event_id")),
+        "predictions": lambda: findings.from_triage(predictions(spark, sf_dir)),
     })[0]
 
 
 @register()
 def f16_findings(spark, sf_dir):
-    """Ranked findings."""
+    """Ranked findings."""
     return findings.select(all_findings(spark, sf_dir)).withColumn("evidence", F.to_json("evidence"))
 
 
+@register()
+def f16_forecast(spark, sf_dir):
+    """The five areas of the highest risk, with the forecast's confidence."""
+    daily = signals.daily_counts(cases(spark, sf_dir), "ts", {"area": "area", "category": "category"})
+    return findings.forecast(signals.area_risk(daily, demo=signals.demographics(B.demographics(spark, sf_dir), "area")), daily)
+
+
 @register()
 def f15_brief(spark, sf_dir):
     """the brief."""

@@ -121,6 +121,14 @@ def confidence(history_days: Column, n_areas: Column) -> Column:
     return F.when((history_days >= 180) & (n_areas >= 5), "high").when(history_days >= 60, "medium").otherwise("low")
 
 
+def forecast(risk: DataFrame, daily: DataFrame, top: int = 5) -> DataFrame:
+    """The areas of the highest risk, and the confidence by the days of history and the number of areas."""
+    history = daily.agg(F.datediff(F.max("day"), F.min("day")).alias("history_days"))  # a row
+    size = risk.agg(F.count("*").alias("n_areas")).crossJoin(F.broadcast(history))
+    own = risk.orderBy(F.desc("risk_score"), "area").limit(top).crossJoin(F.broadcast(size))
+    return own.withColumn("confidence", confidence(F.col("history_days"), F.col("n_areas"))).orderBy(F.desc("risk_score"), "area").drop("history_days", "n_areas")
+
+
 def brief(selected: DataFrame, backtest: DataFrame | None = None) -> DataFrame:
     """One row of text on the selected findings."""
     rows = selected.withColumn("h", F.when(F.col("type") == "spike", 0).when(F.col("type") == "rising_risk", 1).otherwise(2))

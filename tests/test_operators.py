@@ -322,6 +322,18 @@ def test_a_failing_signal_contributes_nothing(spark):
     assert [r.severity for r in out.collect()] == [46] and set(failed) == {"bad"}
 
 
+def test_the_bundle_holds_anomalies_predictions_and_a_forecast(spark):
+    from casemill import link_queries
+
+    sf = "/root/testdata/sf0.001"
+    every = {r.type: r for r in link_queries.all_findings(spark, sf).collect()}
+    assert "anomaly" in every
+    scored = link_queries.predictions(spark, sf).collect()
+    assert scored and ("predicted_undetected" in every) == any(r.probability < 0.35 for r in scored) and ("predicted_stall" in every) == any(r.stall for r in scored)
+    rows = link_queries.f16_forecast(spark, sf).collect()
+    assert len(rows) == 5 and {r.confidence for r in rows} == {"high"}
+
+
 def test_watch_rules_count_once(spark):
     df, roles = period_rows(spark)
     rules = spark.createDataFrame([(1, datetime(2026, 1, 31), datetime(2026, 3, 2), 25.0, "gte", True), (2, datetime(2026, 1, 31), datetime(2026, 3, 2), 25.0, "lte", True), (3, datetime(2026, 1, 1), datetime(2026, 1, 8), 0.0, "gte", True), (4, datetime(2026, 1, 31), datetime(2026, 3, 2), 0.0, "gte", False)], "rule_id int, start timestamp_ntz, end timestamp_ntz, threshold double, comparison string, enabled boolean")
