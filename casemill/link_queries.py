@@ -158,11 +158,11 @@ def l9_durations(spark, sf_dir):
     return triage.durations(cases(spark, sf_dir), "case_id", "ts", table(spark, sf_dir, "lineitem"), "l_orderkey", "l_shipdate")
 
 
-def bundles(spark, sf_dir, repeats=1):
+def bundles(spark, sf_dir, repeats=5):
     train = features(spark, sf_dir, True)
-    detection = triage.train_detection(train, repeats=repeats, trees=10)
+    detection = triage.train_detection(train, repeats=repeats)
     timed = train.drop("label").join(l9_durations(spark, sf_dir), "case_id")
-    return detection, triage.train_duration(timed, trees=10)
+    return detection, triage.train_duration(timed)
 
 
 @register()

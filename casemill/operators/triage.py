@@ -103,7 +103,7 @@ def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int =
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def train_detection(df: DataFrame, repeats: int = 1, trees: int = 20) -> Bundle:
+def train_detection(df: DataFrame, repeats: int = 5, trees: int = 20) -> Bundle:
     """A boosted classifier of detected against undetected cases."""
     df = df.persist()
     try:

@@ -334,6 +334,25 @@ def test_the_bundle_holds_anomalies_predictions_and_a_forecast(spark):
     assert len(rows) == 5 and {r.confidence for r in rows} == {"high"}
 
 
+def test_registered_models_take_five_repeats_and_all_trees(spark, monkeypatch):
+    import inspect
+
+    from casemill import link_queries
+
+    given = {}
+    for name in ("train_detection", "train_duration"):
+        whole = inspect.signature(getattr(triage, name))
+
+        def note(*args, name=name, whole=whole, **more):
+            given[name] = whole.bind(*args, **more)
+            given[name].apply_defaults()
+
+        monkeypatch.setattr(triage, name, note)
+    link_queries.bundles(spark, "/root/testdata/sf0.001")
+    assert given["train_detection"].arguments["repeats"] == 5
+    assert all(g.arguments["trees"] == 20 for g in given.values())
+
+
 def test_watch_rules_count_once(spark):
     df, roles = period_rows(spark)
     rules = spark.createDataFrame([(1, datetime(2026, 1, 31), datetime(2026, 3, 2), 25.0, "gte", True), (2, datetime(2026, 1, 31), datetime(2026, 3, 2), 25.0, "lte", True), (3, datetime(2026, 1, 1), datetime(2026, 1, 8), 0.0, "gte", True), (4, datetime(2026, 1, 31), datetime(2026, 3, 2), 0.0, "gte", False)], "rule_id int, start timestamp_ntz, end timestamp_ntz, threshold double, comparison string, enabled boolean")
