@@ -5,11 +5,14 @@ a pair is pruned as soon as it exceeds the error budget. A sorted array of finge
 of it. To spread the walk over tasks, the root level is dealt out by exact bits: of ``m`` blocks of the 64 bits, a pair
 within a budget of e agrees on at least m - e, so for each choice of m - e blocks the fingerprints that agree there form
 a trie of their own. Choices with more fingerprints than GROUP are not walked but dealt out again by more, finer blocks
-(the next of LEVELS), so that a hot group falls apart; the last level walks whatever is left, with bounded memory.
-In each trie only a spanning forest of the links is kept: classes lose nothing and no group emits all its pairs.
+(the next of LEVELS), so that a hot group falls apart. At the last level a group's fingerprints agree on 48 bits, so it
+has at most 2^16 of them, and memory is bounded. Linked pairs join their classes as they are found and are then
+forgotten, and node pairs of one class are left out: only a spanning forest of the links is kept, in memory too.
 
 Odd input: a null text is empty and has fingerprint zero; fingerprint zero is linked like any other. A null id is never
-a class's smallest id, unless all are null. Repeated rows give repeated rows. An empty table gives an empty result.
+a class's smallest id, unless all are null. Repeated rows give repeated rows (one_of_each: one row; of rows that share id
+and fingerprint, the one whose columns have the smallest hash). An empty table gives an empty result. Other columns are
+not read (one_of_each keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import types as T
 from casemill.plans.lineage import cut
 
 BUDGET = 4
-#: Blocks of the 64 bits at each level: pairs agree on 2 of 6 (21 bits), then 4 of 8 (32 bits), then 6 of 10 (38 bits).
-LEVELS = (6, 8, 10)
+#: Blocks of the 64 bits at each level: pairs agree on 2 of 6 (21 bits), 4 of 8 (32), 6 of 10 (38), 12 of 16 (48 bits).
+LEVELS = (6, 8, 10, 16)
 #: Fingerprints of one trie that are walked in one task before the finer level takes over.
 GROUP = 1_000
 #: Fingerprints whose tries are walked together, and node pairs that are held at once.
-BATCH, FRONTIER = 100_000, 1_000_000
+BATCH, FRONTIER = 100_000, 200_000
 SHINGLE = 4
 HASHED_AT_ONCE = 65_536
 
@@ -69,24 +72,43 @@ def with_fingerprints(df: DataFrame, text_col: str) -> DataFrame:
     return df.mapInArrow(_append_fingerprints(df.columns.index(text_col)), schema)
 
 
-def _walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the linked fingerprints of each group. fps: unsigned, sorted within the groups, distinct."""
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Puts i and j of each link into one class; a class is named by its smallest position."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+
+
+def _classes(fps: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
+    """For each fingerprint the smallest position of its class. fps: unsigned, sorted within the groups, distinct."""
     n = len(fps)
+    label = np.arange(n)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     last = np.r_[first[1:], n]
     several = last - first > 1
     ones = {}  # ones[d][i]: fingerprints before i whose bit d is set
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    zero = np.zeros(int(several.sum()), np.int64)
-    stack = [(0, first[several], last[several], first[several], last[several], zero)]
+    stack = [(0, first[several], last[several], first[several], last[several], np.zeros(int(several.sum()), np.int8))]
+    turns = None  # turns[i]: places before i where the class changes
     while stack:
         d, a, b, x, y, diff = stack.pop()
         leaf = (b - a == 1) & (y - x == 1)
         if leaf.any():
             i, j = a[leaf], x[leaf]
-            near = (np.bitwise_count(fps[i] ^ fps[j]) <= budget) & (i != j)
-            found.append((i[near], j[near]))
+            near = (np.bitwise_count(fps[i] ^ fps[j]) <= budget) & (label[i] != label[j])
+            if near.any():
+                _join(label, i[near], j[near])
+                turns = None
             a, b, x, y, diff = (v[~leaf] for v in (a, b, x, y, diff))
+        if turns is None:
+            turns = np.concatenate([[0, 0], np.cumsum(label[1:] != label[:-1])])
+        one_class = (turns[b] == turns[a + 1]) & (turns[y] == turns[x + 1]) & (label[a] == label[x])
+        if one_class.any():
+            a, b, x, y, diff = (v[~one_class] for v in (a, b, x, y, diff))
         if not len(a):
             continue
         if len(a) > FRONTIER:  # one half after the other: memory stays bounded
@@ -94,7 +116,7 @@ def _walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray,
             stack += [(d, a[:h], b[:h], x[:h], y[:h], diff[:h]), (d, a[h:], b[h:], x[h:], y[h:], diff[h:])]
             continue
         if d not in ones:
-            ones[d] = np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int64)])
+            ones[d] = np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)]).astype(np.int32)
         c = ones[d]
         mid, at = b - (c[b] - c[a]), y - (c[y] - c[x])
         same = a == x
@@ -103,21 +125,7 @@ def _walk(fps: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray,
         ok = (b > a) & (y > x) & (diff <= budget) & ~((a == x) & (b - a == 1))
         if ok.any():
             stack.append((d + 1, *(v[ok] for v in (a, b, x, y, diff))))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest position of each position's class under the links i-j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label[i] == label[j]).all() and (label[label] == label).all():
-            return label
+    return label
 
 
 def _links(budget: int):
@@ -127,7 +135,7 @@ def _links(budget: int):
         group = np.cumsum(np.r_[True, (combo[1:] != combo[:-1]) | (block[1:] != block[:-1])])
         order = np.lexsort((fp.view(np.uint64), group))
         fps = fp[order].view(np.uint64)
-        label = _forest(len(fps), *_walk(fps, group, budget))
+        label = _classes(fps, group, budget)
         at = np.flatnonzero(label != np.arange(len(fps)))
         return pa.RecordBatch.from_pydict({"src": pa.array(fps[at].view(np.int64)), "dst": pa.array(fps[label[at]].view(np.int64))})
 
@@ -225,21 +233,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """One document of each class: the one with the smallest id (rows with a null id come last). All columns stay."""
+    """One document of each class: the one with the smallest id (rows with a null id come last). All columns stay.
+
+    Texts are fingerprinted once; only rows whose ids are null or occur again are fingerprinted a second time, as their
+    ids don't say which of them is meant.
+    """
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(names)])
-    own_id, text = f"d{names.index(id_col)}", f"d{names.index(text_col)}"
-    rows = cut(with_fingerprints(plain.select(F.col(own_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", F.col("__fp").alias("fp")))
+    own_id, text = F.col(f"d{names.index(id_col)}").cast("long"), f"d{names.index(text_col)}"
+    rows = cut(with_fingerprints(plain.select(own_id.alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", F.col("__fp").alias("fp")))
     kind = classes(rows, budget)
-    members = rows.groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    members = cut(members.join(kind, "fp").select("component_id", "doc_id", "fp", "n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "n")).alias("m")
+    again = cut(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    members = rows.select("doc_id", "fp").distinct().join(kind, "fp")
     # a class of null ids only has no id of its own; its smallest fingerprint stands for it
-    stay = cut(members.groupBy("component_id").agg(first).select(F.col("m.doc_id").alias("__id"), F.col("m.fp").alias("__k"), F.col("m.n").alias("__n")))
-    marked = with_fingerprints(plain, text)
-    kept = marked.join(stay, (F.col("__fp") == F.col("__k")) & F.col(own_id).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if not stay.filter("__n > 1").isEmpty():
-        kept = kept.dropDuplicates([own_id, "__fp"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("m")
+    stay = cut(members.groupBy("component_id").agg(first).select("m.doc_id", "m.fp"))
+    alone = stay.filter("doc_id IS NOT NULL").join(again, "doc_id", "left_anti").select(F.col("doc_id").alias("__id"))
+    kept = plain.join(alone, own_id == F.col("__id"), "left_semi")
+    unclear = stay.join(again, "doc_id", "left_semi").unionByName(stay.filter("doc_id IS NULL"))
+    if not unclear.isEmpty():
+        known = again.select(F.col("doc_id").alias("__id"))
+        marked = with_fingerprints(plain.filter(own_id.isNull()).unionByName(plain.join(known, own_id == F.col("__id"), "left_semi")), text)
+        whole = F.struct(*[F.col(c) for c in plain.columns])
+        order = F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind_of else F.col(c) for c, kind_of in plain.dtypes])
+        few = marked.groupBy(own_id.alias("__id"), "__fp").agg(F.min_by(whole, order).alias("r"))  # pre-aggregated: many rows may be equal
+        few = few.join(unclear, (F.col("__fp") == F.col("fp")) & F.col("__id").eqNullSafe(F.col("doc_id")), "left_semi")
+        kept = kept.unionByName(few.select("r.*"))
     return kept.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names)])
 
 

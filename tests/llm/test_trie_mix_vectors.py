@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -141,3 +142,75 @@ def test_top_k_on_odd_input_ties_and_small_blocks(spark, block):
     got = vectors.top_k(df, df.filter("vec_id % 50 = 0"), block=block).collect()
     assert sorted(tuple(x) for x in got) == slow_top_k(rows, 5)
     assert vectors.top_k(df.limit(0), df.limit(0)).collect() == []
+
+
+def exact_top_k(rows, k):
+    """By Python's integers, without limits of size."""
+    ok = [(i, [int((Fraction(x) * 256).__floor__()) for x in v]) for i, v in rows]
+    out = []
+    for q, v in ok:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in ok if i != q and len(c) == len(v))[:k]
+            out += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1e6, 1e8, 1e30, 1.5e308])
+def test_top_k_is_exact_for_all_finite_vectors(spark, scale):
+    r = random.Random(9)
+    rows = [(i, [scale, float(i % 7)]) for i in range(40)] + [(50, [-scale, 3.0]), (100, [1.0, 2.0]), (150, [0.0, 0.0])]
+    rows += [(200 + i, [r.uniform(-1, 1), r.uniform(-scale / 2, scale / 2)]) for i in range(40)] + [(300, [0.25, 0.5, 1.0]), (301, [scale, 0.5, 1.0]), (302, [scale, 0.5, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for block in (4096, *[2] * (scale == 1e8)):
+        got = vectors.top_k(df, df.filter("vec_id % 50 = 0"), block=block).collect()
+        assert sorted(tuple(x) for x in got) == exact_top_k(rows, 5)
+
+
+def test_keys_keep_the_order_of_doubles():
+    x = np.array([-np.finfo(float).max, -1e300, -2.0, -1.0, -1e-300, -0.0, 0.0, 1e-300, 1.0, 2.0, 1e300, np.finfo(float).max])
+    k = vectors.ordered(x)
+    assert (np.diff(k) >= 0).all() and k[5] == k[6] and len(set(k.tolist())) == len(x) - 1
+
+
+def close_groups(groups, size, seed=4):
+    """Fingerprints within a few bits of each group's first; all of a group are linked over it."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = int(r.integers(0, 1 << 63, dtype=np.uint64)) & ~0xFFFF
+        out.append([base | int(x) for x in r.choice(1 << 14, size, replace=False)])
+    return out
+
+
+def test_classes_of_dense_groups_need_little_memory():
+    import tracemalloc
+
+    own = [sorted(g) for g in close_groups(100, 900)]
+    fps = np.array([f for g in own for f in g], np.uint64)
+    group = np.repeat(np.arange(100), 900)
+    tracemalloc.start()
+    label = trie._classes(fps, group, trie.BUDGET)
+    assert tracemalloc.get_traced_memory()[1] < 400e6  # all their linked pairs would be gigabytes
+    tracemalloc.stop()
+    few = [slow_classes(g[:200]) for g in own[:2]]
+    for n, want in enumerate(few):
+        got = trie._classes(fps[n * 900 : n * 900 + 200], np.zeros(200, np.int64), trie.BUDGET)
+        assert got.tolist() == want
+    assert all(label[n * 900 : (n + 1) * 900].min() == n * 900 for n in range(100))
+
+
+def test_groups_that_the_third_level_leaves_fall_apart(spark):
+    own = close_groups(2, 400, 8)
+    fps = sorted(f for g in own for f in g)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    labels = {x.node: x.label for x in trie.components(trie.links(df, levels=(6, 8, 10, 16), group=50)).collect()}
+    got = [labels.get(f - (1 << 64) if f >> 63 else f, f) for f in fps]
+    label = trie._classes(np.array(fps, np.uint64), np.zeros(len(fps), np.int64), trie.BUDGET)
+    pairs = set(zip(got, label.tolist(), strict=True))
+    assert len(pairs) == len(set(got)) == len(set(label.tolist()))
+
+
+def test_the_row_that_stays_of_equal_ids_and_texts_repeats(spark):
+    rows = [(1, "same words in here now", f"s{i}") for i in range(30)] + [(None, "other words over there again", f"s{i}") for i in range(30)]
+    kept = [sorted((r.doc_id or 0, r.source) for r in trie.one_of_each(docs_of(spark, rows).repartition(n)).collect()) for n in (1, 3, 7)]
+    assert len(kept[0]) == 2 and kept[0] == kept[1] == kept[2]
