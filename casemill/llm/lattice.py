@@ -6,10 +6,15 @@ from the vocabulary's scores (a piece ranked r has weight 1 / (r + ZIPF); the pr
 probability is the sum over all its segmentations into pieces, by forward recursion in log space; every single byte is a
 piece too, so that no word is impossible. A text's probability is the product over its words and one end symbol.
 
+One more way to write a word is as a whole: by its own count in the training texts, less DISCOUNT. What the discounts
+of all words leave over is the weight of the pieces' lattice, so a word's probability is
+max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * lattice(word); without training words it is the lattice's alone.
+
 The base score is a word unigram model with one added to each count.
 
-Both are functions of a word, so they are worked out once for each distinct word. The HOT most frequent words go to all
-tasks (their number and length are bounded); all other words meet their scores in a shuffled join.
+Both are functions of a word, so they are worked out once for each distinct word. The most frequent words go to all
+tasks: those whose count reaches a threshold, which a histogram of the counts sets so that they are HOT words and
+HOT_BYTES bytes at most. All other words meet their scores in a shuffled join; none of them is frequent.
 
 Odd input: a null text is empty: one end token. A null id counts as the id ''. Repeated rows give repeated rows and count
 repeatedly. Without training text N is 0 and every c is 0. An empty table gives an empty result; other columns are not
@@ -34,11 +39,16 @@ from casemill.plans.lineage import cut
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 ZIPF, PRIOR = 2.7, 32_000.0
-#: Words that are broadcast, and their bytes at most.
-HOT, HOT_BYTES = 262_144, 48
-#: Distinct words that a task gathers before it sends their counts.
-GATHERED = 300_000
-#: Words whose lattice scores a worker keeps when it meets words that are not broadcast.
+#: What is taken off each word's count for words not seen.
+DISCOUNT = 0.75
+#: Words that are broadcast at most, and their bytes in all at most.
+HOT, HOT_BYTES = 262_144, 8_000_000
+#: Steps of the histogram of counts to a factor of two.
+STEPS = 8
+#: Distinct words that a task gathers before it sends their counts, and their bytes.
+GATHERED, GATHERED_BYTES = 300_000, 64_000_000
+#: Longer words meet their scores under a 128-bit hash, so that they aren't shuffled as a whole.
+LONG = 48
 SPACE = "▁".encode()
 
 
@@ -52,6 +62,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def join_key(word: bytes) -> bytes:
+    """The word, or of a long one the hash (no word begins with a line feed)."""
+    return word if len(word) <= LONG else b"\n\n" + xxhash.xxh3_128_digest(word)
+
+
+def least_count(counts: DataFrame, most: int, most_bytes: int | None = None, count: str = "n", word: str = "word") -> int:
+    """The count from which rows are at most ``most`` (and, if given, have ``most_bytes`` bytes of words at most).
+
+    Counts are gathered in bins of powers of 2^(1/STEPS), some hundreds of rows; no row is sorted or sent anywhere.
+    """
+    size = F.octet_length(word) if most_bytes is not None else F.lit(0)
+    # a bin's lowest count is worked out from whole numbers, so that it holds the very counts that fell into it
+    step = F.floor(F.log2(F.col(count)) * STEPS + 1e-9).cast("int")
+    bins = counts.filter(F.col(count) > 0).groupBy(step.alias("step")).agg(F.min(count).alias("low"), F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+    rows = total = 0
+    least = None
+    for r in sorted(bins, key=lambda r: -r.step):
+        rows, total = rows + r.n, total + r.bytes
+        if rows > most or (most_bytes is not None and total > most_bytes):
+            break
+        least = r.low
+    return least if least is not None else (1 << 62)
+
+
 class Pieces:
     """The vocabulary's pieces as bytes, and their prior."""
 
@@ -133,6 +167,7 @@ def _count_words(batches):
     """(word, n) of (text, learned) rows; n is 0 for words of other texts."""
     seen: Counter = Counter()
     other: set[bytes] = set()
+    held = 0
 
     def flush():
         other.difference_update(seen)
@@ -148,8 +183,12 @@ def _count_words(batches):
                 seen.update(words_of(text))
             else:
                 other.update(words_of(text))
-            if len(seen) + len(other) > GATHERED:
+            held += len(text or "")
+            if len(seen) + len(other) > GATHERED or (held > GATHERED_BYTES and sum(map(len, seen)) + sum(map(len, other)) > GATHERED_BYTES):
+                held = 0
                 yield flush()
+            elif held > GATHERED_BYTES:
+                held = 0
     yield flush()
 
 
@@ -168,14 +207,27 @@ def _count_pieces(path: str):
 _lattices: dict[str, Lattice] = {}
 
 
-def _score_words(path: str, counts: np.ndarray, ends: int, name: str):
+def with_whole_words(counts: np.ndarray, lattice: np.ndarray, tokens: int, words: int) -> np.ndarray:
+    """log10 probabilities of words of these counts, from those of their lattices (tokens: N, words: V without the end)."""
+    if not words:
+        return lattice
+    own = np.maximum(counts - DISCOUNT, 0) / tokens
+    rest = lattice + math.log10(DISCOUNT * words / tokens)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(own), rest * math.log(10)) / math.log(10)
+
+
+def _score_words(path: str, counts: np.ndarray, ends: int, tokens: int, n_words: int, name: str):
     def run(batches):
         if name not in _lattices:
             _lattices.clear()
             _lattices[name] = Lattice(pieces_of(path), counts, ends)
         score = _lattices[name].score
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([score(w) for w in batch.column(0).to_pylist()], pa.float64())], ["word", "n", "s"])
+            lattice = np.array([score(w) for w in batch.column(0).to_pylist()], np.float64)
+            own = with_whole_words(batch.column(1).to_numpy(zero_copy_only=False), lattice, tokens, n_words)
+            keys = pa.array(map(join_key, batch.column(0).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array(own, pa.float64())], ["word", "n", "key", "s"])
 
     return run
 
@@ -205,7 +257,7 @@ def _score_texts(hot, name: str, bottom: float, ends: int, end_score: float):
                     for w, n in Counter(words).items():
                         v = known.get(w)
                         if v is None:
-                            out.append((key, h, w, n, 0, 0, 0, 0.0, 0.0))
+                            out.append((key, h, join_key(w), n, 0, 0, 0, 0.0, 0.0))
                         else:
                             base.append(n * v[0])
                             score.append(n * v[1])
@@ -233,12 +285,13 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
     for r in words.filter("n > 0").mapInArrow(_count_pieces(path), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         counts[r["i"]] = r["n"]  # as many rows as the vocabulary has pieces
     name = xxhash.xxh64_hexdigest(counts.tobytes() + str((ends, train_tokens, distinct)).encode())
-    scored = cut(words.mapInArrow(_score_words(path, counts, ends, name), "word binary, n long, s double"))
-    top = scored.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+    scored = cut(words.mapInArrow(_score_words(path, counts, ends, sums.n + ends, sums.v, name), "word binary, n long, key binary, s double"))
+    top = scored.filter(F.col("n") >= least_count(words, HOT, HOT_BYTES)).toArrow()
     hot = spark.sparkContext.broadcast((top["word"].to_pylist(), top["n"].to_numpy(), top["s"].to_numpy()))
-    end_score = Lattice(pieces_of(path), counts, ends).end
+    # the end is a token of its own count; among pieces only, its share is that of the lattice
+    end_score = math.log10(ends / (sums.n + ends)) if sums.v else Lattice(pieces_of(path), counts, ends).end
     rows = own.mapInArrow(_score_texts(hot, name, bottom, ends, end_score), "doc_id long, h long, word binary, n long, copies long, n_tokens long, n_known long, base double, score double")
-    met = rows.join(scored.select("word", F.col("n").alias("c"), "s"), "word", "left")
+    met = rows.join(scored.select(F.col("key").alias("word"), F.col("n").alias("c"), "s"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     texts = met.groupBy("doc_id", "h").agg(
         F.sum("copies").alias("copies"),
