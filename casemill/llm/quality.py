@@ -1,40 +1,48 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Random indexing: each document has a sparse random vector (a few +1 and -1), and a word bucket's context vector is the
-sum over all documents that hold it - counted over the whole corpus. To the context vector, scaled to length one, comes
-the bucket's own random vector. A document's features are the mean vectors of its word buckets and shares of word shapes
-(upper case, attached symbols, repeated words, ...). A two-layer network in numpy learns quality from them, on at most
-SAMPLE labelled training rows (the smallest hashes); a temperature, fitted on a fifth of that sample, calibrates its
-probabilities.
+Random indexing: each document and each word has a sparse random vector (a few +1 and -1, worked out from its hash). A
+word's vector is its own random vector and, if the word is in enough documents, its context vector scaled to length one:
+the sum of the random vectors of all documents that hold it. Which words have a context is decided by the number of
+their documents, counted over the whole corpus: LEAST_DOCS at least, and so many that VOCABULARY words at most have one.
+A document's features are the mean vectors of its words and shares of word shapes (upper case, attached symbols,
+repeated words, ...). A two-layer network in numpy learns quality from them, on at most SAMPLE labelled training rows
+(the smallest hashes); a temperature, fitted on a fifth of that sample, calibrates its probabilities.
+
+Long texts are taken apart in parts of PART bytes, cut between words, to bound memory; the distinct words of a text are
+then put together over its parts, so that features don't depend on PART.
 
 Odd input: a null text is empty and is scored like an empty one. A null id belongs to fold crc32('') and has no label.
-A text
-of over PART bytes counts its distinct words part by part. Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of one class only, or
-none, the score is that class's share (0.5 without any). Repeated rows give repeated rows; an empty table gives an empty
-result.
+Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of one class only, or
+none, the score is that class's share (0.5 without any). Equal scores give equal predictions. Repeated rows give repeated
+rows; an empty table gives an empty result; other columns are not read (accepted keeps them).
 """
 
 from __future__ import annotations
 
-import zlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casemill.llm.lattice import fold
+from casemill.llm.lattice import fold, least_count
 from casemill.plans.lineage import cut
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 #: Labelled rows that the network is fitted on at most.
 SAMPLE = 20_000
-BUCKETS, DIM, NONZERO = 8_192, 48, 4
-HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 3e-3, 1e-4
-#: Bytes of text that are taken apart at once; a longer text is taken in parts, cut at white space.
-PART = 100_000
+DIM, NONZERO = 48, 4
+#: Words with a context vector: their documents at least, and their number at most.
+LEAST_DOCS, VOCABULARY = 5, 131_072
+#: Distinct words of texts that a task holds before it adds them up.
+GATHERED = 2_000_000
+HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 3e-3, 3e-3
+#: Bytes of text, and texts, that are taken apart at once. Longer words are taken apart one by one.
+PART, TEXTS = 100_000, (1 << 17) - 1
 SHAPES = ("upper", "title", "digit", "symbol_run", "bare_symbol", "mark", "long", "non_ascii", "plain", "repeat")
 _BLANK, _LOWER, _UPPER, _DIGIT, _MARK, _HIGH = range(6)
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -44,13 +52,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def random_vectors(n: int, seed: int) -> np.ndarray:
-    """n vectors of DIM with NONZERO entries of +1 or -1."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((n, DIM), np.float32)
-    at = np.argsort(rng.random((n, DIM)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, at, rng.choice([-1.0, 1.0], (n, NONZERO)).astype(np.float32), axis=1)
-    return out
+def index_entries(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The NONZERO places and signs of the random vectors of hashes; each place is in its own part of the vector."""
+    part = DIM // NONZERO
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    bits = (h[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(16))) & np.uint64(0xFFFF)
+    return (bits >> np.uint64(1)).astype(np.int64) % part + np.arange(NONZERO) * part, 1.0 - 2.0 * (bits & np.uint64(1)).astype(np.float64)
 
 
 def _powers(step: np.uint64, n: int) -> np.ndarray:
@@ -69,8 +76,15 @@ def _hashes(core: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _shapes(lower, upper, digit, mark, high, size, first_upper) -> list:
+    """Of words with so many bytes of each class (size: but for marks), all SHAPES but the last."""
+    all_upper = (upper > 0) & (lower == 0) & (size > 1)
+    out = [all_upper, first_upper & ~all_upper, digit > 0, (mark > 1) & (size > 0), size == 0, (mark == 1) & (size > 0), size > 18, high > 0]
+    return [*out, ~np.logical_or.reduce(out)]
+
+
 class Parts:
-    """The words of a batch of texts: for each text its words and the means of their shapes, and its distinct words."""
+    """The words of a batch of texts: for each text the number of its words and the sums of their shapes, and its distinct words."""
 
     def __init__(self, texts: list[bytes]):
         n = len(texts)
@@ -83,106 +97,180 @@ class Parts:
         text = np.searchsorted(of_text, start, side="right")
         count = lambda k: (c := np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]))[end] - c[start]
         lower, upper, digit, mark, high = (count(k) for k in (_LOWER, _UPPER, _DIGIT, _MARK, _HIGH))
-        size = end - start - mark  # bytes but for marks
-        shapes = np.zeros((len(SHAPES) - 1, len(start)), bool)
-        shapes[0] = (upper > 0) & (lower == 0) & (size > 1)
-        shapes[1] = (kind[start] == _UPPER) & ~shapes[0] if len(start) else False
-        shapes[2] = digit > 0
-        shapes[3] = (mark > 1) & (size > 0)
-        shapes[4] = size == 0
-        shapes[5] = (mark == 1) & (size > 0)
-        shapes[6] = size > 18
-        shapes[7] = high > 0
-        shapes[8] = ~shapes[:8].any(axis=0)
+        shapes = _shapes(lower, upper, digit, mark, high, end - start - mark, kind[start] == _UPPER)
         # words without their marks and in lower case
         keep = (kind != _MARK) & word
         at = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
         core = data[keep] | np.where(kind[keep] == _UPPER, 0x20, 0).astype(np.uint8)
         h = _hashes(core, at[start], at[end])
         self.words = np.bincount(text, minlength=n).astype(np.int64)
-        key, counts = np.unique((text.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)), return_counts=True)
-        self.text, self.counts = (key >> np.uint64(40)).astype(np.int64), counts
-        self.bucket = ((key >> np.uint64(20)) & np.uint64((1 << 20) - 1)).astype(np.int64) % BUCKETS
-        self.shapes = np.zeros((n, len(SHAPES)))
-        per = np.maximum(self.words, 1)
-        for i in range(len(SHAPES) - 1):
-            self.shapes[:, i] = np.bincount(text, weights=shapes[i], minlength=n) / per
-        self.distinct = np.bincount(self.text, minlength=n)
+        # a text's number takes 17 bits, a word's hash the other 47
+        key, self.counts = np.unique((text.astype(np.uint64) << np.uint64(47)) | (h >> np.uint64(17)), return_counts=True)
+        self.text, self.hash = (key >> np.uint64(47)).astype(np.int64), key & np.uint64((1 << 47) - 1)
+        self.shapes = np.stack([np.bincount(text, weights=s, minlength=n) for s in shapes], axis=1)
+
+
+class OneText:
+    """The same of a single text, put together from its parts and long words."""
+
+    def __init__(self, data: bytes):
+        self.words, self.shapes = np.zeros(1, np.int64), np.zeros((1, len(SHAPES) - 1))
+        found, counts = [], []
+        for piece, long_word in _cut_text(data):
+            if long_word:
+                c = np.bincount(_CLASS[np.frombuffer(piece, np.uint8)], minlength=6)
+                shapes = _shapes(c[_LOWER], c[_UPPER], c[_DIGIT], c[_MARK], c[_HIGH], len(piece) - c[_MARK], _CLASS[piece[0]] == _UPPER)
+                plain = np.frombuffer(piece, np.uint8)
+                own = np.array([xxhash.xxh64_intdigest(plain[_CLASS[plain] != _MARK].tobytes().lower()) >> 17], np.uint64), np.ones(1, np.int64)
+                self.words += 1
+                self.shapes += np.array(shapes, float)
+            else:
+                p = Parts([piece])
+                own = p.hash, p.counts
+                self.words += p.words
+                self.shapes += p.shapes
+            found.append(own[0])
+            counts.append(own[1])
+        self.hash, back = np.unique(np.concatenate(found), return_inverse=True)
+        self.counts = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+        self.text = np.zeros(len(self.hash), np.int64)
+
+
+_WORD_END, _BLANKS = re.compile(rb"[\x20\x09-\x0d]"), b" \t\n\x0b\x0c\r"
 
 
 def _cut_text(data: bytes):
-    while len(data) > PART:
-        at = max(data.rfind(b" ", 0, PART), data.rfind(b"\n", 0, PART)) + 1 or PART
-        yield data[:at]
-        data = data[at:]
-    yield data
+    """(stretch, whether it is a single word of over PART bytes): cut between words only."""
+    at = 0
+    while at < len(data):
+        end = at + PART
+        if end < len(data):
+            blank = max(data.rfind(b, at, end + 1) for b in (_BLANKS[i : i + 1] for i in range(6)))
+            if blank < 0:  # a word as long as that
+                m = _WORD_END.search(data, end)
+                end = m.start() if m else len(data)
+                yield data[at:end], True
+                at = end
+                continue
+            end = blank + 1
+        yield data[at:end], False
+        at = end
 
 
 def parts_of(texts: list[str | None]):
-    """(numbers of the texts, Parts) for groups of about PART bytes; a long text occurs in several."""
+    """(numbers of the texts, Parts or OneText) for groups of about PART bytes; no text occurs in two of them."""
     group, of, size = [], [], 0
     for i, t in enumerate(texts):
-        for piece in _cut_text((t or "").encode()):
-            group.append(piece)
-            of.append(i)
-            size += len(piece)
-            if size > PART:
-                yield np.array(of), Parts(group)
-                group, of, size = [], [], 0
+        data = (t or "").encode()
+        if len(data) > PART:
+            yield np.array([i]), OneText(data)
+            continue
+        if group and (size + len(data) > PART or len(group) == TEXTS):
+            yield np.array(of), Parts(group)
+            group, of, size = [], [], 0
+        group.append(data)
+        of.append(i)
+        size += len(data)
     if group:
         yield np.array(of), Parts(group)
 
 
-def _contexts(batches):
-    """Sums, for each bucket, of the random vectors of the documents that hold its words."""
-    total = np.zeros(BUCKETS * DIM)
-    bank = random_vectors(4_096, 11)
-    where = np.argsort(bank == 0, axis=1, kind="stable")[:, :NONZERO]
-    sign = np.take_along_axis(bank, where, axis=1)
-    any_row = False
+def _documents(batches):
+    """(h, n): for word hashes, in how many of the texts they are."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush():
+        h, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        own = np.fromiter((zlib.crc32((t or "").encode()) % len(bank) for t in texts), np.int64, len(texts))
-        for of, p in parts_of(texts):
-            d = own[of[p.text]]
-            any_row |= bool(len(d))
-            for j in range(NONZERO):
-                total += np.bincount(p.bucket * DIM + where[d, j], weights=sign[d, j], minlength=len(total))
-    if any_row:
-        sums = total.astype(np.int64).reshape(BUCKETS, DIM)
+        for _, p in parts_of(batch.column(0).to_pylist()):
+            held.append(p.hash)
+            size += len(p.hash)
+            if size > GATHERED:
+                size = 0
+                yield flush()
+    yield flush()
+
+
+def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are among the known ones (sorted), and where."""
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+    return hit, at[hit]
+
+
+def _contexts(known):
+    """Sums, for each known word, of the random vectors of the documents that hold it."""
+
+    def run(batches):
+        total = np.zeros(len(known.value) * DIM)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            place, sign = index_entries(np.fromiter((xxhash.xxh64_intdigest((t or "").encode()) for t in texts), np.uint64, len(texts)))
+            for of, p in parts_of(texts):
+                hit, at = _places(known.value, p.hash)
+                d = of[p.text[hit]]
+                for j in range(NONZERO):
+                    np.add.at(total, at * DIM + place[d, j], sign[d, j])
+        sums = total.astype(np.int32).reshape(-1, DIM)
         used = np.flatnonzero((sums != 0).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(DIM))], ["b", *(f"v{i}" for i in range(DIM))])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(DIM))], ["w", *(f"v{i}" for i in range(DIM))])
+
+    return run
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The vectors of all buckets: BUCKETS x DIM."""
-    schema = T.StructType([T.StructField("b", T.LongType()), *(T.StructField(f"v{i}", T.LongType()) for i in range(DIM))])
-    sums = docs.select(F.col(text_col)).mapInArrow(_contexts, schema).groupBy("b").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)]).toArrow()
-    context = np.zeros((BUCKETS, DIM), np.float32)
-    if sums.num_rows:
-        context[sums["b"].to_numpy()] = np.stack([sums[f"v{i}"].to_numpy() for i in range(DIM)], axis=1)
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    return (context / np.maximum(length, 1) + random_vectors(BUCKETS, 12) / NONZERO**0.5).astype(np.float32)
+class Vectors:
+    """Context vectors of the words that have one: sorted hashes and a row of DIM for each."""
+
+    def __init__(self, known: np.ndarray, context: np.ndarray):
+        self.known, self.context = known, context
+
+    def pooled(self, p, n: int) -> np.ndarray:
+        """Sums of the vectors of the words of n texts."""
+        place, sign = index_entries(p.hash)
+        w = (p.counts[:, None] * sign / NONZERO**0.5).ravel()
+        out = np.bincount((p.text[:, None] * DIM + place).ravel(), weights=w, minlength=n * DIM).reshape(n, DIM)
+        hit, at = _places(self.known, p.hash)
+        if len(at):
+            v, text = self.context[at] * p.counts[hit, None].astype(np.float32), p.text[hit]
+            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+            out[text[first]] += np.add.reduceat(v, first, axis=0)
+        return out
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
+    """The vectors of all words in enough documents: VOCABULARY rows at most."""
+    texts = docs.select(F.col(text_col))
+    counts = cut(texts.mapInArrow(_documents, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS))
+    chosen = counts.filter(F.col("n") >= least_count(counts, VOCABULARY)).select("h").toArrow()
+    known = np.sort(chosen["h"].to_numpy().view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most VOCABULARY numbers
+    schema = T.StructType([T.StructField("w", T.LongType()), *(T.StructField(f"v{i}", T.IntegerType()) for i in range(DIM))])
+    sums = texts.mapInArrow(_contexts(sent), schema).groupBy("w").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)])
+    context = np.zeros((len(known), DIM), np.float32)
+    for batch in sums.toArrow().to_batches():
+        context[batch["w"].to_numpy()] = np.stack([batch[f"v{i}"].to_numpy() for i in range(DIM)], axis=1)
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1)
+    return Vectors(known, context)
 
 
 WIDTH = DIM + len(SHAPES) + 2
 
 
-def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+def features(texts: list[str | None], vectors: Vectors) -> np.ndarray:
     """A row for each text: mean word vector, shares of shapes and repetition, length, emptiness."""
     n = len(texts)
-    pooled, shapes, words, distinct = np.zeros((n, DIM)), np.zeros((n, len(SHAPES))), np.zeros(n), np.zeros(n)
+    pooled, shapes, words = np.zeros((n, DIM)), np.zeros((n, len(SHAPES))), np.zeros(n)
     for of, p in parts_of(texts):
-        v = vectors[p.bucket] * p.counts[:, None].astype(vectors.dtype)
-        first = np.flatnonzero(np.r_[True, p.text[1:] != p.text[:-1]]) if len(p.text) else np.zeros(0, np.int64)
-        if len(first):
-            np.add.at(pooled, of[p.text[first]], np.add.reduceat(v, first, axis=0))
-        np.add.at(shapes, of, p.shapes * p.words[:, None])
-        np.add.at(words, of, p.words)
-        np.add.at(distinct, of, p.distinct)
-    per = np.maximum(words, 1)
-    shapes[:, -1] = np.where(words > 0, per - distinct, 0)
-    return np.concatenate([pooled / per[:, None], shapes / per[:, None], np.minimum(1, words / 1000)[:, None], (words == 0)[:, None]], axis=1)
+        pooled[of] = vectors.pooled(p, len(of))
+        words[of] = p.words
+        shapes[of, :-1] = p.shapes
+        shapes[of, -1] = p.words - np.bincount(p.text, minlength=len(of))
+    per = np.maximum(words, 1)[:, None]
+    return np.concatenate([pooled / per, shapes / per, np.minimum(1, words / 1000)[:, None], (words == 0)[:, None]], axis=1)
 
 
 class Network:
