@@ -1,8 +1,10 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
-Labels say only whether a text is toxic, so grades are derived: a lexicon of words with a high log-odds ratio between
-toxic and other labelled texts is counted over all training labels; a toxic training text is of grade 1, 2 or 3 by the
-number of its words that are in the lexicon, cut at the terciles of the toxic ones (other texts: grade 0).
+Labels say only whether a text is toxic, so grades are derived. A lexicon of words with a high log-odds ratio between
+toxic and other labelled texts is counted over all training labels. A toxic training text's grade is 1, 2 or 3 by its
+weight, cut at the terciles of the toxic ones (other texts: grade 0). The weight is cross-fitted: the sum, over the text's
+words, of the log-odds that the other half of the training labels (by hash of the id) gives to the word's entry, so a
+text's own label is not in its weight, and weights are not the counts that the features hold.
 P(grade <= k) = logistic(cut_k - w.x): one weight vector, ordered cuts. Features are sparse: 1 + log of the
 counts of the lexicon's entries, which are words and beginnings of words; they are counted under 64-bit hashes, and
 only those that pass the tests are looked up in the toxic texts. The severity is the expected grade. The regression is fitted on at most SAMPLE
@@ -33,6 +35,8 @@ from casemill.plans.lineage import cut, small_or_not
 FOLDS, HELD_OUT = 5, 0
 #: The z-score of the log-odds ratio and the toxic texts that a lexicon entry needs; every entry that has them is kept.
 LEAST_Z, LEAST_TEXTS = 3.0, 5
+#: And the log-odds ratio: such an entry is about twelve times as frequent in toxic texts.
+LEAST_ODDS = 2.5
 #: Labels that are broadcast at most (12 bytes each); more meet the texts in a shuffled join.
 BROADCAST_LABELS = 1_000_000
 #: Labelled rows that the regression is fitted on at most.
@@ -80,24 +84,25 @@ def hashes_of(text: str | None) -> set[int]:
 
 
 def _count(batches):
-    """(hash, texts, toxic texts) of the entries of (text, y) rows."""
-    every: Counter = Counter()
-    toxic: Counter = Counter()
+    """Of the entries of (text, y, half) rows: hash, texts and toxic texts of all rows (n, t) and of half 1 (n1, t1)."""
+    all_of, names = Counter(), ("n", "t", "n1", "t1")
+    toxic, second, toxic_second = Counter(), Counter(), Counter()
+    counts = (all_of, toxic, second, toxic_second)
 
     def flush():
-        keys = list(every)
-        out = pa.RecordBatch.from_pydict({"h": pa.array(keys, pa.int64()), "n": pa.array([every[h] for h in keys], pa.int64()), "t": pa.array([toxic[h] for h in keys], pa.int64())})
-        every.clear()
-        toxic.clear()
+        keys = list(all_of)
+        out = pa.RecordBatch.from_pydict({"h": pa.array(keys, pa.int64()), **{k: pa.array([c[h] for h in keys], pa.int64()) for k, c in zip(names, counts, strict=True)}})
+        for c in counts:
+            c.clear()
         return out
 
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = hashes_of(text)
-            every.update(own)
-            if y:
-                toxic.update(own)
-            if len(every) > GATHERED:
+            for c, counts_it in zip(counts, (True, y, half, y and half), strict=True):
+                if counts_it:
+                    c.update(own)
+            if len(all_of) > GATHERED:
                 yield flush()
     yield flush()
 
@@ -129,25 +134,31 @@ class Ordinal:
         # cuts are a first one and positive gaps, so that they stay ordered
         p = [np.zeros(len(lexicon)), np.array([2.0]), np.ones(k - 1)]
         m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
         for step in range(1, STEPS + 1 if n else 1):
-            cuts = self._cuts(p)
-            score = np.bincount(at, weights=val * p[0][col], minlength=n)
-            upper = np.where(grades < k, sig(cuts[np.minimum(grades, k - 1)] - score), 1.0)
-            lower = np.where(grades > 0, sig(cuts[np.maximum(grades - 1, 0)] - score), 0.0)
-            prob = np.maximum(upper - lower, 1e-9)
-            up, down = upper * (1 - upper) / prob, lower * (1 - lower) / prob
-            d_score = (up - down) / n  # of the loss, by the score
-            d_cut = np.bincount(np.minimum(grades, k - 1), weights=np.where(grades < k, -up, 0) / n, minlength=k)
-            d_cut += np.bincount(np.maximum(grades - 1, 0), weights=np.where(grades > 0, down, 0) / n, minlength=k)
-            tail = np.cumsum(d_cut[::-1])[::-1]
-            g = [np.bincount(col, weights=val * d_score[at], minlength=len(lexicon)) + DECAY * p[0] / 10, tail[:1], tail[1:] * np.exp(p[2])]
+            _, g = self.loss(p, at, col, val, grades)
             for i in range(3):
                 m[i] = 0.9 * m[i] + 0.1 * g[i]
                 v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
                 p[i] = p[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
         self.weights, self.cuts = p[0], self._cuts(p)
 
+    @classmethod
+    def loss(cls, p, at, col, val, grades) -> tuple[float, list[np.ndarray]]:
+        """The mean negative log-likelihood with its penalty, and its gradient by weights, first cut and logs of the gaps."""
+        n, k, cuts = len(grades), GRADES - 1, cls._cuts(p)
+        sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+        score = np.bincount(at, weights=val * p[0][col], minlength=n)
+        upper = np.where(grades < k, sig(cuts[np.minimum(grades, k - 1)] - score), 1.0)
+        lower = np.where(grades > 0, sig(cuts[np.maximum(grades - 1, 0)] - score), 0.0)
+        prob = np.maximum(upper - lower, 1e-9)
+        up, down = upper * (1 - upper) / prob, lower * (1 - lower) / prob
+        d_score = (up - down) / n  # of the loss, by the score
+        d_cut = np.bincount(np.minimum(grades, k - 1), weights=np.where(grades < k, -up, 0) / n, minlength=k)
+        d_cut += np.bincount(np.maximum(grades - 1, 0), weights=np.where(grades > 0, down, 0) / n, minlength=k)
+        tail = np.cumsum(d_cut[::-1])[::-1]
+        penalty = DECAY / 20 * (p[0] ** 2).sum()
+        return float(-np.log(prob).mean() + penalty), [np.bincount(col, weights=val * d_score[at], minlength=len(p[0])) + DECAY * p[0] / 10, tail[:1], tail[1:] * np.exp(p[2])]
+
     @staticmethod
     def _cuts(p) -> np.ndarray:
         return np.cumsum(np.concatenate([p[1], np.exp(p[2])]))
@@ -171,11 +182,23 @@ def hits_in(lexicon: dict[str, int]) -> Kept:
     return Kept(make)
 
 
-def sparse(text: str | None, hits: Kept) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lexicon entries of a text, their values, and how many of its words are in the lexicon or begin so."""
+def sparse(text: str | None, hits: Kept) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
+    """Lexicon entries of a text, their values, and the entries of each of its words that have some."""
     found = [h for h in map(hits.__getitem__, (text or "").lower().split()) if h]
     own = Counter(i for h in found for i in h)
-    return np.fromiter(own, np.int64, len(own)), 1 + np.log(np.fromiter(own.values(), float, len(own))), len(found)
+    return np.fromiter(own, np.int64, len(own)), 1 + np.log(np.fromiter(own.values(), float, len(own))), found
+
+
+def weight_of(found: list[tuple[int, ...]], odds: np.ndarray) -> float:
+    """The sum of the highest log-odds of each word's entries."""
+    return float(sum(max(odds[i] for i in h) for h in found))
+
+
+def log_odds(t, n, toxic: int, every: int):
+    """(log-odds ratio, variance) of an entry in t of the toxic texts and in n of all; columns or numbers."""
+    a, b = t + 0.5, n - t + 0.5
+    log = F.log if not isinstance(t, (int, float)) else math.log
+    return log(a / (toxic - t + 0.5)) - log(b / (every - toxic - (n - t) + 0.5)), 1 / a + 1 / b
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
@@ -184,21 +207,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     y = y.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.max("y").alias("y"))
     y = cut(y)
-    learned = own.join(small_or_not(y, BROADCAST_LABELS), "doc_id")
-    counts = learned.select("text", "y").mapInArrow(_count, "h long, n long, t long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    size = learned.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
+    half = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int")
+    learned = own.join(small_or_not(y, BROADCAST_LABELS), "doc_id").withColumn("half", half)
+    names = ("n", "t", "n1", "t1")
+    counts = learned.select("text", "y", "half").mapInArrow(_count, "h long, n long, t long, n1 long, t1 long").groupBy("h").agg(*[F.sum(c).alias(c) for c in names])
+    size = learned.agg(F.count("*").alias("n"), F.sum("y").alias("t"), F.sum("half").alias("n1"), F.sum(F.col("y") * F.col("half")).alias("t1")).first()
     if not size.t:
         return None
-    a, b = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
-    odds = F.log(a / (size.t - F.col("t") + 0.5)) - F.log(b / (size.n - size.t - (F.col("n") - F.col("t")) + 0.5))
-    z = odds / F.sqrt(1 / a + 1 / b)
+    c = {k: F.col(k) for k in names}
+    odds, variance = log_odds(c["t"], c["n"], size.t, size.n)
+    halves = [log_odds(c["t"] - c["t1"], c["n"] - c["n1"], size.t - size.t1, size.n - size.n1)[0], log_odds(c["t1"], c["n1"], size.t1, size.n1)[0]]
     # both parts: enough evidence, and words that are rare in other texts
-    chosen = counts.filter(F.col("t") >= LEAST_TEXTS).select("h", z.alias("z"), odds.alias("odds")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= 2.5)).select("h", "z").toArrow()
+    tested = counts.filter(F.col("t") >= LEAST_TEXTS).select("h", (odds / F.sqrt(variance)).alias("z"), odds.alias("odds"), *[F.greatest(o, F.lit(0.0)).alias(f"odds{i}") for i, o in enumerate(halves)])
+    chosen = tested.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).toArrow()
     z_of = dict(zip(chosen["h"].to_pylist(), chosen["z"].to_pylist(), strict=True))
+    half_of = dict(zip(chosen["h"].to_pylist(), zip(chosen["odds0"].to_pylist(), chosen["odds1"].to_pylist(), strict=True), strict=True))
     # each of them is in some toxic text
     spelled = learned.filter("y = 1").select("text").mapInArrow(_written(set(z_of)), "h long, word string").distinct().toArrow()
     ranked = sorted(zip(spelled["word"].to_pylist(), spelled["h"].to_pylist(), strict=True), key=lambda e: (-z_of[e[1]], e[0]))
     lexicon = {w: i for i, (w, _) in enumerate(ranked)}
+    odds_of = np.array([half_of[h] for _, h in ranked], float).reshape(-1, 2)
     # both labels are drawn by themselves, of ids that have a text, so that rare toxic ones are in the sample
     known = cut(learned.groupBy("doc_id").agg(F.max("y").alias("y")))
     share = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -210,17 +238,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         hits = hits_in(lexicon)
         for batch in batches:
             found = [sparse(t, hits) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"y": batch.column(1), "i": pa.array([f[0] for f in found], pa.list_(pa.int64())), "v": pa.array([f[1] for f in found], pa.list_(pa.float64())), "hits": pa.array([f[2] for f in found], pa.int64())})
+            weight = [weight_of(f[2], odds_of[:, 1 - h]) for f, h in zip(found, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"y": batch.column(1), "i": pa.array([f[0] for f in found], pa.list_(pa.int64())), "v": pa.array([f[1] for f in found], pa.list_(pa.float64())), "weight": pa.array(weight, pa.float64())})
 
     few = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))  # at most SAMPLE rows
-    table = few.orderBy("doc_id").select("text", "y").mapInArrow(rows, "y int, i array<long>, v array<double>, hits long").toArrow()
-    toxic, hits = table["y"].to_numpy() > 0, table["hits"].to_numpy()
+    table = few.orderBy("doc_id").select("text", "y", half).mapInArrow(rows, "y int, i array<long>, v array<double>, weight double").toArrow()
+    toxic, weight = table["y"].to_numpy() > 0, table["weight"].to_numpy()
     if not toxic.any():
         return None
     drawn = sample.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     odds = 1.0 if drawn.n == sum(share.values()) or drawn.t == drawn.n else share[1] / share[0] * (drawn.n - drawn.t) / drawn.t
-    cuts = np.quantile(hits[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, hits, side="left"), 0).astype(np.int64)
+    cuts = np.quantile(weight[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, weight, side="left"), 0).astype(np.int64)
     return Ordinal(lexicon, [(np.array(i, np.int64), np.array(v)) for i, v in zip(table["i"].to_pylist(), table["v"].to_pylist(), strict=True)], grades, odds)
 
 

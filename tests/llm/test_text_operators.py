@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -303,11 +304,20 @@ def slow_scores(rows):
     counts = np.zeros(len(p.bytes_of))
     p.count(list(c), list(c.values()), counts)
     model = lattice.Lattice(p, counts, len(learned))
+    seen = len(c)
+
+    def probability(w):  # the count of the whole word less the discount, and the lattice with what the discounts leave
+        return max(c[w] - 0.75, 0) / n + 0.75 * seen / n * 10 ** model.score(w) if seen else 10 ** model.score(w)
+
+    def scored(w):
+        return math.log10(probability(w)) if probability(w) > 0 else model.score(w) + math.log10(0.75 * seen / n)  # too small for a double
+
+    end = math.log10(len(learned) / n) if seen else model.end
     log = lambda k: math.log10((k + 1) / (n + v + 1))
     out = []
     for i, t in rows:
         own = words(t)
-        out.append((i, held(i, 7) == 2, len(own) + 1, sum(c[w] > 0 for w in own) + (len(learned) > 0), n, math.fsum([log(c[w]) for w in own] + [log(len(learned))]), math.fsum([model.score(w) for w in own] + [model.end])))
+        out.append((i, held(i, 7) == 2, len(own) + 1, sum(c[w] > 0 for w in own) + (len(learned) > 0), n, math.fsum([log(c[w]) for w in own] + [log(len(learned))]), math.fsum([scored(w) for w in own] + [end])))
     return out
 
 
@@ -333,6 +343,29 @@ def test_lattice_on_odd_input(spark):
     assert got and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
 
 
+def test_whole_words_make_held_out_texts_likelier(spark):
+    got = [r for r in lattice.op3_lattice_likelihood(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
+    c = Counter(w for i, t in docs.items() if held(i, 7) != 2 for w in words(t))
+    counts = np.zeros(len(p.bytes_of))
+    p.count(list(c), list(c.values()), counts)
+    model = lattice.Lattice(p, counts, sum(held(i, 7) != 2 for i in docs))
+    known = {w: model.score(w) for w in {w for r in got for w in words(docs[r.doc_id])}}
+    pieces_only = sum(known[w] for r in got for w in words(docs[r.doc_id])) + len(got) * model.end
+    assert sum(r.score for r in got) > 0.95 * pieces_only  # logarithms: higher is likelier
+
+
+def test_the_broadcast_words_are_those_above_a_count(spark):
+    counts = spark.createDataFrame([(b"w%d" % i, 1000 // (i + 1)) for i in range(500)], "word binary, n long")
+    for most in (1, 10, 100, 499):
+        least = lattice.least_count(counts, most)
+        kept = counts.filter(F.col("n") >= least).count()
+        assert most / 3 - 1 <= kept <= most
+    assert counts.filter(F.col("n") >= lattice.least_count(counts, 500, 20)).count() <= 10
+    assert lattice.least_count(counts.limit(0), 5) > 1e15
+
+
 def test_forward_recursion_sums_all_segmentations():
     p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
     m = lattice.Lattice(p, np.zeros(len(p.bytes_of)), 1)
@@ -357,6 +390,85 @@ def test_op5_on_held_out_labels(spark):
     assert np.mean(right) > 0.9
 
 
+def slow_shapes(w):
+    lower, upper, digit = (sum(c in k for c in w) for k in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
+    high = sum(c >= 128 for c in w)
+    mark = len(w) - lower - upper - digit - high
+    size = len(w) - mark
+    caps = upper > 0 and lower == 0 and size > 1
+    out = [caps, 65 <= w[0] <= 90 and not caps, digit > 0, mark > 1 and size > 0, size == 0, mark == 1 and size > 0, size > 18, high > 0]
+    return [*out, not any(out)]
+
+
+def core(w):
+    return bytes(c for c in w if c >= 128 or chr(c).isalnum()).lower()
+
+
+def one_hash(w):
+    c = np.frombuffer(core(w), np.uint8)
+    return int(quality._hashes(c, np.array([0]), np.array([len(c)]))[0] >> np.uint64(17))
+
+
+def dense(h):
+    place, sign = quality.index_entries(np.array([h], np.uint64))
+    v = np.zeros(quality.DIM)
+    v[place[0]] = sign[0]
+    return v
+
+
+def slow_features(texts, least):
+    own = [(t or "").encode().split() for t in texts]
+    hash_of = {w: one_hash(w) for ws in own for w in ws}
+    df = Counter(h for ws in own for h in {hash_of[w] for w in ws})
+    context = {h: np.zeros(quality.DIM) for h, n in df.items() if n >= least}
+    for t, ws in zip(texts, own, strict=True):
+        v = dense(xxhash.xxh64_intdigest((t or "").encode()))
+        for h in {hash_of[w] for w in ws} & set(context):
+            context[h] += v
+    context = {h: v / max(np.linalg.norm(v), 1) for h, v in context.items()}
+    vector = {h: dense(h) / quality.NONZERO**0.5 + context.get(h, 0) for h in df}
+    rows = []
+    for ws in own:
+        n = max(len(ws), 1)
+        pooled = sum((vector[hash_of[w]] for w in ws), np.zeros(quality.DIM)) / n
+        shapes = [sum(s) / n for s in zip(*map(slow_shapes, ws), strict=True)] if ws else [0.0] * 9
+        rows.append([*pooled, *shapes, (len(ws) - len({hash_of[w] for w in ws})) / n, min(1, len(ws) / 1000), float(not ws)])
+    return np.array(rows)
+
+
+def test_features_equal_brute_force(spark):
+    own = [*texts().values()][:60] + ODD
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "doc_id long, text string").repartition(3)
+    v = quality.word_vectors(docs)
+    assert len(v.known) > 100
+    assert np.allclose(quality.features(own, v), slow_features(own, quality.LEAST_DOCS), atol=1e-5)
+
+
+def test_features_do_not_depend_on_parts(spark, monkeypatch):
+    r = random.Random(8)
+    listed = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(8_000))
+    own = [listed + " " + listed, listed.replace(" ", "") + " end", "A\tfew words\x0bHere 12 " * 3_000, "short one"]
+    v = quality.word_vectors(spark.createDataFrame([(i, t) for i, t in enumerate(own * 5)], "doc_id long, text string"))
+    assert len(own[0]) > 140_000 and len(own[1]) < 100_000
+    seen = []
+    for part in (500, 20_000, 100_000, 10_000_000):
+        monkeypatch.setattr(quality, "PART", part)
+        seen.append(quality.features(own, v)[[0, 2, 3]])
+    assert all(np.allclose(seen[0], s, atol=1e-5) for s in seen)
+    assert abs(seen[0][0][quality.DIM + 9] - 0.5) < 1e-9  # the share of repeated words
+
+
+def test_the_temperature_is_the_best_of_its_grid():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 4))
+    y = (x[:, 0] + r.normal(size=600) > 0).astype(float)
+    n = quality.Network(x, y)
+    check = np.random.default_rng(7).permutation(600)[:120]
+    loss = lambda t: np.mean([math.log(1 + math.exp(-z / t if u else z / t)) for z, u in zip(n.logits(x[check]), y[check], strict=True)])
+    assert all(loss(n.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.5, 8, 60))
+    assert ((n.scores(x) > 0.5) == (y > 0)).mean() > 0.7
+
+
 def test_op4_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in toxicity.op4_ordinal_toxicity(spark, sf).collect()}
@@ -367,6 +479,78 @@ def test_op4_on_held_out_labels(spark):
     assert np.mean([got[i].toxic for i, t in y.items() if t == 0]) < 0.03
 
 
+def slow_entries(raw):
+    w = raw.strip(toxicity._TRIM)
+    return {w, *(w[:k] + "*" for k in range(3, 8) if len(w) >= k)} if w else set()
+
+
+def slow_lexicon(rows):
+    """Entries of (text, toxic) rows that pass the tests."""
+    n, t = Counter(), Counter()
+    for text, y in rows:
+        own = set().union(*map(slow_entries, (text or "").lower().split()))
+        n.update(own)
+        t.update(own if y else ())
+    every, bad = len(rows), sum(y for _, y in rows)
+    out = set()
+    for e in t:
+        a, b, c, d = t[e] + 0.5, n[e] - t[e] + 0.5, bad - t[e] + 0.5, every - bad - n[e] + t[e] + 0.5
+        odds = math.log(a / c) - math.log(b / d)
+        if t[e] >= 5 and odds >= 2.5 and odds / math.sqrt(1 / a + 1 / b) >= 3:
+            out.add(e)
+    return out
+
+
+def test_the_lexicon_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    y = {r.doc_id: r.toxic for r in labels.collect() if held(r.doc_id, 5) != 0}
+    want = slow_lexicon([(r.text, y[r.doc_id]) for r in docs.collect() if r.doc_id in y])
+    assert want and set(toxicity.fit(docs, labels).lexicon) == want
+
+
+def test_the_likelihood_and_its_gradient_equal_brute_force():
+    r = np.random.default_rng(3)
+    rows = [(np.sort(r.choice(5, r.integers(0, 4), replace=False)), None) for _ in range(40)]
+    rows = [(i, 1 + r.random(len(i))) for i, _ in rows]
+    grades = r.integers(0, 4, 40)
+    at = np.concatenate([np.full(len(i), k) for k, (i, _) in enumerate(rows)]).astype(np.int64)
+    col, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+    p = [r.normal(size=5), np.array([0.3]), r.normal(size=2)]
+
+    def slow(p):
+        cuts = [-math.inf, p[1][0], p[1][0] + math.exp(p[2][0]), p[1][0] + math.exp(p[2][0]) + math.exp(p[2][1]), math.inf]
+        below = lambda c, x: 1 / (1 + math.exp(x - c)) if abs(c) < math.inf else float(c > 0)
+        x = [sum(p[0][i] * v for i, v in zip(*row, strict=True)) for row in rows]
+        return -np.mean([math.log(below(cuts[g + 1], s) - below(cuts[g], s)) for g, s in zip(grades, x, strict=True)]) + toxicity.DECAY / 20 * sum(p[0] ** 2)
+
+    loss, gradient = toxicity.Ordinal.loss(p, at, col, val, grades)
+    assert math.isclose(loss, slow(p), rel_tol=1e-9)
+    for k in range(3):
+        for i in range(len(p[k])):
+            up, down = [q.copy() for q in p], [q.copy() for q in p]
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            assert math.isclose(gradient[k][i], (slow(up) - slow(down)) / 2e-5, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_severity_follows_how_bad_the_words_are(spark):
+    """Held-out texts with worse words, which are hardly ever in clean ones, are more severe, whatever their number of words."""
+    r = random.Random(6)
+    bad, worse = [f"mild{c}ish" for c in "abcdef"], [f"vile{c}ity" for c in "abcdef"]
+    rows = []
+    for i in range(3000):
+        kind = i % 4  # 0, 1: clean, some with mild words; 2: toxic and mild; 3: toxic and vile
+        own = [r.choice(worse) for _ in range(3)] if kind == 3 else [r.choice(bad) for _ in range(3)] if kind == 2 or (kind == 1 and r.random() < 0.12) else []
+        rows.append((i, " ".join(r.sample(own + ["plain", "words", "around", "them"], len(own) + 4))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.severity(docs, docs.select("doc_id", (F.col("doc_id") % 4 > 1).cast("int").alias("toxic"))).collect()}
+    mean = lambda k: np.mean([x.severity for i, x in got.items() if x.held_out and i % 4 == k])
+    assert mean(3) > mean(2) + 0.3 > mean(0) + 0.6
+    toxic = [(i % 4, x.severity) for i, x in got.items() if x.held_out and i % 4 > 1]
+    assert np.corrcoef(*zip(*toxic, strict=True))[0, 1] > 0.6
+
+
 def test_long_toxic_words_count_even_if_clean_words_begin_so(spark):
     clean = ["characteristic", "characterful", "characterise"]
     word = lambda i: "characterslime" if i % 4 == 0 else clean[i % 3]
