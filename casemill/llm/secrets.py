@@ -4,6 +4,8 @@ Three base patterns find assignments, access keys and hex runs. A wider pattern
 (a key word before a separator, or the user part of a URL). For each such value dynamic programming finds the cheapest
 way to guess it: every prefix's cost is the least over its last piece - a word (any case, common letter swaps), a date,
 a repeat, a keyboard walk or a brute-force span - and values of at least GUESSES (log10) become spans of kind ``guess``.
+A date is a possible day (or a year) between other characters than digits. A repeat's unit has UNIT characters at most,
+or as many as the wanted log10 of guesses: a longer one costs more than that already, so it can't make a value weak.
 
 The scan works on UTF-8 bytes (letter case is ASCII only) and reports code points.
 
@@ -33,13 +35,15 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(
     rb"""(?:(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z]))|(?<![a-z])(?:db|my|sql|pg|user|admin|root|mail|smtp|ftp|ssh|http|o))(?:pass|auth|bearer)"""
     rb"""|pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)["']?\x20*(?::=|=>|[:=])\x20*["']?([^\s"'<>,;&]{6,})"""
-    rb"""|[a-z][a-z0-9+.-]{1,15}://[^\s:/@"'<>]{1,64}:([^\s/@"'<>]{6,})@""",
+    rb"""|(?<=[a-z0-9+.-])://[^\s:/@"'<>]+:([^\s/@"'<>]{6,})@""",
     re.IGNORECASE,
 )
 #: One of these is in any text that CONTEXT or ASSIGN matches.
 HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"://")
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 8.0
+#: Characters of a repeat's unit.
+UNIT = 8
 REDACTED = "[redacted]"
 
 # Common words of passwords and of texts about them, most common first; the words of VOCABULARY follow.
@@ -70,7 +74,8 @@ def ranks() -> tuple[dict[str, float], int]:
 
 _PLACE = {c: (r, i + r * 0.5) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row)}
 _NEAR = {a: {b for b in _PLACE if b != a and abs(_PLACE[a][0] - _PLACE[b][0]) <= 1 and abs(_PLACE[a][1] - _PLACE[b][1]) <= 1} for a in _PLACE}
-_DATE = re.compile(r"(?:19|20)\d\d|\d{6}|\d{8}|\d{1,2}([-/.])\d{1,2}\1(?:\d\d){1,2}|(?:19|20)\d\d([-/.])\d{1,2}\2\d{1,2}")
+_DATE = re.compile(r"(?<!\d)(?=((\d{4})(?!\d)|(\d{6})(?!\d)|(\d{8})(?!\d)|(\d\d?)([-/.])(\d\d?)\6(\d{4}|\d\d)(?!\d)|(\d{4})([-/.])(\d\d?)\10(\d\d?)(?!\d)))")
+_DAYS = (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 WALK = math.log10(47)  # a walk's first key
 _PIECE = 0.3  # log10 for choosing the kind of one more piece
 
@@ -93,6 +98,32 @@ def _lower(value: str) -> str:
     return value.lower() if len(value.lower()) == len(value) else value
 
 
+def _day(a: str, b: str) -> bool:
+    """Whether two numbers are a day and a month, or a month and a day."""
+    return any(1 <= m <= 12 and 1 <= d <= _DAYS[m - 1] for d, m in ((int(a), int(b)), (int(b), int(a))))
+
+
+def _dates(value: str):
+    """(start, end, log10 guesses) of the dates in a value: years of the last and this century, days with or without marks."""
+    century = lambda y: len(y) == 2 or y[:2] in ("19", "20")
+    for m in _DATE.finditer(value):
+        whole, year, six, eight = m[1], m[2], m[3], m[4]
+        if year:
+            if century(year):
+                yield m.start(), m.start() + 4, 2.1
+            continue
+        if six:
+            ok = _day(six[:2], six[2:4]) or _day(six[2:4], six[4:])
+        elif eight:
+            ok = (century(eight[4:]) and _day(eight[:2], eight[2:4])) or (century(eight[:4]) and _day(eight[4:6], eight[6:]))
+        elif m[5]:
+            ok = century(m[8]) and _day(m[5], m[7])
+        else:
+            ok = century(m[9]) and _day(m[11], m[12])
+        if ok:
+            yield m.start(), m.start() + len(whole), 4.6
+
+
 def _turns(low: str) -> list[int | None]:
     """For each place, the changes of direction up to it of the keyboard walk that it goes on with; None where it begins one."""
     out: list[int | None] = [None] * len(low)
@@ -118,13 +149,10 @@ def _words_and_dates(value: str) -> list[tuple[int, int, float, str]]:
                     case = value[i:j]
                     out.append((i, j, rank[text] + more + (0.0 if case == case.lower() else 0.3 if case[0].isupper() else 0.9), "word"))
                     break
-        for j in range(i + 4, min(n, i + 10) + 1):
-            if _DATE.fullmatch(low, i, j):
-                out.append((i, j, 2.1 if j - i == 4 else 4.6, "date"))
-    return out
+    return out + [(i, j, cost, "date") for i, j, cost in _dates(value)]
 
 
-def pieces(value: str) -> list[tuple[int, int, float, str]]:
+def pieces(value: str, unit: int = UNIT) -> list[tuple[int, int, float, str]]:
     """The pieces other than brute force that can make up parts of a value: start, end, log10 guesses, kind. Walks and
     repeats may end at any place, so a long value can have many; guess_cost doesn't write them out."""
     n, out, brute, turns = len(value), _words_and_dates(value), _brute(value), _turns(_lower(value))
@@ -134,7 +162,7 @@ def pieces(value: str) -> list[tuple[int, int, float, str]]:
             j += 1
             if j - i >= 4:
                 out.append((i, j, WALK + 0.8 * (turns[j - 1] - turns[i + 1]) + math.log10(j - i), "walk"))
-        for period in range(1, 9):
+        for period in range(1, unit + 1):
             times = 2
             while value[i : i + period] == value[i + (times - 1) * period : i + times * period] and i + times * period <= n:
                 if times * period >= 3:
@@ -160,8 +188,8 @@ def _best_start(starts: list[tuple[float, int]], a: float, s: int, j: int) -> fl
     return least
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of a value needs."""
+def guess_cost(value: str, unit: int = UNIT) -> float:
+    """log10 of the guesses that the cheapest segmentation of a value needs; unit: the characters of a repeat's unit at most."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost, _ in _words_and_dates(value):
@@ -169,7 +197,7 @@ def guess_cost(value: str) -> float:
     chars, turns = _brute(value), _turns(_lower(value))
     best, brute = [0.0], [0.0]  # least cost of a prefix; of one that ends in a brute-force span
     walks: list[tuple[float, int]] = []
-    runs = [0] * 9  # for each period, how many places in a row repeat what is a period before
+    runs = [0] * (unit + 1)  # for each period, how many places in a row repeat what is a period before
     repeats: list[dict[int, list[tuple[float, int]]]] = [{} for _ in runs]
     for j in range(1, n + 1):
         costs = [min(brute[j - 1] if j > 1 else math.inf, best[j - 1] + _PIECE) + _char_cost(value[j - 1])]
@@ -179,7 +207,7 @@ def guess_cost(value: str) -> float:
             walks = []
         elif j >= 4 and turns[j - 2] is not None and turns[j - 3] is not None:
             costs.append(_best_start(walks, best[j - 4] - 0.8 * turns[j - 3], j - 4, j) + _PIECE + WALK + 0.8 * turns[j - 1])
-        for p in range(1, min(9, j)):
+        for p in range(1, min(unit + 1, j)):
             if value[j - 1] != value[j - 1 - p]:
                 runs[p], repeats[p] = 0, {}
                 continue
@@ -204,7 +232,7 @@ def scan(text: str | None, least: float = GUESSES) -> tuple[list[tuple[int, int,
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(raw) if len(m[2]) >= 6]
         for m in CONTEXT.finditer(raw):
             g = 1 if m[1] is not None else 2
-            cost = guess_cost(m[g].decode(errors="replace"))
+            cost = guess_cost(m[g].decode(errors="replace"), max(UNIT, int(least)))
             top = cost if top is None else max(top, cost)
             if cost >= least:
                 found.append((m.start(g), m.end(g), "guess"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from datetime import date
 
 import duckdb
 import numpy as np
@@ -231,6 +232,30 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert secrets.guess_cost("") == 0.0 and secrets.guess_cost("é" * 5000) > 0
 
 
+def slow_date(value, i, j):
+    part, digit = value[i:j], lambda k: 0 <= k < len(value) and value[k] in "0123456789"
+    if digit(i - 1) or digit(j) or not part.replace("-", "").replace("/", "").replace(".", "").isdecimal() or not part.isascii():
+        return None
+    if len(part) == 4 and part.isdecimal():
+        return 2.1 if part[:2] in ("19", "20") else None
+    mark = next((c for c in part if c in "-/."), None)
+    ways = []
+    if mark is None and len(part) in (6, 8):
+        n = len(part) - 4
+        ways = [(part[:2], part[2:4], part[4:]), (part[2:4], part[:2], part[4:]), (part[n:][2:], part[n:][:2], part[:n]), (part[n:][:2], part[n:][2:], part[:n])]
+    elif mark and len(x := part.split(mark)) == 3 and all(s.isdecimal() for s in x):
+        ways = [(x[0], x[1], x[2]), (x[1], x[0], x[2])] * (len(x[2]) in (2, 4)) + [(x[1], x[2], x[0]), (x[2], x[1], x[0])] * (len(x[0]) == 4)
+    for d, m, y in ways:
+        if len(d) > 2 or len(m) > 2 or not (len(y) == 2 or y[:2] in ("19", "20")):
+            continue
+        try:
+            date(2000, int(m), int(d))
+            return 4.6
+        except ValueError:
+            pass
+    return None
+
+
 def every_piece(value):
     """Walks and repeats of all places and lengths, words of all stretches, by their definitions alone."""
     low, out = value.lower(), []
@@ -241,8 +266,8 @@ def every_piece(value):
                 plain = part in secrets.ranks()[0]
                 case = 0.0 if value[i:j] == part else 0.3 if value[i].isupper() else 0.9
                 out.append((i, j, secrets.ranks()[0][part if plain else part.translate(secrets.SWAPS)] + (0 if plain else 0.6) + case))
-            if secrets._DATE.fullmatch(part):
-                out.append((i, j, 2.1 if j - i == 4 else 4.6))
+            if cost := slow_date(value, i, j):
+                out.append((i, j, cost))
             if len(part) >= 4 and all(b in secrets._NEAR.get(a, ()) for a, b in zip(part, part[1:], strict=False)):
                 at = [secrets._PLACE[c] for c in part]
                 ways = [(s - r, y > x) for (r, x), (s, y) in zip(at, at[1:], strict=False)]
@@ -255,7 +280,7 @@ def every_piece(value):
 
 def test_guess_cost_offers_every_piece():
     r = random.Random(7)
-    parts = ["asdf", "gh", "hello", "abab", "aaa", "qwer", "es", "zxc", "1234", "12", "Pass", "p@ss", "2021", "x", "Q", "sd", "\u00e9"]
+    parts = ["asdf", "gh", "hello", "abab", "aaa", "qwer", "es", "zxc", "1234", "12", "Pass", "p@ss", "2021", "x", "Q", "sd", "\u00e9", "31-12-1999", "2024/02/30", "19840229", "311299", "-", "1.2.05"]
     for v in ["asdfghello", "aaaaaab", "abababa1", *("".join(r.choice(parts) for _ in range(r.randint(2, 7))) for _ in range(300))]:
         best = [0.0]
         own = [*every_piece(v), *((i, j, sum(map(secrets._char_cost, v[i:j]))) for i in range(len(v)) for j in range(i + 1, len(v) + 1))]
@@ -264,6 +289,9 @@ def test_guess_cost_offers_every_piece():
         assert math.isclose(secrets.guess_cost(v), best[-1] - secrets._PIECE, abs_tol=1e-9), v
         assert sorted((i, j, round(c, 6)) for i, j, c, _ in secrets.pieces(v)) == sorted((i, j, round(c, 6)) for i, j, c in every_piece(v)), v
     assert secrets.guess_cost("asdfghello") < secrets.GUESSES
+    assert secrets.guess_cost("zxcvbnmother") <= 4.8 and secrets.guess_cost("aaaaapple") <= 4.6
+    assert secrets.guess_cost("4827193650") >= 9.9 and secrets.guess_cost("48271936") >= 7.9
+    assert secrets.guess_cost("31121999") <= 4.6 and secrets.guess_cost("love31121999") < secrets.GUESSES
     assert all(secrets.guess_cost(v) > 0 for v in ("sd" * 20_000, "qwertrewq" * 3_000, "x" * 40_000))  # near linear
 
 
@@ -274,6 +302,40 @@ def test_prose_is_no_secret():
         assert [k for *_, k in secrets.scan(text)[0]] == ["guess"], text
 
 
+def test_precision_and_recall_on_planted_values():
+    r = random.Random(11)
+    contexts = ["pwd: {}", "the passphrase => {} is set", "DB_PASS={}", 'credentials: "{}"', "postgres://svc:{}@db/x", "private_key := {} ", "bearer: {}", "x+y://" + "u" * 90 + ":{}@h"]
+    alphabet = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789#$%!*-_"
+    words = [w for w in secrets.ranks()[0] if len(w) > 3][:400]
+    weak = [lambda: r.choice(words) + str(r.randint(1950, 2024)), lambda: r.choice(words) + r.choice(words), lambda: "qwertyuiop"[: r.randint(6, 10)], lambda: r.choice(words).capitalize() + "1", lambda: f"{r.randint(1, 28):02}{r.randint(1, 12):02}{r.randint(1960, 2020)}", lambda: r.choice("abcxyz12") * r.randint(6, 12)]
+    caught = missed = wrong = 0
+    for i in range(600):
+        value = "".join(r.choice(alphabet) for _ in range(r.randint(10, 24)))
+        text = "Text before. " + contexts[i % 8].format(value) + " and after."
+        hit = [text[a:b] for a, b, k in secrets.scan(text)[0] if k == "guess"] == [value]
+        caught, missed = caught + hit, missed + (not hit)
+        weak_value = r.choice(weak)()
+        if len(weak_value) >= 6:
+            wrong += any(k == "guess" for *_, k in secrets.scan("So " + contexts[i % 8].format(weak_value) + " it is.")[0])
+    assert caught / (caught + missed) >= 0.995 and wrong <= 6  # recall; precision above 0.99
+
+
+def test_very_long_values_and_runs():
+    assert secrets.scan("pwd=" + "xyz" * 2_000)[0] == []
+    r = random.Random(1)
+    assert [k for *_, k in secrets.scan("pwd=" + "".join(r.choice("ag1$") for _ in range(60_000)))[0]] == ["guess"]
+    assert secrets.scan("a" * 200_000 + "://" + "b" * 200_000)[0] == [(0, 200_000, "hex"), (200_003, 400_003, "hex")]
+
+
+def test_redaction_on_odd_input(spark):
+    df = odd_docs(spark)
+    out = secrets.redact(df)
+    assert out.columns == df.columns and Counter(out.collect()) == Counter(df.collect())
+    assert secrets.redact(df.limit(0)).collect() == []
+    twice = spark.createDataFrame([(1, "pwd: kX8$mQ2!vN7z", 17, "a")] * 2, "doc_id long, text string, n_chars long, spans string")
+    assert [(r.text, r.n_chars, r.spans) for r in secrets.redact(twice).collect()] == [("pwd: [redacted]", 15, "a")] * 2
+
+
 def test_guess_spans_and_redaction(spark):
     text = "user pwd: kX8$mQ2!vN7z and https://bob:s3cr3tV4lue99x@h and pass: password1 end"
     spans, top = secrets.scan(text)
