@@ -4,8 +4,9 @@ A text longer than CHUNK is cut into chunks that overlap. The chunks are dealt o
 from its own start. Pre-token boundaries of a chunk are trusted up to its last run of white space (a match that ends
 there saw all it depends on). Where boundaries of the text so far and of the next chunk coincide, both go on alike, so
 the chunk's boundaries are taken over from there; until then (for a chunk without white space, right through it)
-matching goes on from the last boundary. The pre-tokens are then encoded by rank. Decoding joins the ids' raw bytes.
-Shorter texts are chunks of their own and need no stitching or shuffle.
+matching goes on from the last boundary. Chunks' pre-tokens are encoded by rank where the chunks are; stitching joins
+their ids and encodes only what had to be matched anew. Decoding joins the ids' raw bytes. Shorter texts are chunks of
+their own and need no stitching or shuffle.
 
 Odd input: a null text is empty; an empty text has no ids; repeated rows give repeated rows; a null id is kept; an
 empty table gives an empty result; other columns are not read.
@@ -83,41 +84,46 @@ def trusted_boundaries(pattern, text: str, last: bool) -> list[int]:
     return ends[: int(np.searchsorted(ends, limit, side="right"))]
 
 
-def stitch(pattern, text: str, starts: list[int], boundaries: list[list[int]]) -> list[int]:
-    """Ends of the pre-tokens of the whole text, from each chunk's start and trusted boundaries (relative to it)."""
-    ends: list[int] = []
-    at = 0
+def stitch(pattern, text: str, starts: list[int], boundaries: list[np.ndarray]):
+    """The pre-tokens of the whole text, from each chunk's start and trusted boundaries (relative to it).
+
+    Yields (chunk, i, j) where the chunk's pre-tokens i to j stand, and (None, a, b) for a stretch that is matched anew.
+    """
+    held, ends, i, at = 0, np.zeros(0, np.int64), 0, 0  # of chunk ``held``, pre-tokens from i on are next
     for n, (start, own) in enumerate(zip(starts, boundaries, strict=True)):
-        own = [start + b for b in own]
-        known = set(own)
-        if n == 0:
-            ends = own
-            at = own[-1] if own else 0
-            continue
-        # boundaries of earlier chunks beyond this chunk's start: the first shared one is where both resynchronise
-        i = int(np.searchsorted(ends, start, side="right"))
-        shared = next((j for j in range(i, len(ends)) if ends[j] in known), None)
-        if shared is None:
-            while own and at < own[-1] and at not in known:
-                at = pattern.match(text, at).end()
-                ends.append(at)
-            shared = len(ends) - 1 if at in known else None
-        if shared is not None:
-            ends[shared + 1 :] = own[int(np.searchsorted(own, ends[shared], side="right")) :]
-            at = ends[-1]
+        own = start + np.asarray(own, np.int64)
+        if n:
+            # boundaries of earlier chunks beyond this chunk's start: the first shared one is where both resynchronise
+            k = max(i, int(np.searchsorted(ends, start, side="right")))
+            shared = np.flatnonzero(np.isin(ends[k:], own))
+            stop = k + int(shared[0]) + 1 if len(shared) else len(ends)
+            if stop > i:
+                yield held, i, stop
+                at = int(ends[stop - 1])
+            if not len(shared) and len(own):
+                known = set(own.tolist())
+                while at < own[-1] and at not in known:
+                    end = pattern.match(text, at).end()
+                    yield None, at, end
+                    at = end
+        held, ends, i = n, own, int(np.searchsorted(own, at, side="right"))
+        if n and i < len(own) and at not in own:  # beyond all that it knows together with the text
+            i = len(own)
+    if i < len(ends):
+        yield held, i, len(ends)
+        at = int(ends[-1])
     while at < len(text):
-        at = pattern.match(text, at).end()
-        ends.append(at)
-    return ends
+        end = pattern.match(text, at).end()
+        yield None, at, end
+        at = end
 
 
 def _result(doc_ids, encoded: list[bytes], decoded: list[bytes], with_ids: bool) -> pa.RecordBatch:
-    out = {
-        "doc_id": doc_ids,
-        "n_tokens": pa.array([len(e) // 4 for e in encoded], pa.int64()),
-        "ids_sha256": pa.array([hashlib.sha256(e).hexdigest() for e in encoded], pa.string()),
-        "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
-    }
+    return _table(doc_ids, encoded, [hashlib.sha256(e).hexdigest() for e in encoded], [hashlib.sha256(d).hexdigest() for d in decoded], with_ids)
+
+
+def _table(doc_ids, encoded: list[bytes], ids_sha: list[str], decoded_sha: list[str], with_ids: bool) -> pa.RecordBatch:
+    out = {"doc_id": doc_ids, "n_tokens": pa.array([len(e) // 4 for e in encoded], pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
     if with_ids:
         flat = np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)
         offsets = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
@@ -138,12 +144,20 @@ def _encode_short(path: str, pattern: str, with_ids: bool):
 
 
 def _cut_chunks(path: str, pattern: str):
+    """Of each chunk: its own part of the text, trusted boundaries, ids of its pre-tokens and where each one's end."""
+
     def run(batches):
-        p = codec(path, pattern).pattern
+        c = codec(path, pattern)
         for batch in batches:
-            ends = [np.array(trusted_boundaries(p, t, last), "<i4").tobytes() for t, last in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            core = pa.array([t if last else t[:CHUNK] for t, last in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], core, pa.array(ends, pa.binary())], ["doc_id", "key", "copies", "chunk", "core", "ends"])
+            out: list[list] = [[], [], [], []]
+            for text, last in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                ends = trusted_boundaries(c.pattern, text, last)
+                ids = [c.ids([text[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]  # none, if no end is trusted
+                upto = np.cumsum([len(x) for x in ids])
+                for column, value in zip(out, (text if last else text[:CHUNK], np.array(ends, "<i4").tobytes(), b"".join(ids), upto.astype("<i4").tobytes()), strict=True):
+                    column.append(value)
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["doc_id", "key", "copies", "chunk", "core", "ends", "ids", "upto"])
 
     return run
 
@@ -152,14 +166,16 @@ def _join_chunks(path: str, pattern: str, with_ids: bool):
     def run(table: pa.Table) -> pa.Table:
         c = codec(path, pattern)
         table = table.sort_by("chunk")
-        cores, at = table["core"].to_pylist(), table["chunk"].to_pylist()
-        text = "".join(cores)
-        ends = stitch(c.pattern, text, [k * CHUNK for k in at], [np.frombuffer(e, "<i4").tolist() for e in table["ends"].to_pylist()])
-        pieces = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        encoded = c.ids(pieces)
-        copies = table["copies"][0].as_py()
-        ids = pa.array([table["doc_id"][0].as_py()] * copies, pa.int64())
-        return pa.Table.from_batches([_result(ids, [encoded] * copies, [c.decode(encoded)] * copies, with_ids)])
+        text = "".join(table["core"].to_pylist())
+        boundaries, upto = ([np.frombuffer(x, "<i4") for x in table[name].to_pylist()] for name in ("ends", "upto"))
+        ids = table["ids"].to_pylist()
+        encoded, decoded = [], hashlib.sha256()
+        for n, a, b in stitch(c.pattern, text, [k * CHUNK for k in table["chunk"].to_pylist()], boundaries):
+            encoded.append(c.ids([text[a:b]]) if n is None else ids[n][int(upto[n][a - 1]) if a else 0 : int(upto[n][b - 1])])
+            decoded.update(c.decode(encoded[-1]))
+        whole, copies = b"".join(encoded), table["copies"][0].as_py()
+        doc_ids = pa.array([table["doc_id"][0].as_py()] * copies, pa.int64())
+        return pa.Table.from_batches([_table(doc_ids, [whole] * copies, [hashlib.sha256(whole).hexdigest()] * copies, [decoded.hexdigest()] * copies, with_ids)])
 
     return run
 
@@ -178,7 +194,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
         cut_up.select("doc_id", "key", "chunk", part, (F.col("chunk") == F.col("last")).alias("is_last"))
         .groupBy("doc_id", "key", "chunk", "part", "is_last").agg(F.count("*").alias("copies"))  # deals the chunks out; equal rows are one
         .select("doc_id", "key", "copies", "chunk", "part", "is_last")
-        .mapInArrow(_cut_chunks(path, pattern), "doc_id long, key long, copies long, chunk int, core string, ends binary")
+        .mapInArrow(_cut_chunks(path, pattern), "doc_id long, key long, copies long, chunk int, core string, ends binary, ids binary, upto binary")
     )
     return short.unionByName(chunks.groupBy("doc_id", "key").applyInArrow(_join_chunks(path, pattern, with_ids), schema))
 
