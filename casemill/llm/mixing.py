@@ -63,7 +63,6 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0, power: float = 0.5, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str | None = "copy") -> DataFrame:
     """The documents, each as often as its Poisson count, in shuffled order; ``copy_col`` numbers the copies from 1."""
-    spark = docs.sparkSession
     rate = cut(rates(docs, weights, epochs, power, text_col, source_col))
     rate = F.broadcast(rate) if rate.count() <= BROADCAST_SOURCES else rate
     kept = [c for c in docs.columns if c != copy_col]
@@ -75,8 +74,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
     n_copies = renamed.join(rate, F.col("__s").eqNullSafe(F.col("__source")), "inner").withColumn("__n", n).filter("__n > 0")
     out = n_copies.select(*[F.col(f"d{i}") for i in range(len(kept))], "__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
     out = out.withColumn("__at", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "__key", F.col("__copy").cast("string"))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartition(parts, "__at").sortWithinPartitions("__at")
+    out = out.repartition("__at").sortWithinPartitions("__at")  # the number of partitions is left to adaptive execution
     cols = [F.col(f"d{i}").alias(c) for i, c in enumerate(kept)]
     return out.select(*cols, *([F.col("__copy").alias(copy_col)] if copy_col else []))
 
