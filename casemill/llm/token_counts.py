@@ -2,7 +2,8 @@
 
 The distinct pre-tokens of a batch are laid end to end in one ragged array of symbols. In each round every sequence finds
 its lowest-rank adjacent pair, all sequences apply theirs at once (each occurrence, from the left), and sequences without
-a known pair drop out. What survives is counted. Counts of pre-tokens seen before are kept by the worker.
+a known pair drop out. What survives is counted. Counts of pre-tokens seen before are kept by the worker. A pre-token of
+over LONG bytes would need a round for each of its many pairs over all of it, so its merges are taken from a heap.
 
 Normalisation (NFC, white space to one space, character-wise lower case) and splitting follow the vocabulary file; its
 special strings inside a text are one token each.
@@ -13,6 +14,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -27,6 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Pre-tokens whose counts a worker keeps.
 KEPT = 600_000
+#: Bytes from which a pre-token is merged by a heap, and is too long to be kept.
+LONG = 2_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -65,6 +69,8 @@ class Merges:
             rest = np.setdiff1d(np.arange(len(left)), put)
             left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
+        self.pairs = {k: (r, m) for k, r, m in zip(keys.tolist(), first.tolist(), made[first].tolist(), strict=True)}
+
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -120,6 +126,30 @@ class Merges:
             slot[old] = self.find(sym[old], sym[old + 1])
         return counts
 
+    def count_long(self, piece: bytes) -> int:
+        """Tokens of one long piece: the lowest-rank pair, leftmost first, from a heap."""
+        sym = [int(self.first[b]) for b in piece[:-1]] + [int(self.final[piece[-1]])]
+        n, size, pairs = len(sym), self.size, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(p[0], i, sym[i], sym[i + 1]) for i in range(n - 1) if (p := pairs.get(sym[i] * size + sym[i + 1]))]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:  # one of them was merged in the meantime
+                continue
+            sym[i], sym[j] = pairs[a * size + b][1], -1
+            left -= 1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if p := pairs.get(sym[i] * size + sym[k]):
+                    heapq.heappush(heap, (p[0], i, sym[i], sym[k]))
+            if (h := before[i]) >= 0 and (p := pairs.get(sym[h] * size + sym[i])):
+                heapq.heappush(heap, (p[0], h, sym[h], sym[i]))
+        return left
+
     def _slots(self, sym, seq):
         out = np.full(len(sym), -1, np.int64)
         pair = np.flatnonzero(seq[1:] == seq[:-1])
@@ -155,9 +185,11 @@ class Counter:
         if len(self.seen) > KEPT:
             self.seen.clear()
         new = list(set().union(*per_text).difference(self.seen))
-        if new:
+        long = {p: self.merges.count_long(b) for p in new if len(p) * 4 > LONG and len(b := p.encode()) > LONG}
+        if new := [p for p in new if p not in long]:
             self.seen.update(zip(new, self.merges.count([p.encode() for p in new]).tolist(), strict=True))
-        return [k + sum(map(self.seen.__getitem__, own)) for k, own in zip(specials, per_text, strict=True)]
+        count = self.seen.__getitem__ if not long else lambda p: long[p] if p in long else self.seen[p]
+        return [k + sum(map(count, own)) for k, own in zip(specials, per_text, strict=True)]
 
 
 _counters: dict[str, Counter] = {}

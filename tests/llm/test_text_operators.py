@@ -70,7 +70,10 @@ def test_stitching_equals_matching_the_whole_text():
         s = "".join(r.choice(parts) for _ in range(r.randint(1, 140)))
         n = max(0, -(-(len(s) - 8) // 50) - 1) + 1
         own = [bytes_bpe.trusted_boundaries(pattern, s[i * 50 : i * 50 + 58], i == n - 1) for i in range(n)]
-        assert bytes_bpe.stitch(pattern, s, [i * 50 for i in range(n)], own) == [m.end() for m in pattern.finditer(s)]
+        got = []
+        for k, a, b in bytes_bpe.stitch(pattern, s, [i * 50 for i in range(n)], own):
+            got += [b] if k is None else [k * 50 + e for e in own[k][a:b]]
+        assert got == [m.end() for m in pattern.finditer(s)]
 
 
 # token counts
@@ -98,6 +101,14 @@ def test_counts_of_random_pieces():
     assert c.counts(own) == [len(t.encode(s, add_special_tokens=False).ids) for s in own]
 
 
+def test_counts_of_long_pieces():
+    t = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    c = token_counts.Counter(public_tokenizers.path(token_counts.VOCABULARY))
+    r = random.Random(4)
+    own = ["".join(r.choice(k) for _ in range(n)) for k, n in (("ab", 5_000), ("abcdefghijklmnopqrstuvwxyz", 30_000), ("a", 2_001), ("thequickbrown", 9_000), ("日本語", 2_500))]
+    assert c.counts(own) == [len(t.encode(s, add_special_tokens=False).ids) for s in own]
+
+
 # Lempel-Ziv fingerprints
 
 
