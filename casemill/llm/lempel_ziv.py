@@ -6,16 +6,18 @@ smallest hash, of which 16 bits are written (0: an empty slot). The likeness of
 slots among those that are not empty in both; texts that compress alike share phrases.
 
 Neighbours (the next document by id) are found without a global sort in one task: ids are cut into ranges at quantiles,
-rows are dealt out by range, and the first row of each range is also sent to the range before.
+about RANGE_BYTES of text each, every range is a partition, and the first row of each range is also sent to the range
+before. An id with more rows than a range (null, say) is cut further by the hash of the text.
 
 Odd input: a null text is empty; two empty fingerprints have likeness 1, an empty and another one 0; null ids come before
-all others; rows of equal ids follow by their text; a single row is its own next one. An empty table gives an empty
-result; other columns are not read.
+all others; rows of equal ids follow by a hash of their text; a single row is its own next one. An empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 
 import numpy as np
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 128
-#: Ranges of ids for each shuffle partition, and their number at most.
-RANGES, MOST_RANGES = 4, 100_000
+#: Bytes of text of a range, and the number of ranges at most.
+RANGE_BYTES, MOST_RANGES = 8_000_000, 100_000
+#: Bits of the hash that rows of equal ids are ordered by.
+BITS = 52
 _MASK = (1 << 64) - 1
 
 
@@ -125,33 +129,42 @@ def _nested(values: list, width: int) -> list[list]:
 def with_next(docs: DataFrame) -> DataFrame:
     """(part, doc_id, text, extra): rows in ranges of ids; a range's extra row is the next one after its last row.
 
-    docs: doc_id long, text string. Rows are sorted by part, extra, id and text within each partition.
+    docs: doc_id long, text string. Each range is a partition; its rows are sorted by extra, id, hash and text.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    parts = min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(key.alias("k"))
-    cuts = sorted({int(x) for x in ids.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)})
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 64 - BITS)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
+    wanted = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    found = docs.select(key.alias("k")).approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
+    cuts = sorted({int(x) for x in found})
+    times = [sum(1 for _ in g) for _, g in itertools.groupby(sorted(int(x) for x in found))]  # a cut that recurs is an id of many rows
+    base = [0, *itertools.accumulate([1, *times])]  # ranges before the first cut (one), then those of each cut
     width = max(1, int(len(cuts) ** 0.5))
     groups = _nested(cuts, width)  # two short searches instead of a long one
-    lit = lambda v: F.from_json(F.lit(json.dumps(v)), "array<array<bigint>>")
-    heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<bigint>")
-    g = F.size(F.filter(heads, lambda c: c <= key))
-    part = F.when(g == 0, F.lit(0)).otherwise((g - 1) * width + F.size(F.filter(F.element_at(lit(groups or [[0]]), F.greatest(g, F.lit(1))), lambda c: c <= key)))
-    firsts = docs.select(part.alias("part"), key.alias("k")).groupBy("part").agg(F.min("k").alias("k")).collect()
-    firsts = sorted((r.part, r.k) for r in firsts)  # a row a range
-    before = {p: firsts[i - 1][0] for i, (p, _) in enumerate(firsts)}  # the first one's is the last
-    first = dict(firsts)
-    n = len(cuts) + 1
-    first_of = lit(_nested([first.get(p) for p in range(n)], width))
-    before_of = lit(_nested([before.get(p) for p in range(n)], width))
-    look = lambda table: F.element_at(F.element_at(table, (F.col("part") / width).cast("int") + 1), F.col("part") % width + 1)
-    here = F.struct("part", F.lit(False).alias("extra"))
-    there = F.struct(look(before_of).cast("int").alias("part"), F.lit(True).alias("extra"))
-    rows = docs.withColumn("part", part).withColumn("k", key)
-    to = F.when(F.col("k") == look(first_of), F.array(here, there)).otherwise(F.array(here))
-    rows = rows.select("doc_id", "text", "k", F.explode(to).alias("to")).select("to.part", "doc_id", "text", "to.extra", "k")
-    return rows.repartition("part").sortWithinPartitions("part", "extra", "k", "text").select("part", "doc_id", "text", "extra")
+    lit = lambda v, kind="array<array<bigint>>": F.from_json(F.lit(json.dumps(v)), kind)
+    look = lambda table, i: F.element_at(F.element_at(table, (i / width).cast("int") + 1), (i % width).cast("int") + 1)
+    g = F.size(F.filter(lit([x[0] for x in groups], "array<bigint>"), lambda c: c <= F.col("k")))
+    at = F.when(g == 0, F.lit(-1)).otherwise((g - 1) * width + F.size(F.filter(F.element_at(lit(groups or [[0]]), F.greatest(g, F.lit(1))), lambda c: c <= F.col("k"))) - 1)
+    rows = docs.select("doc_id", "text", key.alias("k"), tie.alias("u")).withColumn("at", at)
+    # of an id of many rows: its part by the hash; larger ids up to the next cut follow in the last part
+    here = F.greatest(F.col("at"), F.lit(0))
+    several, own = look(lit(_nested(times or [1], width)), here), F.col("k") == look(lit(_nested(cuts or [0], width)), here)
+    sub = F.when(own, F.floor(F.col("u") / F.lit(float(1 << BITS)) * several)).otherwise(several - 1)
+    part = F.when(F.col("at") < 0, F.lit(0)).otherwise(look(lit(_nested(base[1:] if cuts else [0], width)), here) + sub).cast("int")
+    rows = rows.select("doc_id", "text", "k", "u", part.alias("part"))
+    ends = rows.groupBy("part").agg(F.min(F.struct("k", "u")).alias("f")).collect()  # a row a range
+    first = {r.part: (r.f.k, r.f.u) for r in ends}
+    order = sorted(first)
+    before = {p: order[i - 1] for i, p in enumerate(order)}  # the first one's is the last
+    n = base[-1]
+    table = lambda of: lit(_nested([of(p) for p in range(n)], width))
+    to_before = look(table(before.get), F.col("part")).cast("int")
+    is_first = (F.col("k") == look(table(lambda p: first.get(p, (None,))[0]), F.col("part"))) & (F.col("u") == look(table(lambda p: first.get(p, (0, None))[1]), F.col("part")))
+    stay = F.struct("part", F.lit(False).alias("extra"))
+    to = F.when(is_first, F.array(stay, F.struct(to_before.alias("part"), F.lit(True).alias("extra")))).otherwise(F.array(stay))
+    dealt = rows.select("doc_id", "text", "k", "u", F.explode(to).alias("to")).select("to.part", "doc_id", "text", "to.extra", "k", "u")
+    return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "extra", "k", "u", "text").select("part", "doc_id", "text", "extra")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -168,6 +168,49 @@ def test_fingerprints_on_odd_input(spark, n):
     assert all(r.near_next == 1.0 for r in got if r.n_chars == 0 and not dict(own).get(r.doc_id + 7, "x"))
 
 
+def test_ids_of_many_rows_are_cut_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(lempel_ziv, "RANGE_BYTES", 400)
+    rows = [(None if i % 3 else i, f"text number {i} of many") for i in range(300)] + [(7, "seven")] * 5 + [(1000, f"m{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = lempel_ziv.with_next(df)
+    sizes = Counter(r.part for r in parts.collect() if not r.extra)
+    assert max(sizes.values()) < 70 and sum(sizes.values()) == len(rows)
+    # each row's next one is a row, every row is the next one of one other (equal rows aside), and ids rise
+    after = lempel_ziv.fingerprints(df).collect()
+    assert Counter(r.doc_id for r in after) == Counter(i for i, _ in rows)
+    of_rows = parts.rdd.glom().collect()
+    chain = []
+    for own in sorted((p for p in of_rows if p), key=lambda p: p[0].part):
+        chain += [(r.doc_id, r.text) for r in own if not r.extra]
+    assert [i for i, _ in chain] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    want = Counter()
+    for (i, t), (_, u) in zip(chain, chain[1:] + chain[:1], strict=True):
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + u[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in after) == want
+
+
+def test_signatures_equal_brute_force():
+    """The phrases' hashes by their definition, the least of each slot, and sixteen bits of it."""
+    mask = (1 << 64) - 1
+
+    def phrase_hash(phrase):
+        h = 0x9E3779B97F4A7C15
+        for b in phrase:
+            h = (h ^ b) * 0xD6E8FEB86659FD93 & mask
+            h ^= h >> 32
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return h ^ h >> 32
+
+    for t in [*list(texts().values())[:25], "", "a", "é" * 90]:
+        least = [None] * 128
+        for p in slow_phrases(t.encode()):
+            h = phrase_hash(p)
+            least[h & 127] = h if least[h & 127] is None else min(h, least[h & 127])
+        want = [0 if h is None else max(1, (h * 0x94D049BB133111EB & mask) >> 48) for h in least]
+        assert lempel_ziv.fingerprint(t) == "".join(f"{x:04x}" for x in want)
+
+
 def test_fingerprints_of_repeated_rows_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, "same text here")] * 3 + [(2, "")], "doc_id long, text string")
     got = lempel_ziv.fingerprints(df).collect()
