@@ -217,12 +217,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of ``rows`` (doc_id, fp), which should be cut."""
+    """(fp, label, component_id) for each distinct fingerprint of ``rows`` (doc_id, fp), which should be cut.
+
+    label names the class: ids may occur in several classes, so the smallest id doesn't.
+    """
     smallest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(smallest.select("fp"), budget))
     linked = cut(labels.join(smallest, labels.node == smallest.fp).groupBy("label").agg(F.min("least").alias("component_id")))
-    linked = cut(labels.join(linked, "label").select(F.col("node").alias("fp"), "component_id"))
-    return cut(smallest.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    linked = cut(labels.join(linked, "label").select(F.col("node").alias("fp"), "label", "component_id"))
+    return cut(smallest.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -247,7 +250,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = rows.select("doc_id", "fp").distinct().join(kind, "fp")
     # a class of null ids only has no id of its own; its smallest fingerprint stands for it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("m")
-    stay = cut(members.groupBy("component_id").agg(first).select("m.doc_id", "m.fp"))
+    stay = cut(members.groupBy("label").agg(first).select("m.doc_id", "m.fp"))
     alone = stay.filter("doc_id IS NOT NULL").join(again, "doc_id", "left_anti").select(F.col("doc_id").alias("__id"))
     kept = plain.join(alone, own_id == F.col("__id"), "left_semi")
     unclear = stay.join(again, "doc_id", "left_semi").unionByName(stay.filter("doc_id IS NULL"))

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from casemill.llm import bytes_bpe, mixing, quality, secrets, trie
 
@@ -39,3 +41,36 @@ def test_each_stage_works_on_what_its_predecessor_kept(spark, tmp_path):
 
     whole = corpus_pipeline.run(spark, SF)
     assert Counter((r.doc_id, r.ids_sha256) for r in whole.collect()) == Counter((r.doc_id, r.ids_sha256) for r in docs.collect())
+
+
+def odd_folder(spark, path, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "__fp", "fp", "copy", "word", "d0"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_the_pipeline_on_odd_input(spark, tmp_path):
+    long = "some words of a very long document " * 4_000
+    rows = [(1, None, "en", "a", None), (2, "", "en", None, 0), (None, "a null id", None, "a", 9), (None, "a null id", None, "a", 9), (3, long, "en", "b", len(long)), (3, "the same id again", "en", "b", 17), (4, "pwd: kX8$mQ2!vN7z", "en", "c", 17), (5, long, "en", "b", len(long))]
+    sf = odd_folder(spark, tmp_path / "odd", rows, [(None, 1, 0), (1, None, None)])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, sf)
+        assert sorted(out.columns) == sorted(docs.columns) and {r.d0 for r in out.collect()} <= {"mine"}
+        out.write.parquet(f"{tmp_path}/odd-{n}")
+        docs = spark.read.parquet(f"{tmp_path}/odd-{n}")
+        if n == 1:  # empty texts are one class, the long texts another; ids that occur twice are kept apart
+            assert sorted((r.doc_id or 0, len(r.text or "")) for r in docs.collect()) == [(0, 9), (1, 0), (3, 17), (3, len(long)), (4, 17)]
+        if n == 2:
+            assert [(r.text, r.n_chars) for r in docs.collect() if r.doc_id == 4] == [("pwd: [redacted]", 15)]
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_the_pipeline_without_documents(spark, tmp_path):
+    sf = odd_folder(spark, tmp_path / "none", [], [])
+    assert corpus_pipeline.run(spark, sf).collect() == []
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert all(stage(spark, docs, sf).collect() == [] for _, stage in corpus_pipeline.STAGES)

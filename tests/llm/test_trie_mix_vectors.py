@@ -210,6 +210,11 @@ def test_groups_that_the_third_level_leaves_fall_apart(spark):
     assert len(pairs) == len(set(got)) == len(set(label.tolist()))
 
 
+def test_an_id_of_two_classes_stands_for_both(spark):
+    rows = [(3, "one text of some words here", "a"), (3, "quite another text of other words", "b"), (5, "one text of some words here", "c"), (2, "third", "d")]
+    assert sorted((r.doc_id, r.source) for r in trie.one_of_each(docs_of(spark, rows)).collect()) == [(2, "d"), (3, "a"), (3, "b")]
+
+
 def test_the_row_that_stays_of_equal_ids_and_texts_repeats(spark):
     rows = [(1, "same words in here now", f"s{i}") for i in range(30)] + [(None, "other words over there again", f"s{i}") for i in range(30)]
     kept = [sorted((r.doc_id or 0, r.source) for r in trie.one_of_each(docs_of(spark, rows).repartition(n)).collect()) for n in (1, 3, 7)]
