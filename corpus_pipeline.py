@@ -1,4 +1,11 @@
-"""A training-data pipeline of five stages over ``documents``; each stage is written and read again."""
+"""A training-data pipeline of five stages over ``documents``; each stage is written and read again.
+
+Odd input: stages keep all columns of ``documents``, whatever further ones there are and however they are named (a stage
+works on columns under names of its own); the last one returns its own columns. Null texts count as empty, and stay null
+until they are encoded. Rows with a null id are kept like others: they have no label, come last in their class of copies,
+and are mixed by the hash of their text. Repeated rows are one class of copies, so one of them is left. Without labels
+the classifier scores every document 0.5 and rejects none. An empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
@@ -47,8 +54,13 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages' result; what lies between them is kept in the shared checkpoint folder."""
+    """The stages' result; what lies between them is kept in the shared checkpoint folder until the next one is written."""
     place = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
@@ -56,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n + 1 < len(STAGES):
             docs.write.parquet(f"{place}/{n}")
             docs = spark.read.parquet(f"{place}/{n}")
+            if n:
+                _remove(spark, f"{place}/{n - 1}")
     return docs
