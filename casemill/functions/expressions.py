@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.plans.lineage import cut, small_or_not
+
 # Parts of a status text, and the places of the day bands.
 DETECTED, UNDETECTED, OPEN = ("charge", "convict", "acquit"), ("undetected", "closed"), ("investigation", "pending", "open")
 BANDS = (("Night", 0, 5), ("Morning", 6, 11), ("Afternoon", 12, 17), ("Evening", 18, 23))
@@ -88,5 +90,6 @@ def token_key(name: Column, address: Column) -> Column:
 def frequency(df: DataFrame, column: str, out: str) -> DataFrame:
     """``df`` with the share of rows that have the row's value of a column (null: 0)."""
     total = df.count()
-    counts = df.groupBy(F.col(column).alias("__v")).agg((F.count("*") / F.lit(float(max(total, 1)))).alias(out)).filter("__v IS NOT NULL")
-    return df.join(counts, df[column] == F.col("__v"), "left").drop("__v").fillna({out: 0.0})
+    counts = cut(df.groupBy(F.col(column).alias("__v")).agg((F.count("*") / F.lit(float(max(total, 1)))).alias(out)).filter("__v IS NOT NULL"))
+    few = small_or_not(counts, 200_000)  # a category has few values; many meet the rows in a shuffled join
+    return df.join(few, df[column] == F.col("__v"), "left").drop("__v").fillna({out: 0.0})

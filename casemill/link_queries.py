@@ -12,6 +12,7 @@ from casemill.bindings import CASE_ROLES, CASES_SQL, EVENT_ROLES, cases, events,
 from casemill.functions.expressions import try_ts
 from casemill.operators import findings, graph, profile, reports, signals, triage
 from casemill.operators.query import Kpi
+from casemill.plans.lineage import cut
 from casemill.queries import register
 
 
@@ -105,12 +106,15 @@ def g9_ego(spark, sf_dir):
     return graph.ego(involved(spark, sf_dir), "supplier:1")
 
 
-@register(f"""WITH {INV_SQL}, {CASES_SQL}, r AS (SELECT DISTINCT src AS id, inv.dst, area, category FROM inv JOIN cases ON inv.dst = 'case:' || CAST(case_id AS VARCHAR)),
+@register(f"""WITH {INV_SQL}, {CASES_SQL}, r AS (SELECT DISTINCT src AS id, inv.dst, area, category, (case_id % 19)::INT AS h FROM inv JOIN cases ON inv.dst = 'case:' || CAST(case_id AS VARCHAR)),
+b AS (SELECT id, CASE WHEN h <= 5 THEN 'Night' WHEN h <= 11 THEN 'Morning' WHEN h <= 17 THEN 'Afternoon' ELSE 'Evening' END AS band, count(*) AS n FROM r GROUP BY ALL),
+bb AS (SELECT id, band AS peak_band FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, band) = 1),
 k AS (SELECT id, category, count(*) AS n FROM r GROUP BY ALL), kk AS (SELECT id, category AS top_kind FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, category) = 1)
-SELECT r.id, count(DISTINCT dst) AS n_cases, list_sort(list(DISTINCT area)) AS areas, any_value(top_kind) AS top_kind, 'Night' AS peak_band, list_sort(list(DISTINCT dst))[1:25] AS cases FROM r JOIN kk ON r.id = kk.id GROUP BY r.id""")
+SELECT r.id, count(DISTINCT dst) AS n_cases, list_sort(list(DISTINCT area)) AS areas, any_value(top_kind) AS top_kind, any_value(peak_band) AS peak_band, list_sort(list(DISTINCT dst))[1:25] AS cases FROM r JOIN kk ON r.id = kk.id JOIN bb ON r.id = bb.id GROUP BY r.id""")
 def g10_profiles(spark, sf_dir):
-    """suppliers' orders in short (order dates are at midnight: Night)."""
+    """suppliers' orders in short; order dates are at midnight, so hours come from the keys."""
     c = cases(spark, sf_dir)
+    c = c.withColumn("ts", F.col("ts") + F.make_dt_interval(hours=(F.col("case_id") % 19).cast("int")))
     return graph.profiles(involved(spark, sf_dir), c, "case_id", "area", "category", try_ts(c, "ts"))
 
 
@@ -159,9 +163,9 @@ def l9_durations(spark, sf_dir):
 
 
 def bundles(spark, sf_dir, repeats=5):
-    train = features(spark, sf_dir, True)
+    train = cut(features(spark, sf_dir, True))
     detection = triage.train_detection(train, repeats=repeats)
-    timed = train.drop("label").join(l9_durations(spark, sf_dir), "case_id")
+    timed = cut(train.drop("label").join(l9_durations(spark, sf_dir), "case_id"))  # read several times
     return detection, triage.train_duration(timed)
 
 
@@ -200,11 +204,19 @@ def predictions(spark, sf_dir):
     return triage.score_open(features(spark, sf_dir, False), detection, duration)
 
 
-def all_findings(spark, sf_dir):
+#: The types of the findings that each signal can give.
+TYPES = {
+    "spikes": {"spike"}, "risk": {"rising_risk"}, "anomalies": {"anomaly"}, "repeats": {"network_hub"}, "gaps": {"data_gap"}, "clusters": {"spatiotemporal"},
+    "correlation": {"socio_correlation"}, "emerging": {"emerging_typology"}, "methods": {"mo_signature"}, "predictions": {"predicted_undetected", "predicted_stall"},
+}
+
+
+def all_findings(spark, sf_dir, types: set[str] | None = None):
+    """Findings of all signals, or of those that can give one of the types."""
     c, e = cases(spark, sf_dir), events(spark, sf_dir)
-    daily = signals.daily_counts(c, "ts", {"area": "area", "category": "category"})
-    demo = signals.demographics(B.demographics(spark, sf_dir), "area")
-    return findings.build(spark, {
+    daily = cut(signals.daily_counts(c, "ts", {"area": "area", "category": "category"}))  # three signals read it
+    demo = cut(signals.demographics(B.demographics(spark, sf_dir), "area"))
+    made = {
         "spikes": lambda: findings.from_spikes(signals.spike_alerts(daily, ["area", "category"], z_threshold=0.0)),
         "risk": lambda: findings.from_risk(signals.area_risk(daily, demo=demo)),
         "anomalies": lambda: findings.from_anomalies(signals.anomalies(c, CASE_ROLES, "case_id", limit=20)),
@@ -215,7 +227,8 @@ def all_findings(spark, sf_dir):
         "emerging": lambda: findings.from_emerging(signals.emerging(daily)),
         "methods": lambda: findings.from_methods(signals.mo_signatures(e, EVENT_ROLES, "event_id")),
         "predictions": lambda: findings.from_triage(predictions(spark, sf_dir)),
-    })[0]
+    }
+    return findings.build(spark, {k: f for k, f in made.items() if types is None or TYPES[k] & types})[0]
 
 
 @register()
@@ -237,10 +250,66 @@ def f15_brief(spark, sf_dir):
     return findings.brief(findings.select(all_findings(spark, sf_dir)), own.f13_capture_at_k(spark, sf_dir))
 
 
-@register()
+HUBS_SQL = f"SELECT 'network_hub:' || id AS id, 'network_hub' AS type, round_even(least(95, 35 + 6 * cases), 0)::INT AS severity FROM (SELECT * FROM ({own.ORACLE_SQL['g6_repeats']}) ORDER BY cases DESC, id LIMIT 3)"
+METHODS_SQL = f"SELECT 'mo_signature:' || subtype || ':' || band AS id, 'mo_signature' AS type, round_even(least(92, 40 + 4 * n), 0)::INT AS severity FROM (SELECT * FROM ({own.ORACLE_SQL['a10_mo_signatures']}) ORDER BY n DESC, subtype, band LIMIT 2)"
+#: The findings that SQL can express, of the same shape.
+FOUND_SQL = f"""{HUBS_SQL} UNION ALL {METHODS_SQL}
+UNION ALL SELECT 'rising_risk:' || area, 'rising_risk', round_even(least(100, greatest(0, risk_score)), 0)::INT FROM (SELECT * FROM ({own.ORACLE_SQL['a13_area_risk']}) WHERE trend_slope > 0 ORDER BY risk_score DESC, area LIMIT 3)
+UNION ALL SELECT 'spatiotemporal:' || category || ':' || area, 'spatiotemporal', round_even(least(95, 45 + share * 45), 0)::INT FROM ({own.ORACLE_SQL['a7_time_clusters']})
+UNION ALL SELECT 'socio_correlation:' || factor, 'socio_correlation', round_even(least(95, 40 + abs(r) * 55), 0)::INT FROM (SELECT * FROM ({own.ORACLE_SQL['a8_correlation']}) ORDER BY abs(r) DESC, factor LIMIT 1)
+UNION ALL SELECT 'emerging_typology:' || category, 'emerging_typology', round_even(least(95, 45 + growth_pct / 4), 0)::INT FROM (SELECT * FROM ({own.ORACLE_SQL['a9_emerging']}) ORDER BY slope DESC, category LIMIT 2)
+UNION ALL SELECT 'anomaly:records', 'anomaly', round_even(least(85, 40 + 2 * least(20, count(*))), 0)::INT FROM orders HAVING count(*) > 0
+UNION ALL SELECT 'spike:' || area || ':' || category, 'spike', round_even(least(100, greatest(0, 40 + (z_score - 2.0) * 15)), 0)::INT FROM ({own.ORACLE_SQL['a3_spikes'].replace('>= -1', '>= 0')})"""
+FOUND = {"network_hub", "mo_signature", "rising_risk", "spatiotemporal", "socio_correlation", "emerging_typology", "anomaly", "spike"}
+
+
+@register(FOUND_SQL)
+def f3_to_f10_findings(spark, sf_dir):
+    """All findings of the signals that SQL can express."""
+    return all_findings(spark, sf_dir, FOUND).select("id", "type", "severity")
+
+
+@register(f"""WITH f AS ({FOUND_SQL}), c AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY severity DESC, id) AS r FROM f QUALIFY r <= 3)
+SELECT id, type, severity FROM c ORDER BY CASE WHEN r = 1 AND type = 'spike' THEN 0 WHEN r = 1 AND type = 'rising_risk' THEN 1 ELSE 2 END, severity DESC, id LIMIT 7""")
+def f12_selected(spark, sf_dir):
+    """the most severe of these findings, some of each type, the headlines in any case."""
+    return findings.select(all_findings(spark, sf_dir, FOUND)).select("id", "type", "severity")
+
+
+@register(f"SELECT * FROM ({HUBS_SQL} UNION ALL {METHODS_SQL})")
 def f17_mission(spark, sf_dir):
-    """findings of one mission."""
-    return findings.mission(all_findings(spark, sf_dir), "case-linkage").drop("evidence")
+    """findings of one mission; only its signals are computed."""
+    return findings.mission(all_findings(spark, sf_dir, set(findings.MISSIONS["case-linkage"])), "case-linkage").select("id", "type", "severity")
+
+
+@register("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN '12' ELSE '9876543210' END AS phone FROM orders),
+g AS (SELECT 'status' AS c, round(1 - count(status) / count(*), 3) AS rate FROM m UNION ALL SELECT 'phone', round(1 - round(count(*) FILTER (phone <> '12') / count(*), 3), 3) FROM m)
+SELECT 'data_gap:' || c AS id, round_even(least(80, 30 + rate * 60), 0)::INT AS severity FROM g WHERE rate > 0.1 ORDER BY rate DESC, c LIMIT 1""")
+def f6_data_gap(spark, sf_dir):
+    """the column with the worst gap."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("status"), F.when(k % 5 == 0, "12").otherwise("9876543210").alias("phone"))
+    return findings.from_digest(profile.digest(o.select("status", "phone"))).select("id", "severity")
+
+
+#: The formulas of all severities, over figures of each area.
+SEVERITIES_SQL = {
+    "spike": "least(100, greatest(0, 40 + (z - threshold) * 15))", "rising_risk": "least(100, greatest(0, risk))", "network_hub": "least(95, 35 + 6 * cases)", "anomaly": "least(85, 40 + 2 * n)",
+    "data_gap": "least(80, 30 + rate * 60)", "spatiotemporal": "least(95, 45 + share * 45)", "socio_correlation": "least(95, 40 + abs(r) * 55)", "emerging_typology": "least(95, greatest(0, 45 + growth / 4))",
+    "mo_signature": "least(92, 40 + 4 * n)", "predicted_undetected": "least(95, 35 + n * 1.5 + risk * 40)", "predicted_stall": "least(90, 40 + 5 * n)",
+}
+
+
+@register(f"""WITH {CASES_SQL}, a AS (SELECT area, count(*) AS k, count(*) FILTER (status = 'F') / count(*)::DOUBLE AS share FROM cases GROUP BY ALL),
+x AS (SELECT area, (k % 9)::DOUBLE - 3 AS z, 2.0::DOUBLE AS threshold, share AS risk, k % 13 AS cases, k % 11 AS n, share AS rate, share, share - 1 AS r, (k % 400)::DOUBLE - 200 AS growth FROM a)
+{" UNION ALL ".join(f"SELECT area, '{t}' AS type, round_even({f}, 0)::INT AS severity FROM x" for t, f in SEVERITIES_SQL.items())}""")
+def f1_severities(spark, sf_dir):
+    """the eleven formulas over figures of areas."""
+    a = cases(spark, sf_dir).groupBy("area").agg(F.count("*").alias("k"), (F.count_if(F.col("status") == "F") / F.count("*")).alias("share"))
+    k, share = F.col("k"), F.col("share")
+    c = {"z": (k % 9).cast("double") - 3, "threshold": F.lit(2.0), "risk": share, "cases": k % 13, "n": k % 11, "rate": share, "share": share, "r": share - 1, "growth": (k % 400).cast("double") - 200}
+    found = [F.struct(F.lit(t).alias("type"), s.alias("severity")) for t, s in findings.severities(c).items()]
+    return a.select("area", F.inline(F.array(*found)))
 
 
 SEV_SQL = own.ORACLE_SQL["a3_spikes"]
@@ -252,12 +321,26 @@ def f2_spike_findings(spark, sf_dir):
     return findings.from_spikes(own.a3_spikes(spark, sf_dir)).select("id", "severity")
 
 
-@register()
+_LONG = lambda section, key, metrics, source: " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({source})" for m in metrics)
+YEAR_SQL = f"(WITH {CASES_SQL} SELECT * FROM cases WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1997-12-31 23:59:59')"
+_PER_LAKH = f"WITH {own.DEMO_SQL} SELECT area, population, density, urbanization, CAST(NULL AS DOUBLE) AS literacy FROM demo"
+
+
+@register(" UNION ALL ".join([
+    f"SELECT 'kpi' AS section, 'total' AS key, 'value' AS metric, count(*)::DOUBLE AS value FROM {YEAR_SQL}", f"SELECT 'kpi', 'areas', 'value', count(DISTINCT area) FROM {YEAR_SQL}", f"SELECT 'kpi', 'value', 'value', sum(money) FROM {YEAR_SQL}",
+    *[_LONG(s, c, ["count"], f"SELECT {c}, count(*) AS count FROM {YEAR_SQL} GROUP BY ALL ORDER BY count DESC, {c} LIMIT {top}") for s, c, top in (("area", "area", 100), ("category", "category", 50), ("status", "status", 20))],
+    _LONG("month", "strftime(period, '%Y-%m-%d %H:%M:%S')", ["count"], f"SELECT date_trunc('month', ts)::TIMESTAMP AS period, count(*) AS count FROM {YEAR_SQL} GROUP BY ALL"),
+    _LONG("spike", "area || ' / ' || category", ["z_score", "pct_change"], f"SELECT * FROM ({own.ORACLE_SQL['a3_spikes'].replace('>= -1', '>= 2.5')}) ORDER BY z_score DESC, area, category LIMIT 10"),
+    _LONG("risk", "area", ["risk_score", "forecast_daily"], own.ORACLE_SQL["a13_area_risk"]), _LONG("demographics", "area", ["population", "density", "urbanization", "literacy"], _PER_LAKH),
+    _LONG("network", "id", ["cases"], own.ORACLE_SQL["g6_repeats"]),
+]).replace("sum(money)", "round(sum(money), 2)"))
 def r1_handbook(spark, sf_dir):
     """The handbook of a year."""
     specs = [Kpi("total"), Kpi("areas", "distinct", "area"), Kpi("value", "sum", "money")]
     demo = signals.demographics(B.demographics(spark, sf_dir), "area")
-    return reports.handbook(cases(spark, sf_dir), CASE_ROLES, specs, demo, graph.repeat_entities(involved(spark, sf_dir)), 1997)
+    out = reports.handbook(cases(spark, sf_dir), CASE_ROLES, specs, demo, graph.repeat_entities(involved(spark, sf_dir)), 1997)
+    money = (F.col("section") == "kpi") & (F.col("key") == "value")  # sums of doubles end differently
+    return out.withColumn("value", F.when(money, F.round("value", 2)).otherwise(F.col("value")))
 
 
 @register(f"SELECT area, category, z_score FROM ({own.ORACLE_SQL['a3_spikes']}) WHERE category <> '1-URGENT'")

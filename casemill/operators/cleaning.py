@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from casemill.functions.expressions import digits_only, norm_name, squeeze, squeeze_lower
 from casemill.operators.profile import parsed_date
-from casemill.plans.lineage import cut
+from casemill.plans.lineage import cut, small_or_not
 
+#: Rows of a value map that is broadcast.
+MOST_VALUES = 200_000
 CHANGES = "column string, row_key string, op string, before string, after string"
 QUARANTINE = "row_key string, column string, reason string, value string"
 
@@ -116,7 +118,8 @@ def build_value_map(df: DataFrame, column: str, canonical: list[str], threshold:
 def standardize_values(df: DataFrame, column: str, key: str, mapping: DataFrame | None = None) -> Cleaned:
     """Values replaced by a map (value_key, canonical); what the map lacks stays. Without a map: auto_value_map."""
     mapping = cut(mapping if mapping is not None else auto_value_map(df, column)).select(F.col("value_key").alias("__k"), F.col("canonical").alias("__c"))
-    joined = df.join(mapping, squeeze_lower(F.col(column).cast("string")) == F.col("__k"), "left")
+    # a map of values is small as a rule; one that isn't meets the rows in a shuffled join
+    joined = df.join(small_or_not(mapping, MOST_VALUES), squeeze_lower(F.col(column).cast("string")) == F.col("__k"), "left")
     out = _result(joined, key, column, "standardize_values", F.coalesce("__c", F.col(column)), F.lit(None).cast("string"))
     return Cleaned(out.clean.select(*df.columns), out.changes, out.quarantine)
 
@@ -128,31 +131,67 @@ def unmapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return keys.join(mapping, "value_key", "left_anti")
 
 
+def similar_names(names: DataFrame, threshold: float) -> DataFrame:
+    """lo, hi: pairs of names of one place whose indel ratio reaches the threshold, lo < hi.
+
+    names: o (orderable, unique), place, own (text). A ratio of t allows so many insertions and deletions, and each of
+    them destroys two pairs of letters at most; so two similar names share one of their rarest pairs of letters (2 D + 1
+    of them) at nearly the same place. Only names that meet so are compared.
+    """
+    t = threshold / 100
+    size = F.length("own")
+    most = F.floor(2 * (1 - t) / t * size + 1e-9)  # insertions and deletions to the longest similar name
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.struct(F.substring("own", i, F.lit(2)).alias("gram"), i.alias("at")))
+    grams = names.select("o", "place", "own", size.alias("size"), most.alias("most"), F.inline(pairs))
+    grams = cut(grams)
+    often = cut(grams.groupBy("gram").agg(F.count("*").alias("n")))
+    # all places of a pair that recurs have one rank, so they are kept or left out together
+    ranked = grams.join(small_or_not(often, MOST_VALUES), "gram").withColumn("r", F.rank().over(W.partitionBy("o").orderBy("n", "gram")))
+    rare = cut(ranked.filter(F.col("r") <= 2 * F.col("most") + 1).select("o", "place", "own", "size", "most", "gram", "at"))
+    other = rare.select(F.col("o").alias("hi"), "place", "gram", F.col("own").alias("own2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("most").alias("most2"))
+    near = F.least("most", "most2")
+    met = rare.join(other, ["place", "gram"]).filter((F.col("o") < F.col("hi")) & (F.abs(F.col("size") - F.col("size2")) <= near) & (F.abs(F.col("at") - F.col("at2")) <= near))
+    met = met.select(F.col("o").alias("lo"), "hi", "own", "own2").distinct()
+
+    @F.pandas_udf("double")
+    def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return met.filter(ratio_of("own", "own2") >= threshold).select("lo", "hi")
+
+
+def first_representatives(edges: DataFrame) -> DataFrame:
+    """hi, lo: for each node that has one, the first representative linked to it; the others represent themselves.
+
+    In order, a node joins the first representative it is linked to, or else becomes one. Each round all nodes without an
+    earlier open neighbour become representatives and take theirs along.
+    """
+    edges = cut(edges)
+    left, members = edges, edges.select("hi").limit(0)
+    while not left.isEmpty():
+        lead = left.select("lo").distinct().join(left.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti")
+        taken = cut(left.join(lead, "lo", "left_semi").select("hi").distinct())
+        members = members.unionByName(taken)
+        gone = lead.select(F.col("lo").alias("x")).unionByName(taken.select(F.col("hi").alias("x")))
+        left = cut(left.join(gone.withColumnRenamed("x", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("x", "hi"), "hi", "left_anti").select("lo", "hi"))
+    members = cut(members)
+    return edges.join(members, "hi", "left_semi").join(members.select(F.col("hi").alias("lo")), "lo", "left_anti").groupBy("hi").agg(F.min("lo").alias("lo"))
+
+
 def resolve_persons(df: DataFrame, name: str, key: str, locality: str | None = None, threshold: float = 88.0) -> Cleaned:
-    """``person_canonical``: a class of like names of one locality, named after its first spelling's place in order.
+    """``person_canonical``: a class of like names of one locality, named after the key of its first name.
 
-    Distinct (name, locality) pairs meet in blocks of equal first four letters; in each block, in order, a name joins
-    the first representative that is similar enough and has its locality.
+    Names are taken in the order of their first keys; each joins the first representative of its locality whose words, in
+    alphabetical order, are similar enough, or becomes one.
     """
     place = F.coalesce(F.col(locality).cast("string"), F.lit("")) if locality else F.lit("")
     marked = df.withColumn("__n", F.coalesce(norm_name(F.col(name)), F.lit(""))).withColumn("__p", place)
-    pairs = marked.filter("__n <> ''").groupBy("__n", "__p").agg(F.min(F.col(key)).cast("string").alias("first"), F.min(name).alias("spelling"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "__n"])
-        found: list[tuple[str, str, str]] = []
-        out = []
-        for n, p, first in zip(pdf["__n"], pdf["__p"], pdf["first"], strict=True):
-            own = " ".join(sorted(n.split()))
-            hit = next((r for r in found if r[1] == p and indel_ratio(own, r[0]) >= threshold), None)
-            if hit is None:
-                hit = (own, p, f"PC{first}")
-                found.append(hit)
-            out.append(hit[2])
-        return pd.DataFrame({"__n": pdf["__n"], "__p": pdf["__p"], "person": out})
-
-    # names of one locality only are compared, so the locality is part of the block
-    made = cut(pairs.groupBy(F.substring("__n", 1, 4).alias("block"), F.col("__p").alias("bp")).applyInPandas(greedy, "__n string, __p string, person string"))
+    first = marked.filter("__n <> ''").groupBy("__n", "__p").agg(F.min(key).alias("first"))
+    own = F.array_join(F.array_sort(F.split("__n", " ")), " ")
+    names = cut(first.select(F.struct("first", "__n", "__p").alias("o"), F.col("__p").alias("place"), own.alias("own")))
+    joins = first_representatives(similar_names(names, threshold))
+    made = names.join(joins, names.o == joins.hi, "left").select("o.__n", "o.__p", F.concat(F.lit("PC"), F.coalesce("lo.first", "o.first").cast("string")).alias("person"))
+    made = cut(made)
     joined = marked.join(made, ["__n", "__p"], "left").withColumn("person_canonical", F.col("person"))
     several = made.groupBy("person").agg(F.count("*").alias("m")).filter("m > 1")
     changes = joined.join(several, "person").select(F.lit(name).alias("column"), F.col(key).cast("string").alias("row_key"), F.lit("merge_person").alias("op"), F.col(name).alias("before"), F.col("person").alias("after"))
@@ -179,10 +218,15 @@ def handle_missing(df: DataFrame, column: str, key: str, policy: str = "flag", r
 
 
 def dedupe_rows(df: DataFrame, keys: list[str], order: str) -> Cleaned:
-    """The first row of each key (null keys are equal), by an order column; the others go to quarantine."""
-    ranked = df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *[F.col(f"`{c}`").asc_nulls_last() for c in df.columns if c != order and dict(df.dtypes)[c][:3] not in ("map",)])))
-    rest = ranked.filter("__r > 1").select(F.col(order).cast("string").alias("row_key"), F.lit(",".join(keys)).alias("column"), F.lit("duplicate").alias("reason"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
-    return Cleaned(ranked.filter("__r = 1").drop("__r"), _empty(df, CHANGES), rest)
+    """The first row of each key (null keys are equal), by an order column; the others go to quarantine.
+
+    The first rows are a minimum, so that a key of very many rows is aggregated before the shuffle; columns cannot be maps.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    by = F.struct(*[x for c in (order, *(c for c in df.columns if c != order)) for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])  # nulls last
+    clean = df.groupBy(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, by).alias("__r")).select("__r.*")
+    rest = df.exceptAll(clean).select(F.col(order).cast("string").alias("row_key"), F.lit(",".join(keys)).alias("column"), F.lit("duplicate").alias("reason"), F.to_json(whole).alias("value"))
+    return Cleaned(clean, _empty(df, CHANGES), rest)
 
 
 STEPS: dict[str, Callable[..., Cleaned]] = {
@@ -192,7 +236,10 @@ STEPS: dict[str, Callable[..., Cleaned]] = {
 
 
 def execute_plan(df: DataFrame, plan: list[dict], key: str) -> Cleaned:
-    """Steps in order: {"op", "column", ...}, or {"op": "dedupe_rows", "keys"}. Unknown and failing steps are skipped and named."""
+    """Steps in order: {"op", "column", ...}, or {"op": "dedupe_rows", "keys"}. Unknown and failing steps are skipped and named.
+
+    Each step's table is computed and kept, so that a step that fails shows, and later ones don't repeat earlier ones.
+    """
     changes, quarantine, skipped = _empty(df, CHANGES), _empty(df, QUARANTINE), []
     for step in plan:
         p = {k: v for k, v in step.items() if k != "op"}
@@ -204,11 +251,11 @@ def execute_plan(df: DataFrame, plan: list[dict], key: str) -> Cleaned:
             else:
                 skipped.append(step["op"])
                 continue
-            out.clean.schema  # noqa: B018  an unknown column shows here
+            clean = cut(out.clean)
         except Exception as e:  # a failing step is part of the result
             skipped.append(f"{step['op']}: {type(e).__name__}")
             continue
-        df = out.clean
+        df = clean
         changes, quarantine = changes.unionByName(out.changes), quarantine.unionByName(out.quarantine)
     return Cleaned(df, changes, quarantine, skipped)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions.expressions import severity
+from casemill.plans.lineage import cut
 
 SHAPE = "id string, type string, severity int, title string, evidence map<string,string>, area string, category string, suggested_action string, surface string"
 PER_TYPE, TOP, HEADLINES = 3, 7, ("spike", "rising_risk")
@@ -97,9 +98,9 @@ def from_methods(methods: DataFrame, top: int = 2) -> DataFrame:
     return _shape(own, "mo_signature", _s(F.col("subtype"), ":", F.col("band")), severities({"n": F.col("n")})["mo_signature"], _s(F.col("subtype"), " at ", F.col("band"), " in ", F.col("n_areas"), " areas"), ["n", "n_areas"], F.lit("Compare the cases"), category=F.col("subtype"), surface="network")
 
 
-def from_triage(scored: DataFrame, likely: float = 0.35) -> DataFrame:
-    """One finding on cases that will hardly be detected, and one on cases that will take long."""
-    n = scored.agg(F.count_if(F.col("probability") < likely).alias("n"), F.coalesce(F.avg(F.when(F.col("probability") < likely, 1 - F.col("probability"))), F.lit(0.0)).alias("risk"), F.count_if("stall").alias("stall"))
+def from_triage(scored: DataFrame) -> DataFrame:
+    """One finding on the flagged cases (those that score_open gives: the least likely to be detected), and one on cases that will take long."""
+    n = scored.agg(F.count("*").alias("n"), F.coalesce(F.avg(1 - F.col("probability")), F.lit(0.0)).alias("risk"), F.count_if("stall").alias("stall"))
     low = _shape(n.filter("n > 0"), "predicted_undetected", F.lit("open"), severities({"n": F.col("n"), "risk": F.col("risk")})["predicted_undetected"], _s(F.col("n"), " open cases will hardly be detected (advisory)"), ["n", "risk"], F.lit("Review these cases first"))
     slow = n.select(F.col("stall").alias("n")).filter("n > 0")
     return low.unionByName(_shape(slow, "predicted_stall", F.lit("open"), severities({"n": F.col("n")})["predicted_stall"], _s(F.col("n"), " open cases may take longer than usual (advisory)"), ["n"], F.lit("Check for what holds them up")))
@@ -147,13 +148,14 @@ def brief(selected: DataFrame, backtest: DataFrame | None = None) -> DataFrame:
 
 
 def build(spark: SparkSession, signals: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
-    """All findings of the signals, and why the others gave none: a failing signal contributes nothing."""
+    """All findings of the signals, and why the others gave none: a failing signal contributes nothing.
+
+    Each signal is computed here (it is a few rows), so that one that fails only while its job runs is contained too.
+    """
     out, failed = spark.createDataFrame([], SHAPE), {}
     for name, make in signals.items():
         try:
-            found = make()
-            found.schema  # noqa: B018
-            out = out.unionByName(found)
+            out = out.unionByName(cut(make()))
         except Exception as e:  # the other signals still count
             failed[name] = f"{type(e).__name__}: {e}"[:300]
     return out, failed

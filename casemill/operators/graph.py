@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions.expressions import hour_band, token_key
-from casemill.plans.lineage import cut
+from casemill.plans.lineage import cut, small_or_not
 
+#: Nodes of a neighbourhood that are broadcast to the edges.
+FRONTIER = 500_000
 EDGES = "src string, dst string, kind string, value string"
 
 
@@ -115,11 +117,12 @@ def community_sizes(labels: DataFrame, column: str, least: int = 3, top: int = 1
 
 def ego(edges: DataFrame, centre: str, hops: int = 2, most: int = 150) -> DataFrame:
     """src, dst: edges among the centre and its neighbourhood's ``most`` nodes of most neighbours in it."""
-    pairs = cut(both_ways(edges))
+    own = edges.filter("src <> dst").select("src", "dst")
     seen = edges.sparkSession.createDataFrame([(centre,)], "id string")
-    for _ in range(hops):
-        seen = cut(seen.union(pairs.join(seen, pairs.a == seen.id, "left_semi").select("b")).distinct())
-    within = pairs.join(seen.select(F.col("id").alias("a")), "a", "left_semi").join(seen.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    at = lambda column: small_or_not(seen, FRONTIER).select(F.col("id").alias(column))
+    for _ in range(hops):  # the stored edges are read again each time, never written
+        seen = cut(seen.union(own.join(at("src"), "src", "left_semi").select("dst")).union(own.join(at("dst"), "dst", "left_semi").select("src")).distinct())
+    within = cut(both_ways(own.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi")))
     degree = within.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d"))
     kept = cut(degree.orderBy((F.col("id") == centre).desc(), F.desc("d"), "id").limit(most).select("id"))
     few = F.broadcast(kept)  # at most ``most`` rows
@@ -129,15 +132,22 @@ def ego(edges: DataFrame, centre: str, hops: int = 2, most: int = 150) -> DataFr
 def profiles(involved: DataFrame, cases: DataFrame, case_id: str, area: str, kind: str, time: Column) -> DataFrame:
     """id, n_cases, areas, top_kind, peak_band, cases (25): each entity's cases in short."""
     own = cases.select(node_id("case", F.col(case_id)).alias("dst"), F.col(area).cast("string").alias("area"), F.col(kind).cast("string").alias("kind"), hour_band(F.hour(time)).alias("band"), F.hour(time).alias("h"))
+    own = own.withColumn("band", F.when(F.col("h").isNotNull(), F.col("band"))).drop("h")
     rows = involved.select(F.col("src").alias("id"), "dst").distinct().join(own, "dst")
+    # an entity's cases are put together by area, kind and band first, each with its first 25 cases: groups that stay small
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("id", "area", "kind", "band").orderBy("dst"))).filter("r <= 25")
+    several = rows.groupBy("id", "area", "kind", "band").agg(F.count("*").alias("n"))
+    few = first.groupBy("id", "area", "kind", "band").agg(F.collect_list("dst").alias("c"))
+    same = ["id", "area", "kind", "band"]
+    met = several.join(few.toDF(*[f"__{c}" for c in same], "c"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]).select(*same, "n", "c")
+    parts = met.groupBy("id").agg(F.sum("n").alias("n_cases"), F.sort_array(F.collect_set("area")).alias("areas"), F.collect_list(F.struct("kind", "band", "n")).alias("k"), F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, 25).alias("cases"))
 
-    def commonest(column: str, name: str) -> DataFrame:
-        n = rows.filter(F.col(column).isNotNull() & (F.col("h").isNotNull() if column == "band" else F.lit(True))).groupBy("id", column).agg(F.count("*").alias("n"))
-        return n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), column)).alias("v")).select("id", F.col(f"v.{column}").alias(name))
+    def commonest(column: str) -> Column:
+        names = F.array_distinct(F.filter(F.transform("k", lambda x: x[column]), lambda v: v.isNotNull()))
+        total = lambda v: F.aggregate(F.filter("k", lambda x: x[column] == v), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.array_min(F.transform(names, lambda v: F.struct((-total(v)).alias("m"), v.alias("v"))))["v"]
 
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dst"))).filter("r <= 25").groupBy("id").agg(F.sort_array(F.collect_list("dst")).alias("cases"))
-    main = rows.groupBy("id").agg(F.countDistinct("dst").alias("n_cases"), F.sort_array(F.collect_set("area")).alias("areas")).join(first, "id")
-    return main.join(commonest("kind", "top_kind"), "id", "left").join(commonest("band", "peak_band"), "id", "left").select("id", "n_cases", "areas", "top_kind", "peak_band", "cases")
+    return parts.select("id", "n_cases", "areas", commonest("kind").alias("top_kind"), commonest("band").alias("peak_band"), "cases")
 
 
 def profile_of(all_profiles: DataFrame, node: str) -> DataFrame:
@@ -153,5 +163,5 @@ def search(all_nodes: DataFrame, edges: DataFrame, text: str, top: int = 20) ->
     low = text.lower()
     hit = all_nodes.filter(F.lower("id").contains(low) | F.lower(F.coalesce("label", F.lit(""))).contains(low)).orderBy("id").limit(top)
     few = cut(hit)  # at most ``top`` rows
-    near = edges.join(F.broadcast(few.select(F.col("id").alias("x"))), (F.col("src") == F.col("x")) | (F.col("dst") == F.col("x")), "left_semi")
-    return few.join(degrees(near), "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+    end = lambda c: edges.select("src", "dst").join(F.broadcast(few.select(F.col("id").alias(c))), c, "left_semi").select("src", "dst")
+    return few.join(degrees(end("src").unionByName(end("dst"))), "id", "left").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -55,19 +55,30 @@ class Appended:
     duplicates_skipped: int
     extras_ignored: int
     new_table: bool
+    profile: DataFrame | None = None
 
 
-def append(incoming: DataFrame, stored: DataFrame | None, roles: RoleMap | None = None, read_only: bool = False) -> Appended:
-    """The stored table and the incoming rows that it lacks; roles (if given) name the id and are left as they are."""
+def reprofile(table: DataFrame, name: str, roles: RoleMap | None = None) -> DataFrame:
+    """A profile of a table's columns as they are now; columns that had a role keep it."""
+    from casemill.operators.profile import column_stats, infer_roles
+
+    fresh = infer_roles(column_stats(table, name))
+    kept = F.create_map(*[F.lit(x) for pair in roles.columns.items() for x in pair]) if roles and roles.columns else F.lit(None).cast("map<string,string>")
+    return fresh.withColumn("role", F.coalesce(F.try_element_at(kept, F.col("column")), "role"))
+
+
+def append(incoming: DataFrame, stored: DataFrame | None, roles: RoleMap | None = None, read_only: bool = False, name: str = "table") -> Appended:
+    """The stored table and the incoming rows that it lacks, with a fresh profile; roles (if given) name the id and stay."""
     if read_only:
         raise PermissionError("the data set is read-only")
     if stored is None:
-        return Appended(incoming, incoming.count(), 0, 0, True)
+        return Appended(incoming, incoming.count(), 0, 0, True, reprofile(incoming, name))
     rows, extras = align(incoming, stored)
     key = roles.first("id") if roles else None
     new = new_by_id(rows, stored, key) if key in stored.columns else new_by_row(rows, stored)
     n, added = rows.count(), new.count()
-    return Appended(stored.unionByName(new), added, n - added, extras, False)
+    table = stored.unionByName(new)
+    return Appended(table, added, n - added, extras, False, reprofile(table, name, roles))
 
 
 def link_new_table(profile: DataFrame, table: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,14 +26,18 @@ class Window:
         self.before = self.start - (self.end - self.start)
 
 
+def _at(t: datetime) -> Column:
+    """A time without zone; a datetime as such would be read in the session's zone."""
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def in_windows(df: DataFrame, roles: RoleMap, w: Window, area: str | None = None, category: str | None = None) -> DataFrame:
     """The rows of both windows with __ts and __now (whether in the current one); filters compare as text."""
     for role, want in (("admin_area_1", area), ("category", category)):
         if want is not None and roles.first(role):
             df = df.filter(F.col(roles.first(role)).cast("string") == want)
-    ts = F.lit(w.start).cast("timestamp_ntz")
-    rows = df.withColumn("__ts", try_ts(df, roles.time)).filter((F.col("__ts") >= F.lit(w.before).cast("timestamp_ntz")) & (F.col("__ts") < F.lit(w.end).cast("timestamp_ntz")))
-    return rows.withColumn("__now", F.col("__ts") >= ts)
+    rows = df.withColumn("__ts", try_ts(df, roles.time)).filter((F.col("__ts") >= _at(w.before)) & (F.col("__ts") < _at(w.end)))
+    return rows.withColumn("__now", F.col("__ts") >= _at(w.start))
 
 
 def compare(df: DataFrame, roles: RoleMap, w: Window, version: str = "", area: str | None = None, category: str | None = None) -> DataFrame:
@@ -61,12 +65,22 @@ def _frames(w: Window, frame_days: int) -> list[tuple[int, datetime, datetime]]:
     return out
 
 
+_DAY = 86_400_000_000
+
+
+def _micros(ts: Column) -> Column:
+    """Microseconds of a timestamp without time zone since 1970, by its parts: no session zone has a say in it."""
+    seconds = (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("long") * _DAY + seconds
+
+
 def frames(df: DataFrame, roles: RoleMap, w: Window, frame_days: int) -> DataFrame:
     """frame, start, end, n: all frames of the window; the last one ends with it."""
     spark = df.sparkSession
     every = F.broadcast(spark.createDataFrame(_frames(w, frame_days), "frame int, start timestamp_ntz, end timestamp_ntz"))
     rows = in_windows(df, roles, w).filter("__now")
-    n = rows.groupBy(F.floor(F.datediff("__ts", F.lit(w.start)) / frame_days).cast("int").alias("frame")).agg(F.count("*").alias("n"))
+    since = _micros(F.col("__ts")) - _micros(_at(w.start))  # frames are [start, end), whatever the time of day
+    n = rows.groupBy(F.floor(since / (frame_days * _DAY)).cast("int").alias("frame")).agg(F.count("*").alias("n"))
     return every.join(n, "frame", "left").select("frame", "start", "end", F.coalesce("n", F.lit(0)).alias("n")).orderBy("frame")
 
 
@@ -81,9 +95,9 @@ def frame_cells(df: DataFrame, roles: RoleMap, w: Window, frame_days: int) -> Da
     met = rows.join(plan, (F.col("__ts") >= F.col("before")) & (F.col("__ts") < F.col("end")))
     now = F.col("__ts") >= F.col("start")
     n = met.groupBy("frame", "lat", "lng").agg(F.count_if(now).alias("n"), F.count_if(~now).alias("p"))
-    rank = lambda c: F.row_number().over(W.partitionBy("frame").orderBy(F.desc(c), "lat", "lng"))
-    n = n.withColumn("r", rank("n")).withColumn("rp", rank("p"))
-    previous = F.when((F.col("rp") <= MOST_CELLS), F.col("p")).otherwise(0)
-    out = n.filter((F.col("n") > 0) & (F.col("r") <= MOST_CELLS)).withColumn("previous", previous)
+    # each ranking by itself, so that it is cut off before the shuffle; no task gets all cells of a frame
+    best = lambda c: n.withColumn("r", F.row_number().over(W.partitionBy("frame").orderBy(F.desc(c), "lat", "lng"))).filter(F.col("r") <= MOST_CELLS)
+    old = best("p").select("frame", "lat", "lng", F.col("p").alias("previous"))
+    out = best("n").filter("n > 0").select("frame", "lat", "lng", "n").join(old, ["frame", "lat", "lng"], "left").withColumn("previous", F.coalesce("previous", F.lit(0)))
     kind = F.when(F.col("previous") == 0, "emerging").when(F.col("n") < F.col("previous"), "declining").otherwise("persistent")
     return out.select("frame", "lat", "lng", "n", "previous", kind.alias("kind"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,6 +109,15 @@ def relations(profile: DataFrame) -> DataFrame:
     return shared.join(own, "column").filter(F.col("table") != F.col("to_table")).select(F.col("table").alias("from_table"), F.col("column").alias("from_column"), "to_table", F.col("column").alias("to_column"))
 
 
+def relabelled(profile: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``profile`` with the roles that relations give: id for the column they point at, foreign_key for the others."""
+    found = relations(profile) if found is None else found
+    to = found.select(F.col("to_table").alias("table"), F.col("to_column").alias("column"), F.lit("id").alias("__new"))
+    away = found.select(F.col("from_table").alias("table"), F.col("from_column").alias("column"), F.lit("foreign_key").alias("__new"))
+    new = to.unionByName(away).groupBy("table", "column").agg(F.max("__new").alias("__new"))  # a row a key column
+    return profile.join(F.broadcast(new), ["table", "column"], "left").withColumn("role", F.coalesce("__new", "role")).select(*profile.columns)
+
+
 def resolve_labels(child: DataFrame, masters: list[tuple[DataFrame, str, str]], most_rows: int = LABEL_ROWS) -> DataFrame:
     """``child`` with the label of each small master: (master, key, label), joined on the key of the same name.
 
@@ -181,29 +192,54 @@ def domain_pack(profile: DataFrame, values: DataFrame, table: str) -> DataFrame:
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "d/M/yyyy", "d-M-yyyy", "dd.MM.yyyy", "MM/dd/yyyy", "MM-dd-yyyy", "d MMM yyyy", "dd MMM yyyy", "MMM d, yyyy", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm")
 
 
+def _shape(pattern: str) -> str:
+    """A regular expression of the texts that a date format can read."""
+    parts = re.split(r"(y+|M+|d+|H+|m+|s+|'[^']*')", pattern)
+    width = {"d": r"\d\d?", "M": r"\d\d?", "MMM": "[A-Za-z]{3}", "yyyy": r"\d{4}"}
+    return "^" + "".join(p.strip("'") if p.startswith("'") else width.get(p, r"\d\d") if re.fullmatch(r"[yMdHms]+", p) else re.escape(p) for p in parts) + "$"
+
+
 def parsed_date(c: Column) -> Column:
-    """A text's date by the first format that fits; days come before months unless they cannot."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    """A text's date by the first format that fits; days come before months unless they cannot.
 
+    A format is tried only on texts of its shape, as a failed try is costly.
+    """
+    text = F.trim(c)
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]).cast("date")
 
-def digest(df: DataFrame) -> DataFrame:
-    """column, rows, duplicate_rows, null_pct, distinct, samples, date_parse_rate, phone_like_rate, values."""
-    aggs = [F.count("*").alias("rows"), F.countDistinct(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("whole")]
-    out = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
-        text = isinstance(f.dataType, T.StringType)
-        aggs += [F.count(c).alias(f"n{i}"), F.countDistinct(c).alias(f"d{i}")]
-        if text:
-            aggs += [F.avg(F.when(c.isNotNull(), parsed_date(c).isNotNull().cast("int"))).alias(f"t{i}"), F.avg(F.when(c.isNotNull(), (F.length(digits_only(c)) == 10).cast("int"))).alias(f"p{i}")]
-        rate = lambda k: F.round(F.coalesce(F.col(k), F.lit(0.0)), 3) if text else F.lit(None).cast("double")  # noqa: B023, E731
-        nulls = F.when(F.col("rows") > 0, F.round(1 - F.col(f"n{i}") / F.col("rows"), 3)).otherwise(0.0)
-        out.append(F.struct(F.lit(f.name).alias("column"), "rows", (F.col("rows") - F.col("whole")).alias("duplicate_rows"), nulls.alias("null_pct"), F.col(f"d{i}").alias("distinct"), rate(f"t{i}").alias("date_parse_rate"), rate(f"p{i}").alias("phone_like_rate")))
-    stats = df.agg(*aggs).select(F.inline(F.array(*out)))
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in df.schema.fields])))
-    ranked = long.filter("value IS NOT NULL").distinct().withColumn("r", F.row_number().over(W.partitionBy("column").orderBy("value"))).filter("r <= 26")
-    values = ranked.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    both = stats.join(values, "column", "left").withColumn("v", F.coalesce("v", F.array().cast("array<string>")))
-    return both.select("column", "rows", "duplicate_rows", "null_pct", "distinct", F.slice("v", 1, 5).alias("samples"), "date_parse_rate", "phone_like_rate", F.when(F.col("distinct") <= 25, F.col("v")).alias("values"))
+
+def _whole_rows(df: DataFrame) -> DataFrame:
+    """One row: the number of distinct rows, by two 64-bit hashes of their columns (maps as JSON)."""
+    cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns])  # hashes pass over nulls
+    both = df.select(F.xxhash64(nulls, *cols).alias("a"), F.xxhash64(F.lit(1), *cols, nulls).alias("b"))
+    return both.distinct().agg(F.count("*").alias("whole"))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    """column, rows, duplicate_rows, null_pct, distinct, samples, date_parse_rate, phone_like_rate, values.
+
+    Values are counted first; dates and phone numbers are looked for in distinct values, weighted by their counts.
+    """
+    fields = df.schema.fields
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f.name}`").cast("string").alias("value")) for i, f in enumerate(fields)])))
+    counts = long.groupBy("i", "value").agg(F.count("*").alias("n"))
+    text = F.col("i").isin([i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)])
+    known = F.col("value").isNotNull()
+    share = lambda hit: F.sum(F.when(text & known & hit, F.col("n")).otherwise(0)) / F.sum(F.when(known, F.col("n")))
+    stats = counts.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("known"), F.count("value").alias("distinct"),
+        share(parsed_date(F.col("value")).isNotNull()).alias("dates"), share(F.length(digits_only(F.col("value"))) == 10).alias("phones"),
+    )
+    first = counts.filter(known).withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("value"))).filter("r <= 26")  # cut off before the shuffle
+    values = first.groupBy("i").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    names = df.sparkSession.createDataFrame([(i, f.name, isinstance(f.dataType, T.StringType)) for i, f in enumerate(fields)], "i int, column string, is_text boolean")
+    both = names.join(F.broadcast(stats), "i", "left").join(F.broadcast(values), "i", "left").crossJoin(F.broadcast(_whole_rows(df)))  # a row a column
+    rows = F.coalesce("rows", F.lit(0)).cast("long")
+    nulls = F.when(rows > 0, F.round(1 - F.col("known") / rows, 3)).otherwise(0.0)
+    rate = lambda c: F.when(F.col("is_text"), F.round(F.coalesce(c, F.lit(0.0)), 3))
+    v, distinct = F.coalesce("v", F.array().cast("array<string>")), F.coalesce("distinct", F.lit(0))
+    return both.select(
+        "column", rows.alias("rows"), (rows - F.col("whole")).alias("duplicate_rows"), nulls.alias("null_pct"), distinct.alias("distinct"), F.slice(v, 1, 5).alias("samples"),
+        rate("dates").alias("date_parse_rate"), rate("phones").alias("phone_like_rate"), F.when(distinct <= 25, v).alias("values"),
+    )

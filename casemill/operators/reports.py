@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions.expressions import pct_delta, try_ts
 from casemill.functions.roles import RoleMap
 from casemill.operators import query, signals
 from casemill.operators.query import Kpi, Query
+from casemill.plans.lineage import cut
 
 LONG = "section string, key string, metric string, value double"
 
@@ -53,35 +55,51 @@ def new_alerts(daily: DataFrame, groups: list[str], existing: DataFrame, window_
     return found.join(known, same, "left_anti")
 
 
-def scan_all(datasets: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """dataset, alerts: new alerts of each data set; one that fails doesn't stop the others."""
-    out, failed = None, {}
+def scan_all(spark: SparkSession, datasets: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """dataset, alerts: new alerts of each data set; one whose job fails, at whatever point, doesn't stop the others."""
+    out, failed = [], {}
     for name, make in datasets.items():
         try:
-            own = make().agg(F.count("*").alias("alerts")).select(F.lit(name).alias("dataset"), "alerts")
-            own.schema  # noqa: B018
-            out = own if out is None else out.unionByName(own)
+            out.append((name, make().count()))
         except Exception as e:
             failed[name] = f"{type(e).__name__}: {e}"[:300]
-    return out, failed
+    return spark.createDataFrame(out, "dataset string, alerts long"), failed
 
 
 def latest_alerts(alerts: DataFrame, at: str = "created_at", limit: int = 100) -> DataFrame:
     return alerts.orderBy(F.desc(at), *[c for c in alerts.columns if c != at]).limit(limit)
 
 
-def watch(rules: DataFrame, df: DataFrame, roles: RoleMap, existing: DataFrame | None = None, version: str = "", most_rules: int = 10_000) -> DataFrame:
+def counts_before(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """at, before: for each distinct time of ``points`` (at), the rows (ts) earlier than it.
+
+    Whole days are added up over a row a day; within its own day each point meets the times of that day only.
+    """
+    times = rows.groupBy(F.col("ts").cast("date").alias("day"), "ts").agg(F.count("*").alias("n"))
+    asked = points.select("at").distinct().withColumn("day", F.col("at").cast("date"))
+    days = times.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.lit(1).alias("own"), "n", F.lit(None).cast("timestamp_ntz").alias("at"))
+    marks = days.unionByName(asked.select("day", F.lit(0).alias("own"), F.lit(0).cast("long").alias("n"), "at"))
+    upto = W.orderBy("day", "own").rowsBetween(W.unboundedPreceding, W.currentRow)  # days and points: few rows
+    earlier = marks.withColumn("before", F.sum("n").over(upto)).filter("own = 0").select("at", "before")
+    same_day = asked.join(times, "day").filter(F.col("ts") < F.col("at")).groupBy("at").agg(F.sum("n").alias("same"))
+    return earlier.join(same_day, "at", "left").select("at", (F.col("before") + F.coalesce("same", F.lit(0))).alias("before"))
+
+
+def watch(rules: DataFrame, df: DataFrame, roles: RoleMap, existing: DataFrame | None = None, version: str = "") -> DataFrame:
     """rule_id, percent_change, event: enabled rules whose window changed enough against the one before.
 
     rules: rule_id, start, end (timestamp_ntz), threshold, comparison (gte or lte), enabled. Each is counted once a
-    version: events (column event) that exist already are left out. Cases meet the rules whose windows they are in.
+    version: events (column event) that exist already are left out. A window's cases are those before its end less those
+    before its start, so rules and cases never meet in a range join.
     """
     own = rules.filter("enabled").select("rule_id", "start", "end", "threshold", "comparison", (F.col("start") - (F.col("end") - F.col("start"))).alias("before"))
-    small = own.limit(most_rules + 1).count() <= most_rules
-    rows = df.select(try_ts(df, roles.time).alias("__ts")).filter("__ts IS NOT NULL").groupBy("__ts").agg(F.count("*").alias("n"))
-    met = rows.join(F.broadcast(own) if small else own, (F.col("__ts") >= F.col("before")) & (F.col("__ts") < F.col("end")))
-    now = F.col("__ts") >= F.col("start")
-    n = met.groupBy("rule_id", "start", "end", "threshold", "comparison").agg(F.sum(F.when(now, F.col("n")).otherwise(0)).alias("current"), F.sum(F.when(~now, F.col("n")).otherwise(0)).alias("previous"))
+    rows = df.select(try_ts(df, roles.time).alias("ts")).filter("ts IS NOT NULL")
+    points = own.select(F.explode(F.array("before", "start", "end")).alias("at"))
+    counts = cut(counts_before(rows, points))
+    n = own
+    for c in ("before", "start", "end"):
+        n = n.join(counts.select(F.col("at").alias(c), F.col("before").alias(f"n_{c}")), c)
+    n = n.withColumns({"current": F.col("n_end") - F.col("n_start"), "previous": F.col("n_start") - F.col("n_before")})
     n = n.withColumn("percent_change", pct_delta(F.col("current"), F.col("previous")))
     hit = F.when(F.col("comparison") == "gte", F.col("percent_change") >= F.col("threshold")).otherwise(F.col("percent_change") <= F.col("threshold"))
     event = F.sha2(F.concat_ws("|", F.col("rule_id").cast("string"), F.lit(version), F.date_format("start", "yyyy-MM-dd HH:mm:ss"), F.date_format("end", "yyyy-MM-dd HH:mm:ss")), 256)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -44,25 +45,25 @@ def daily_counts(df: DataFrame, time: str, groups: dict[str, str]) -> DataFrame:
     return df.select(*keys, day_of(df, time).alias("day")).filter("day IS NOT NULL").groupBy(*groups, "day").agg(F.count("*").alias("n"))
 
 
-def spike_alerts(daily: DataFrame, groups: list[str], window_days: int = 28, z_threshold: float = 2.5, top: int = 50) -> DataFrame:
+def spike_alerts(daily: DataFrame, groups: list[str], window_days: int = 28, z_threshold: float = 2.5, top: int = 50, least_days: int = 30) -> DataFrame:
     """Groups whose recent mean day is far above their baseline (means are over the days that occur)."""
     last = F.broadcast(daily.agg(F.max("day").alias("__last")))
     rows = daily.filter(" AND ".join(f"`{g}` IS NOT NULL" for g in groups) or "true").crossJoin(last)
     recent = F.col("day") >= F.date_sub("__last", window_days)
     old, new = F.when(~recent, F.col("n")), F.when(recent, F.col("n"))
     stats = rows.groupBy(*groups).agg(F.avg(old).alias("mu"), F.stddev_samp(old).alias("sd"), F.count(old).alias("days"), F.avg(new).alias("now"))
-    stats = stats.filter("days >= 30 AND now IS NOT NULL")
+    stats = stats.filter((F.col("days") >= least_days) & F.col("now").isNotNull())
     z = (F.col("now") - F.col("mu")) / F.greatest(F.coalesce("sd", F.lit(0.0)), F.lit(0.5))
     out = stats.withColumn("z", z).filter(F.col("z") >= z_threshold)
     out = out.select(*groups, F.round("mu", 2).alias("baseline_daily"), F.round("now", 2).alias("recent_daily"), F.round(ratio((F.col("now") - F.col("mu")) * 100, F.col("mu")), 1).alias("pct_change"), F.round("z", 2).alias("z_score"))
     return out.orderBy(F.desc("z_score"), *groups).limit(top)
 
 
-def anomalies(df: DataFrame, roles: RoleMap, key: str, contamination: float = 0.01, limit: int = 50, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """key, score: the rows that an isolation forest splits off soonest, by score (the higher the odder).
 
     Each tree is grown from its own hashed sample of at most ``sample`` rows in a task of its own; the forest (a bounded
-    number of nodes) then scores all rows. contamination shifts scores, not their order.
+    number of nodes) then scores all rows.
     """
     spark = df.sparkSession
     x, names = df, []
@@ -249,13 +250,13 @@ def area_risk(daily: DataFrame, horizon_days: int = 7, demo: DataFrame | None =
     exposed = False
     if demo is not None:
         s = s.join(demo, "area", "left").withColumn("per_lakh", F.round(per_lakh(F.col("total"), F.col("population")), 2))
-        s = min_max(s, {"density": "__den", "urbanization": "__urb"})
+        s = min_max(cut(s), {"density": "__den", "urbanization": "__urb"})  # a row an area, read several times
         s = s.withColumn("exposure", 0.6 * F.col("__den") + 0.4 * F.col("__urb")).drop("__den", "__urb")
         covered = s.agg(F.count("population").alias("c"), F.count("*").alias("n")).first()
         exposed = covered.c >= max(covered.n // 2, 1)
     else:
         s = s.withColumn("per_lakh", F.lit(None).cast("double"))
-    out = risk_score(s, exposed).withColumn("risk_score", F.round(F.col("score") * 100, 1))
+    out = risk_score(cut(s), exposed).withColumn("risk_score", F.round(F.col("score") * 100, 1))
     return out.select("area", "risk_score", F.col("vol").alias("recent_daily"), F.col("slope").alias("trend_slope"), F.col("z").alias("z_score"), "forecast_daily", "per_lakh").orderBy(F.desc("risk_score"), "area")
 
 
@@ -267,7 +268,8 @@ def capture_at_k(daily: DataFrame, window_days: int = 7, max_folds: int = 3, min
         return unavailable(daily.sparkSession, schema, "insufficient history")
     k = max(3, math.ceil(0.2 * ends.n))
     folds = F.explode(F.sequence(F.lit(1), F.lit(max_folds))).alias("fold")
-    rows = daily.filter("area IS NOT NULL").select("area", "day", "n", folds).withColumn("at", F.date_sub(F.lit(ends.hi), F.col("fold") * window_days))
+    first = ends.hi - timedelta(days=window_days * max_folds + 28)  # no fold looks further back
+    rows = daily.filter(F.col("area").isNotNull() & (F.col("day") > F.lit(first))).select("area", "day", "n", folds).withColumn("at", F.date_sub(F.lit(ends.hi), F.col("fold") * window_days))
     past = (F.col("day") <= F.col("at")) & (F.col("day") > F.date_sub("at", 28))
     future = (F.col("day") > F.col("at")) & (F.col("day") <= F.date_add("at", window_days))
     areas = rows.groupBy("fold", "area").agg(F.sum(F.when(past, F.col("n"))).alias("past"), F.coalesce(F.sum(F.when(future, F.col("n"))), F.lit(0)).alias("future"))

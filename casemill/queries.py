@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,25 @@ def q3_date_parts(spark, sf_dir):
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
 
+GRAINS_SQL = " UNION ALL ".join(f"SELECT '{g}' AS grain, date_trunc('{g}', ts)::TIMESTAMP AS period, count(*) AS count, count(DISTINCT area) AS distinct_area FROM ev GROUP BY ALL" for g in query.GRAINS)
+
+
+@register(f"WITH {EVENTS_SQL} {GRAINS_SQL}")
+def q2_grains(spark, sf_dir):
+    """Q2: events by hour, day, week, month and year."""
+    out = None
+    for g in query.GRAINS:
+        own = query.run(events(spark, sf_dir), Query([], "ts", g, [("count", None), ("distinct", "area")])).select(F.lit(g).alias("grain"), "period", "count", "distinct_area")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@register(f"WITH {CASES_SQL} SELECT date_trunc('week', ts)::TIMESTAMP AS period, count(*) AS count FROM cases GROUP BY ALL")
+def q9_series(spark, sf_dir):
+    """Q9: a weekly series."""
+    return query.chart(cases(spark, sf_dir), "ts", "timeseries")
+
+
 @register(f"""WITH {CASES_SQL}
 SELECT category, count(money) AS count_money, round(sum(money), 2) AS sum_money, round(avg(money), 4) AS avg_money, min(money) AS min_money, max(money) AS max_money,
        count(DISTINCT area) AS distinct_area FROM cases GROUP BY ALL""")
@@ -76,8 +96,6 @@ UNION ALL SELECT 'pending', count(*) FROM cases WHERE status IN ('O', 'P') AND t
 UNION ALL SELECT 'value', round(sum(money), 2) FROM cases WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1997-12-31'""")
 def q8_kpis(spark, sf_dir):
     """Q8: key figures in one pass."""
-    from datetime import datetime
-
     span = {"ts": {"from": datetime(1996, 1, 1), "to": datetime(1997, 12, 31)}}
     specs = [Kpi("total"), Kpi("areas", "distinct", "area"), Kpi("pending", filters={"status": ["O", "P"]}), Kpi("value", "sum", "money")]
     return query.kpis(cases(spark, sf_dir), specs, span).withColumn("value", F.round("value", 2))
@@ -130,6 +148,24 @@ def a3_spikes(spark, sf_dir):
     return signals.spike_alerts(daily(spark, sf_dir), ["area", "category"], z_threshold=-1.0)
 
 
+SPIKED_SQL = f"""{EVENTS_SQL}, e AS (SELECT max(ts::DATE) AS last FROM ev), sp AS (SELECT ev.* FROM ev UNION ALL SELECT ev.* FROM ev, e, range(0, 6) t(i) WHERE area = 'A3' AND category = 'click' AND ts::DATE >= last - 7),
+daily AS (SELECT area, category, ts::DATE AS day, count(*) AS n FROM sp GROUP BY ALL)"""
+
+
+@register(f"""WITH {SPIKED_SQL}, s AS (
+  SELECT area, category, avg(n) FILTER (day < hi - 7) AS mu, stddev_samp(n) FILTER (day < hi - 7) AS sd, count(*) FILTER (day < hi - 7) AS days, avg(n) FILTER (day >= hi - 7) AS now
+  FROM daily, (SELECT max(day) AS hi FROM daily) GROUP BY ALL)
+SELECT area, category, round(mu, 2) AS baseline_daily, round(now, 2) AS recent_daily, round((now - mu) * 100 / mu, 1) AS pct_change, round((now - mu) / greatest(coalesce(sd, 0), 0.5), 2) AS z_score
+FROM s WHERE days >= 5 AND now IS NOT NULL AND (now - mu) / greatest(coalesce(sd, 0), 0.5) >= 2.5 ORDER BY z_score DESC, area, category LIMIT 50""")
+def a3_planted_spike(spark, sf_dir):
+    """A3: clicks of one area come seven times over in the last week; the default threshold finds what is a spike."""
+    e = events(spark, sf_dir)
+    last = F.broadcast(e.agg(F.max(F.col("ts").cast("date")).alias("last")))
+    more = e.filter("area = 'A3' AND category = 'click'").crossJoin(last).filter(F.col("ts").cast("date") >= F.date_sub("last", 7)).drop("last")
+    spiked = e.unionByName(more.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(6)))).drop("i"))
+    return signals.spike_alerts(signals.daily_counts(spiked, "ts", {"area": "area", "category": "category"}), ["area", "category"], window_days=7, least_days=5)
+
+
 @register()
 def a4_anomalies(spark, sf_dir):
     """A4: isolation forest over all cases."""
@@ -218,7 +254,7 @@ def a13_area_risk(spark, sf_dir):
     return signals.area_risk(daily(spark, sf_dir, area="area"), demo=demo)
 
 
-@register()
+@register(f"SELECT * FROM ({ORACLE_SQL['a13_area_risk']}) ORDER BY coalesce(per_lakh, 0) DESC, area LIMIT 8")
 def q11_per_capita(spark, sf_dir):
     """Q11: areas by rate for each 100,000 people."""
     return query.per_capita_ranking(a13_area_risk(spark, sf_dir))
@@ -265,6 +301,17 @@ def t3_frames(spark, sf_dir):
     return periods.frames(cases(spark, sf_dir), CASE_ROLES, periods.Window(*WINDOW), 15)
 
 
+@register(f"""WITH {EVENTS_SQL}, x AS (SELECT min(ts)::DATE + INTERVAL 12 HOUR AS lo FROM ev), fr AS (SELECT i::INT AS frame, lo + i * INTERVAL 4 DAY AS start, least(lo + (i + 1) * INTERVAL 4 DAY, lo + INTERVAL 18 DAY) AS "end" FROM x, range(0, 5) t(i))
+SELECT frame, start::TIMESTAMP AS start, "end"::TIMESTAMP AS "end", count(event_id) AS n FROM fr LEFT JOIN ev ON ts >= start AND ts < "end" GROUP BY ALL""")
+def t3_frames_from_noon(spark, sf_dir):
+    """Frames that begin at noon, over events of all hours."""
+    e = events(spark, sf_dir)
+    lo = e.agg(F.min("ts").cast("date").alias("d")).first().d
+    start = datetime(lo.year, lo.month, lo.day, 12)
+    w = periods.Window(start.isoformat(), (start + timedelta(days=18)).isoformat())
+    return periods.frames(e, EVENT_ROLES, w, 4)
+
+
 @register(f"""WITH {CASES_SQL}, {FRAMES_SQL}, p AS (
   SELECT frame, round(lat, 2) AS lat, round(lng, 2) AS lng, count(*) FILTER (ts >= start) AS n, count(*) FILTER (ts < start) AS p FROM fr JOIN cases ON ts >= start - ("end" - start) AND ts < "end" GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n DESC, lat, lng) AS r, row_number() OVER (PARTITION BY frame ORDER BY p DESC, lat, lng) AS rp FROM p),

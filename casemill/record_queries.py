@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.bindings import CASES_SQL, cases, table
+from casemill.functions.expressions import norm_name
 from casemill.functions.roles import RoleMap
 from casemill.operators import cleaning, merge, profile
 from casemill.queries import register
@@ -64,7 +65,13 @@ def p4_roles(spark, sf_dir):
     return profile.profile(keyed(spark, sf_dir)).select("table", "column", "dtype", "role", "confidence")
 
 
-@register("""SELECT * FROM (VALUES ('orders', 'cust_id', 'customer', 'cust_id'), ('customer', 'nation_id', 'nation', 'nation_id')) t(from_table, from_column, to_table, to_column)""")
+KEYS_SQL = """k AS (SELECT 'orders' AS t, 'cust_id' AS c, count(*) AS n, count(DISTINCT o_custkey) AS d FROM orders UNION ALL SELECT 'customer', 'cust_id', count(*), count(DISTINCT c_custkey) FROM customer
+  UNION ALL SELECT 'customer', 'nation_id', count(*), count(DISTINCT c_nationkey) FROM customer UNION ALL SELECT 'nation', 'nation_id', count(*), count(DISTINCT n_nationkey) FROM nation),
+o AS (SELECT c, t FROM k WHERE d >= 0.9 * n QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, t) = 1)
+SELECT k.t AS from_table, k.c AS from_column, o.t AS to_table, o.c AS to_column FROM k JOIN o ON k.c = o.c AND k.t <> o.t"""
+
+
+@register(f"WITH {KEYS_SQL}")
 def p5_relations(spark, sf_dir):
     """P5: relations over equal id columns."""
     return profile.relations(profile.profile(keyed(spark, sf_dir)))
@@ -78,10 +85,11 @@ def p6_labels(spark, sf_dir):
     return profile.resolve_labels(child, [(t["nation"], "nation_id", "n_name")])
 
 
-@register("SELECT 'orders' AS \"table\"")
+@register("""SELECT t AS "table" FROM (SELECT 'orders' AS t, count(*) AS n, 1 AS timed FROM orders UNION ALL SELECT 'events', count(*), 1 FROM events
+UNION ALL SELECT 'customer', count(*), 0 FROM customer UNION ALL SELECT 'nation', count(*), 0 FROM nation) ORDER BY timed DESC, n DESC, t LIMIT 1""")
 def p8_primary_table(spark, sf_dir):
     """The main table."""
-    return profile.primary_table(profile.profile({k: v for k, v in keyed(spark, sf_dir).items() if k != "events"}))
+    return profile.primary_table(profile.profile(keyed(spark, sf_dir)))
 
 
 @register()
@@ -165,11 +173,28 @@ def c6_standardized(spark, sf_dir):
     return cleaning.standardize_values(messy(spark, sf_dir), "kind", "id").clean.select("id", "kind")
 
 
-@register()
+def written_names(spark, sf_dir):
+    """Customers under names of letters, three at a time nearly alike."""
+    k = F.col("c_custkey")
+    letters = F.translate(F.md5(F.floor(k / 3).cast("string")), "0123456789", "ghijklmnop")
+    name = F.concat(F.upper(F.substring(letters, 1, 10)), F.when(k % 3 == 0, F.lit("  -")).otherwise(F.lit(" ")), F.substring(letters, 11, 10), F.when(k % 3 == 1, F.lit(" A.")).otherwise(F.lit("")))
+    return table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), F.pmod(F.floor(k / 6), F.lit(7)).cast("string").alias("place"))
+
+
+NAMES_SQL = """nm AS (SELECT c_custkey, translate(md5(CAST(c_custkey // 3 AS VARCHAR)), '0123456789', 'ghijklmnop') AS l, CAST(c_custkey // 6 % 7 AS VARCHAR) AS place FROM customer),
+nn AS (SELECT c_custkey, place, upper(l[1:10]) || CASE WHEN c_custkey % 3 = 0 THEN '  -' ELSE ' ' END || l[11:20] || CASE WHEN c_custkey % 3 = 1 THEN ' A.' ELSE '' END AS name FROM nm)"""
+
+
+@register(f"""WITH {NAMES_SQL} SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(name), '[^\\pL\\s]', '', 'g'), '\\s+', ' ', 'g')) AS name FROM nn""")
+def c7_names(spark, sf_dir):
+    """Names in letters and single spaces."""
+    return written_names(spark, sf_dir).select("c_custkey", norm_name(F.col("name")).alias("name"))
+
+
+@register(f"""WITH {NAMES_SQL} SELECT c_custkey, name, place, 'PC' || CAST(min(c_custkey) OVER (PARTITION BY c_custkey // 3) AS VARCHAR) AS person_canonical FROM nn""")
 def c8_persons(spark, sf_dir):
-    """customers' names as persons."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Customer "), F.substring(F.sha1(F.floor(F.col("c_custkey") / 3).cast("string")), 1, 8), F.when(F.col("c_custkey") % 3 == 0, " A").otherwise("")).alias("name"), F.col("c_nationkey").cast("string").alias("place"))
-    return cleaning.resolve_persons(c, "name", "c_custkey", "place").clean
+    """customers' names as persons of a place."""
+    return cleaning.resolve_persons(written_names(spark, sf_dir), "name", "c_custkey", "place").clean
 
 
 @register("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 1000 AND 150000")
@@ -179,6 +204,26 @@ def c9_valid_range(spark, sf_dir):
     return cleaning.handle_missing(o, "o_totalprice", "o_orderkey", "drop", True, (1000, 150000)).clean
 
 
+@register("SELECT CAST(o_orderkey AS VARCHAR) AS row_key, 'out of range' AS reason FROM orders WHERE o_totalprice NOT BETWEEN 1000 AND 150000")
+def c9_flagged(spark, sf_dir):
+    """Rows out of range flagged, all of them kept."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return cleaning.handle_missing(o, "o_totalprice", "o_orderkey", "flag", True, (1000, 150000)).quarantine.select("row_key", "reason")
+
+
+@register("SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 1000 AND 150000 THEN o_totalprice ELSE 0.0 END::DOUBLE AS o_totalprice FROM orders")
+def c9_imputed(spark, sf_dir):
+    """Values out of range replaced."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return cleaning.handle_missing(o, "o_totalprice", "o_orderkey", "impute", True, (1000, 150000), fill=0.0).clean
+
+
+@register("SELECT CAST(o_orderkey AS VARCHAR) AS row_key, 'o_custkey' AS \"column\", 'duplicate' AS reason FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1")
+def c10_quarantine(spark, sf_dir):
+    """The later orders of each customer."""
+    return cleaning.dedupe_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey").quarantine.select("row_key", "column", "reason")
+
+
 @register("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
 def c10_deduped(spark, sf_dir):
     """The first order of each customer."""
@@ -192,7 +237,10 @@ def c11_plan_changes(spark, sf_dir):
     return cleaning.execute_plan(messy(spark, sf_dir), plan, "id").changes.groupBy("column", "op").agg(F.count("*").alias("n"))
 
 
-@register()
+@register(f"""WITH {AUTO_SQL} SELECT m.id, CASE WHEN m.id % 5 < 4 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date,
+  CASE m.id % 5 WHEN 0 THEN ten WHEN 1 THEN '+91 ' || ten WHEN 2 THEN '0' || ten WHEN 3 THEN '' ELSE '123' END AS phone,
+  CASE m.id % 5 WHEN 0 THEN '₹' || whole WHEN 1 THEN 'Rs.' || whole WHEN 2 THEN '  ' || whole || '.50 ' WHEN 3 THEN 'abc' ELSE whole END AS money, canonical AS kind, o_custkey
+FROM m JOIN a ON lower(trim(kind)) = value_key""")
 def c12_planned_cleaning(spark, sf_dir):
     """The plan that a digest suggests, carried out."""
     m = messy(spark, sf_dir)
@@ -213,7 +261,7 @@ def halves(spark, sf_dir):
 
 @register("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
 def m3_new_by_id(spark, sf_dir):
-    """M1, M2, M3: incoming rows with new ids."""
+    """M2, M3: incoming rows with new ids."""
     stored, incoming = halves(spark, sf_dir)
     return merge.new_by_id(merge.align(incoming, stored)[0], stored, "o_orderkey")
 
@@ -232,7 +280,7 @@ def m5_appended(spark, sf_dir):
     return merge.append(incoming, stored, RoleMap({"o_orderkey": "id"})).table
 
 
-@register("SELECT 'orders' AS from_table, 'cust_id' AS from_column, 'customer' AS to_table, 'cust_id' AS to_column")
+@register(f"SELECT * FROM (WITH {KEYS_SQL}) WHERE 'orders' IN (from_table, to_table)")
 def m6_links(spark, sf_dir):
     """M6: relations of a new table."""
     return merge.link_new_table(profile.profile(keyed(spark, sf_dir)), "orders")

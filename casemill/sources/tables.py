@@ -78,8 +78,20 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
         return rows
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns as long, double, boolean or timestamp, whichever all their values (blanks aside) can be read as."""
+    kinds = ("bigint", "double", "boolean", "timestamp_ntz")
+    texts = [c for c, t in df.dtypes if t == "string"]
+    given = {c: F.when(F.trim(f"`{c}`") != "", F.trim(f"`{c}`")) for c in texts}
+    if not texts:
+        return df
+    bad = df.agg(*[F.count_if(given[c].isNotNull() & given[c].try_cast(k).isNull()).alias(f"{i}_{k}") for i, c in enumerate(texts) for k in kinds], *[F.count(given[c]).alias(f"{i}_n") for i, c in enumerate(texts)]).first()
+    own = {c: next((k for k in kinds if bad[f"{i}_n"] and not bad[f"{i}_{k}"]), None) for i, c in enumerate(texts)}
+    return df.select(*[(given[c].try_cast(own[c]) if own.get(c) else F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheets of workbooks (a task a workbook) with the header of the first one; all columns are texts."""
+    """The first sheets of workbooks (a task a workbook) with the header of the first one; types as their texts allow."""
     files = spark.read.format("binaryFile").load(path).orderBy("path")
     header = [h or "" for h in sheet_rows(files.select("content").first()[0])[0]]
 
@@ -90,7 +102,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(body, columns=[f"c{i}" for i in range(len(header))], dtype=object)
 
     schema = ", ".join(f"c{i} string" for i in range(len(header)))
-    return clean_columns(files.select("content").mapInPandas(rows, schema).toDF(*[h or f"column_{i}" for i, h in enumerate(header)]))
+    return typed(clean_columns(files.select("content").mapInPandas(rows, schema).toDF(*[h or f"column_{i}" for i, h in enumerate(header)])))
 
 
 def write_table(df: DataFrame, folder: str, name: str) -> str:
@@ -125,6 +137,16 @@ def denormalize(fact: DataFrame, masters: list[tuple[DataFrame, str, str]], most
     return fact
 
 
+def wire_view(tables: dict[str, DataFrame], fact: str, masters: list[tuple[str, str, str]], name: str | None = None) -> dict[str, DataFrame]:
+    """``tables`` with the fact table replaced by its view with masters (table, the fact's key, the master's key).
+
+    The view stands under ``name`` (the fact's own if None), also as a temporary view, so that queries by name read it.
+    """
+    view = denormalize(tables[fact], [(tables[m], key, own) for m, key, own in masters])
+    view.createOrReplaceTempView(name or fact)
+    return {k: v for k, v in tables.items() if k != fact} | {name or fact: view}
+
+
 def log_event(spark: SparkSession, path: str, at: str, action: str, files: list[str], tables: list[str]) -> None:
     """Adds a line to an ingest log."""
     spark.createDataFrame([(at, action, files, tables)], "at string, action string, files array<string>, tables array<string>").write.mode("append").json(path)

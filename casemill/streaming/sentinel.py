@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,29 +13,55 @@ from casemill.operators import reports, signals
 from casemill.operators.merge import new_by_id
 
 ALERTS = "area string, category string, baseline_daily double, recent_daily double, pct_change double, z_score double, batch long"
+GROUPS = ["area", "category"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None where nothing is stored yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def process(batch: DataFrame, batch_id: int, stored: str, alerts: str, roles: RoleMap, z_threshold: float = 3.0) -> None:
-    """Appends a batch's new cases and the alerts that they raise; a repeated batch changes nothing."""
+    """Appends a batch's new cases and the alerts that they raise; a repeated batch changes nothing.
+
+    Cases are new by their ids: null ids and ids that recur within the batch stay, as in any append. Each batch writes a
+    partition of its own, of cases and of their daily counts, so that it can be written again, and spikes are found from
+    the daily counts: what was stored earlier is read only for its ids.
+    """
     spark = batch.sparkSession
-    batch = batch.dropDuplicates([roles.first("id")])
-    new = new_by_id(batch, spark.read.parquet(stored), roles.first("id")) if _exists(spark, stored) else batch
-    new.write.mode("append").parquet(stored)
-    cases = spark.read.parquet(stored)
-    daily = signals.daily_counts(cases, roles.time, {"area": roles.area, "category": roles.first("category")})
-    known = spark.read.schema(ALERTS).parquet(alerts) if _exists(spark, alerts) else spark.createDataFrame([], ALERTS)
-    found = reports.new_alerts(daily, ["area", "category"], known, z_threshold=z_threshold)
-    found.withColumn("batch", F.lit(batch_id).cast("long")).select(*known.columns).write.mode("append").parquet(alerts)
-
-
-def start(spark: SparkSession, incoming: str, schema: StructType | str, stored: str, alerts: str, checkpoint: str, roles: RoleMap, every: str | None = "6 hours", z_threshold: float = 3.0) -> StreamingQuery:
-    """Watches a folder of Parquet files; every=None: works off what is there and stops."""
-    source = spark.readStream.schema(schema).parquet(incoming)
+    daily_path, id_col = f"{stored.rstrip('/')}_daily", roles.first("id")
+    old = stored_or_none(spark, stored)
+    # a batch that is repeated must not find its own rows stored
+    new = batch if old is None else new_by_id(batch, old.filter(F.col("batch") != batch_id), id_col)
+    _write(new, batch_id, stored)
+    kept = stored_or_none(spark, stored)
+    if kept is None:  # nothing yet
+        return
+    mine = kept.filter(F.col("batch") == batch_id)
+    groups = {"area": roles.area, "category": roles.first("category")}
+    _write(signals.daily_counts(mine.select(*batch.columns), roles.time, groups), batch_id, daily_path)
+    counts = stored_or_none(spark, daily_path)
+    if counts is None:
+        return
+    daily = counts.groupBy(*GROUPS, "day").agg(F.sum("n").alias("n"))
+    known = stored_or_none(spark, alerts)
+    known = spark.createDataFrame([], ALERTS) if known is None else known.filter(F.col("batch") != batch_id)
+    _write(reports.new_alerts(daily, GROUPS, known, z_threshold=z_threshold), batch_id, alerts)
+
+
+def _write(df: DataFrame, batch_id: int, path: str) -> None:
+    """Replaces the batch's own partition (of whatever size; an empty one is none)."""
+    df.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def start(spark: SparkSession, incoming: str, schema: StructType | str, stored: str, alerts: str, checkpoint: str, roles: RoleMap, every: str | None = "6 hours", z_threshold: float = 3.0, files: int | None = None) -> StreamingQuery:
+    """Watches a folder of Parquet files; every=None: works off what is there and stops. files: those of a batch at most."""
+    reader = spark.readStream.schema(schema)
+    source = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(incoming)
     writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: process(df, i, stored, alerts, roles, z_threshold))
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -1,7 +1,9 @@
 """Planted patterns and literal cases for the operators."""
 
 import json
+import random
 import zipfile
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +13,7 @@ from casemill.functions.expressions import hour_band, status_label
 from casemill.functions.roles import RoleMap
 from casemill.operators import cleaning, findings, graph, merge, periods, profile, query, reports, signals, triage
 from casemill.operators.query import Query
+from casemill.plans import lineage
 from casemill.sources import tables
 from casemill.streaming import sentinel
 
@@ -363,8 +366,8 @@ def test_watch_rules_count_once(spark):
 
 
 def test_scan_of_many_data_sets(spark):
-    out, failed = reports.scan_all({"a": lambda: spark.range(2), "b": lambda: spark.table("no_such_table")})
-    assert [(r.dataset, r.alerts) for r in out.collect()] == [("a", 2)] and set(failed) == {"b"}
+    out, failed = reports.scan_all(spark, {"a": lambda: spark.range(2), "b": lambda: spark.table("no_such_table"), "c": lambda: spark.range(3).filter(F.raise_error(F.col("id").cast("string")).isNull())})
+    assert [(r.dataset, r.alerts) for r in out.collect()] == [("a", 2)] and set(failed) == {"b", "c"}
 
 
 # sources and the stream
@@ -392,7 +395,7 @@ def test_workbooks(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Case No</t></si><si><t>Area</t></si><si><t>Udupi</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c><c r="B2" t="s"><v>2</v></c></row><row><c r="B3" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
     out = tables.read_xlsx(spark, str(tmp_path / "a.xlsx"))
-    assert out.columns == ["case_no", "area"] and [tuple(r) for r in out.collect()] == [("7", "Udupi"), (None, "x")]
+    assert out.columns == ["case_no", "area"] and [tuple(r) for r in out.collect()] == [(7, "Udupi"), (None, "x")]
 
 
 def test_sentinel_raises_each_alert_once(spark, tmp_path):
@@ -436,3 +439,125 @@ def test_resolution_table_and_suggestions(spark):
     links = profile.relations(p)
     assert [(r.table, r.column) for r in triage.resolution_table(p, links, "cases").collect()] == [("chargesheets", "csdate")]
     assert {r.id for r in profile.suggestions(p, "cases").collect()} == {"total_records", "active_areas", "trend", "by_area"}
+
+
+def slow_persons(rows, threshold=88.0):
+    """Names in the order of their first keys, each to the first representative of its place that is similar enough."""
+    def ratio(a, b):
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        return 200.0 * row[-1][-1] / (len(a) + len(b))
+
+    first = {}
+    for k, name, place in rows:
+        n = " ".join("".join(c for c in name.lower() if c.isalpha() or c.isspace()).split())
+        first[n, place] = min(k, first.get((n, place), k))
+    found, out = [], {}
+    for (n, place), k in sorted(first.items(), key=lambda e: (e[1], e[0])):
+        own = " ".join(sorted(n.split()))
+        out[n, place] = next((r for o, p, r in found if p == place and ratio(own, o) >= threshold), None) or f"PC{k}"
+        if out[n, place] == f"PC{k}":
+            found.append((own, place, f"PC{k}"))
+    return {k: out[" ".join("".join(c for c in name.lower() if c.isalpha() or c.isspace()).split()), place] for k, name, place in rows}
+
+
+def test_persons_equal_the_greedy_order(spark):
+    r = random.Random(4)
+    names = ["Manjunath Gowda", "Asha Rao", "Ravi Kumar Shetty", "Ab", "Li", "Anna Annanna", "Customer Anand", "Customer Anandi"]
+    rows = []
+    for k in range(300):
+        n = list(r.choice(names) + r.choice(["", " B", " Rao", "a"]))
+        for _ in range(r.randint(0, 2)):
+            n.insert(r.randint(0, len(n)), r.choice("abn ")) if r.random() < 0.5 else n.pop(r.randrange(len(n)))
+        rows.append((k, "".join(n) if any(c.isalpha() for c in n) else "Li", r.choice("xy")))
+    out = cleaning.resolve_persons(spark.createDataFrame(rows, "k long, name string, place string"), "name", "k", "place")
+    assert {x.k: x.person_canonical for x in out.clean.collect()} == slow_persons(rows)
+
+
+def test_steps_that_fail_at_run_time_are_skipped(spark):
+    df = spark.createDataFrame([(1, "15/03/2024", 5.0), (2, "x", None)], "id long, d string, v double")
+    plan = [{"op": "handle_missing", "column": "v", "policy": "impute", "required": True, "fill": "no number"}, {"op": "normalize_dates", "column": "d"}]
+    out = cleaning.execute_plan(df, plan, "id")
+    assert len(out.skipped) == 1 and out.skipped[0].startswith("handle_missing")
+    assert sorted((r.id, r.d, r.v) for r in out.clean.collect()) == [(1, "2024-03-15", 5.0), (2, None, None)]
+
+
+def test_a_signal_that_fails_at_run_time_gives_no_findings(spark):
+    good = lambda: findings.from_repeats(spark.createDataFrame([("a", 5)], "id string, cases long"))
+    bad = lambda: findings.from_repeats(spark.createDataFrame([("a", 5)], "id string, cases long").withColumn("cases", F.raise_error(F.lit("broken")).cast("long")))
+    out, failed = findings.build(spark, {"good": good, "bad": bad})
+    assert [r.id for r in out.collect()] == ["network_hub:a"] and "broken" in failed["bad"]
+
+
+def test_frames_count_from_the_window_start(spark):
+    rows = [(datetime(2024, 1, 1, 12) + timedelta(hours=i),) for i in range(240)] + [(datetime(2024, 1, 11, 12),), (datetime(2024, 1, 6, 11, 59, 59, 999_999),)]
+    df, roles = spark.createDataFrame(rows, "ts timestamp_ntz"), RoleMap({"ts": "timestamp"})
+    w = periods.Window("2024-01-01T12:00:00", "2024-01-11T12:00:00")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r.n for r in periods.frames(df, roles, w, 10).collect()] == [241]
+            assert [r.n for r in periods.frames(df, roles, w, 5).collect()] == [121, 120]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert periods.compare(df, roles, w).first().current == 241
+
+
+def test_counts_before_points(spark):
+    r = random.Random(2)
+    at = lambda: datetime(2024, 1, 1) + timedelta(minutes=r.randint(0, 20_000))
+    times, points = [at() for _ in range(400)], [at() for _ in range(30)] + [datetime(2023, 1, 1), datetime(2025, 1, 1)]
+    got = reports.counts_before(spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz"), spark.createDataFrame([(t,) for t in points], "at timestamp_ntz"))
+    assert {x["at"]: x.before for x in got.collect()} == {p: sum(t < p for t in times) for p in points}
+
+
+def test_dates_by_shape_equal_trying_every_format(spark):
+    values = ["2024-03-16", "15/03/2024", "15-03-2024", "5/3/2024", "5-3-2024", "15.03.2024", "12/14/2025", "12-14-2025", "5 Mar 2024", "05 Mar 2024", "Mar 5, 2024", "2024/03/16", "20240316", "2024-03-16 10:11:12", "2024-03-16T10:11:12", "15/03/2024 10:11", "15-03-2024 10:11", " 2024-03-16 ", "31/02/2024", "2024-13-01", "x", "", "1234567890", None]
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    every = F.coalesce(*[F.try_to_timestamp(F.trim("c"), F.lit(f)) for f in profile.DATE_FORMATS]).cast("date")
+    assert df.filter(~every.eqNullSafe(profile.parsed_date(F.col("c")))).collect() == []
+    assert df.filter(every.isNotNull()).count() == 18
+
+
+def test_digest_counts_nulls_and_whole_rows(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "a", None), (1, None, "a"), (2, None, None)], "n int, x string, y string")
+    out = {r.column: r for r in profile.digest(df).collect()}
+    assert {r.duplicate_rows for r in out.values()} == {1} and {r.rows for r in out.values()} == {4}
+    assert (out["x"].null_pct, out["y"].null_pct, out["n"].distinct, out["n"]["values"], out["n"].date_parse_rate) == (0.75, 0.5, 2, ["1", "2"], None)
+    assert [(r.rows, r.distinct, r.samples) for r in profile.digest(df.limit(0)).collect()] == [(0, 0, [])] * 3
+
+
+def test_sentinel_keeps_null_and_repeated_ids_and_may_repeat_a_batch(spark, tmp_path):
+    roles = RoleMap({"id": "id", "ts": "timestamp", "area": "admin_area_1", "cat": "category"})
+    schema = "id long, ts timestamp_ntz, area string, cat string"
+    stored, alerts = str(tmp_path / "stored"), str(tmp_path / "alerts")
+    one = spark.createDataFrame([(None, datetime(2024, 1, 1), "A", "x")] * 3 + [(1, datetime(2024, 1, 1), "A", "x")] * 2 + [(2, datetime(2024, 1, 2), "A", "x")], schema)
+    two = spark.createDataFrame([(1, datetime(2024, 1, 1), "A", "x"), (3, datetime(2024, 1, 3), "B", "x"), (None, datetime(2024, 1, 3), "B", "x")], schema)
+    sentinel.process(one.limit(0), 0, stored, alerts, roles)
+    for n, batch in ((1, one), (2, two), (2, two), (1, one)):
+        sentinel.process(batch, n, stored, alerts, roles)
+    assert Counter(r.id for r in spark.read.parquet(stored).collect()) == Counter({None: 4, 1: 2, 2: 1, 3: 1})
+    daily = spark.read.parquet(f"{stored}_daily").groupBy("area").agg(F.sum("n").alias("n"))
+    assert {r.area: r.n for r in daily.collect()} == {"A": 6, "B": 2}
+
+
+def test_first_rows_of_hot_keys_and_equal_rows(spark):
+    rows = [(None, i % 7, "a") for i in range(200)] + [("k", 3, "b"), ("k", 3, "b"), ("k", None, "c"), ("j", None, "d"), ("j", None, None)]
+    df = spark.createDataFrame(rows, "k string, v long, t string")
+    out = cleaning.dedupe_rows(df, ["k"], "v")
+    assert sorted(map(repr, map(tuple, out.clean.collect()))) == sorted(map(repr, [(None, 0, "a"), ("k", 3, "b"), ("j", None, "d")]))
+    assert out.quarantine.count() == len(rows) - 3
+
+
+def test_types_of_workbook_columns(spark):
+    df = spark.createDataFrame([("1", "1.5", "true", "2024-01-05 10:00:00", "x", None), (" ", "2", "false", "2024-01-06 11:00:00", "2", None)], "a string, b string, c string, d string, e string, f string")
+    out = tables.typed(df)
+    assert [t for _, t in out.dtypes] == ["bigint", "double", "boolean", "timestamp_ntz", "string", "string"] and out.collect()[1].a is None
+
+
+def test_a_wide_master_is_not_broadcast(spark):
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k long, t string")
+    hinted = lambda most: "ResolvedHint" in lineage.small_or_not(wide, 100, most)._jdf.queryExecution().analyzed().toString()
+    assert hinted(100_000) and not hinted(10_000)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from casemill import link_queries, record_queries  # noqa: F401
+from casemill import link_queries, record_queries, store_queries  # noqa: F401
 from casemill import queries as own
 
 SF = "/root/testdata/sf0.001"
