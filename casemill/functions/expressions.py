@@ -87,9 +87,8 @@ def token_key(name: Column, address: Column) -> Column:
     return F.concat_ws("|", F.array_join(tokens, " "), place)
 
 
-def frequency(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the share of rows that have the row's value of a column (null: 0)."""
-    total = df.count()
+def frequency(df: DataFrame, column: str, out: str, total: int) -> DataFrame:
+    """``df`` (of ``total`` rows) with the share of rows that have the row's value of a column (null: 0)."""
     counts = cut(df.groupBy(F.col(column).alias("__v")).agg((F.count("*") / F.lit(float(max(total, 1)))).alias(out)).filter("__v IS NOT NULL"))
     few = small_or_not(counts, 200_000)  # a category has few values; many meet the rows in a shuffled join
     return df.join(few, df[column] == F.col("__v"), "left").drop("__v").fillna({out: 0.0})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from casemill import bindings as B
@@ -156,6 +157,37 @@ def l3_features(spark, sf_dir):
     return features(spark, sf_dir, True).withColumn("property_loss", F.round("property_loss", 4))
 
 
+@register(f"""WITH {TRIAGE_SQL}, t AS (SELECT * FROM tc WHERE state <> 'open'), i AS (SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) - 1 AS i FROM t GROUP BY category),
+j AS (SELECT area, row_number() OVER (ORDER BY count(*) DESC, area) - 1 AS i FROM t GROUP BY area)
+SELECT CAST(case_id AS VARCHAR) AS case_id, i.i::DOUBLE AS crime_type_i, 0.0::DOUBLE AS gravity_i, j.i::DOUBLE AS area_i FROM t JOIN i USING (category) JOIN j USING (area)""")
+def l4_encoded(spark, sf_dir):
+    """L4: categories as numbers."""
+    rows = features(spark, sf_dir, True)
+    return Pipeline(stages=triage.indexers()).fit(rows).transform(rows).select("case_id", *[f"{c}_i" for c in triage.CATEGORIES])
+
+
+@register(f"""WITH {TRIAGE_SQL}, t AS (SELECT (case_id % 97)::INT AS s, state = 'detected' AS y FROM tc WHERE state <> 'open'), g AS (SELECT s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM t GROUP BY s),
+c AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(sum(p * (below + n / 2.0::DOUBLE)) / (sum(p) * sum(n)), 9) AS auc FROM c""")
+def l6_auc(spark, sf_dir):
+    """The area under the ROC curve of a score with ties."""
+    rows = features(spark, sf_dir, True).withColumn("s", (F.col("case_id").cast("long") % 97).cast("double"))
+    return spark.createDataFrame([(round(triage.auc(rows, "s"), 9),)], "auc double")
+
+
+@register(f"""WITH {TRIAGE_SQL}, o AS (SELECT case_id, category, money, coalesce(n, 0) AS k FROM tc LEFT JOIN lk ON l_orderkey = case_id WHERE state = 'open'), m AS (SELECT avg(money) AS a, avg(k) AS b FROM o)
+SELECT CAST(case_id AS VARCHAR) AS case_id, ['property_loss ' || CASE WHEN money > a + abs(a) * 0.15 THEN 'above' WHEN money < a - abs(a) * 0.15 THEN 'below' ELSE 'near' END || ' average',
+  'n_linked ' || CASE WHEN k > b + abs(b) * 0.15 THEN 'above' WHEN k < b - abs(b) * 0.15 THEN 'below' ELSE 'near' END || ' average', 'crime_type: ' || category] AS factors FROM o, m""")
+def l12_factors(spark, sf_dir):
+    """Texts on three features of open cases."""
+    return triage.factors(features(spark, sf_dir, False), ["property_loss", "n_linked", "crime_type", "hour"]).select("case_id", "factors")
+
+
+@register(f"WITH {TRIAGE_SQL} SELECT area, round(avg((case_id % 89) / 88.0::DOUBLE), 4) AS rate, count(*) AS n FROM tc WHERE state = 'open' GROUP BY ALL")
+def l13_mean_rates(spark, sf_dir):
+    """The areas' means of a score of open cases."""
+    return triage.mean_by_area(features(spark, sf_dir, False).withColumn("p", (F.col("case_id").cast("long") % 89) / 88.0))
+
+
 @register("""SELECT CAST(o_orderkey AS VARCHAR) AS case_id, epoch(min(l_shipdate) - any_value(o_orderdate))::DOUBLE / 86400 AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING min(l_shipdate) >= any_value(o_orderdate)""")
 def l9_durations(spark, sf_dir):
     """Days to the first shipment."""

@@ -142,15 +142,19 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     size = F.length("own")
     most = F.floor(2 * (1 - t) / t * size + 1e-9)  # insertions and deletions to the longest similar name
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.struct(F.substring("own", i, F.lit(2)).alias("gram"), i.alias("at")))
-    grams = names.select("o", "place", "own", size.alias("size"), most.alias("most"), F.inline(pairs))
-    grams = cut(grams)
+    listed = names.select("o", "place", "own", size.alias("size"), most.alias("most"), pairs.alias("pairs"))
+    listed = listed.withColumn("all", F.array_distinct(F.transform("pairs", lambda p: p["gram"])))
+    grams = cut(listed.select("o", "place", "own", "size", "most", "all", F.inline("pairs")))
     often = cut(grams.groupBy("gram").agg(F.count("*").alias("n")))
     # all places of a pair that recurs have one rank, so they are kept or left out together
     ranked = grams.join(small_or_not(often, MOST_VALUES), "gram").withColumn("r", F.rank().over(W.partitionBy("o").orderBy("n", "gram")))
-    rare = cut(ranked.filter(F.col("r") <= 2 * F.col("most") + 1).select("o", "place", "own", "size", "most", "gram", "at"))
-    other = rare.select(F.col("o").alias("hi"), "place", "gram", F.col("own").alias("own2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("most").alias("most2"))
+    rare = cut(ranked.filter(F.col("r") <= 2 * F.col("most") + 1).select("o", "place", "own", "size", "most", "all", "gram", "at"))
+    other = rare.select(F.col("o").alias("hi"), "place", "gram", F.col("own").alias("own2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("most").alias("most2"), F.col("all").alias("all2"))
     near = F.least("most", "most2")
     met = rare.join(other, ["place", "gram"]).filter((F.col("o") < F.col("hi")) & (F.abs(F.col("size") - F.col("size2")) <= near) & (F.abs(F.col("at") - F.col("at2")) <= near))
+    # the longer one keeps all but twice as many of its pairs of letters as there can be changes
+    lost = 2 * F.floor((1 - t) * (F.col("size") + F.col("size2")) + 1e-9)
+    met = met.filter(F.size(F.array_intersect("all", "all2")) >= F.greatest(F.size("all"), F.size("all2")) - lost)
     met = met.select(F.col("o").alias("lo"), "hi", "own", "own2").distinct()
 
     @F.pandas_udf("double")

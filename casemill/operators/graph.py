@@ -134,13 +134,11 @@ def profiles(involved: DataFrame, cases: DataFrame, case_id: str, area: str, kin
     own = cases.select(node_id("case", F.col(case_id)).alias("dst"), F.col(area).cast("string").alias("area"), F.col(kind).cast("string").alias("kind"), hour_band(F.hour(time)).alias("band"), F.hour(time).alias("h"))
     own = own.withColumn("band", F.when(F.col("h").isNotNull(), F.col("band"))).drop("h")
     rows = involved.select(F.col("src").alias("id"), "dst").distinct().join(own, "dst")
-    # an entity's cases are put together by area, kind and band first, each with its first 25 cases: groups that stay small
-    first = rows.withColumn("r", F.row_number().over(W.partitionBy("id", "area", "kind", "band").orderBy("dst"))).filter("r <= 25")
-    several = rows.groupBy("id", "area", "kind", "band").agg(F.count("*").alias("n"))
-    few = first.groupBy("id", "area", "kind", "band").agg(F.collect_list("dst").alias("c"))
-    same = ["id", "area", "kind", "band"]
-    met = several.join(few.toDF(*[f"__{c}" for c in same], "c"), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in same]).select(*same, "n", "c")
-    parts = met.groupBy("id").agg(F.sum("n").alias("n_cases"), F.sort_array(F.collect_set("area")).alias("areas"), F.collect_list(F.struct("kind", "band", "n")).alias("k"), F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, 25).alias("cases"))
+    # an entity's cases are counted by kind and band first, so that a group stays small; its first cases are cut off before the shuffle
+    parts = rows.groupBy("id", "kind", "band").agg(F.count("*").alias("n"), F.collect_set("area").alias("a"))
+    parts = parts.groupBy("id").agg(F.sum("n").alias("n_cases"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("a")))).alias("areas"), F.collect_list(F.struct("kind", "band", "n")).alias("k"))
+    first = rows.select("id", "dst").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("dst"))).filter("r <= 25")
+    parts = parts.join(first.groupBy("id").agg(F.sort_array(F.collect_list("dst")).alias("cases")), "id")
 
     def commonest(column: str) -> Column:
         names = F.array_distinct(F.filter(F.transform("k", lambda x: x[column]), lambda v: v.isNotNull()))

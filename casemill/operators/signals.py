@@ -66,11 +66,11 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: i
     number of nodes) then scores all rows.
     """
     spark = df.sparkSession
-    x, names = df, []
+    x, names, total = df, [], df.count()
     for c in roles.all("measure", "money", "age"):
         x, names = x.withColumn(f"x_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0))), [*names, f"x_{c}"]
     for c in roles.all("category", "subcategory", "status", "admin_area_1", "admin_area_2"):
-        x, names = frequency(x, c, f"x_{c}"), [*names, f"x_{c}"]
+        x, names = frequency(x, c, f"x_{c}", total), [*names, f"x_{c}"]
     if times := roles.all("timestamp"):
         ts = try_ts(df, times[-1])
         x, names = x.withColumn("x_hour", F.coalesce(F.hour(ts), F.lit(12)).cast("double")).withColumn("x_dow", F.coalesce(F.weekday(ts), F.lit(3)).cast("double")), [*names, "x_hour", "x_dow"]

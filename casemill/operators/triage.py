@@ -67,9 +67,18 @@ def features(df: DataFrame, roles: RoleMap, linked: DataFrame | None = None, gra
     return out if training else out.drop("label")
 
 
+def indexers() -> list:
+    """Categories as numbers, the commonest first, equal ones in alphabetical order."""
+    return [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in CATEGORIES]
+
+
+def auc(df: DataFrame, score: str, label: str = "label") -> float:
+    """The area under the ROC curve over all distinct scores (no bins)."""
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0).evaluate(df)
+
+
 def stages() -> list:
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in CATEGORIES]
-    return [*index, VectorAssembler(inputCols=[*(f"{c}_i" for c in CATEGORIES), *NUMBERS], outputCol="features")]
+    return [*indexers(), VectorAssembler(inputCols=[*(f"{c}_i" for c in CATEGORIES), *NUMBERS], outputCol="features")]
 
 
 def split(df: DataFrame, share: float = 0.75, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
@@ -112,8 +121,7 @@ def train_detection(df: DataFrame, repeats: int = 5, trees: int = 20) -> Bundle:
             return Bundle(None, "needs 200 closed cases of two outcomes")
         train, test = split(df)
         model = Pipeline(stages=[*stages(), GBTClassifier(maxIter=trees, maxDepth=4, maxBins=_max_bins(df), seed=SEED)]).fit(train)
-        auc = BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(model.transform(test))
-        return Bundle(model, None, {"auc": auc, "n_train": sum(n.values()), "base_rate": n.get(1.0, 0) / sum(n.values())}, permutation_importance(model, test, repeats) if repeats else None)
+        return Bundle(model, None, {"auc": auc(model.transform(test), "rawPrediction"), "n_train": sum(n.values()), "base_rate": n.get(1.0, 0) / sum(n.values())}, permutation_importance(model, test, repeats) if repeats else None)
     finally:
         df.unpersist()
 
@@ -174,5 +182,9 @@ def score_open(open_cases: DataFrame, detection: Bundle, duration: Bundle | None
 
 def rate_by_area(open_cases: DataFrame, detection: Bundle) -> DataFrame:
     """area, rate, n: the mean predicted probability, lowest first."""
-    p = detection.model.transform(open_cases).withColumn("p", vector_to_array("probability")[1])
-    return p.groupBy("area").agg(F.round(F.avg("p"), 4).alias("rate"), F.count("*").alias("n")).orderBy("rate", "area")
+    return mean_by_area(detection.model.transform(open_cases).withColumn("p", vector_to_array("probability")[1]))
+
+
+def mean_by_area(scored: DataFrame) -> DataFrame:
+    """area, rate, n: the mean of p, lowest first."""
+    return scored.groupBy("area").agg(F.round(F.avg("p"), 4).alias("rate"), F.count("*").alias("n")).orderBy("rate", "area")

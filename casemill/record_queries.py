@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.bindings import CASES_SQL, cases, table
 from casemill.functions.expressions import norm_name
-from casemill.functions.roles import RoleMap
+from casemill.functions.roles import NAME_PATTERNS, RoleMap
 from casemill.operators import cleaning, merge, profile
 from casemill.queries import register
 from casemill.sources import tables
@@ -59,7 +59,19 @@ def keyed(spark, sf_dir):
     }
 
 
-@register()
+KEYED = {
+    "orders": {"order_id": "o_orderkey", "cust_id": "o_custkey", "o_orderstatus": "", "o_totalprice": "", "o_orderdate": "", "o_orderpriority": ""},
+    "customer": {"cust_id": "c_custkey", "c_name": "", "nation_id": "c_nationkey", "c_acctbal": "", "c_mktsegment": ""}, "nation": {"nation_id": "n_nationkey", "n_name": "", "n_regionkey": ""},
+    "events": {"event_id": "", "ts": "", "user_id": "", "event_type": "", "value": "", "props": ""},
+}
+_STATS = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, '{own or c}' AS own, count(*) AS n, count(DISTINCT {own or c}) AS d FROM {t}" for t, cols in KEYED.items() for c, own in cols.items())
+_NAMED = " ".join(f"WHEN regexp_matches(lower(c), '{pattern}')" + {"id": " AND dtype <> 'float'", "latitude": " AND false", "longitude": " AND false"}.get(role, "") + f" THEN '{role}'" for role, pattern in NAME_PATTERNS)
+
+
+@register(f"""WITH s AS ({_STATS}), k AS (SELECT s.*, CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN data_type LIKE '%INT%' THEN 'integer' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float' ELSE 'string' END AS dtype
+  FROM s JOIN duckdb_columns() x ON x.table_name = s.t AND x.column_name = s.own), r AS (SELECT *, CASE {_NAMED} END AS named FROM k)
+SELECT t AS "table", c AS "column", dtype, coalesce(named, CASE WHEN dtype = 'timestamp' THEN 'timestamp' WHEN dtype = 'string' THEN CASE WHEN d > 0.95 * n THEN 'id' WHEN d <= 50 THEN 'category' ELSE 'free_text' END WHEN dtype = 'integer' AND d > 0.95 * n THEN 'id' ELSE 'measure' END) AS role,
+  CASE WHEN named IS NOT NULL THEN 0.9 WHEN dtype = 'timestamp' THEN 0.8 WHEN dtype = 'string' THEN CASE WHEN d > 0.95 * n THEN 0.5 WHEN d <= 50 THEN 0.7 ELSE 0.4 END WHEN dtype = 'integer' AND d > 0.95 * n THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence FROM r""")
 def p4_roles(spark, sf_dir):
     """Semantic roles of all columns."""
     return profile.profile(keyed(spark, sf_dir)).select("table", "column", "dtype", "role", "confidence")
