@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, severity (expected grade), grade (the likeliest), p_toxic, toxic for each row."""
+    """doc_id, held_out, severity (expected grade), grade (the likeliest of a toxic text, else 0), p_toxic, toxic for each row."""
     model = fit(docs, labels, id_col, text_col)
 
     def run(batches):
@@ -265,7 +265,8 @@ def severity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
                 batch = whole.slice(i, 1000)
                 p = np.array([none if model is None else model.at_least(t, hits) for t in batch.column(1).to_pylist()]).reshape(-1, GRADES - 1)
                 each = -np.diff(np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], axis=1), axis=1)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "severity": pa.array(p.sum(axis=1)), "grade": pa.array(each.argmax(axis=1).astype(np.int32)), "p_toxic": pa.array(p[:, 0]), "toxic": pa.array((p[:, 0] >= threshold).astype(np.int32))})
+                grade = np.where(p[:, 0] >= threshold, 1 + each[:, 1:].argmax(axis=1), 0)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "severity": pa.array(p.sum(axis=1)), "grade": pa.array(grade.astype(np.int32)), "p_toxic": pa.array(p[:, 0]), "toxic": pa.array((p[:, 0] >= threshold).astype(np.int32))})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT).mapInArrow(run, "doc_id long, held_out boolean, severity double, grade int, p_toxic double, toxic int")

@@ -588,7 +588,7 @@ def test_the_temperature_is_the_best_of_its_grid():
 def test_op4_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in toxicity.op4_ordinal_toxicity(spark, sf).collect()}
-    assert len(got) == 1000 and all(0 <= r.severity <= 3 and r.toxic == (r.p_toxic >= 0.5) for r in got.values())
+    assert len(got) == 1000 and all(0 <= r.severity <= 3 and r.toxic == (r.p_toxic >= 0.5) and (r.grade > 0) == (r.toxic == 1) for r in got.values())
     y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     mean = lambda k: np.mean([got[i].severity for i, t in y.items() if t == k and got[i].held_out])
     assert mean(1) > 3 * mean(0)
