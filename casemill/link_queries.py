@@ -269,7 +269,8 @@ def f16_findings(spark, sf_dir):
     return findings.select(all_findings(spark, sf_dir)).withColumn("evidence", F.to_json("evidence"))
 
 
-@register()
+@register(f"""WITH r AS ({own.ORACLE_SQL['a13_area_risk']}), h AS (SELECT max(o_orderdate::DATE) - min(o_orderdate::DATE) AS days FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT count(*) AS n FROM r)
+SELECT r.*, CASE WHEN days >= 180 AND n >= 5 THEN 'high' WHEN days >= 60 THEN 'medium' ELSE 'low' END AS confidence FROM r, h, n ORDER BY risk_score DESC, area LIMIT 5""")
 def f16_forecast(spark, sf_dir):
     """The five areas of the highest risk, with the forecast's confidence."""
     daily = signals.daily_counts(cases(spark, sf_dir), "ts", {"area": "area", "category": "category"})
