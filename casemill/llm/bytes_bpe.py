@@ -44,20 +44,25 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes_of[i] = piece
+        self.narrow = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
         self.seen: dict[str, bytes] = {}
 
-    def ids(self, pieces: list[str]) -> bytes:
-        """The ids of the pieces as little-endian unsigned 32-bit integers."""
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids as little-endian unsigned 32-bit integers."""
         seen = self.seen
         try:
-            return b"".join(map(seen.__getitem__, pieces))
+            return list(map(seen.__getitem__, pieces))
         except KeyError:
             if len(seen) > KEPT:
                 seen.clear()
             one = self.encoding._encode_single_piece
             for p in set(pieces).difference(seen):
                 seen[p] = np.array(one(p), "<u4").tobytes()
-            return b"".join(map(seen.__getitem__, pieces))
+            return list(map(seen.__getitem__, pieces))
+
+    def ids(self, pieces: list[str]) -> bytes:
+        """The ids of the pieces, one after the other."""
+        return b"".join(self.each(pieces))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -144,7 +149,8 @@ def _encode_short(path: str, pattern: str, with_ids: bool):
 
 
 def _cut_chunks(path: str, pattern: str):
-    """Of each chunk: its own part of the text, trusted boundaries, ids of its pre-tokens and where each one's end."""
+    """Of each chunk: lengths, numbers of ids (16 bits each, as a chunk is short) and ids of its trusted pre-tokens, and
+    what text follows them. The rest of the text is in the ids."""
 
     def run(batches):
         c = codec(path, pattern)
@@ -152,12 +158,14 @@ def _cut_chunks(path: str, pattern: str):
             out: list[list] = [[], [], [], []]
             for text, last in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 ends = trusted_boundaries(c.pattern, text, last)
-                ids = [c.ids([text[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]  # none, if no end is trusted
-                upto = np.cumsum([len(x) for x in ids])
-                for column, value in zip(out, (text if last else text[:CHUNK], np.array(ends, "<i4").tobytes(), b"".join(ids), upto.astype("<i4").tobytes()), strict=True):
+                each = c.each([text[a:b] for a, b in zip([0, *ends], ends, strict=False)])  # none, if no end is trusted
+                n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+                ids = np.frombuffer(b"".join(each), "<u4").astype(c.narrow)
+                rest = text[ends[-1] if ends else 0 :]
+                for column, value in zip(out, (np.diff(np.array([0, *ends])).astype("<u2").tobytes(), n.astype("<u2").tobytes(), ids.tobytes(), rest), strict=True):
                     column.append(value)
-            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["doc_id", "key", "copies", "chunk", "core", "ends", "ids", "upto"])
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["doc_id", "key", "copies", "chunk", "lengths", "n", "ids", "rest"])
 
     return run
 
@@ -166,12 +174,14 @@ def _join_chunks(path: str, pattern: str, with_ids: bool):
     def run(table: pa.Table) -> pa.Table:
         c = codec(path, pattern)
         table = table.sort_by("chunk")
-        text = "".join(table["core"].to_pylist())
-        boundaries, upto = ([np.frombuffer(x, "<i4") for x in table[name].to_pylist()] for name in ("ends", "upto"))
-        ids = table["ids"].to_pylist()
+        boundaries = [np.cumsum(np.frombuffer(x, "<u2"), dtype=np.int64) for x in table["lengths"].to_pylist()]
+        begins = [np.concatenate([[0], np.cumsum(np.frombuffer(x, "<u2"), dtype=np.int64)]) for x in table["n"].to_pylist()]
+        ids = [np.frombuffer(x, c.narrow).astype("<u4") for x in table["ids"].to_pylist()]
+        parts = [c.decode(i.tobytes()).decode() + rest for i, rest in zip(ids, table["rest"].to_pylist(), strict=True)]
+        text = "".join([*(p[:CHUNK] for p in parts[:-1]), parts[-1]])
         encoded, decoded = [], hashlib.sha256()
         for n, a, b in stitch(c.pattern, text, [k * CHUNK for k in table["chunk"].to_pylist()], boundaries):
-            encoded.append(c.ids([text[a:b]]) if n is None else ids[n][int(upto[n][a - 1]) if a else 0 : int(upto[n][b - 1])])
+            encoded.append(c.ids([text[a:b]]) if n is None else ids[n][begins[n][a] : begins[n][b]].tobytes())
             decoded.update(c.decode(encoded[-1]))
         whole, copies = b"".join(encoded), table["copies"][0].as_py()
         doc_ids = pa.array([table["doc_id"][0].as_py()] * copies, pa.int64())
@@ -194,7 +204,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str = public_toke
         cut_up.select("doc_id", "key", "chunk", part, (F.col("chunk") == F.col("last")).alias("is_last"))
         .groupBy("doc_id", "key", "chunk", "part", "is_last").agg(F.count("*").alias("copies"))  # deals the chunks out; equal rows are one
         .select("doc_id", "key", "copies", "chunk", "part", "is_last")
-        .mapInArrow(_cut_chunks(path, pattern), "doc_id long, key long, copies long, chunk int, core string, ends binary, ids binary, upto binary")
+        .mapInArrow(_cut_chunks(path, pattern), "doc_id long, key long, copies long, chunk int, lengths binary, n binary, ids binary, rest string")
     )
     return short.unionByName(chunks.groupBy("doc_id", "key").applyInArrow(_join_chunks(path, pattern, with_ids), schema))
 
