@@ -87,8 +87,17 @@ def token_key(name: Column, address: Column) -> Column:
     return F.concat_ws("|", F.array_join(tokens, " "), place)
 
 
-def frequency(df: DataFrame, column: str, out: str, total: int) -> DataFrame:
-    """``df`` (of ``total`` rows) with the share of rows that have the row's value of a column (null: 0)."""
-    counts = cut(df.groupBy(F.col(column).alias("__v")).agg((F.count("*") / F.lit(float(max(total, 1)))).alias(out)).filter("__v IS NOT NULL"))
-    few = small_or_not(counts, 200_000)  # a category has few values; many meet the rows in a shuffled join
-    return df.join(few, df[column] == F.col("__v"), "left").drop("__v").fillna({out: 0.0})
+def frequencies(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with, for each column, the share of rows that have the row's value of it (null: 0) under a new name.
+
+    All columns are counted in one pass; a column's values are broadcast if they are few.
+    """
+    if not columns:
+        return df
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(columns)])
+    counts = cut(df.select(F.inline(pairs)).groupBy("i", "v").agg(F.count("*").alias("n")))
+    total = counts.filter("i = 0").agg(F.sum("n")).first()[0] or 1
+    for i, (c, out) in enumerate(columns.items()):
+        own = counts.filter((F.col("i") == i) & F.col("v").isNotNull()).select(F.col("v").alias("__v"), (F.col("n") / F.lit(float(total))).alias(out))
+        df = df.join(small_or_not(own, 200_000), df[c].cast("string") == F.col("__v"), "left").drop("__v").fillna({out: 0.0})
+    return df

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casemill.functions.expressions import day_of, frequency, hour_band, per_lakh, ratio, try_ts
+from casemill.functions.expressions import day_of, frequencies, hour_band, per_lakh, ratio, try_ts
 from casemill.functions.roles import RoleMap, unavailable
 from casemill.plans.lineage import cut
 
@@ -66,11 +66,13 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: i
     number of nodes) then scores all rows.
     """
     spark = df.sparkSession
-    x, names, total = df, [], df.count()
+    x, names = df, []
     for c in roles.all("measure", "money", "age"):
         x, names = x.withColumn(f"x_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0))), [*names, f"x_{c}"]
+    shares: dict[str, str] = {}
     for c in roles.all("category", "subcategory", "status", "admin_area_1", "admin_area_2"):
-        x, names = frequency(x, c, f"x_{c}", total), [*names, f"x_{c}"]
+        shares[c] = f"x_{c}"
+    x, names = frequencies(x, shares), [*names, *shares.values()]
     if times := roles.all("timestamp"):
         ts = try_ts(df, times[-1])
         x, names = x.withColumn("x_hour", F.coalesce(F.hour(ts), F.lit(12)).cast("double")).withColumn("x_dow", F.coalesce(F.weekday(ts), F.lit(3)).cast("double")), [*names, "x_hour", "x_dow"]
@@ -113,21 +115,24 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: i
         return pd.DataFrame(nodes, columns=["tree", "node", "f", "v", "l", "r", "path"])
 
     forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node int, f int, v double, l int, r int, path double").toPandas()  # at most trees x 2 x sample nodes
-    grown = [g.sort_values("node").to_numpy() for _, g in forest.groupby("tree")]
+    grown = []
+    for _, g in forest.groupby("tree"):
+        g = g.sort_values("node")
+        leaf, own = (g["f"] < 0).to_numpy(), np.arange(len(g))
+        # a leaf leads to itself, so that all rows take the same number of steps
+        grown.append((np.where(leaf, 0, g["f"]).astype(np.int64), np.where(leaf, np.inf, g["v"]), np.where(leaf, own, g["l"]).astype(np.int64), np.where(leaf, own, g["r"]).astype(np.int64), g["path"].to_numpy()))
+    steps = math.ceil(math.log2(max(size, 2)))
     scale = expected_path(size) or 1.0
 
     def score(batches):
         for pdf in batches:
             data = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
-            total = np.zeros(len(data))
-            for g in grown:
+            total, flat, first = np.zeros(len(data)), data.ravel(), np.arange(len(data)) * len(names)
+            for f, v, left, right, path in grown:
                 at = np.zeros(len(data), np.int64)
-                f = g[:, 2].astype(np.int64)
-                while (go := f[at] >= 0).any():
-                    i = np.flatnonzero(go)
-                    less = data[i, f[at[i]]] < g[at[i], 3]
-                    at[i] = np.where(less, g[at[i], 4], g[at[i], 5]).astype(np.int64)
-                total += g[at, 6]
+                for _ in range(steps):
+                    at = np.where(flat[first + f[at]] < v[at], left[at], right[at])
+                total += path[at]
             yield pd.DataFrame({"key": pdf["key"], "score": 2 ** (-total / max(len(grown), 1) / scale)})
 
     return rows.mapInPandas(score, "key string, score double").orderBy(F.desc("score"), "key").limit(limit)

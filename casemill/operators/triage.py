@@ -69,7 +69,7 @@ def features(df: DataFrame, roles: RoleMap, linked: DataFrame | None = None, gra
 
 def indexers() -> list:
     """Categories as numbers, the commonest first, equal ones in alphabetical order."""
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in CATEGORIES]
+    return [StringIndexer(inputCols=list(CATEGORIES), outputCols=[f"{c}_i" for c in CATEGORIES], handleInvalid="keep")]
 
 
 def auc(df: DataFrame, score: str, label: str = "label") -> float:
