@@ -37,9 +37,9 @@ THRESHOLD = 0.3
 SAMPLE = 20_000
 DIM, NONZERO = 48, 4
 #: Words with a context vector: their documents at least, and their number at most.
-LEAST_DOCS, VOCABULARY = 5, 131_072
+LEAST_DOCS, VOCABULARY = 5, 65_536
 #: Distinct words of texts that a task holds before it adds them up.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 3e-3, 3e-3
 #: Bytes of text, and texts, that are taken apart at once. Longer words are taken apart one by one.
 PART, TEXTS = 100_000, (1 << 17) - 1
@@ -185,8 +185,8 @@ def _documents(batches):
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    for batch in batches:
-        for _, p in parts_of(batch.column(0).to_pylist()):
+    for texts in _slices(batches):
+        for _, p in parts_of(texts):
             held.append(p.hash)
             size += len(p.hash)
             if size > GATHERED:
@@ -195,6 +195,13 @@ def _documents(batches):
     yield flush()
 
 
+def _slices(batches, rows: int = 250):
+    """The texts of the batches, a few rows at a time: as Python's texts they take several times their room."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.column(0).slice(i, rows).to_pylist()
+
+
 def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which of the hashes are among the known ones (sorted), and where."""
     at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
@@ -206,18 +213,20 @@ def _contexts(known):
     """Sums, for each known word, of the random vectors of the documents that hold it."""
 
     def run(batches):
-        total = np.zeros(len(known.value) * DIM)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        total = np.zeros(len(known.value) * DIM, np.int32)
+        for texts in _slices(batches):
             place, sign = index_entries(np.fromiter((xxhash.xxh64_intdigest((t or "").encode()) for t in texts), np.uint64, len(texts)))
             for of, p in parts_of(texts):
                 hit, at = _places(known.value, p.hash)
                 d = of[p.text[hit]]
                 for j in range(NONZERO):
-                    np.add.at(total, at * DIM + place[d, j], sign[d, j])
-        sums = total.astype(np.int32).reshape(-1, DIM)
-        used = np.flatnonzero((sums != 0).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(sums[used, i]) for i in range(DIM))], ["w", *(f"v{i}" for i in range(DIM))])
+                    np.add.at(total, at * DIM + place[d, j], sign[d, j].astype(np.int32))
+        sums = total.reshape(-1, DIM)
+        for i in range(0, len(sums), 4_096):
+            part = sums[i : i + 4_096]
+            used = np.flatnonzero((part != 0).any(axis=1))
+            if len(used):
+                yield pa.RecordBatch.from_arrays([pa.array(used + i, pa.int64()), *(pa.array(part[used, k]) for k in range(DIM))], ["w", *(f"v{k}" for k in range(DIM))])
 
     return run
 
