@@ -1,0 +1,21 @@
+"""Tables between the steps of an operator, kept as Parquet in the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+from casemill.plans.lineage import checkpoint_dir
+
+
+def place(spark, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: lineage is cut, and later steps read only the columns and rows they need."""
+    at = place(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
