@@ -4,16 +4,17 @@ The edges of the graph are windows of WINDOW words. Each window picks an anchor,
 smallest hash, and consecutive windows with the same anchor are one path of edges, so a path is known by its anchor and
 the digest of its words. Equal windows pick equal anchors, so a window can only repeat where its anchor does:
 
-* anchors are counted; paths whose anchor occurs once are unique and go no further;
-* equal paths are joined to their first occurrence: all others are repeated as a whole, without a branch, and leave;
-* where the first occurrences left of one anchor are several different paths, the graph branches: these, and only these,
-  are opened into single windows, which are joined to their first occurrences;
+* paths meet by anchor, in order, and are read once: an anchor with one path is unique and goes no further; of equal
+  paths all but the first are repeated as a whole, without a branch, and leave;
+* where one anchor has several different paths, the graph branches: the first of each of these, and only they, are opened
+  into single windows, which are joined to their first occurrences;
 * paths and windows that have an earlier source are put together to the spans of each document that go.
 
-Anchors are rolling hashes, which only propose; what is joined are 128-bit digests of the words themselves, read from the
-text at the coordinates (document, first word) of path, window and source, so a span goes because its words are there.
-Paths have a few windows each, which is what bounds the rows that are shuffled; anchors, paths and windows of many
-occurrences are counted and reduced to their first before the shuffle, and meet it in a join that is split by skew.
+Anchors are rolling hashes, which only propose; what must agree besides are digests of the words themselves, read from
+the text at the coordinates (document, first word) of path, window and source, so a span goes because its words are
+there. A path has a few windows, which is what bounds the rows that are shuffled. Anchors that a sample of the documents
+shows often are dealt out by document too: each share finds its own first paths, and these are then reduced to the first
+of all; what the sample says changes no result. Texts are compressed when they are shuffled.
 
 Odd input: a null text has no words; very long texts are read piece by piece (paths end with a piece, which changes no
 result); null ids come before all others; rows of equal ids follow by a hash of their text, and are one document if their
@@ -26,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ WINDOW, ANCHOR = 20, 8
 #: Bytes of text that are read at once, documents of a step, and rows that are sent at once.
 PIECE, STEP, SENT = 1_000_000, 256, 200_000
 #: Rows of a table that is broadcast at most; its bytes are measured too.
-SMALL = 5_000_000
+SMALL = 1_000_000
+#: The share of documents in which anchors are counted to find those to be dealt out; these are at most 1 / SHARE anchors.
+SAMPLE, SHARE, LEAST = 1 / 16, 1 / 10_000, 8
 #: Bases of the hashes over bytes and over words, odd, and the first one's inverse modulo 2^64.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _BACK = pow(_BYTE, -1, 1 << 64)
@@ -178,24 +182,87 @@ def _words(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _paths(batches):
-    sender = _Sender(["anchor", "p", "q", "start", "n"])
+    sender = _Sender(["anchor", "p", "start", "n"])
     for d, th, text in _rows(batches, 3):
         for piece in pieces(text):
             anchor, first, n = piece.paths()
             digests = [piece.digest(a, k) for a, k in zip(first.tolist(), (n + WINDOW - 1).tolist(), strict=True)]
-            sender.add(d, th, anchor, *_words(digests), first + piece.first, n)
+            sender.add(d, th, anchor, _words(digests)[0], first + piece.first, n)
             if sender.n >= SENT:
                 yield sender.batch()
     if sender.n:
         yield sender.batch()
 
 
+REPEATED, OPEN, SHARED = 0, 1, 2
+
+
+def _met(batches):
+    """Rows (d, th, anchor, p, start, n, hot), sorted by anchor, p and coordinates, to what becomes of them.
+
+    REPEATED: there is an earlier equal path. OPEN: the first of its kind, its anchor has others. SHARED: the first of its
+    kind in this share of an anchor that is dealt out. A row with the first one's coordinates is the same document again.
+    Only the last row's kind and the last first path are held.
+    """
+    last, origin = None, None  # anchor, p of the last row; the coordinates of the first of these
+    held, told = None, False  # the last first path (a batch of one row); whether it has been sent as open
+
+    def sent(batch, kind: int):
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(batch.column(c) for c in ("d", "th", "start", "n", "anchor", "p"))], ["kind", "d", "th", "start", "n", "anchor", "p"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, p = batch.column("anchor").to_numpy(), batch.column("p").to_numpy()
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        first = np.r_[last != (anchor[0], p[0]), (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1])]
+        at = np.flatnonzero(first)
+        of = np.cumsum(first) - first[0]  # each row's kind, the one that goes on from before being the first
+        later = np.zeros(len(first), bool)
+        null = batch.column("d").is_null().to_numpy(zero_copy_only=False)
+        ends = []
+        for i, c in enumerate((null, *(batch.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ("d", "th", "start")))):
+            begins = c[at] if first[0] else np.r_[np.array([origin[i]], c.dtype), c[at]]
+            later |= c != begins[of]
+            ends.append(begins[-1])
+        origin = ends
+        last = anchor[-1], p[-1]
+        yield sent(batch.filter(pa.array(later)), REPEATED)
+        yield sent(batch.filter(pa.array(first & hot)), SHARED)
+        at = np.flatnonzero(first & ~hot)
+        if not len(at):
+            continue
+        own = anchor[at]
+        same = own[1:] == own[:-1]
+        goes_on = held is not None and held.column("anchor")[0].as_py() == own[0]
+        if goes_on and not told:
+            yield sent(held, OPEN)
+        several = np.r_[goes_on, same] | np.r_[same, False]
+        yield sent(batch.take(pa.array(at[several])), OPEN)
+        held, told = batch.slice(int(at[-1]), 1), bool(several[-1])
+
+
+def _packed(batches):
+    """Rows (d, th, text) with the text's bytes compressed."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for whole in batches:
+        for i in range(0, whole.num_rows, STEP):
+            part = whole.slice(i, STEP)
+            texts = [packer.compress((t.as_py() or "").encode()) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["d", "th", "packed"])
+
+
+def _text(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
 def _windows(batches):
-    """Rows (d, th, text, open: paths to be opened) to the windows of these paths."""
+    """Rows (d, th, packed text, open: paths to be opened) to the windows of these paths."""
     sender = _Sender(["p", "q", "start"])
-    for d, th, text, open_paths in _rows(batches, 4):
+    for d, th, packed, open_paths in _rows(batches, 4):
         wanted = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in open_paths]))
-        for piece in pieces(text):
+        for piece in pieces(_text(packed)):
             low, high = np.searchsorted(wanted, [piece.first, piece.first + len(piece) - WINDOW + 1])
             at = wanted[low:high]
             sender.add(d, th, *_words([piece.digest(a, WINDOW) for a in (at - piece.first).tolist()]), at)
@@ -206,15 +273,15 @@ def _windows(batches):
 
 
 def _keep(batches):
-    """Rows (id, text, gone: paths that go) to the words that are kept, joined by single spaces."""
+    """Rows (id, packed text, gone: paths that go) to the words that are kept, joined by single spaces."""
     for whole in batches:
         for i in range(0, whole.num_rows, STEP):
             part = whole.slice(i, STEP)
             totals, removed, texts = [], [], []
-            for text, gone in zip(part.column(1), part.column(2), strict=True):
+            for packed, gone in zip(part.column(1), part.column(2), strict=True):
                 spans = np.array([(p["start"], p["start"] + p["n"] + WINDOW - 1) for p in gone.as_py() or ()], np.int64).reshape(-1, 2)
                 kept, n, left = [], 0, 0
-                for piece in pieces(text.as_py(), whole=False):
+                for piece in pieces(_text(packed.as_py()), whole=False):
                     turn = np.zeros(len(piece) + 1, np.int64)
                     np.add.at(turn, np.clip(spans[:, 0] - n, 0, len(piece)), 1)
                     np.add.at(turn, np.clip(spans[:, 1] - n, 0, len(piece)), -1)
@@ -228,40 +295,44 @@ def _keep(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def _first(of: DataFrame, *by: str) -> DataFrame:
-    """For each key the number of rows and the first coordinates (f)."""
-    return of.groupBy(*by).agg(F.count("*").alias("times"), F.min(F.struct("d", "th", "start")).alias("f"))
-
-
-def _later(of: DataFrame, first: DataFrame, *by: str) -> DataFrame:
-    """The rows that aren't the first of their key, with the coordinates of the first (s_d, s_th, s_start)."""
+def _later(of: DataFrame, *by: str) -> DataFrame:
+    """d, th, start, n: the rows that aren't the first of their key (by d, th, start)."""
     here = F.struct("d", "th", "start")
-    many = first.filter("times > 1").select(*by, "f")
-    return of.join(many, [*by]).filter(~here.eqNullSafe(F.col("f"))).select("d", "th", "start", "n", F.col("f.d").alias("s_d"), F.col("f.th").alias("s_th"), F.col("f.start").alias("s_start"))
+    first = of.groupBy(*by).agg(F.count("*").alias("times"), F.min(here).alias("f")).filter("times > 1").drop("times")
+    return of.join(first, [*by]).filter(~here.eqNullSafe(F.col("f"))).select("d", "th", "start", "n")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(d, th, start, n, s_d, s_th, s_start): n windows from the word ``start`` on that also start earlier, at the source's coordinates.
+def _of_doc(found: DataFrame, name: str) -> DataFrame:
+    """o_d, o_th and the list of what was found for each document; repeated rows of a document count once."""
+    one = found.groupBy(F.col("d").alias("o_d"), F.col("th").alias("o_th"), "start").agg(F.max("n").alias("n"))
+    return one.groupBy("o_d", "o_th").agg(F.collect_list(F.struct("start", "n")).alias(name))
 
-    docs: d, th (which tells apart rows of one id), text.
-    """
-    known = cut(docs.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-    paths = docs.mapInArrow(_paths, "d long, th long, anchor long, p long, q long, start long, n long")
-    paths = stored(paths.join(small_or_not(known, SMALL), "anchor", "left_semi"), "paths")
-    first = stored(_first(paths, "anchor", "p", "q", "n"), "first-paths")
-    whole = _later(paths, first, "anchor", "p", "q", "n")
-    branching = first.groupBy("anchor").agg(F.count("*").alias("paths")).filter("paths > 1").select("anchor")
-    opened = first.join(branching, "anchor", "left_semi").select("f.d", "f.th", "f.start", "n")
-    of_doc = cut(opened.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("open")))
-    windows = stored(_with(docs, of_doc, "inner").select("d", "th", "text", "open").mapInArrow(_windows, "d long, th long, p long, q long, start long"), "windows")
-    single = _later(windows.withColumn("n", F.lit(1).cast("long")), _first(windows, "p", "q"), "p", "q")
-    return whole.unionByName(single)
 
+def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """(d, th, start, n): n windows from the word ``start`` on that also start earlier.
 
-def _with(docs: DataFrame, of_doc: DataFrame, how: str) -> DataFrame:
-    """docs and what was found for them, which should be cut."""
-    found = small_or_not(of_doc.withColumnsRenamed({"d": "o_d", "th": "o_th"}), SMALL)
-    return docs.join(found, docs.d.eqNullSafe(F.col("o_d")) & (docs.th == F.col("o_th")), how)
+    docs: d, th (which tells apart rows of one id), text; packed: the same with compressed texts.
+    """
+    spark = docs.sparkSession
+    seen = cut(docs.select("text").sample(SAMPLE, seed=1).mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("times")))
+    total = seen.agg(F.sum("times")).first()[0] or 0
+    often = F.broadcast(cut(seen.filter(F.col("times") > max(LEAST, total * SHARE)).select("anchor", F.lit(True).alias("hot"))))  # at most 1 / SHARE rows
+    paths = docs.mapInArrow(_paths, "d long, th long, anchor long, p long, start long, n long").join(often, "anchor", "left")
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = paths.select("d", "th", "anchor", "p", "start", "n", F.coalesce("hot", F.lit(False)).alias("hot"))
+    dealt = paths.repartition("anchor", F.when(F.col("hot"), F.pmod(F.xxhash64("d", "th"), F.lit(shares)))).sortWithinPartitions("anchor", "p", "d", "th", "start")
+    met = stored(dealt.mapInArrow(_met, "kind int, d long, th long, start long, n long, anchor long, p long"), "met")
+    shared = met.filter(F.col("kind") == SHARED)
+    first = shared.groupBy("anchor", "p").agg(F.min(F.struct("d", "th", "start")).alias("f"), F.first("n").alias("n"))
+    opened = met.filter(F.col("kind") == OPEN).select("d", "th", "start", "n").unionByName(first.select("f.d", "f.th", "f.start", "n"))
+    texts = _with(packed, _of_doc(opened, "open"), "inner").select("d", "th", "packed", "open")
+    windows = stored(texts.mapInArrow(_windows, "d long, th long, p long, q long, start long"), "windows").withColumn("n", F.lit(1).cast("long"))
+    whole = met.filter(F.col("kind") == REPEATED).select("d", "th", "start", "n")
+    return whole.unionByName(_later(shared, "anchor", "p")).unionByName(_later(windows, "p", "q"))
+
+
+def _with(packed: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    return packed.join(found, packed.d.eqNullSafe(F.col("o_d")) & (packed.th == F.col("o_th")), how)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,9 +345,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = own.join(small_or_not(again, SMALL), F.col("d").eqNullSafe(F.col("a_d")), "left")
         own = own.select("d", "text", F.when(F.col("again"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0)).alias("th"))
     own = own.select("d", "th", "text")
-    spans = repeats(own).groupBy("d", "th", "start").agg(F.max("n").alias("n"))
-    gone = stored(spans.groupBy("d", "th").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "spans")
-    return _with(own, gone, "left").select("d", "text", "gone").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+    packed = own.mapInArrow(_packed, "d long, th long, packed binary")
+    gone = _of_doc(repeats(own, packed), "gone")
+    return _with(packed, gone, "left").select("d", "packed", "gone").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op13_debruijn_dedup(spark, sf_dir: str) -> DataFrame:

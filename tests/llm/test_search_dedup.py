@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from casemill.llm import debruijn, norm_buckets
 
@@ -175,6 +176,29 @@ def test_dedup_of_an_empty_table(spark):
     assert debruijn.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_streamed_anchors_of_any_batches():
+    """What becomes of paths doesn't depend on where batches end."""
+    r = random.Random(9)
+    rows = sorted((r.randrange(12), r.randrange(3), d // 2, 0, d // 2 % 7) for d in range(200))  # half of them documents again
+    schema = ("anchor", "p", "d", "th", "start")
+
+    def met(sizes):
+        out, at = [], 0
+        for n in sizes:
+            part = rows[at : at + n]
+            at += n
+            out.append(pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in part], pa.int64()) for i, c in enumerate(schema)} | {"n": pa.array([1] * len(part), pa.int64()), "hot": pa.array([x[0] == 5 for x in part], pa.bool_())}))
+        return sorted(t for b in debruijn._met(out) for t in zip(*(b.column(c).to_pylist() for c in ("kind", "anchor", "p", "d")), strict=True))
+
+    first, kinds = {}, defaultdict(set)
+    for a, p, d, *_ in rows:
+        first.setdefault((a, p), d)
+        kinds[a].add(p)
+    want = [(debruijn.REPEATED, a, p, d) for a, p, d, *_ in rows if first[a, p] != d]
+    want += [(debruijn.SHARED if a == 5 else debruijn.OPEN, a, p, d) for (a, p), d in first.items() if a == 5 or len(kinds[a]) > 1]
+    assert met([200]) == met([1] * 200) == met([3, 0, 50, 7, 140]) == sorted(want)
+
+
 def test_pieces_change_no_result(monkeypatch):
     r = random.Random(8)
     text = " ".join(r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(400)) + "\n" + "x" * 900 + " end"
@@ -183,14 +207,15 @@ def test_pieces_change_no_result(monkeypatch):
     def windows():
         out = {}
         for b in debruijn._paths(batch([1], [0], [text])):
-            for anchor, start, n in zip(*(b.column(i).to_pylist() for i in (2, 5, 6)), strict=True):
+            for anchor, start, n in zip(*(b.column(i).to_pylist() for i in (2, 4, 5)), strict=True):
                 assert not set(range(start, start + n)) & set(out)
                 out |= dict.fromkeys(range(start, start + n), anchor)
         return out
 
+    packed = zstandard.compress(text.encode())
     opened = [{"start": 3, "n": 200}, {"start": 100, "n": 250}]
-    single = lambda: [b.to_pydict() for b in debruijn._windows(batch([1], [0], [text], [opened]))]
-    kept = lambda: next(iter(debruijn._keep(batch([1], [text], [opened[:1]])))).to_pydict()
+    single = lambda: [b.to_pydict() for b in debruijn._windows(batch([1], [0], [packed], [opened]))]
+    kept = lambda: next(iter(debruijn._keep(batch([1], [packed], [opened[:1]])))).to_pydict()
     whole, single_whole, kept_whole = windows(), single(), kept()
     assert sorted(whole) == list(range(len(text.split()) - 19)) and kept_whole["kept"] == [" ".join(text.split()[:3] + text.split()[222:])]
     monkeypatch.setattr(debruijn, "PIECE", 150)
