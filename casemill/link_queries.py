@@ -11,7 +11,7 @@ from casemill import bindings as B
 from casemill import queries as own
 from casemill.bindings import CASE_ROLES, CASES_SQL, EVENT_ROLES, cases, events, table
 from casemill.functions.expressions import try_ts
-from casemill.operators import findings, graph, profile, reports, signals, triage
+from casemill.operators import communities, findings, graph, profile, reports, signals, triage
 from casemill.operators.query import Kpi
 from casemill.plans.lineage import cut
 from casemill.queries import register
@@ -63,16 +63,24 @@ def g4_involved(spark, sf_dir):
     return involved(spark, sf_dir)
 
 
-@register(f"WITH {INV_SQL} SELECT src AS id, count(*) AS degree FROM inv GROUP BY ALL ORDER BY degree DESC, id LIMIT 25")
+def suppliers(spark, sf_dir):
+    return graph.nodes(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", "s_name", "s_suppkey")
+
+
+_NAMED = lambda source: f"SELECT x.*, s_name AS label FROM ({source}) x JOIN supplier ON x.id = 'supplier:' || CAST(s_suppkey AS VARCHAR)"
+REPEATS_SQL = f"WITH {INV_SQL} SELECT src AS id, count(DISTINCT dst) AS cases FROM inv GROUP BY ALL HAVING count(DISTINCT dst) >= 2 ORDER BY cases DESC, id LIMIT 25"
+
+
+@register(_NAMED(f"WITH {INV_SQL} SELECT src AS id, count(*) AS degree FROM inv GROUP BY ALL ORDER BY degree DESC, id LIMIT 25"))
 def g5_key_players(spark, sf_dir):
     """Nodes of most neighbours."""
-    return graph.key_players(involved(spark, sf_dir))
+    return graph.labelled(graph.key_players(involved(spark, sf_dir)), suppliers(spark, sf_dir))
 
 
-@register(f"WITH {INV_SQL} SELECT src AS id, count(DISTINCT dst) AS cases FROM inv GROUP BY ALL HAVING count(DISTINCT dst) >= 2 ORDER BY cases DESC, id LIMIT 25")
+@register(_NAMED(REPEATS_SQL))
 def g6_repeats(spark, sf_dir):
     """Suppliers of several orders."""
-    return graph.repeat_entities(involved(spark, sf_dir))
+    return graph.labelled(graph.repeat_entities(involved(spark, sf_dir)), suppliers(spark, sf_dir))
 
 
 PROJ_SQL = f"""{INV_SQL}, {SHARED_SQL}, ch AS (SELECT src, lead(src) OVER (PARTITION BY dst ORDER BY src) AS dst FROM inv QUALIFY count(*) OVER (PARTITION BY inv.dst) BETWEEN 2 AND 20),
@@ -93,20 +101,61 @@ def g8_components(spark, sf_dir):
 
 @register()
 def g8_communities(spark, sf_dir):
-    """Communities by label propagation."""
-    return graph.community_sizes(graph.label_propagation(g7_projection(spark, sf_dir)), "community")
-
-
-@register(f"""WITH {INV_SQL}, p AS (SELECT src AS a, dst AS b FROM inv UNION SELECT dst, src FROM inv),
+    """Communities by modularity."""
+    return graph.community_sizes(communities.communities(g7_projection(spark, sf_dir)), "community")
+
+
+def cliques(spark, sf_dir):
+    """Customers by sixes (the last ones a few more), each a clique, and the cliques linked to a ring; and their number."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    low, high, n = c.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    c = c.withColumn("q", F.least(F.floor((F.col("k") - low) / 6), F.lit(n // 6 - 1)))
+    other = c.select("q", F.col("k").alias("k2"))
+    inside = c.join(other, "q").filter("k < k2").select("k", "k2")
+    ends = c.groupBy("q").agg(F.max("k").alias("k")).filter(F.col("k") < high).select("k", (F.col("k") + 1).alias("k2"))
+    ring = spark.createDataFrame([(low, high)], "k long, k2 long")
+    both = inside.unionByName(ends).unionByName(ring).select(*[F.concat(F.lit("customer:"), F.col(k).cast("string")).alias(a) for k, a in (("k", "src"), ("k2", "dst"))])
+    return both, n // 6
+
+
+@register("""WITH c AS (SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS id, least((c_custkey - min(c_custkey) OVER ()) // 6, count(*) OVER () // 6 - 1) AS q FROM customer)
+SELECT id, min(id) OVER (PARTITION BY q) AS community FROM c""")
+def g8_ring(spark, sf_dir):
+    """Cliques in a ring; the resolution is high enough for neighbours to stay apart, however many there are."""
+    edges, n = cliques(spark, sf_dir)
+    return communities.communities(edges, resolution=n / 8)
+
+
+@register(f"""WITH {PROJ_SQL}, e AS (SELECT DISTINCT src AS a, dst AS b FROM proj WHERE src <> dst), p AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT a, b, split_part(a, ':', 1) || right(a, 1) AS ca, split_part(b, ':', 1) || right(b, 1) AS cb FROM p), t AS (SELECT ca, count(*)::DOUBLE AS tot, count(*) FILTER (ca = cb)::DOUBLE AS within FROM c GROUP BY ca)
+SELECT round(sum(within) / sum(tot) - sum(tot * tot) / (sum(tot) * sum(tot)), 9) AS modularity, count(*) AS communities FROM t""")
+def g8_modularity(spark, sf_dir):
+    """The modularity of a given partition (by kind and last digit)."""
+    g = g7_projection(spark, sf_dir)
+    labels = g.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("community", F.concat(F.substring_index("id", ":", 1), F.substring("id", -1, 1)))
+    return communities.modularity(g, labels).withColumn("modularity", F.round("modularity", 9))
+
+
+EGO_SQL = f"""WITH {INV_SQL}, p AS (SELECT src AS a, dst AS b FROM inv UNION SELECT dst, src FROM inv),
 s AS (SELECT 'supplier:1' AS id UNION SELECT b FROM p WHERE a = 'supplier:1' UNION SELECT b FROM p WHERE a IN (SELECT b FROM p WHERE a = 'supplier:1')),
 w AS (SELECT a, b FROM p WHERE a IN (SELECT id FROM s) AND b IN (SELECT id FROM s)),
-k AS (SELECT a AS id FROM (SELECT a, count(*) AS d FROM w GROUP BY a) ORDER BY a = 'supplier:1' DESC, d DESC, a LIMIT 150)
-SELECT a AS src, b AS dst FROM w WHERE a < b AND a IN (SELECT id FROM k) AND b IN (SELECT id FROM k)""")
+k AS (SELECT a AS id FROM (SELECT a, count(*) AS d FROM w GROUP BY a) ORDER BY a = 'supplier:1' DESC, d DESC, a LIMIT 150),
+eg AS (SELECT a AS src, b AS dst, 'involved_in' AS kind, CAST(NULL AS VARCHAR) AS value FROM w WHERE a < b AND a IN (SELECT id FROM k) AND b IN (SELECT id FROM k))"""
+
+
+@register(f"{EGO_SQL} SELECT * FROM eg")
 def g9_ego(spark, sf_dir):
     """The neighbourhood of a supplier."""
     return graph.ego(involved(spark, sf_dir), "supplier:1")
 
 
+@register(f"""{EGO_SQL}, i AS (SELECT src AS id FROM eg UNION SELECT dst FROM eg)
+SELECT id, split_part(id, ':', 1) AS kind, coalesce(s_name, split_part(id, ':', 2)) AS label, id = 'supplier:1' AS is_centre FROM i LEFT JOIN supplier ON id = 'supplier:' || CAST(s_suppkey AS VARCHAR)""")
+def g9_ego_nodes(spark, sf_dir):
+    """The nodes of this neighbourhood."""
+    return graph.ego_nodes(graph.ego(involved(spark, sf_dir), "supplier:1"), suppliers(spark, sf_dir), "supplier:1")
+
+
 @register(f"""WITH {INV_SQL}, {CASES_SQL}, r AS (SELECT DISTINCT src AS id, inv.dst, area, category, (case_id % 19)::INT AS h FROM inv JOIN cases ON inv.dst = 'case:' || CAST(case_id AS VARCHAR)),
 b AS (SELECT id, CASE WHEN h <= 5 THEN 'Night' WHEN h <= 11 THEN 'Morning' WHEN h <= 17 THEN 'Afternoon' ELSE 'Evening' END AS band, count(*) AS n FROM r GROUP BY ALL),
 bb AS (SELECT id, band AS peak_band FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, band) = 1),
@@ -283,7 +332,7 @@ def f15_brief(spark, sf_dir):
     return findings.brief(findings.select(all_findings(spark, sf_dir)), own.f13_capture_at_k(spark, sf_dir))
 
 
-HUBS_SQL = f"SELECT 'network_hub:' || id AS id, 'network_hub' AS type, round_even(least(95, 35 + 6 * cases), 0)::INT AS severity FROM (SELECT * FROM ({own.ORACLE_SQL['g6_repeats']}) ORDER BY cases DESC, id LIMIT 3)"
+HUBS_SQL = f"SELECT 'network_hub:' || id AS id, 'network_hub' AS type, round_even(least(95, 35 + 6 * cases), 0)::INT AS severity FROM (SELECT * FROM ({REPEATS_SQL}) ORDER BY cases DESC, id LIMIT 3)"
 METHODS_SQL = f"SELECT 'mo_signature:' || subtype || ':' || band AS id, 'mo_signature' AS type, round_even(least(92, 40 + 4 * n), 0)::INT AS severity FROM (SELECT * FROM ({own.ORACLE_SQL['a10_mo_signatures']}) ORDER BY n DESC, subtype, band LIMIT 2)"
 #: The findings that SQL can express, of the same shape.
 FOUND_SQL = f"""{HUBS_SQL} UNION ALL {METHODS_SQL}
@@ -365,7 +414,7 @@ _PER_LAKH = f"WITH {own.DEMO_SQL} SELECT area, population, density, urbanization
     _LONG("month", "strftime(period, '%Y-%m-%d %H:%M:%S')", ["count"], f"SELECT date_trunc('month', ts)::TIMESTAMP AS period, count(*) AS count FROM {YEAR_SQL} GROUP BY ALL"),
     _LONG("spike", "area || ' / ' || category", ["z_score", "pct_change"], f"SELECT * FROM ({own.ORACLE_SQL['a3_spikes'].replace('>= -1', '>= 2.5')}) ORDER BY z_score DESC, area, category LIMIT 10"),
     _LONG("risk", "area", ["risk_score", "forecast_daily"], own.ORACLE_SQL["a13_area_risk"]), _LONG("demographics", "area", ["population", "density", "urbanization", "literacy"], _PER_LAKH),
-    _LONG("network", "id", ["cases"], own.ORACLE_SQL["g6_repeats"]),
+    _LONG("network", "id", ["cases"], REPEATS_SQL),
 ]).replace("sum(money)", "round(sum(money), 2)"))
 def r1_handbook(spark, sf_dir):
     """The handbook of a year."""

@@ -68,6 +68,13 @@ def repeat_entities(edges: DataFrame, least: int = 2, top: int = 25) -> DataFram
     return n.filter(F.col("cases") >= least).orderBy(F.desc("cases"), "id").limit(top)
 
 
+def labelled(found: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """``found`` with its nodes' labels; a node without one is called by its id. found: few rows (a top list)."""
+    few = F.broadcast(found)
+    names = all_nodes.join(few.select("id"), "id", "left_semi").groupBy("id").agg(F.max("label").alias("label"))
+    return found.join(F.broadcast(names), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
 def projection(shared: DataFrame, involved: DataFrame, most: int = 20) -> DataFrame:
     """src, dst: shared-identifier edges, and chains of the entities of cases with 2 to ``most`` of them."""
     own = involved.select("src", F.col("dst").alias("case")).distinct()
@@ -116,8 +123,13 @@ def community_sizes(labels: DataFrame, column: str, least: int = 3, top: int = 1
 
 
 def ego(edges: DataFrame, centre: str, hops: int = 2, most: int = 150) -> DataFrame:
-    """src, dst: edges among the centre and its neighbourhood's ``most`` nodes of most neighbours in it."""
+    """src, dst, kind, value: edges among the centre and its neighbourhood's ``most`` nodes of most neighbours in it.
+
+    An unknown centre is a LookupError.
+    """
     own = edges.filter("src <> dst").select("src", "dst")
+    if own.filter((F.col("src") == centre) | (F.col("dst") == centre)).isEmpty():
+        raise LookupError(f"node {centre!r} is not in the graph")
     seen = edges.sparkSession.createDataFrame([(centre,)], "id string")
     at = lambda column: small_or_not(seen, FRONTIER).select(F.col("id").alias(column))
     for _ in range(hops):  # the stored edges are read again each time, never written
@@ -126,7 +138,18 @@ def ego(edges: DataFrame, centre: str, hops: int = 2, most: int = 150) -> DataFr
     degree = within.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d"))
     kept = cut(degree.orderBy((F.col("id") == centre).desc(), F.desc("d"), "id").limit(most).select("id"))
     few = F.broadcast(kept)  # at most ``most`` rows
-    return within.filter("a < b").join(few.select(F.col("id").alias("a")), "a", "left_semi").join(few.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    end = lambda c: few.select(F.col("id").alias(c))
+    inside = edges.filter("src <> dst").join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi")
+    return inside.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "kind", "value").distinct()
+
+
+def ego_nodes(around: DataFrame, all_nodes: DataFrame, centre: str) -> DataFrame:
+    """id, kind, label, is_centre: the nodes of an ego network; those without a row are cases, or of their prefix's kind."""
+    ids = around.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = all_nodes.join(F.broadcast(cut(ids)), "id", "left_semi").groupBy("id").agg(F.max(F.struct("kind", "label")).alias("n"))
+    name = F.substring_index("id", ":", 1)
+    out = ids.join(F.broadcast(known), "id", "left")  # both are few: an ego network is bounded
+    return out.select("id", F.coalesce("n.kind", name).alias("kind"), F.coalesce("n.label", F.expr("substr(id, length(substring_index(id, ':', 1)) + 2)")).alias("label"), (F.col("id") == centre).alias("is_centre"))
 
 
 def profiles(involved: DataFrame, cases: DataFrame, case_id: str, area: str, kind: str, time: Column) -> DataFrame:

@@ -561,3 +561,54 @@ def test_a_wide_master_is_not_broadcast(spark):
     wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "k long, t string")
     hinted = lambda most: "ResolvedHint" in lineage.small_or_not(wide, 100, most)._jdf.queryExecution().analyzed().toString()
     assert hinted(100_000) and not hinted(10_000)
+
+
+# communities
+
+
+def modularity_of(pairs, label, resolution=1.0):
+    edges = {frozenset(p) for p in pairs if p[0] != p[1]}
+    tot, within = {}, {}
+    for a, b in map(tuple, edges):
+        for x in (a, b):
+            tot[label[x]] = tot.get(label[x], 0) + 1
+        within[label[a]] = within.get(label[a], 0) + 2 * (label[a] == label[b])
+    m2 = 2 * len(edges)
+    return sum(within.get(c, 0) / m2 - resolution * (t / m2) ** 2 for c, t in tot.items())
+
+
+def test_communities_of_planted_groups_beat_label_propagation(spark):
+    import random
+
+    from casemill.operators import communities
+
+    r = random.Random(1)
+    nodes = [f"n{i:03}" for i in range(150)]
+    pairs = [(a, b) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if r.random() < (0.5 if i % 5 == j % 5 else 0.02)]
+    df = spark.createDataFrame([*pairs, *pairs[:20], ("n000", "n000")], "src string, dst string")
+    label = {x.id: x.community for x in communities.communities(df).collect()}
+    assert {c: {n for n in nodes if label[n] == c} for c in set(label.values())} == {nodes[k]: set(nodes[k::5]) for k in range(5)}
+    got = communities.modularity(df, spark.createDataFrame(list(label.items()), "id string, community string")).first()
+    other = {x.id: x.community for x in graph.label_propagation(df).collect()}
+    assert abs(got.modularity - modularity_of(pairs, label)) < 1e-12 and got.communities == 5 and got.modularity >= modularity_of(pairs, other)
+
+
+def test_communities_of_weighted_and_odd_edges(spark):
+    from casemill.operators import communities
+
+    rows = [("a", "b", 5.0), ("b", "c", 0.1), ("c", "d", 5.0), ("d", "a", 0.1), ("x", "x", 9.0)]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    assert {(r.id, r.community) for r in communities.communities(df, weight="weight").collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")}
+    assert communities.communities(df.limit(0)).count() == 0
+    hub = spark.createDataFrame([("hub", f"leaf{i}") for i in range(300)], "src string, dst string")
+    assert {r.community for r in communities.communities(hub).collect()} == {"hub"}
+
+
+def test_ego_of_an_unknown_node_is_an_error(spark):
+    edges = spark.createDataFrame([("p:1", "case:1", "involved_in", None), ("p:1", "p:2", "shared_phone", "9")], graph.EDGES)
+    with pytest.raises(LookupError):
+        graph.ego(edges, "p:9")
+    around = graph.ego(edges, "p:1")
+    assert {tuple(r) for r in around.collect()} == {("case:1", "p:1", "involved_in", None), ("p:1", "p:2", "shared_phone", "9")}
+    nodes = spark.createDataFrame([("p:1", "p", "Anna")], "id string, kind string, label string")
+    assert {tuple(r) for r in graph.ego_nodes(around, nodes, "p:1").collect()} == {("p:1", "p", "Anna", True), ("p:2", "p", "2", False), ("case:1", "case", "1", False)}
