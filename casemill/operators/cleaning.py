@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casemill.functions import likeness
 from casemill.functions.expressions import digits_only, norm_name, squeeze, squeeze_lower
 from casemill.operators.profile import parsed_date
-from casemill.plans.lineage import cut, small_or_not
+from casemill.plans.lineage import cut, small_or_not, stored
 
 #: Rows of a value map that is broadcast.
 MOST_VALUES = 200_000
+#: Pairs of a value and a canonical text that are compared at once.
+LIKENESSES = 100_000
 CHANGES = "column string, row_key string, op string, before string, after string"
 QUARANTINE = "row_key string, column string, reason string, value string"
 
@@ -79,36 +82,20 @@ def auto_value_map(df: DataFrame, column: str) -> DataFrame:
     return n.withColumn("r", F.row_number().over(best)).filter("r = 1").select("value_key", F.col("spelling").alias("canonical"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 x (1 - insertions and deletions / lengths)."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:  # longest common subsequence
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-def similarity(a: str, b: str) -> float:
-    """The best of whole, word-order-free and partial likeness (the last two count a little less)."""
-    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
-    if not a or not b:
-        return 0.0
-    short, long = sorted((a, b), key=len)
-    sort = indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-    part = max(indel_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
-    return max(indel_ratio(a, b), 0.95 * sort, 0.9 * part if len(long) > 1.5 * len(short) or len(short) > 3 else 0.0)
-
-
 def build_value_map(df: DataFrame, column: str, canonical: list[str], threshold: float = 85.0) -> DataFrame:
-    """value_key, canonical: each distinct value's most similar one of a given list, if similar enough."""
+    """value_key, canonical: each distinct value's most similar one of a given list (ties to the first), if similar enough."""
 
     @F.pandas_udf("struct<canonical: string, ratio: double>")
     def best(values: pd.Series) -> pd.DataFrame:
-        rows = [max(((similarity(v, c), -i) for i, c in enumerate(canonical)), default=(0.0, 0)) for v in values]
-        return pd.DataFrame({"canonical": [canonical[-i] if r else None for r, i in rows], "ratio": [r for r, _ in rows]})
+        found: list[tuple[str | None, float]] = []
+        step = max(1, LIKENESSES // max(1, len(canonical)))
+        for i in range(0, len(values), step):
+            s = likeness.similarities(values[i : i + step].tolist(), canonical)
+            if canonical:
+                found += [(canonical[j] if r else None, r) for j, r in zip(s.argmax(axis=1), s.max(axis=1), strict=True)]
+            else:
+                found += [(None, 0.0)] * len(s)
+        return pd.DataFrame(found, columns=["canonical", "ratio"])
 
     c = F.col(column).cast("string")
     keys = df.filter(c.isNotNull() & (F.trim(c) != "")).select(squeeze_lower(c).alias("value_key")).distinct()
@@ -131,37 +118,59 @@ def unmapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return keys.join(mapping, "value_key", "left_anti")
 
 
+def segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(key, lo) and (key, hi): names of a pair whose ratio reaches t have a key in common, the shorter one's as lo.
+
+    names: i (a number), place, own (text). Of lengths s <= r, a ratio of t allows D = (1 - t) (s + r) insertions and
+    deletions, each of which breaks one segment at most, so of D + 1 segments of the shorter name one stands whole in the
+    longer one, moved by no more than the insertions or deletions before it. A key is a place, both lengths, a segment's
+    number and its text; one name has a number of keys that depends on its length only.
+    """
+    n, long = F.length("own"), "bigint"
+    changes = lambda s, r: F.floor((s + r) * (1 - t) + 1e-9).cast(long)
+    start = lambda i, s, parts: F.floor(i * s / parts).cast(long)
+    key = lambda s, r, i, text: F.xxhash64("place", s, r, i, text)
+
+    def own_keys(r):
+        parts = changes(n, r) + 1
+        return F.transform(F.sequence(F.lit(0).cast(long), parts - 1), lambda i: key(n.cast(long), r, i, F.expr("own").substr((start(i, n, parts) + 1).cast("int"), (start(i + 1, n, parts) - start(i, n, parts)).cast("int"))))
+
+    def met_keys(s):
+        d = changes(s, n)
+        more = n - s  # the longer one's additional characters
+        low, high = -F.floor((d - more) / 2).cast(long), F.floor((d + more) / 2).cast(long)
+
+        def of_segment(i):
+            first, size = start(i, s, d + 1), start(i + 1, s, d + 1) - start(i, s, d + 1)
+            moved = F.filter(F.sequence(low, high), lambda m: (first + m >= 0) & (first + m + size <= n))
+            return F.transform(moved, lambda m: key(s, n.cast(long), i, F.expr("own").substr((first + m + 1).cast("int"), size.cast("int"))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast(long), d), of_segment))
+
+    longest, shortest = F.floor(n * (2 - t) / t + 1e-9).cast(long), F.greatest(F.lit(1), F.ceil(n * t / (2 - t) - 1e-9)).cast(long)
+    lo = names.select(F.col("i").alias("lo"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(n.cast(long), longest), own_keys)))).alias("key"))
+    hi = names.select(F.col("i").alias("hi"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(shortest, n.cast(long)), met_keys)))).alias("key"))
+    return lo, hi
+
+
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     """lo, hi: pairs of names of one place whose indel ratio reaches the threshold, lo < hi.
 
-    names: o (orderable, unique), place, own (text). A ratio of t allows so many insertions and deletions, and each of
-    them destroys two pairs of letters at most; so two similar names share one of their rarest pairs of letters (2 D + 1
-    of them) at nearly the same place. Only names that meet so are compared.
+    names: o (orderable, unique), place, own (text, not empty). Only names that share a key of the segment index are
+    compared. Pairs are found by number, once each, before they meet their texts.
     """
-    t = threshold / 100
-    size = F.length("own")
-    most = F.floor(2 * (1 - t) / t * size + 1e-9)  # insertions and deletions to the longest similar name
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.struct(F.substring("own", i, F.lit(2)).alias("gram"), i.alias("at")))
-    listed = names.select("o", "place", "own", size.alias("size"), most.alias("most"), pairs.alias("pairs"))
-    listed = listed.withColumn("all", F.array_distinct(F.transform("pairs", lambda p: p["gram"])))
-    grams = cut(listed.select("o", "place", "own", "size", "most", "all", F.inline("pairs")))
-    often = cut(grams.groupBy("gram").agg(F.count("*").alias("n")))
-    # all places of a pair that recurs have one rank, so they are kept or left out together
-    ranked = grams.join(small_or_not(often, MOST_VALUES), "gram").withColumn("r", F.rank().over(W.partitionBy("o").orderBy("n", "gram")))
-    rare = cut(ranked.filter(F.col("r") <= 2 * F.col("most") + 1).select("o", "place", "own", "size", "most", "all", "gram", "at"))
-    other = rare.select(F.col("o").alias("hi"), "place", "gram", F.col("own").alias("own2"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("most").alias("most2"), F.col("all").alias("all2"))
-    near = F.least("most", "most2")
-    met = rare.join(other, ["place", "gram"]).filter((F.col("o") < F.col("hi")) & (F.abs(F.col("size") - F.col("size2")) <= near) & (F.abs(F.col("at") - F.col("at2")) <= near))
-    # the longer one keeps all but twice as many of its pairs of letters as there can be changes
-    lost = 2 * F.floor((1 - t) * (F.col("size") + F.col("size2")) + 1e-9)
-    met = met.filter(F.size(F.array_intersect("all", "all2")) >= F.greatest(F.size("all"), F.size("all2")) - lost)
-    met = met.select(F.col("o").alias("lo"), "hi", "own", "own2").distinct()
+    numbered = stored(names.withColumn("i", F.monotonically_increasing_id()), "names")
+    lo, hi = segment_index(numbered, threshold / 100)
+    met = lo.join(hi, "key").filter("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
+    end = lambda c: numbered.select(F.col("i").alias(c), F.struct("o", "own").alias(f"n_{c}"))
+    pairs = met.join(end("a"), "a").join(end("b"), "b")
 
     @F.pandas_udf("double")
     def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series(likeness.ratios(a.tolist(), b.tolist()), dtype=float)
 
-    return met.filter(ratio_of("own", "own2") >= threshold).select("lo", "hi")
+    alike = pairs.filter(ratio_of("n_a.own", "n_b.own") >= threshold)
+    return alike.select(F.least("n_a.o", "n_b.o").alias("lo"), F.greatest("n_a.o", "n_b.o").alias("hi"))
 
 
 def first_representatives(edges: DataFrame) -> DataFrame:
@@ -170,15 +179,17 @@ def first_representatives(edges: DataFrame) -> DataFrame:
     In order, a node joins the first representative it is linked to, or else becomes one. Each round all nodes without an
     earlier open neighbour become representatives and take theirs along.
     """
-    edges = cut(edges)
-    left, members = edges, edges.select("hi").limit(0)
+    edges = stored(edges, "like")
+    left, members, rounds = edges, edges.select("hi").limit(0), 0
     while not left.isEmpty():
         lead = left.select("lo").distinct().join(left.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti")
-        taken = cut(left.join(lead, "lo", "left_semi").select("hi").distinct())
+        taken = stored(left.join(lead, "lo", "left_semi").select("hi").distinct(), "taken")
         members = members.unionByName(taken)
+        rounds += 1
+        members = stored(members, "members") if rounds % 16 == 0 else members  # so that the plan stays short
         gone = lead.select(F.col("lo").alias("x")).unionByName(taken.select(F.col("hi").alias("x")))
-        left = cut(left.join(gone.withColumnRenamed("x", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("x", "hi"), "hi", "left_anti").select("lo", "hi"))
-    members = cut(members)
+        left = stored(left.join(gone.withColumnRenamed("x", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("x", "hi"), "hi", "left_anti").select("lo", "hi"), "left")
+    members = stored(members, "members")
     return edges.join(members, "hi", "left_semi").join(members.select(F.col("hi").alias("lo")), "lo", "left_anti").groupBy("hi").agg(F.min("lo").alias("lo"))
 
 

@@ -179,6 +179,24 @@ def c5_fuzzy_value_map(spark, sf_dir):
     return cleaning.build_value_map(messy(spark, sf_dir), "kind", ["Urgent", "High", "Medium", "Not specified", "Low"], 70.0)
 
 
+@register("""WITH n AS (SELECT upper(translate(md5(n_name)[1:14], '0123456789', 'ghijklmnop')) AS n_name, lower(translate(md5(n_name)[1:14], '0123456789', 'ghijklmnop')) AS name, c_custkey AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
+v AS (SELECT n_name, CASE WHEN k % 4 = 1 THEN name[1:1 + k // 4 % len(name)] || 'z' || name[2 + k // 4 % len(name):] WHEN k % 4 = 2 AND len(name) > 5 THEN name[1:k // 4 % len(name)] || name[2 + k // 4 % len(name):]
+  WHEN k % 4 = 3 THEN 'country of ' || name ELSE name END AS value FROM n)
+SELECT DISTINCT trim(regexp_replace(value, ' +', ' ', 'g')) AS value_key, n_name AS canonical FROM v""")
+def c5_planted_values(spark, sf_dir):
+    """Names (of nations, in other letters) with a letter more, a letter less or more words, mapped back."""
+    letters = F.upper(F.translate(F.substring(F.md5("n_name"), 1, 14), "0123456789", "ghijklmnop"))
+    nation = table(spark, sf_dir, "nation").withColumn("n_name", letters)
+    names = [r.n_name for r in nation.select("n_name").orderBy("n_nationkey").collect()]
+    name, k = F.lower("n_name"), F.col("c_custkey")
+    at = (F.floor(k / 4) % F.length(name)).cast("int")
+    rest = lambda i: name.substr(i, F.length(name))
+    written = F.when(k % 4 == 1, F.concat(name.substr(F.lit(1), at + 1), F.lit("z"), rest(at + 2))).when((k % 4 == 2) & (F.length(name) > 5), F.concat(name.substr(F.lit(1), at), rest(at + 2)))
+    written = written.when(k % 4 == 3, F.concat(F.lit("country of "), name)).otherwise(name)
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    return cleaning.build_value_map(rows.select(written.alias("value")), "value", names, 70.0)
+
+
 @register(f"WITH {AUTO_SQL} SELECT id, canonical AS kind FROM m JOIN a ON lower(trim(kind)) = value_key")
 def c6_standardized(spark, sf_dir):
     """Values replaced by their common spelling."""

@@ -193,6 +193,71 @@ def test_persons(spark):
     assert {r.row_key for r in out.changes.collect()} == {"p1", "p2", "p3"}
 
 
+def slow_ratio(a, b):
+    """100 x (1 - insertions and deletions / lengths), a character at a time."""
+    if not a and not b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def slow_similarity(a, b):
+    a, b = " ".join(a.lower().split()), " ".join(b.lower().split())
+    if not a or not b:
+        return 0.0
+    short, long = sorted((a, b), key=len)
+    words = slow_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    part = max(slow_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
+    return max(slow_ratio(a, b), 0.95 * words, 0.9 * part if len(long) > 1.5 * len(short) or len(short) > 3 else 0.0)
+
+
+def test_likeness_in_words_of_bits_equals_the_slow_one():
+    from casemill.functions import likeness
+
+    r = random.Random(2)
+    text = lambda most: "".join(r.choice("ab cé😀") for _ in range(r.randrange(most)))
+    pairs = [(text(12), text(12)) for _ in range(400)] + [(text(300), text(300)) for _ in range(30)] + [("", ""), ("", "a"), ("x" * 64, "x" * 65), ("ab" * 64, "ba" * 64), ("\x00a", "a")]
+    a, b = zip(*pairs, strict=True)
+    assert likeness.ratios(list(a), list(b)).tolist() == [slow_ratio(x, y) for x, y in pairs]
+    values, names = [text(25) for _ in range(40)] + ["Theft (residential)", ""], ["theft", "b a", "", "a much longer name of two hundred characters " * 5]
+    got = likeness.similarities(values, names)
+    assert [[round(x, 9) for x in row] for row in got] == [[round(slow_similarity(v, n), 9) for n in names] for v in values]
+    assert likeness.similarities([], names).shape == (0, 4) and likeness.similarities(values, []).shape == (42, 0)
+
+
+@pytest.mark.parametrize("threshold", [60.0, 80.0, 88.0, 100.0])
+def test_segments_find_all_similar_names(spark, threshold):
+    r = random.Random(int(threshold))
+    base = ["".join(r.choice("abc") for _ in range(r.randrange(1, 14))) for _ in range(25)]
+    names = {w for b in base for w in (b, b[1:], b + "a", b[:3] + b[4:], b[:2] + "cb" + b[2:], b[::-1]) if w}
+    rows = [((i, w), p, w) for p in "xy" for i, w in enumerate(sorted(names))]
+    df = spark.createDataFrame(rows, "o struct<i: int, w: string>, place string, own string").withColumn("o", F.struct("o.i", "place", "own"))
+    got = {(x.lo.place, x.lo.own, x.hi.own) for x in cleaning.similar_names(df, threshold).collect()}
+    order = sorted(names)
+    want = {(p, a, b) for p in "xy" for i, a in enumerate(order) for b in order[i + 1 :] if slow_ratio(a, b) >= threshold}
+    assert got == want
+
+
+def test_rows_of_the_segment_index_do_not_grow_with_the_place(spark):
+    for n in (500, 4_000):
+        letters = F.base64(F.unhex(F.md5(F.col("id").cast("string"))))
+        df = spark.range(n).select(F.col("id").alias("i"), F.lit("p").alias("place"), letters.substr(1, 21).alias("own"))
+        lo, hi = cleaning.segment_index(df, 0.88)
+        assert lo.count() == 36 * n and hi.count() <= 112 * n
+        assert lo.join(hi, "key").filter("lo <> hi").count() <= 8 * n
+
+
+def test_a_chain_of_names_in_turn(spark):
+    """Each is like its neighbours only: every second one represents itself."""
+    edges = spark.range(60).select(F.col("id").alias("lo"), (F.col("id") + 1).alias("hi"))
+    got = {(r.hi, r.lo) for r in cleaning.first_representatives(edges).collect()}
+    assert got == {(i, i - 1) for i in range(1, 61, 2)}
+
+
 def test_missing_and_duplicates(spark):
     df = spark.createDataFrame([(1, 10.0), (2, None), (3, 999.0)], "id long, x double")
     out = cleaning.handle_missing(df, "x", "id", "drop", True, (0, 100))
