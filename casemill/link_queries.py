@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from casemill import bindings as B
 from casemill import queries as own
 from casemill.bindings import CASE_ROLES, CASES_SQL, EVENT_ROLES, cases, events, table
 from casemill.functions.expressions import try_ts
-from casemill.operators import communities, findings, graph, profile, reports, signals, triage
+from casemill.operators import boosting, communities, findings, graph, profile, reports, signals, triage
 from casemill.operators.query import Kpi
 from casemill.plans.lineage import cut
 from casemill.queries import register
@@ -245,9 +247,31 @@ def l9_durations(spark, sf_dir):
 
 def bundles(spark, sf_dir, repeats=5):
     train = cut(features(spark, sf_dir, True))
-    detection = triage.train_detection(train, repeats=repeats)
     timed = cut(train.drop("label").join(l9_durations(spark, sf_dir), "case_id"))  # read several times
-    return detection, triage.train_duration(timed)
+    with ThreadPoolExecutor(2) as pool:  # each is a chain of small jobs
+        models = [pool.submit(inheritable_thread_target(spark)(f)) for f in (lambda: triage.train_detection(train, repeats=repeats), lambda: triage.train_duration(timed))]
+    return tuple(m.result() for m in models)
+
+
+def _gains(feature, value, source, order):
+    """The best gain of a feature's splits at the root, by prefix sums over its values."""
+    return f"""{feature}_v AS (SELECT {value} AS v, sum(g)::DOUBLE / 1048576 AS g, sum(h)::DOUBLE / 1048576 AS h, count(*) AS n FROM {source} GROUP BY 1),
+{feature}_p AS (SELECT sum(g) OVER o AS a, sum(h) OVER o AS b, sum(n) OVER o AS c, sum(g) OVER () AS g, sum(h) OVER () AS h, sum(n) OVER () AS n FROM {feature}_v WINDOW o AS (ORDER BY {order} ROWS UNBOUNDED PRECEDING)),
+{feature}_s AS (SELECT '{feature}' AS feature, round(coalesce(max(a * a / b + (g - a) * (g - a) / (h - b) - g * g / h) FILTER (c >= 20 AND n - c >= 20), 0), 6) AS gain FROM {feature}_p)"""
+
+
+@register(f"""WITH {TRIAGE_SQL}, t AS (SELECT area, category, (isodow(ts) - 1) AS dow, coalesce(n, 0) AS n_linked, CAST(state = 'detected' AS INT)::DOUBLE AS y FROM tc LEFT JOIN lk ON l_orderkey = case_id WHERE state <> 'open'),
+b AS (SELECT avg(y) AS p FROM t), x AS (SELECT t.*, CAST(round_even((p - y) * 1048576, 0) AS BIGINT) AS g, CAST(round_even(p * (1 - p) * 1048576, 0) AS BIGINT) AS h FROM t, b),
+{", ".join(_gains(f, c, "x", o) for f, c, o in (("crime_type", "category", "g / (h + 10)"), ("area", "area", "g / (h + 10)"), ("dow", "dow", "v"), ("n_linked", "n_linked", "v")))}
+SELECT * FROM crime_type_s UNION ALL SELECT * FROM area_s UNION ALL SELECT * FROM dow_s UNION ALL SELECT * FROM n_linked_s""")
+def l5_root_gains(spark, sf_dir):
+    """The gain of each feature's best split of all closed cases: categories by their gradients, numbers in order."""
+    rows = features(spark, sf_dir, True)
+    names = ["crime_type", "area", "dow", "n_linked"]
+    model = boosting.fit(rows, "label", names[:2], names[2:], trees=0)
+    own = model.binned(rows).select(F.col("__x").alias("x"), F.col("label").alias("y"))
+    sums = boosting.sums_of(own, model, boosting.root(), model.width(), boosting.UNIT)
+    return spark.createDataFrame([(f, round(boosting.best_split(sums[:, 0, i], i < 2)[0], 6)) for i, f in enumerate(names)], "feature string, gain double")
 
 
 @register()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from casemill.functions.expressions import severity
 from casemill.plans.lineage import cut
 
+#: Signals that are computed at once.
+AT_ONCE = 4
 SHAPE = "id string, type string, severity int, title string, evidence map<string,string>, area string, category string, suggested_action string, surface string"
 PER_TYPE, TOP, HEADLINES = 3, 7, ("spike", "rising_risk")
 # The signal families that each mission shows.
@@ -151,11 +155,14 @@ def build(spark: SparkSession, signals: dict[str, Callable[[], DataFrame]]) -> t
     """All findings of the signals, and why the others gave none: a failing signal contributes nothing.
 
     Each signal is computed here (it is a few rows), so that one that fails only while its job runs is contained too.
+    Signals run side by side, AT_ONCE at a time: most are chains of small jobs that leave executors idle.
     """
     out, failed = spark.createDataFrame([], SHAPE), {}
-    for name, make in signals.items():
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        made = {name: pool.submit(inheritable_thread_target(spark)(lambda make=make: cut(make()))) for name, make in signals.items()}
+    for name, result in made.items():
         try:
-            out = out.unionByName(cut(make()))
+            out = out.unionByName(result.result())
         except Exception as e:  # the other signals still count
             failed[name] = f"{type(e).__name__}: {e}"[:300]
     return out, failed

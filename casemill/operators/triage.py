@@ -7,30 +7,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions.expressions import status_label, try_ts
 from casemill.functions.roles import RoleMap
+from casemill.operators import boosting
+from casemill.plans.lineage import cut, small_or_not, stored
 
 CATEGORIES, NUMBERS = ("crime_type", "gravity", "area"), ("hour", "dow", "report_delay_h", "property_loss", "n_linked")
 ALLOWED_ROLES = ("category", "subcategory", "status", "admin_area_1", "timestamp", "date", "money", "measure")
-LEAST_ROWS, SEED = 200, 42
+LEAST_ROWS, SEED, TREES = 200, 42, 16
 RESOLUTION = r"(?i)csdate|chargesheet|disposal|closed"
 
 
 @dataclass
 class Bundle:
-    """A fitted pipeline (None: unavailable, with the reason) and its figures."""
+    """A fitted model (None: unavailable, with the reason) and its figures."""
 
-    model: PipelineModel | None
+    model: boosting.Boosted | None
     reason: str | None = None
     metrics: dict | None = None
     importance: DataFrame | None = None
@@ -77,53 +74,26 @@ def auc(df: DataFrame, score: str, label: str = "label") -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0).evaluate(df)
 
 
-def stages() -> list:
-    return [*indexers(), VectorAssembler(inputCols=[*(f"{c}_i" for c in CATEGORIES), *NUMBERS], outputCol="features")]
+def split(df: DataFrame, share: float = 0.75, key: str = "case_id", label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A split by the hash of the id, the same in each run; with a label, each of its values gives its share."""
+    u = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(10_000))
+    if label is None:
+        return df.filter(u < 10_000 * share), df.filter(u >= 10_000 * share)
+    ends = df.groupBy(F.col(label).alias("__l")).agg(F.percentile(u, F.lit(share)).alias("__end"))  # of 10,000 values a label
+    marked = df.join(small_or_not(cut(ends), 10_000), F.col(label).eqNullSafe(F.col("__l")))
+    return marked.filter(u <= F.col("__end")).select(*df.columns), marked.filter(u > F.col("__end")).select(*df.columns)
 
 
-def split(df: DataFrame, share: float = 0.75, key: str = "case_id") -> tuple[DataFrame, DataFrame]:
-    """A split by the hash of the id, the same in each run."""
-    u = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(10_000)) / 10_000.0
-    return df.filter(u < share), df.filter(u >= share)
-
-
-def _max_bins(df: DataFrame) -> int:
-    n = df.agg(*[F.countDistinct(c).alias(c) for c in CATEGORIES]).first()
-    return max(32, max(n) + 2)
-
-
-def permutation_importance(model: PipelineModel, test: DataFrame, repeats: int = 5) -> DataFrame:
-    """feature, importance: the mean fall of the accuracy when one feature's values are dealt out anew."""
-    spark = test.sparkSession
-    right = lambda df: df.agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] or 0.0
-    base = right(model.transform(test))
-    rows = []
-    parts = 32  # values are dealt out anew within hashed groups, so that no task holds all of them
-    for f in (*CATEGORIES, *NUMBERS):
-        falls = []
-        for i in range(repeats):
-            own = W.partitionBy("g").orderBy("case_id")
-            other = W.partitionBy("g").orderBy(F.xxhash64("case_id", F.lit(f), F.lit(i)), "case_id")
-            g = test.withColumn("g", F.pmod(F.xxhash64("case_id", F.lit(SEED + 1)), F.lit(parts)))
-            a = g.withColumn("r", F.row_number().over(own)).drop(f)
-            b = g.select("g", F.col(f), F.row_number().over(other).alias("r"))
-            falls.append(base - right(model.transform(a.join(b, ["g", "r"]))))
-        rows.append((f, sum(falls) / repeats))
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def train_detection(df: DataFrame, repeats: int = 5, trees: int = 20) -> Bundle:
+def train_detection(df: DataFrame, repeats: int = 5, trees: int = TREES) -> Bundle:
     """A boosted classifier of detected against undetected cases."""
-    df = df.persist()
-    try:
-        n = {r.label: r.n for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        if sum(n.values()) < LEAST_ROWS or len(n) < 2:
-            return Bundle(None, "needs 200 closed cases of two outcomes")
-        train, test = split(df)
-        model = Pipeline(stages=[*stages(), GBTClassifier(maxIter=trees, maxDepth=4, maxBins=_max_bins(df), seed=SEED)]).fit(train)
-        return Bundle(model, None, {"auc": auc(model.transform(test), "rawPrediction"), "n_train": sum(n.values()), "base_rate": n.get(1.0, 0) / sum(n.values())}, permutation_importance(model, test, repeats) if repeats else None)
-    finally:
-        df.unpersist()
+    df = stored(df, "triage")
+    n = {r.label: r.n for r in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if sum(n.values()) < LEAST_ROWS or len(n) < 2:
+        return Bundle(None, "needs 200 closed cases of two outcomes")
+    train, test = split(df, label="label")
+    model = boosting.fit(train, "label", list(CATEGORIES), list(NUMBERS), "log", trees)
+    test = stored(test, "triage-test")
+    return Bundle(model, None, {"auc": auc(model.transform(test), "raw"), "n_train": sum(n.values()), "base_rate": n.get(1.0, 0) / sum(n.values())}, boosting.importance(model, test, "label", repeats) if repeats else None)
 
 
 def resolution_table(profile: DataFrame, relations: DataFrame, primary: str) -> DataFrame:
@@ -141,12 +111,12 @@ def durations(cases: DataFrame, case_id: str, occurred: str, resolutions: DataFr
     return own.select("case_id", days.alias("days")).filter("days >= 0")
 
 
-def train_duration(df: DataFrame, trees: int = 20) -> Bundle:
+def train_duration(df: DataFrame, trees: int = TREES) -> Bundle:
     """A boosted regressor of ``days``."""
     if df.count() < LEAST_ROWS:
         return Bundle(None, "needs 200 resolved cases")
     train, test = split(df)
-    model = Pipeline(stages=[*stages(), GBTRegressor(labelCol="days", maxIter=trees, maxDepth=4, maxBins=_max_bins(df), seed=SEED)]).fit(train)
+    model = boosting.fit(train, "days", list(CATEGORIES), list(NUMBERS), "squared", trees)
     mae = model.transform(test).agg(F.avg(F.abs(F.col("prediction") - F.col("days")))).first()[0]
     m = df.agg(F.percentile("days", 0.5).alias("median"), F.percentile("days", 0.9).alias("p90"), F.count("*").alias("n")).first()
     return Bundle(model, None, {"mae": mae, "median": m["median"], "p90": m["p90"], "n_train": m["n"]})
@@ -168,7 +138,7 @@ def factors(df: DataFrame, importance: list[str], near: float = 0.15) -> DataFra
 
 def score_open(open_cases: DataFrame, detection: Bundle, duration: Bundle | None = None, limit: int = 25) -> DataFrame:
     """case_id, probability, days, stall, factors: open cases, the least likely to be detected first."""
-    out = detection.model.transform(open_cases).withColumn("probability", vector_to_array("probability")[1])
+    out = detection.model.transform(open_cases)
     out = out.select(*open_cases.columns, F.round("probability", 4).alias("probability"))
     if duration is not None and duration.model is not None:
         out = duration.model.transform(out).select(*out.columns, F.round("prediction", 1).alias("days"))
@@ -182,7 +152,7 @@ def score_open(open_cases: DataFrame, detection: Bundle, duration: Bundle | None
 
 def rate_by_area(open_cases: DataFrame, detection: Bundle) -> DataFrame:
     """area, rate, n: the mean predicted probability, lowest first."""
-    return mean_by_area(detection.model.transform(open_cases).withColumn("p", vector_to_array("probability")[1]))
+    return mean_by_area(detection.model.transform(open_cases).withColumnRenamed("probability", "p"))
 
 
 def mean_by_area(scored: DataFrame) -> DataFrame:

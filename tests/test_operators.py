@@ -677,3 +677,69 @@ def test_ego_of_an_unknown_node_is_an_error(spark):
     assert {tuple(r) for r in around.collect()} == {("case:1", "p:1", "involved_in", None), ("p:1", "p:2", "shared_phone", "9")}
     nodes = spark.createDataFrame([("p:1", "p", "Anna")], "id string, kind string, label string")
     assert {tuple(r) for r in graph.ego_nodes(around, nodes, "p:1").collect()} == {("p:1", "p", "Anna", True), ("p:2", "p", "2", False), ("case:1", "case", "1", False)}
+
+
+# boosting
+
+
+def test_feistel_numbers_are_permutations():
+    import numpy as np
+
+    from casemill.operators import boosting
+
+    for n in (1, 2, 3, 7, 64, 1000, 1025):
+        for key in (1, 5, 2**40):
+            assert sorted(boosting.feistel(np.arange(n), n, key).tolist()) == list(range(n))
+    assert (boosting.feistel(np.arange(5000), 5000, 1) != boosting.feistel(np.arange(5000), 5000, 2)).mean() > 0.99
+
+
+def test_best_splits_by_all_ways():
+    """Numbers: every cut, the missing ones on either side. Categories: no worse than the best of all subsets."""
+    import itertools
+
+    import numpy as np
+
+    from casemill.operators import boosting
+
+    r = np.random.default_rng(3)
+    gain = lambda s, left: sum(boosting._gain(*(s[i, part].sum() for i in (0, 1))) for part in (left, ~left)) - boosting._gain(s[0].sum(), s[1].sum())
+    for _ in range(20):
+        s = np.zeros((3, boosting.BINS))
+        at = np.r_[0, r.choice(np.arange(1, 256), 6, replace=False)] if r.random() < 0.5 else r.choice(np.arange(1, 256), 7, replace=False)
+        s[0, at], s[1, at], s[2, at] = r.normal(size=7) * 30, 50, r.integers(20, 60, 7)
+        ways = [np.isin(np.arange(256), x) for k in range(1, 7) for x in itertools.combinations(at.tolist(), k)]
+        ordered = [w for w in ways if all(not (w[a] < w[b]) for a, b in itertools.pairwise(sorted(x for x in at if x)))]
+        number, bins = boosting.best_split(s, False)
+        assert abs(number - max(0.0, *(gain(s, w) for w in ordered))) < 1e-9 and (number == 0 or abs(gain(s, bins) - number) < 1e-9)
+        category, bins = boosting.best_split(s, True)
+        assert abs(category - max(gain(s, w) for w in ways)) < 1e-9 and abs(gain(s, bins) - category) < 1e-9
+    assert boosting.best_split(np.zeros((3, 256)), True)[0] == 0
+
+
+def test_boosting_of_many_categories_missing_values_and_a_saved_model(spark, tmp_path):
+    from casemill.operators import boosting
+
+    k = F.col("id")
+    many = F.concat(F.lit("c"), (k % 2_999).cast("string"))
+    df = spark.range(30_000).select(many.alias("many"), F.when(k % 5 != 0, F.lit("x")).alias("one"), F.when(k % 4 != 0, (k % 1_000).cast("double")).alias("number"), ((k % 2_999 % 7 < 3) & (k % 4 != 0)).cast("double").alias("label"))
+    model = boosting.fit(df, "label", ["many", "one"], ["number"], trees=12)
+    assert model.codes.filter("feature = 'many'").agg(F.max("bin")).first()[0] <= 255 and model.codes.filter("feature = 'many'").count() == 2_999
+    right = lambda m: m.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+    assert right(model) > 0.99  # an interaction of a category and a missing number
+    model.save(str(tmp_path / "m"))
+    again = boosting.load(spark, str(tmp_path / "m"))
+    assert right(again) == right(model) and again.numbers == ["number"]
+    unknown = spark.createDataFrame([("never seen", None, float("nan"), 1.0)], df.schema)
+    assert 0 < model.transform(unknown).first().probability < 1
+    falls = {r.feature: r.importance for r in boosting.importance(model, df, repeats=2).collect()}
+    assert falls["many"] > 0.2 and falls["number"] > 0.1 and abs(falls["one"]) < 0.01
+    timed = boosting.fit(df.withColumn("days", F.col("number") * 2), "days", [], ["number"], "squared", trees=30)
+    assert timed.transform(df.filter("number IS NOT NULL")).agg(F.avg(F.abs(F.col("prediction") - F.col("number") * 2))).first()[0] < 40
+    assert boosting.fit(df.limit(0), "label", ["many"], ["number"]).transform(df.limit(3)).count() == 3
+
+
+def test_splits_keep_each_label_s_share(spark):
+    df = spark.range(8_000).select(F.col("id").cast("string").alias("case_id"), (F.col("id") % 50 == 0).cast("double").alias("label"))
+    train, test = triage.split(df, label="label")
+    n = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert abs(n[1.0] - 120) <= 2 and abs(n[0.0] - 5_880) <= 5 and train.count() + test.count() == 8_000
