@@ -1,20 +1,23 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Random indexing: each document and each word has a sparse random vector (a few +1 and -1, worked out from its hash). A
-word's vector is its own random vector and, if the word is in enough documents, its context vector scaled to length one:
-the sum of the random vectors of all documents that hold it. Which words have a context is decided by the number of
-their documents, counted over the whole corpus: LEAST_DOCS at least, and so many that VOCABULARY words at most have one.
-A document's features are the mean vectors of its words and shares of word shapes (upper case, attached symbols,
-repeated words, ...). A two-layer network in numpy learns quality from them, on at most SAMPLE labelled training rows
-(the smallest hashes); a temperature, fitted on a fifth of that sample, calibrates its probabilities.
-
-Long texts are taken apart in parts of PART bytes, cut between words, to bound memory; the distinct words of a text are
-then put together over its parts, so that features don't depend on PART.
-
-Odd input: a null text is empty and is scored like an empty one. A null id belongs to fold crc32('') and has no label.
-Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of one class only, or
-none, the score is that class's share (0.5 without any). Equal scores give equal predictions. Repeated rows give repeated
-rows; an empty table gives an empty result; other columns are not read (accepted keeps them).
+Random indexing: each document has a sparse random vector (a few +1 and -1, worked out from its hash), and so has each of
+BUCKETS buckets of subwords: a word as it stands (case, digits and marks kept), and the three-byte stretches of the word
+and its ends, fall into buckets by hash. A bucket's context vector is the sum of the random vectors of the documents, for
+each time a subword of it occurs, less what all buckets have in common, scaled to length one. A bucket's vector is its
+random vector and its context vector, weighted down the more often it occurs. A word's vector is the sum of its
+subwords' vectors scaled to length one, so every word has one, however rare, and the model has the same size whatever the
+corpus' is. A document's features are the mean of its words' vectors and the mean likeness (inner product) of two of its
+words and of two neighbouring ones: nothing that isn't from the vectors. A two-layer network in numpy
+learns quality from them, on at most SAMPLE labelled training rows (the smallest hashes); a temperature, fitted on a fifth
+of that sample, calibrates its probabilities.
+
+Long texts are taken apart in parts of PART bytes, cut between words, to bound memory; the sums over a text's words are
+then added up, so that features don't depend on PART.
+
+Odd input: a null text is empty and is scored like an empty one (its vector is zero). A null id belongs to fold crc32('')
+and has no label. Labels that are null or repeated: nulls are left out, the least label of an id counts. With labels of
+one class only, or none, the score is that class's share (0.5 without any). Equal scores give equal predictions. Repeated
+rows give repeated rows; an empty table gives an empty result; other columns are not read (accepted keeps them).
 """
 
 from __future__ import annotations
@@ -28,26 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casemill.llm.lattice import fold, least_count
+from casemill.llm.lattice import fold
 from casemill.plans.lineage import cut
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 #: Labelled rows that the network is fitted on at most.
 SAMPLE = 20_000
-DIM, NONZERO = 48, 4
-#: Words with a context vector: their documents at least, and their number at most.
-LEAST_DOCS, VOCABULARY = 5, 65_536
-#: Distinct words of texts that a task holds before it adds them up.
-GATHERED = 1_000_000
+DIM, NONZERO = 64, 4
+WIDTH = DIM + 2
+#: Buckets of subwords; the share of all subwords from which on a bucket counts less than half.
+BUCKETS, RARE = 1 << 14, 1e-3
 HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 3e-3, 3e-3
 #: Bytes of text, and texts, that are taken apart at once. Longer words are taken apart one by one.
 PART, TEXTS = 100_000, (1 << 17) - 1
-SHAPES = ("upper", "title", "digit", "symbol_run", "bare_symbol", "mark", "long", "non_ascii", "plain", "repeat")
-_BLANK, _LOWER, _UPPER, _DIGIT, _MARK, _HIGH = range(6)
-_CLASS = np.full(256, _MARK, np.uint8)
-_CLASS[[0x20, 9, 10, 11, 12, 13]] = _BLANK
-_CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = _LOWER, _UPPER, _DIGIT, _HIGH
+#: What stands for a word's ends among its bytes, none of UTF-8's.
+_OPENS, _CLOSES = 0xFE, 0xFF
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
@@ -71,69 +72,106 @@ def _hashes(core: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each stretch of bytes, wherever it stands."""
     n = len(core)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((core.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n))])
-    h = (sums[end] - sums[start]) * _powers(_BACK, n + 1)[start]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    return _mixed((sums[end] - sums[start]) * _powers(_BACK, n + 1)[start])
 
 
-def _shapes(lower, upper, digit, mark, high, size, first_upper) -> list:
-    """Of words with so many bytes of each class (size: but for marks), all SHAPES but the last."""
-    all_upper = (upper > 0) & (lower == 0) & (size > 1)
-    out = [all_upper, first_upper & ~all_upper, digit > 0, (mark > 1) & (size > 0), size == 0, (mark == 1) & (size > 0), size > 18, high > 0]
-    return [*out, ~np.logical_or.reduce(out)]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-class Parts:
-    """The words of a batch of texts: for each text the number of its words and the sums of their shapes, and its distinct words."""
+def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the subwords of words (stretches of data), word by word, and where each word's begin.
+
+    whole: the words' hashes, which give the last bucket of each.
+    """
+    size = end - start
+    n = size + 1  # stretches of three among the bytes and two ends, and the word itself
+    first = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(start)), n - 1)
+    i = np.arange(len(word)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)  # the middle byte's place in its word
+    at = start[word] + i
+    left = np.where(i == 0, np.uint64(_OPENS), data[at - (i > 0)].astype(np.uint64))
+    right = np.where(i == size[word] - 1, np.uint64(_CLOSES), data[np.minimum(at + 1, len(data) - 1)].astype(np.uint64))
+    code = (left | (data[at].astype(np.uint64) << np.uint64(8)) | (right << np.uint64(16)) | np.uint64(1 << 24)) * _STEP
+    out = np.zeros(int(n.sum()), np.int64)
+    last = first + n - 1
+    inside = np.ones(len(out), bool)
+    inside[last] = False
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    out[inside] = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift
+    out[last] = whole * np.uint64(0x94D049BB133111EB) >> shift
+    return out, first
+
+
+class Words:
+    """The words of a batch of texts: for each text its distinct words and their counts, and the words' subwords."""
 
     def __init__(self, texts: list[bytes]):
         n = len(texts)
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         of_text = np.cumsum(np.fromiter(map(len, texts), np.int64, n) + 1)
-        kind = _CLASS[data]
-        word = kind != _BLANK
-        start = np.flatnonzero(word & ~np.r_[False, word[:-1]])
-        end = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
+        blank = _BLANK[data]
+        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
         text = np.searchsorted(of_text, start, side="right")
-        count = lambda k: (c := np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]))[end] - c[start]
-        lower, upper, digit, mark, high = (count(k) for k in (_LOWER, _UPPER, _DIGIT, _MARK, _HIGH))
-        shapes = _shapes(lower, upper, digit, mark, high, end - start - mark, kind[start] == _UPPER)
-        # words without their marks and in lower case
-        keep = (kind != _MARK) & word
-        at = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])
-        core = data[keep] | np.where(kind[keep] == _UPPER, 0x20, 0).astype(np.uint8)
-        h = _hashes(core, at[start], at[end])
-        self.words = np.bincount(text, minlength=n).astype(np.int64)
-        # a text's number takes 17 bits, a word's hash the other 47
-        key, self.counts = np.unique((text.astype(np.uint64) << np.uint64(47)) | (h >> np.uint64(17)), return_counts=True)
-        self.text, self.hash = (key >> np.uint64(47)).astype(np.int64), key & np.uint64((1 << 47) - 1)
-        self.shapes = np.stack([np.bincount(text, weights=s, minlength=n) for s in shapes], axis=1)
-
-
-class OneText:
-    """The same of a single text, put together from its parts and long words."""
+        h = _hashes(data, start, end) >> np.uint64(17)  # a text's number takes 17 bits, a word's hash the other 47
+        key, self.counts = np.unique((text.astype(np.uint64) << np.uint64(47)) | h, return_counts=True)
+        self.text = (key >> np.uint64(47)).astype(np.int64)
+        own, at, self.tokens = np.unique(h, return_index=True, return_inverse=True)
+        ends = np.searchsorted(text, np.arange(n), side="right")
+        self.tokens_of = list(zip((ends - np.bincount(text, minlength=n)).tolist(), ends.tolist(), strict=True))
+        self.word = np.searchsorted(own, key & np.uint64((1 << 47) - 1))
+        self.buckets, self.first = subwords(data, start[at], end[at], own)
+        self.sizes = np.diff(np.r_[self.first, len(self.buckets)])
+        begins = [*np.flatnonzero(np.r_[True, self.text[1:] != self.text[:-1]]).tolist(), len(key)] if len(key) else []
+        self.spans = [(int(self.text[i]), i, j) for i, j in zip(begins, begins[1:], strict=False)]
+
+    def times_by_text(self):
+        """(text, how often each bucket occurs in it)."""
+        for i, a, b in self.spans:
+            word = self.word[a:b]
+            sizes = self.sizes[word]
+            at = np.repeat(self.first[word] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            yield i, np.bincount(self.buckets[at], np.repeat(self.counts[a:b], sizes), BUCKETS).astype(np.int64)
+
+    def sums_by_text(self, vectors: np.ndarray):
+        """(text, number of words, sum of their vectors, sum of the likeness of neighbours, the first and the last word's vector)."""
+        word = np.zeros((len(self.first), DIM), np.float32)
+        order = np.argsort(self.sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.sizes[order])) + 1
+        for own in np.split(order, cuts) if len(order) else []:  # words of one length together
+            size = int(self.sizes[own[0]])
+            word[own] = vectors[self.buckets[self.first[own][:, None] + np.arange(size)]].sum(axis=1, dtype=np.float64)
+        word = _scaled(word)
+        for i, a, b in self.spans:
+            t = self.tokens[slice(*self.tokens_of[i])]
+            near = np.einsum("ij,ij->", word[t[:-1]], word[t[1:]], dtype=np.float64)
+            yield i, len(t), self.counts[a:b].astype(np.float64) @ word[self.word[a:b]], near, word[t[0]], word[t[-1]]
+
+
+class LongWord:
+    """The same of a text that is one very long word, its subwords counted."""
 
     def __init__(self, data: bytes):
-        self.words, self.shapes = np.zeros(1, np.int64), np.zeros((1, len(SHAPES) - 1))
-        found, counts = [], []
-        for piece, long_word in _cut_text(data):
-            if long_word:
-                c = np.bincount(_CLASS[np.frombuffer(piece, np.uint8)], minlength=6)
-                shapes = _shapes(c[_LOWER], c[_UPPER], c[_DIGIT], c[_MARK], c[_HIGH], len(piece) - c[_MARK], _CLASS[piece[0]] == _UPPER)
-                plain = np.frombuffer(piece, np.uint8)
-                own = np.array([xxhash.xxh64_intdigest(plain[_CLASS[plain] != _MARK].tobytes().lower()) >> 17], np.uint64), np.ones(1, np.int64)
-                self.words += 1
-                self.shapes += np.array(shapes, float)
-            else:
-                p = Parts([piece])
-                own = p.hash, p.counts
-                self.words += p.words
-                self.shapes += p.shapes
-            found.append(own[0])
-            counts.append(own[1])
-        self.hash, back = np.unique(np.concatenate(found), return_inverse=True)
-        self.counts = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
-        self.text = np.zeros(len(self.hash), np.int64)
+        b = np.frombuffer(data, np.uint8)
+        self.times, h, zero = np.zeros(BUCKETS, np.int64), 0, np.zeros(1, np.uint64)
+        for at in range(0, len(b), PART):  # a byte more on either side tells what stands there
+            stop = min(len(b), at + PART)
+            low, high = max(0, at - 1), min(len(b), stop + 1)
+            found, _ = subwords(b[low:high], np.array([0]), np.array([high - low]), zero)
+            self.times += np.bincount(found[at - low : stop - low], minlength=BUCKETS)
+            own = np.sum((b[at:stop].astype(np.uint64) + np.uint64(1)) * _powers(_STEP, stop - at))
+            h = (h + int(own) * pow(int(_STEP), at, 1 << 64)) % (1 << 64)
+        whole = _mixed(np.array([h], np.uint64)) >> np.uint64(17)
+        self.times[subwords(b[:1], np.array([0]), np.array([1]), whole)[0][-1]] += 1
+
+    def times_by_text(self):
+        yield 0, self.times
+
+    def sums_by_text(self, vectors: np.ndarray):
+        v = _scaled((self.times @ vectors)[None])[0]
+        yield 0, 1, v, 0.0, v, v
 
 
 _WORD_END, _BLANKS = re.compile(rb"[\x20\x09-\x0d]"), b" \t\n\x0b\x0c\r"
@@ -158,41 +196,22 @@ def _cut_text(data: bytes):
 
 
 def parts_of(texts: list[str | None]):
-    """(numbers of the texts, Parts or OneText) for groups of about PART bytes; no text occurs in two of them."""
+    """(numbers of the texts, Words or LongWord) for groups of about PART bytes; a long text is in several of them."""
     group, of, size = [], [], 0
     for i, t in enumerate(texts):
         data = (t or "").encode()
         if len(data) > PART:
-            yield np.array([i]), OneText(data)
+            for piece, long_word in _cut_text(data):
+                yield np.array([i]), LongWord(piece) if long_word else Words([piece])
             continue
         if group and (size + len(data) > PART or len(group) == TEXTS):
-            yield np.array(of), Parts(group)
+            yield np.array(of), Words(group)
             group, of, size = [], [], 0
         group.append(data)
         of.append(i)
         size += len(data)
     if group:
-        yield np.array(of), Parts(group)
-
-
-def _documents(batches):
-    """(h, n): for word hashes, in how many of the texts they are."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush():
-        h, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    for texts in _slices(batches):
-        for _, p in parts_of(texts):
-            held.append(p.hash)
-            size += len(p.hash)
-            if size > GATHERED:
-                size = 0
-                yield flush()
-    yield flush()
+        yield np.array(of), Words(group)
 
 
 def _slices(batches, rows: int = 250):
@@ -202,84 +221,71 @@ def _slices(batches, rows: int = 250):
             yield batch.column(0).slice(i, rows).to_pylist()
 
 
-def _places(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the hashes are among the known ones (sorted), and where."""
-    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-    return hit, at[hit]
-
-
-def _contexts(known):
-    """Sums, for each known word, of the random vectors of the documents that hold it."""
-
-    def run(batches):
-        total = np.zeros(len(known.value) * DIM, np.int32)
-        for texts in _slices(batches):
-            place, sign = index_entries(np.fromiter((xxhash.xxh64_intdigest((t or "").encode()) for t in texts), np.uint64, len(texts)))
-            for of, p in parts_of(texts):
-                hit, at = _places(known.value, p.hash)
-                d = of[p.text[hit]]
-                for j in range(NONZERO):
-                    np.add.at(total, at * DIM + place[d, j], sign[d, j].astype(np.int32))
-        sums = total.reshape(-1, DIM)
-        for i in range(0, len(sums), 4_096):
-            part = sums[i : i + 4_096]
-            used = np.flatnonzero((part != 0).any(axis=1))
-            if len(used):
-                yield pa.RecordBatch.from_arrays([pa.array(used + i, pa.int64()), *(pa.array(part[used, k]) for k in range(DIM))], ["w", *(f"v{k}" for k in range(DIM))])
-
-    return run
-
-
-class Vectors:
-    """Context vectors of the words that have one: sorted hashes and a row of DIM for each."""
-
-    def __init__(self, known: np.ndarray, context: np.ndarray):
-        self.known, self.context = known, context
-
-    def pooled(self, p, n: int) -> np.ndarray:
-        """Sums of the vectors of the words of n texts."""
-        place, sign = index_entries(p.hash)
-        w = (p.counts[:, None] * sign / NONZERO**0.5).ravel()
-        out = np.bincount((p.text[:, None] * DIM + place).ravel(), weights=w, minlength=n * DIM).reshape(n, DIM)
-        hit, at = _places(self.known, p.hash)
-        if len(at):
-            v, text = self.context[at] * p.counts[hit, None].astype(np.float32), p.text[hit]
-            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            out[text[first]] += np.add.reduceat(v, first, axis=0)
-        return out
-
-
-def word_vectors(docs: DataFrame, text_col: str = "text") -> Vectors:
-    """The vectors of all words in enough documents: VOCABULARY rows at most."""
-    texts = docs.select(F.col(text_col))
-    counts = cut(texts.mapInArrow(_documents, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS))
-    chosen = counts.filter(F.col("n") >= least_count(counts, VOCABULARY)).select("h").toArrow()
-    known = np.sort(chosen["h"].to_numpy().view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most VOCABULARY numbers
-    schema = T.StructType([T.StructField("w", T.LongType()), *(T.StructField(f"v{i}", T.IntegerType()) for i in range(DIM))])
-    sums = texts.mapInArrow(_contexts(sent), schema).groupBy("w").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)])
-    context = np.zeros((len(known), DIM), np.float32)
-    for batch in sums.toArrow().to_batches():
-        context[batch["w"].to_numpy()] = np.stack([batch[f"v{i}"].to_numpy() for i in range(DIM)], axis=1)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1)
-    return Vectors(known, context)
-
-
-WIDTH = DIM + len(SHAPES) + 2
-
-
-def features(texts: list[str | None], vectors: Vectors) -> np.ndarray:
-    """A row for each text: mean word vector, shares of shapes and repetition, length, emptiness."""
+def _contexts(batches):
+    """For each bucket how often it occurs, and the sums of the random vectors of the documents, for each time."""
+    total = np.zeros((DIM + 1, BUCKETS), np.int64)
+    for texts in _slices(batches):
+        place, sign = index_entries(np.fromiter((xxhash.xxh64_intdigest((t or "").encode()) for t in texts), np.uint64, len(texts)))
+        for of, p in parts_of(texts):
+            for i, times in p.times_by_text():
+                for k, one in zip(place[of[i]].tolist(), sign[of[i]].tolist(), strict=True):
+                    total[k] += times if one > 0 else -times
+                total[DIM] += times
+    for i in range(0, BUCKETS, 4_096):
+        part = total[:, i : i + 4_096]
+        used = np.flatnonzero(part[DIM])
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array(used + i, pa.int64()), *(pa.array(part[k, used]) for k in range(DIM + 1))], ["b", *(f"v{k}" for k in range(DIM + 1))])
+
+
+def bucket_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The vectors of all buckets: BUCKETS rows of DIM."""
+    schema = T.StructType([T.StructField("b", T.LongType()), *(T.StructField(f"v{i}", T.LongType()) for i in range(DIM + 1))])
+    sums = docs.select(F.col(text_col)).mapInArrow(_contexts, schema).groupBy("b").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM + 1)])
+    context = np.zeros((BUCKETS, DIM + 1))
+    for batch in sums.toArrow().to_batches():  # a row a bucket
+        context[batch["b"].to_numpy()] = np.stack([batch[f"v{i}"].to_numpy() for i in range(DIM + 1)], axis=1)
+    return weighted(context[:, :DIM], context[:, DIM])
+
+
+def weighted(context: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Vectors of buckets from their context sums and how often they occur."""
+    total = max(times.sum(), 1.0)
+    own = context - times[:, None] * (context.sum(axis=0) / total)  # less what any subword of this number would have
+    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+    place, sign = index_entries(np.arange(BUCKETS, dtype=np.uint64) * _STEP)
+    random = np.zeros((BUCKETS, DIM))
+    np.put_along_axis(random, place, sign / NONZERO**0.5, axis=1)
+    return ((RARE / (RARE + times / total))[:, None] * (random + own)).astype(np.float32)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """A row for each text (WIDTH numbers): the mean of its words' vectors, the mean likeness of two of its words, which
+    follows from their sum's length, and that of neighbouring words."""
     n = len(texts)
-    pooled, shapes, words = np.zeros((n, DIM)), np.zeros((n, len(SHAPES))), np.zeros(n)
+    total, words, near, last = np.zeros((n, DIM)), np.zeros(n), np.zeros(n), {}
     for of, p in parts_of(texts):
-        pooled[of] = vectors.pooled(p, len(of))
-        words[of] = p.words
-        shapes[of, :-1] = p.shapes
-        shapes[of, -1] = p.words - np.bincount(p.text, minlength=len(of))
-    per = np.maximum(words, 1)[:, None]
-    return np.concatenate([pooled / per, shapes / per, np.minimum(1, words / 1000)[:, None], (words == 0)[:, None]], axis=1)
+        for i, k, v, own, first, end in p.sums_by_text(vectors):
+            at = of[i]
+            near[at] += own + (last[at] @ first if words[at] else 0.0)  # parts of a text come in turn
+            total[at] += v
+            words[at] += k
+            last[at] = end
+    known = (vectors != 0).any()  # of length one, if words have vectors at all
+    alike = ((total**2).sum(axis=1) - words * known) / np.maximum(words * (words - 1), 1) * (words > 1)
+    return np.concatenate([total / np.maximum(words, 1)[:, None], alike[:, None], (near / np.maximum(words - 1, 1))[:, None]], axis=1)
+
+
+def gradients(w: list[np.ndarray], z: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss and half DECAY times the squared weights, by the two layers' weights and biases."""
+    h = np.tanh(z @ w[0] + w[1])
+    d = (1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30))) - y) / len(y)
+    back = d[:, None] * w[2] * (1 - h * h)
+    return [z.T @ back + DECAY * w[0], back.sum(axis=0), h.T @ d + DECAY * w[2], d.sum(keepdims=True)]
 
 
 class Network:
@@ -300,12 +306,8 @@ class Network:
         step = 0
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(learn), max(1, len(learn) // 128)):
-                h = np.tanh(z[part] @ w[0] + w[1])
-                d = (1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30))) - y[part]) / len(part)
-                back = d[:, None] * w[2] * (1 - h * h)
-                grads = [z[part].T @ back + DECAY * w[0], back.sum(axis=0), h.T @ d + DECAY * w[2], d.sum(keepdims=True)]
                 step += 1
-                for i, g in enumerate(grads):
+                for i, g in enumerate(gradients(w, z[part], y[part])):
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g
                     w[i] = w[i] - RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -352,10 +354,10 @@ def _features(vectors):
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", id_col: str = "doc_id", text_col: str = "text"):
-    """(broadcast word vectors, network) learned from the labels that are not held out."""
+    """(broadcast bucket vectors, network) learned from the labels that are not held out."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vectors = spark.sparkContext.broadcast(word_vectors(own))
+    vectors = spark.sparkContext.broadcast(bucket_vectors(own))
     chosen = cut(training_labels(labels, column, FOLDS, HELD_OUT, SAMPLE))
     few = F.broadcast(chosen)  # at most SAMPLE rows of two numbers
     of_ids = own.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text for an id

@@ -4,8 +4,8 @@ Three base patterns find assignments, access keys and hex runs. A wider pattern
 (a key word before a separator, or the user part of a URL). For each such value dynamic programming finds the cheapest
 way to guess it: every prefix's cost is the least over its last piece - a word (any case, common letter swaps), a date,
 a repeat, a keyboard walk or a brute-force span - and values of at least GUESSES (log10) become spans of kind ``guess``.
-A date is a possible day (or a year) between other characters than digits. A repeat's unit has UNIT characters at most,
-or as many as the wanted log10 of guesses: a longer one costs more than that already, so it can't make a value weak.
+A date is a possible day (or a year) between other characters than digits. A repeat's unit has UNIT characters at most
+and costs what its own cheapest segmentation does, found by the same recursion.
 
 The scan works on UTF-8 bytes (letter case is ASCII only) and reports code points.
 
@@ -43,7 +43,7 @@ HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 8.0
 #: Characters of a repeat's unit.
-UNIT = 8
+UNIT = 24
 REDACTED = "[redacted]"
 
 # Common words of passwords and of texts about them, most common first; the words of VOCABULARY follow.
@@ -155,7 +155,7 @@ def _words_and_dates(value: str) -> list[tuple[int, int, float, str]]:
 def pieces(value: str, unit: int = UNIT) -> list[tuple[int, int, float, str]]:
     """The pieces other than brute force that can make up parts of a value: start, end, log10 guesses, kind. Walks and
     repeats may end at any place, so a long value can have many; guess_cost doesn't write them out."""
-    n, out, brute, turns = len(value), _words_and_dates(value), _brute(value), _turns(_lower(value))
+    n, out, turns = len(value), _words_and_dates(value), _turns(_lower(value))
     for i in range(n):
         j = i + 1
         while j < n and turns[j] is not None:
@@ -166,7 +166,7 @@ def pieces(value: str, unit: int = UNIT) -> list[tuple[int, int, float, str]]:
             times = 2
             while value[i : i + period] == value[i + (times - 1) * period : i + times * period] and i + times * period <= n:
                 if times * period >= 3:
-                    out.append((i, i + times * period, brute[i + period] - brute[i] + math.log10(times), "repeat"))
+                    out.append((i, i + times * period, unit_cost(value[i : i + period]) + math.log10(times), "repeat"))
                 times += 1
     return out
 
@@ -188,13 +188,19 @@ def _best_start(starts: list[tuple[float, int]], a: float, s: int, j: int) -> fl
     return least
 
 
+@functools.lru_cache(1 << 16)
+def unit_cost(unit: str) -> float:
+    """What a repeat's unit costs: its own cheapest segmentation, repeats of shorter units among its pieces."""
+    return guess_cost(unit, len(unit) // 2)
+
+
 def guess_cost(value: str, unit: int = UNIT) -> float:
     """log10 of the guesses that the cheapest segmentation of a value needs; unit: the characters of a repeat's unit at most."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost, _ in _words_and_dates(value):
         ending.setdefault(j, []).append((i, cost))
-    chars, turns = _brute(value), _turns(_lower(value))
+    turns = _turns(_lower(value))
     best, brute = [0.0], [0.0]  # least cost of a prefix; of one that ends in a brute-force span
     walks: list[tuple[float, int]] = []
     runs = [0] * (unit + 1)  # for each period, how many places in a row repeat what is a period before
@@ -216,7 +222,7 @@ def guess_cost(value: str, unit: int = UNIT) -> float:
             if runs[p] >= (times - 1) * p:
                 s = j - times * p
                 starts = repeats[p].setdefault(j % p, [])
-                costs.append(_best_start(starts, best[s] + chars[s + p] - chars[s], s, j) - math.log10(p) + _PIECE)
+                costs.append(_best_start(starts, best[s] + unit_cost(value[s : s + p]), s, j) - math.log10(p) + _PIECE)
         best.append(min(costs))
     return best[n] - _PIECE if n else 0.0
 
@@ -232,7 +238,7 @@ def scan(text: str | None, least: float = GUESSES) -> tuple[list[tuple[int, int,
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(raw) if len(m[2]) >= 6]
         for m in CONTEXT.finditer(raw):
             g = 1 if m[1] is not None else 2
-            cost = guess_cost(m[g].decode(errors="replace"), max(UNIT, int(least)))
+            cost = guess_cost(m[g].decode(errors="replace"))
             top = cost if top is None else max(top, cost)
             if cost >= least:
                 found.append((m.start(g), m.end(g), "guess"))

@@ -1,4 +1,5 @@
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ from datetime import date
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -326,15 +328,32 @@ def every_piece(value):
                 at = [secrets._PLACE[c] for c in part]
                 ways = [(s - r, y > x) for (r, x), (s, y) in zip(at, at[1:], strict=False)]
                 out.append((i, j, math.log10(47) + 0.8 * sum(a != b for a, b in zip(ways, ways[1:], strict=False)) + math.log10(len(part))))
-            for p in range(1, 9):
+            for p in range(1, secrets.UNIT + 1):
                 if len(part) % p == 0 and len(part) >= 2 * p and value[i:j] == value[i : i + p] * (len(part) // p):
-                    out.append((i, j, sum(map(secrets._char_cost, value[i : i + p])) + math.log10(len(part) // p)))
+                    out.append((i, j, slow_unit(value[i : i + p]) + math.log10(len(part) // p)))
     return out
 
 
+@functools.cache
+def slow_unit(unit):
+    """A unit's least cost over all its segmentations into pieces and brute-force spans."""
+    best = [0.0]
+    own = [*every_piece(unit), *((i, j, sum(map(secrets._char_cost, unit[i:j]))) for i in range(len(unit)) for j in range(i + 1, len(unit) + 1))]
+    for j in range(1, len(unit) + 1):
+        best.append(min(best[i] + secrets._PIECE + c for i, k, c in own if k == j))
+    return best[-1] - secrets._PIECE
+
+
+def test_a_repeat_costs_little_more_than_its_unit():
+    for unit in ("hunter2", "dragon", "pass12", "Summer", "qwert", "abc1"):
+        once = secrets.guess_cost(unit)
+        assert secrets.guess_cost(unit * 2) <= once + math.log10(2) + 1e-9 and secrets.guess_cost(unit * 5) <= once + math.log10(5) + 1e-9
+    assert secrets.guess_cost("hunter2hunter2") <= 5.5 and not [k for *_, k in secrets.scan("password = hunter2hunter2")[0] if k not in ("assign", "access", "hex")]
+
+
 def test_guess_cost_offers_every_piece():
     r = random.Random(7)
-    parts = ["asdf", "gh", "hello", "abab", "aaa", "qwer", "es", "zxc", "1234", "12", "Pass", "p@ss", "2021", "x", "Q", "sd", "\u00e9", "31-12-1999", "2024/02/30", "19840229", "311299", "-", "1.2.05"]
+    parts = ["asdf", "gh", "hello", "abab", "aaa", "qwer", "es", "zxc", "1234", "12", "Pass", "p@ss", "2021", "x", "Q", "sd", "\u00e9", "hello1hello1", "31-12-1999", "2024/02/30", "19840229", "311299", "-", "1.2.05"]
     for v in ["asdfghello", "aaaaaab", "abababa1", *("".join(r.choice(parts) for _ in range(r.randint(2, 7))) for _ in range(300))]:
         best = [0.0]
         own = [*every_piece(v), *((i, j, sum(map(secrets._char_cost, v[i:j]))) for i in range(len(v)) for j in range(i + 1, len(v) + 1))]
@@ -503,28 +522,24 @@ def test_op5_on_held_out_labels(spark):
     assert len(got) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (held(r.doc_id, 5) == 0) for r in got.values())
     y = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     right = [got[i].predicted == q for i, q in y.items() if got[i].held_out]
-    assert np.mean(right) > 0.9
-
-
-def slow_shapes(w):
-    lower, upper, digit = (sum(c in k for c in w) for k in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
-    high = sum(c >= 128 for c in w)
-    mark = len(w) - lower - upper - digit - high
-    size = len(w) - mark
-    caps = upper > 0 and lower == 0 and size > 1
-    out = [caps, 65 <= w[0] <= 90 and not caps, digit > 0, mark > 1 and size > 0, size == 0, mark == 1 and size > 0, size > 18, high > 0]
-    return [*out, not any(out)]
-
-
-def core(w):
-    return bytes(c for c in w if c >= 128 or chr(c).isalnum()).lower()
+    assert np.mean(right) > 0.97
 
 
 def one_hash(w):
-    c = np.frombuffer(core(w), np.uint8)
+    c = np.frombuffer(w, np.uint8)
     return int(quality._hashes(c, np.array([0]), np.array([len(c)]))[0] >> np.uint64(17))
 
 
+def slow_buckets(w):
+    """The buckets of a word's three-byte stretches, its ends among them, and of the word itself."""
+    mask, shift, out = (1 << 64) - 1, 64 - quality.BUCKETS.bit_length() + 1, []
+    ends = [0xFE, *w, 0xFF]
+    for a, b, c in zip(ends, ends[1:], ends[2:], strict=False):
+        code = (a | b << 8 | c << 16 | 1 << 24) * int(quality._STEP) & mask
+        out.append(((code ^ code >> 29) * 0xBF58476D1CE4E5B9 & mask) >> shift)
+    return [*out, (one_hash(w) * 0x94D049BB133111EB & mask) >> shift]
+
+
 def dense(h):
     place, sign = quality.index_entries(np.array([h], np.uint64))
     v = np.zeros(quality.DIM)
@@ -532,46 +547,74 @@ def dense(h):
     return v
 
 
-def slow_features(texts, least):
+def slow_features(texts):
     own = [(t or "").encode().split() for t in texts]
-    hash_of = {w: one_hash(w) for ws in own for w in ws}
-    df = Counter(h for ws in own for h in {hash_of[w] for w in ws})
-    context = {h: np.zeros(quality.DIM) for h, n in df.items() if n >= least}
+    times, context = Counter(), np.zeros((quality.BUCKETS, quality.DIM))
     for t, ws in zip(texts, own, strict=True):
         v = dense(xxhash.xxh64_intdigest((t or "").encode()))
-        for h in {hash_of[w] for w in ws} & set(context):
-            context[h] += v
-    context = {h: v / max(np.linalg.norm(v), 1) for h, v in context.items()}
-    vector = {h: dense(h) / quality.NONZERO**0.5 + context.get(h, 0) for h in df}
+        for w in ws:
+            for b in slow_buckets(w):
+                times[b] += 1
+                context[b] += v
+    total, common = times.total(), context.sum(axis=0)
+    vectors = np.zeros((quality.BUCKETS, quality.DIM))
+    for b, n in times.items():
+        c = context[b] - n * common / total
+        vectors[b] = quality.RARE / (quality.RARE + n / total) * (dense(b * int(quality._STEP) % (1 << 64)) / quality.NONZERO**0.5 + c / max(np.linalg.norm(c), 1e-9))
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
     rows = []
     for ws in own:
-        n = max(len(ws), 1)
-        pooled = sum((vector[hash_of[w]] for w in ws), np.zeros(quality.DIM)) / n
-        shapes = [sum(s) / n for s in zip(*map(slow_shapes, ws), strict=True)] if ws else [0.0] * 9
-        rows.append([*pooled, *shapes, (len(ws) - len({hash_of[w] for w in ws})) / n, min(1, len(ws) / 1000), float(not ws)])
+        v = np.array([unit(vectors[slow_buckets(w)].sum(axis=0)) for w in ws]).reshape(-1, quality.DIM)
+        n = len(ws)
+        pairs = [v[i] @ v[j] for i in range(min(n, 150)) for j in range(min(n, 150)) if i != j]
+        rows.append([*v.sum(axis=0) / max(n, 1), sum(pairs) / max(n * (n - 1), 1), sum(a @ b for a, b in zip(v, v[1:], strict=False)) / max(n - 1, 1)])
     return np.array(rows)
 
 
 def test_features_equal_brute_force(spark):
-    own = [*texts().values()][:60] + ODD
+    own = [t for t in texts().values() if len(t.split()) < 150][:60] + [t for t in ODD if len(t or "") < 1_000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "doc_id long, text string").repartition(3)
-    v = quality.word_vectors(docs)
-    assert len(v.known) > 100
-    assert np.allclose(quality.features(own, v), slow_features(own, quality.LEAST_DOCS), atol=1e-5)
+    v = quality.bucket_vectors(docs)
+    assert (v != 0).any(axis=1).sum() > 100
+    assert np.allclose(quality.features(own, v), slow_features(own), atol=1e-5)
 
 
 def test_features_do_not_depend_on_parts(spark, monkeypatch):
     r = random.Random(8)
     listed = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(8_000))
-    own = [listed + " " + listed, listed.replace(" ", "") + " end", "A\tfew words\x0bHere 12 " * 3_000, "short one"]
-    v = quality.word_vectors(spark.createDataFrame([(i, t) for i, t in enumerate(own * 5)], "doc_id long, text string"))
+    own = [listed + " " + listed, listed.replace(" ", "") + " end", "A\tfew words\x0bHere 12 " * 3_000, "short one", "x" * 150_000]
+    v = quality.bucket_vectors(spark.createDataFrame([(i, t) for i, t in enumerate(own * 5)], "doc_id long, text string"))
     assert len(own[0]) > 140_000 and len(own[1]) < 100_000
-    seen = []
+    seen, sums = [], []
     for part in (500, 20_000, 100_000, 10_000_000):
         monkeypatch.setattr(quality, "PART", part)
-        seen.append(quality.features(own, v)[[0, 2, 3]])
-    assert all(np.allclose(seen[0], s, atol=1e-5) for s in seen)
-    assert abs(seen[0][0][quality.DIM + 9] - 0.5) < 1e-9  # the share of repeated words
+        seen.append(quality.features(own, v))
+        sums.append(np.stack([next(iter(quality._contexts([pa.RecordBatch.from_pydict({"t": own})]))).column(k).to_numpy() for k in (0, 1, quality.DIM + 1)]))
+    assert all(np.allclose(seen[0], s, atol=1e-4) for s in seen) and all((sums[0] == s).all() for s in sums)
+
+
+def test_without_vectors_scores_are_the_base_rate():
+    """Nothing but the vectors tells documents apart."""
+    own, y = list(texts().values()), np.array([i % 3 > 0 for i in range(len(texts()))], float)
+    x = quality.features(own, np.zeros((quality.BUCKETS, quality.DIM), np.float32))
+    assert not x.any() and np.allclose(quality.Network(x, y).scores(x), y.mean(), atol=0.06)
+
+
+def test_the_network_s_gradient_by_differences():
+    r = np.random.default_rng(5)
+    z, y = r.normal(size=(40, 6)), (r.random(40) > 0.4).astype(float)
+    w = [r.normal(size=(6, quality.HIDDEN)), r.normal(size=quality.HIDDEN), r.normal(size=quality.HIDDEN), r.normal(size=1)]
+
+    def loss(v):
+        logit = np.tanh(z @ v[0] + v[1]) @ v[2] + v[3]
+        return np.mean(np.logaddexp(0, logit) - y * logit) + quality.DECAY / 2 * ((v[0] ** 2).sum() + (v[2] ** 2).sum())
+
+    for i, g in enumerate(quality.gradients(w, z, y)):
+        for at in list(np.ndindex(w[i].shape))[::7]:
+            up, down = ([p.copy() for p in w] for _ in range(2))
+            up[i][at] += 1e-5
+            down[i][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - g[at]) < 1e-6
 
 
 def test_the_temperature_is_the_best_of_its_grid():
