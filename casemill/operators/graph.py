@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions.expressions import hour_band, token_key
-from casemill.plans.lineage import cut, small_or_not
+from casemill.plans.lineage import cut, small_or_not, stored
 
 #: Nodes of a neighbourhood that are broadcast to the edges.
 FRONTIER = 500_000
@@ -156,7 +156,7 @@ def profiles(involved: DataFrame, cases: DataFrame, case_id: str, area: str, kin
     """id, n_cases, areas, top_kind, peak_band, cases (25): each entity's cases in short."""
     own = cases.select(node_id("case", F.col(case_id)).alias("dst"), F.col(area).cast("string").alias("area"), F.col(kind).cast("string").alias("kind"), hour_band(F.hour(time)).alias("band"), F.hour(time).alias("h"))
     own = own.withColumn("band", F.when(F.col("h").isNotNull(), F.col("band"))).drop("h")
-    rows = involved.select(F.col("src").alias("id"), "dst").distinct().join(own, "dst")
+    rows = stored(involved.select(F.col("src").alias("id"), "dst").distinct().join(own, "dst"), "involved")  # read twice
     # an entity's cases are counted by kind and band first, so that a group stays small; its first cases are cut off before the shuffle
     parts = rows.groupBy("id", "kind", "band").agg(F.count("*").alias("n"), F.collect_set("area").alias("a"))
     parts = parts.groupBy("id").agg(F.sum("n").alias("n_cases"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("a")))).alias("areas"), F.collect_list(F.struct("kind", "band", "n")).alias("k"))

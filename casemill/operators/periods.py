@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions.expressions import pct_delta, try_ts
 from casemill.functions.roles import RoleMap
+from casemill.plans.lineage import stored
 
 MOST_DAYS, MOST_FRAMES, MOST_CELLS, MOST_GROUPS = 366, 60, 500, 100
 
@@ -87,14 +88,19 @@ def frames(df: DataFrame, roles: RoleMap, w: Window, frame_days: int) -> DataFra
 def frame_cells(df: DataFrame, roles: RoleMap, w: Window, frame_days: int) -> DataFrame:
     """frame, lat, lng, n, previous, kind: the frame's cells against the equally long time before the frame."""
     lat, lng = roles.first("latitude"), roles.first("longitude")
-    spark = df.sparkSession
-    # of a frame [a, b) the time before is [2a - b, a): each row meets the frame it is in and those it comes before
-    plan = F.broadcast(spark.createDataFrame([(i, a - (b - a), a, b) for i, a, b in _frames(w, frame_days)], "frame int, before timestamp_ntz, start timestamp_ntz, end timestamp_ntz"))
+    every = _frames(w, frame_days)
     rows = in_windows(df, roles, w).filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-    rows = rows.select(F.round(lat, 2).alias("lat"), F.round(lng, 2).alias("lng"), "__ts")
-    met = rows.join(plan, (F.col("__ts") >= F.col("before")) & (F.col("__ts") < F.col("end")))
-    now = F.col("__ts") >= F.col("start")
-    n = met.groupBy("frame", "lat", "lng").agg(F.count_if(now).alias("n"), F.count_if(~now).alias("p"))
+    # of a frame [a, b) the time before is [2a - b, a): a row is in the frame that its distance from the start gives (-1:
+    # before the first), and before the next one, unless that is the last, shortened, and begins too long after it
+    since = _micros(F.col("__ts")) - _micros(_at(w.start))
+    size = frame_days * _DAY
+    sizes = [(b - a) // timedelta(microseconds=1) for _, a, b in every]
+    rows = rows.select(F.round(lat, 2).alias("lat"), F.round(lng, 2).alias("lng"), since.alias("since"), F.floor(since / size).cast("int").alias("at"))
+    next_size = F.when(F.col("at") + 1 == len(every) - 1, F.lit(sizes[-1])).otherwise(F.lit(sizes[0]))
+    before = (F.col("at") + 1 < len(every)) & (F.col("since") >= (F.col("at") + 1) * F.lit(size) - next_size)
+    own = F.array_compact(F.array(F.when(F.col("at") >= 0, F.struct(F.col("at").alias("frame"), F.lit(True).alias("now"))), F.when(before, F.struct((F.col("at") + 1).alias("frame"), F.lit(False).alias("now")))))
+    n = rows.filter("at >= -1").select("lat", "lng", F.inline(own)).groupBy("frame", "lat", "lng").agg(F.count_if("now").alias("n"), F.count_if(~F.col("now")).alias("p"))
+    n = stored(n, "cells")  # two rankings read it
     # each ranking by itself, so that it is cut off before the shuffle; no task gets all cells of a frame
     best = lambda c: n.withColumn("r", F.row_number().over(W.partitionBy("frame").orderBy(F.desc(c), "lat", "lng"))).filter(F.col("r") <= MOST_CELLS)
     old = best("p").select("frame", "lat", "lng", F.col("p").alias("previous"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -115,7 +117,7 @@ class Kpi:
 
 def kpis(df: DataFrame, specs: list[Kpi], filters: dict[str, Any] | None = None, own_filters_win: bool = True) -> DataFrame:
     """id, value: all key figures in one pass, each over the rows that its filters and the common ones keep."""
-    values = []
+    values, kept = [], []
     for s in specs:
         merged = {**(filters or {}), **s.filters} if own_filters_win else {**s.filters, **(filters or {})}
         keep = F.lit(True)
@@ -125,9 +127,12 @@ def kpis(df: DataFrame, specs: list[Kpi], filters: dict[str, Any] | None = None,
                 keep &= (c >= F.lit(want["from"]) if want.get("from") is not None else F.lit(True)) & (c <= F.lit(want["to"]) if want.get("to") is not None else F.lit(True))
             else:
                 keep &= c.isin(list(want)) if isinstance(want, (list, tuple)) else c == F.lit(want)
+        kept.append(keep if merged else None)
         x = F.when(keep, F.col(s.column) if s.column else F.lit(1))
         made = {"count": F.count, "sum": F.sum, "avg": F.avg, "distinct": F.countDistinct}[s.aggregate](x)
         values.append(F.struct(F.lit(s.id).alias("id"), made.cast("double").alias("value")))
+    if kept and all(k is not None for k in kept):  # rows that no figure counts needn't be read; what all have in common reaches the scan
+        df = df.filter(reduce(operator.or_, kept))
     return df.agg(F.array(*values).alias("k")).select(F.inline("k"))
 
 

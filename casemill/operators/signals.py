@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from casemill.functions.expressions import day_of, frequencies, hour_band, per_lakh, ratio, try_ts
 from casemill.functions.roles import RoleMap, unavailable
-from casemill.plans.lineage import cut
+from casemill.plans.lineage import cut, small_or_not, stored
 
 # Kilometres of a degree, weights of the risk score, patterns of demographic columns.
 KM_LAT, KM_LNG, LEAST_COS, NO_LAT = 110.574, 111.320, 0.2, 13.0
+#: Areas whose spans are broadcast.
+MOST_AREAS = 200_000
 RISK_PLAIN, RISK_EXPOSED = (0.5, 0.3, 0.2), (0.40, 0.25, 0.15, 0.20)
 DEMOGRAPHIC = (("population", r"population|^pop($|_)"), ("density", "densit"), ("urbanization", "urban"), ("literacy", "litera"))
 
@@ -59,11 +61,30 @@ def spike_alerts(daily: DataFrame, groups: list[str], window_days: int = 28, z_t
     return out.orderBy(F.desc("z_score"), *groups).limit(top)
 
 
-def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """key, score: the rows that an isolation forest splits off soonest, by score (the higher the odder).
+ANOMALIES = "key string, score double, flagged boolean, record map<string,string>"
+
+
+def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: int = 100, sample: int = 256, seed: int = 42, contamination: float = 0.02) -> DataFrame:
+    """key, score, flagged, record: the rows that an isolation forest splits off soonest, by score (the higher the odder).
+
+    A score is above 0, and the row flagged, if it is among the share ``contamination`` of the oddest rows; the record is
+    the whole row as texts. Rows of equal scores follow by key.
+    """
+    scored = anomaly_scores(df, roles, key, trees, sample, seed, contamination)
+    if getattr(scored, "unavailable", None):
+        return scored
+    top = cut(scored.orderBy(F.desc("score"), "key").limit(limit))
+    texts = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(f"`{c}`").cast("string")) for c in df.columns]))
+    records = df.select(F.col(key).cast("string").alias("key"), texts.alias("record")).join(F.broadcast(top.select("key").distinct()), "key", "left_semi")  # at most ``limit`` keys
+    one = records.groupBy("key").agg(F.min_by("record", F.to_json("record")).alias("record"))
+    return top.join(one, "key").select("key", "score", "flagged", "record").orderBy(F.desc("score"), "key")
+
+
+def anomaly_scores(df: DataFrame, roles: RoleMap, key: str, trees: int = 100, sample: int = 256, seed: int = 42, contamination: float = 0.02) -> DataFrame:
+    """key, score, flagged: for all rows.
 
     Each tree is grown from its own hashed sample of at most ``sample`` rows in a task of its own; the forest (a bounded
-    number of nodes) then scores all rows.
+    number of nodes) then scores all rows, and a mergeable sketch of the scores gives the one that parts the oddest off.
     """
     spark = df.sparkSession
     x, names = df, []
@@ -77,11 +98,11 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: i
         ts = try_ts(df, times[-1])
         x, names = x.withColumn("x_hour", F.coalesce(F.hour(ts), F.lit(12)).cast("double")).withColumn("x_dow", F.coalesce(F.weekday(ts), F.lit(3)).cast("double")), [*names, "x_hour", "x_dow"]
     if len(names) < 2:
-        return unavailable(spark, "key string, score double", "fewer than two features")
+        return unavailable(spark, ANOMALIES, "fewer than two features")
     rows = cut(x.select(F.col(key).cast("string").alias("key"), F.array(*names).alias("x")))
     n = rows.count()
     if not n:
-        return unavailable(spark, "key string, score double", "no rows")
+        return unavailable(spark, ANOMALIES, "no rows")
     size = min(sample, n)
     # each row is dealt to a tree by its hash; only with few rows are there copies to deal
     wanted = trees * (2 * size + 20)
@@ -135,7 +156,9 @@ def anomalies(df: DataFrame, roles: RoleMap, key: str, limit: int = 50, trees: i
                 total += path[at]
             yield pd.DataFrame({"key": pdf["key"], "score": 2 ** (-total / max(len(grown), 1) / scale)})
 
-    return rows.mapInPandas(score, "key string, score double").orderBy(F.desc("score"), "key").limit(limit)
+    scored = stored(rows.mapInPandas(score, "key string, score double"), "scores")
+    end = scored.agg(F.percentile_approx("score", F.lit(1.0 - contamination), F.lit(100_000))).first()[0]
+    return scored.select("key", (F.col("score") - end).alias("score"), (F.col("score") > end).alias("flagged"))
 
 
 def expected_path(n: int) -> float:
@@ -239,16 +262,20 @@ def risk_score(df: DataFrame, exposed: bool) -> DataFrame:
 def area_risk(daily: DataFrame, horizon_days: int = 7, demo: DataFrame | None = None) -> DataFrame:
     """Areas by a risk score of recent volume, trend and deviation; daily: area, day, n (absent days become zeros)."""
     daily = daily.filter("area IS NOT NULL").groupBy("area", "day").agg(F.sum("n").alias("n"))
-    span = daily.groupBy("area").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    every = span.select("area", F.explode(F.sequence("lo", "hi")).alias("day")).join(daily, ["area", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    days = W.partitionBy("area")
-    every = every.withColumn("back", F.row_number().over(days.orderBy(F.desc("day")))).withColumn("days", F.count("*").over(days))
-    recent, week, base = F.col("back") <= 28, F.col("back") <= 7, F.col("back") > 28
-    on = lambda c: F.when(c, F.col("n"))
-    s = every.filter("days >= 14").groupBy("area").agg(
-        F.avg(on(recent)).alias("vol"), F.regr_slope(on(recent), F.when(recent, -F.col("back"))).alias("slope"), F.count(on(recent)).alias("m"),
-        F.avg(on(week)).alias("w"), F.avg(on(base)).alias("b"), F.stddev_samp(on(base)).alias("sd"), F.count(on(base)).alias("nb"), F.sum("n").alias("total"),
+    # days without a case count as zeros: they are in the numbers of days, and add nothing to the sums
+    span = daily.groupBy("area").agg(F.max("day").alias("hi"), (F.datediff(F.max("day"), F.min("day")) + 1).cast("double").alias("days"))
+    back = F.datediff("hi", "day") + 1
+    some = daily.join(small_or_not(cut(span), MOST_AREAS), "area").filter("days >= 14").withColumn("back", back)
+    on = lambda c, v=F.col("n"): F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("double")
+    recent, base = F.col("back") <= 28, F.col("back") > 28
+    s = some.groupBy("area").agg(
+        F.first("days").alias("days"), on(recent).alias("y"), on(recent, -F.col("back") * F.col("n")).alias("xy"), on(F.col("back") <= 7).alias("week"),
+        on(base).alias("old"), on(base, F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("total"),
     )
+    m, nb = F.least("days", F.lit(28.0)), F.greatest(F.col("days") - 28, F.lit(0.0))
+    x, xx = -m * (m + 1) / 2, m * (m + 1) * (2 * m + 1) / 6  # sums of -1 to -m and of their squares
+    s = s.withColumn("nb", nb).withColumn("vol", F.col("y") / m).withColumn("slope", ratio(m * F.col("xy") - x * F.col("y"), m * xx - x * x))
+    s = s.withColumns({"w": F.col("week") / 7, "b": ratio(F.col("old"), nb), "sd": F.sqrt(F.greatest(ratio(nb * F.col("squares") - F.col("old") * F.col("old"), nb * (nb - 1)), F.lit(0.0)))})
     s = s.withColumn("slope", F.coalesce("slope", F.lit(0.0)))
     z = F.when(F.col("nb") > 30, (F.col("w") - F.col("b")) / F.greatest("sd", F.lit(0.5))).otherwise(0.0)
     s = s.select("area", F.round("vol", 2).alias("vol"), F.round("slope", 4).alias("slope"), F.round(z, 2).alias("z"), F.round(F.greatest(F.col("vol") + F.col("slope") * horizon_days / 2, F.lit(0.0)), 2).alias("forecast_daily"), "total")

@@ -169,7 +169,19 @@ def a3_planted_spike(spark, sf_dir):
 @register()
 def a4_anomalies(spark, sf_dir):
     """A4: isolation forest over all cases."""
-    return signals.anomalies(cases(spark, sf_dir), CASE_ROLES, "case_id")
+    return signals.anomalies(cases(spark, sf_dir), CASE_ROLES, "case_id").withColumn("record", F.to_json("record"))
+
+
+@register(f"""WITH {CASES_SQL}, p AS (SELECT min(case_id) AS k, area FROM cases GROUP BY area)
+SELECT CAST(-1 - k AS VARCHAR) AS key, true AS flagged, 'far from ' || area AS area FROM p""")
+def a4_planted(spark, sf_dir):
+    """A4: a planted case for each area, of an amount, a place and a kind that no other has, comes before all others."""
+    c = cases(spark, sf_dir)
+    first = c.groupBy("area").agg(F.min_by(F.struct(*c.columns), "case_id").alias("r")).select("r.*")
+    odd = first.withColumns({"case_id": -1 - F.col("case_id"), "area": F.concat(F.lit("far from "), "area"), "category": F.lit("odd"), "money": F.lit(1e9)})
+    n = odd.count()
+    found = signals.anomalies(c.unionByName(odd), CASE_ROLES, "case_id", limit=n)
+    return found.select("key", "flagged", F.col("record")["area"].alias("area"))
 
 
 @register(f"WITH {DEMO_SQL} SELECT area, population, density, urbanization, CAST(NULL AS DOUBLE) AS literacy FROM demo")

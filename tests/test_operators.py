@@ -743,3 +743,23 @@ def test_splits_keep_each_label_s_share(spark):
     train, test = triage.split(df, label="label")
     n = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert abs(n[1.0] - 120) <= 2 and abs(n[0.0] - 5_880) <= 5 and train.count() + test.count() == 8_000
+
+
+def test_the_share_of_flagged_rows_is_the_contamination(spark):
+    k = F.col("id")
+    df = spark.range(20_000).select(k.cast("string").alias("id"), F.rand(3).alias("loss"), (F.rand(4) * F.rand(5)).alias("age"))
+    roles = RoleMap({"id": "id", "loss": "money", "age": "age"})
+    scored = signals.anomaly_scores(df, roles, "id", contamination=0.05)
+    n = scored.agg(F.avg(F.col("flagged").cast("int")).alias("share"), F.count_if(F.col("flagged") != (F.col("score") > 0)).alias("bad")).first()
+    assert abs(n.share - 0.05) <= 0.001 and n.bad == 0
+    top = signals.anomalies(df, roles, "id", limit=3).collect()
+    assert all(r.flagged and r.record["id"] == r.key and set(r.record) == {"id", "loss", "age"} for r in top) and top == sorted(top, key=lambda r: -r.score)
+
+
+def test_the_filters_of_all_figures_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 7 AS kind", "id % 3 AS place").write.parquet(f"{tmp_path}/t")
+    specs = [query.Kpi("a", "count", None, {"kind": 1}), query.Kpi("b", "sum", "id", {"kind": 2})]
+    out = query.kpis(spark.read.parquet(f"{tmp_path}/t"), specs, {"place": 2})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(place,2)" in plan.split("PushedFilters")[1]
+    assert {r.id: r.value for r in out.collect()} == {"a": sum(i % 7 == 1 and i % 3 == 2 for i in range(100)), "b": sum(i for i in range(100) if i % 7 == 2 and i % 3 == 2)}
