@@ -1,24 +1,25 @@
 """Language-model scores by subword lattice likelihood.
 
-Words of the training texts are counted over the whole corpus. An existing subword vocabulary gives the pieces; a piece's
-unigram probability mixes its count in the training words (as the vocabulary's own tokenizer splits them) with a prior
-from the vocabulary's scores (a piece ranked r has weight 1 / (r + ZIPF); the prior counts as PRIOR pieces). A word's
-probability is the sum over all its segmentations into pieces, by forward recursion in log space; every single byte is a
-piece too, so that no word is impossible. A text's probability is the product over its words and one end symbol.
+Words of the training texts are counted over the whole corpus. An existing subword vocabulary gives the pieces; a word's
+probability is the sum over all its segmentations into pieces, by forward recursion in log space, and a text's is the
+product over its words and one end symbol: its marginal probability. Every single byte is a piece too, so that no word is
+impossible.
 
-One more way to write a word is as a whole: by its own count in the training texts, less DISCOUNT. What the discounts
-of all words leave over is the weight of the pieces' lattice, so a word's probability is
-max(c - DISCOUNT, 0) / N + DISCOUNT * V / N * lattice(word); without training words it is the lattice's alone.
+A piece's unigram probability starts from the vocabulary's scores (a piece ranked r has weight 1 / (r + ZIPF); this prior
+counts as PRIOR pieces) and its count in the training words as the vocabulary's own tokenizer splits them. ROUNDS rounds
+of expectation-maximisation follow: forward and backward sums over all segmentations of each distinct training word give
+the expected counts of pieces, weighted by the word's count, and these and the prior the next probabilities.
 
 The base score is a word unigram model with one added to each count.
 
-Both are functions of a word, so they are worked out once for each distinct word. The most frequent words go to all
-tasks: those whose count reaches a threshold, which a histogram of the counts sets so that they are HOT words and
-HOT_BYTES bytes at most. All other words meet their scores in a shuffled join; none of them is frequent.
+Both are functions of a word, so they are worked out once for each distinct word. The words that occur most, in whatever
+texts, go to all tasks: those whose occurrences reach a threshold, which a histogram of them sets so that they are HOT
+words and HOT_BYTES bytes at most. All other words meet their scores in a shuffled join, under SALTS keys each if they
+occur more often than a task should see.
 
 Odd input: a null text is empty: one end token. A null id counts as the id ''. Repeated rows give repeated rows and count
-repeatedly. Without training text N is 0 and every c is 0. An empty table gives an empty result; other columns are not
-read.
+repeatedly. Without training text N is 0, every c is 0 and the pieces have their prior. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ from casemill.plans.lineage import cut
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 ZIPF, PRIOR = 2.7, 32_000.0
-#: What is taken off each word's count for words not seen.
-DISCOUNT = 0.75
+ROUNDS = 2
+#: Expected counts are added up in these parts of one.
+UNIT = 1 << 20
+#: Words of more texts than this meet their scores under so many keys.
+OFTEN, SALTS = 100_000, 64
 #: Words that are broadcast at most, and their bytes in all at most.
 HOT, HOT_BYTES = 262_144, 8_000_000
 #: Steps of the histogram of counts to a factor of two.
@@ -50,6 +54,8 @@ GATHERED, GATHERED_BYTES = 300_000, 64_000_000
 #: Longer words meet their scores under a 128-bit hash, so that they aren't shuffled as a whole.
 LONG = 48
 SPACE = "▁".encode()
+#: A factor for each byte of a piece; bytes of a word that are taken at once for expected counts.
+SCALE, LONGEST = 16.0, 200
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -123,20 +129,56 @@ def pieces_of(path: str) -> Pieces:
 
 
 class Lattice:
-    """log10 probabilities of words, from pieces' counts."""
+    """log10 probabilities of words, from pieces' counts. A byte and a one-byte piece are two ways to write the same."""
 
     def __init__(self, pieces: Pieces, counts: np.ndarray, ends: int):
         mass = counts + PRIOR * pieces.prior
         total = mass.sum() + ends + 1
         self.end = math.log10((ends + 1) / total)
         self.logp: dict[bytes, float | None] = {}
-        for piece, m in zip(pieces.bytes_of, mass, strict=True):
-            if piece and m > 0:  # a byte and a one-byte piece are two ways to write the same
-                old = self.logp.get(piece)
-                self.logp[piece] = math.log(m / total + (math.exp(old) if old is not None else 0.0))
-        for piece in [p for p in self.logp if self.logp[p] is not None]:
-            for j in range(1, len(piece)):
-                self.logp.setdefault(piece[:j], None)  # the start of a piece
+        #: For each piece its numbers in the vocabulary with their shares, and its scaled probability.
+        self.parts: dict[bytes, tuple[list[tuple[int, float]], float] | None] = {}
+        same: dict[bytes, list[int]] = {}
+        for i, (piece, m) in enumerate(zip(pieces.bytes_of, mass, strict=True)):
+            if piece and m > 0:
+                same.setdefault(piece, []).append(i)
+        for piece, own in same.items():
+            m = sum(mass[i] for i in own)
+            self.logp[piece] = math.log(m / total)
+            self.parts[piece] = [(i, mass[i] / m) for i in own], m / total * SCALE ** len(piece)
+        for piece in list(same):
+            for j in range(1, len(piece)):  # the start of a piece
+                self.logp.setdefault(piece[:j], None)
+                self.parts.setdefault(piece[:j], None)
+
+    def expect(self, word: bytes, n: float, into: np.ndarray) -> None:
+        """Adds the expected counts of pieces in n occurrences of a word, over all its segmentations.
+
+        All segmentations have as many bytes, so a factor a byte changes no share and keeps sums in range; a long word is
+        taken in stretches of LONGEST bytes.
+        """
+        data = SPACE + word
+        for at in range(0, len(data), LONGEST):
+            part = data[at : at + LONGEST]
+            size, get = len(part), self.parts.get
+            forward, edges = [1.0] + [0.0] * size, []
+            for i in range(size):
+                here = forward[i]
+                for j in range(i + 1, size + 1):
+                    own = get(part[i:j], 0)
+                    if own is None:
+                        continue
+                    if own == 0:  # no piece starts like this
+                        break
+                    forward[j] += here * own[1]
+                    edges.append((i, j, own))
+            backward = [0.0] * size + [n / forward[size]]
+            for i, j, own in reversed(edges):  # all edges from j on come before those to j
+                share = own[1] * backward[j]
+                backward[i] += share
+                share *= forward[i]
+                for k, part_of in own[0]:
+                    into[k] += share * part_of
 
     def score(self, word: bytes) -> float:
         """log10 of the sum over all segmentations of the word, after a space."""
@@ -164,18 +206,18 @@ class Lattice:
 
 
 def _count_words(batches):
-    """(word, n) of (text, learned) rows; n is 0 for words of other texts."""
+    """(word, n, times) of (text, learned) rows: how often it occurs in training texts, and in all."""
     seen: Counter = Counter()
-    other: set[bytes] = set()
+    other: Counter = Counter()
     held = 0
 
     def flush():
-        other.difference_update(seen)
-        words = [*seen, *other]
-        n = [*seen.values(), *[0] * len(other)]
+        words = [*seen, *(w for w in other if w not in seen)]
+        n = [seen[w] for w in words]
+        times = [k + other[w] for w, k in zip(words, n, strict=True)]
         seen.clear()
         other.clear()
-        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64()), "times": pa.array(times, pa.int64())})
 
     for batch in batches:
         for text, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -207,27 +249,52 @@ def _count_pieces(path: str):
 _lattices: dict[str, Lattice] = {}
 
 
-def with_whole_words(counts: np.ndarray, lattice: np.ndarray, tokens: int, words: int) -> np.ndarray:
-    """log10 probabilities of words of these counts, from those of their lattices (tokens: N, words: V without the end)."""
-    if not words:
-        return lattice
-    own = np.maximum(counts - DISCOUNT, 0) / tokens
-    rest = lattice + math.log10(DISCOUNT * words / tokens)
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(own), rest * math.log(10)) / math.log(10)
+def _lattice(path: str, counts: np.ndarray, ends: int) -> Lattice:
+    name = xxhash.xxh64_hexdigest(counts.tobytes() + str((path, ends)).encode())
+    if name not in _lattices:
+        _lattices.clear()
+        _lattices[name] = Lattice(pieces_of(path), counts, ends)
+    return _lattices[name]
+
+
+def _expected(path: str, counts: np.ndarray, ends: int):
+    """Each task's expected counts of pieces, in UNIT parts."""
+
+    def run(batches):
+        lattice, into = _lattice(path, counts, ends), [0.0] * len(counts)
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lattice.expect(word, n, into)
+        total = np.rint(np.array(into) * UNIT).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    return run
+
+
+def piece_counts(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Counts of the vocabulary's pieces in words (word, n): as its tokenizer splits them, then expected ones."""
+    size = len(pieces_of(path).bytes_of)
+
+    def gathered(made: DataFrame, unit: float) -> np.ndarray:
+        counts = np.zeros(size)
+        for r in made.groupBy("i").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # as many rows as the vocabulary has pieces
+            counts[r["i"]] = r["n"] / unit
+        return counts
+
+    counts = gathered(words.mapInArrow(_count_pieces(path), "i long, n long"), 1)
+    for _ in range(rounds if counts.any() else 0):
+        counts = gathered(words.mapInArrow(_expected(path, counts, ends), "i long, n long"), UNIT)
+    return counts
 
 
-def _score_words(path: str, counts: np.ndarray, ends: int, tokens: int, n_words: int, name: str):
+def _score_words(path: str, counts: np.ndarray, ends: int):
     def run(batches):
-        if name not in _lattices:
-            _lattices.clear()
-            _lattices[name] = Lattice(pieces_of(path), counts, ends)
-        score = _lattices[name].score
+        score = _lattice(path, counts, ends).score
         for batch in batches:
-            lattice = np.array([score(w) for w in batch.column(0).to_pylist()], np.float64)
-            own = with_whole_words(batch.column(1).to_numpy(zero_copy_only=False), lattice, tokens, n_words)
+            own = np.array([score(w) for w in batch.column(0).to_pylist()], np.float64)
             keys = pa.array(map(join_key, batch.column(0).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array(own, pa.float64())], ["word", "n", "key", "s"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys, pa.array(own, pa.float64())], ["word", "n", "times", "key", "s"])
 
     return run
 
@@ -277,21 +344,24 @@ def score_texts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     learned = fold("doc_id", FOLDS) != HELD_OUT
     ends = own.filter(learned).count()
-    words = cut(own.select("text", learned.alias("learned")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = cut(own.select("text", learned.alias("learned")).mapInArrow(_count_words, "word binary, n long, times long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times")))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     train_tokens, distinct = sums.n + ends, sums.v + (ends > 0)
     bottom = math.log10(train_tokens + 1 * (distinct + 1))
-    counts = np.zeros(len(pieces_of(path).bytes_of), np.int64)
-    for r in words.filter("n > 0").mapInArrow(_count_pieces(path), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        counts[r["i"]] = r["n"]  # as many rows as the vocabulary has pieces
+    counts = piece_counts(words.filter("n > 0").select("word", "n"), path, ends)
     name = xxhash.xxh64_hexdigest(counts.tobytes() + str((ends, train_tokens, distinct)).encode())
-    scored = cut(words.mapInArrow(_score_words(path, counts, ends, sums.n + ends, sums.v, name), "word binary, n long, key binary, s double"))
-    top = scored.filter(F.col("n") >= least_count(words, HOT, HOT_BYTES)).toArrow()
+    scored = cut(words.mapInArrow(_score_words(path, counts, ends), "word binary, n long, times long, key binary, s double"))
+    least = least_count(words, HOT, HOT_BYTES, "times")
+    top = scored.filter(F.col("times") >= least).toArrow()
     hot = spark.sparkContext.broadcast((top["word"].to_pylist(), top["n"].to_numpy(), top["s"].to_numpy()))
-    # the end is a token of its own count; among pieces only, its share is that of the lattice
-    end_score = math.log10(ends / (sums.n + ends)) if sums.v else Lattice(pieces_of(path), counts, ends).end
+    end_score = Lattice(pieces_of(path), counts, ends).end
+    # words of many texts that are still too many to be sent everywhere stand under several keys
+    often = least > OFTEN
+    salt = (lambda of: F.pmod(F.xxhash64(*of), F.lit(SALTS))) if often else (lambda of: F.lit(0).cast("long"))
+    keys = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1 if often else 0).cast("long")))
     rows = own.mapInArrow(_score_texts(hot, name, bottom, ends, end_score), "doc_id long, h long, word binary, n long, copies long, n_tokens long, n_known long, base double, score double")
-    met = rows.join(scored.select(F.col("key").alias("word"), F.col("n").alias("c"), "s"), "word", "left")
+    table = scored.filter(F.col("times") < least).select(F.col("key").alias("word"), F.col("n").alias("c"), "s", keys.alias("salt"))
+    met = rows.withColumn("salt", salt(["doc_id", "h"])).join(table, ["word", "salt"], "left")
     c = F.coalesce("c", F.lit(0))
     texts = met.groupBy("doc_id", "h").agg(
         F.sum("copies").alias("copies"),

@@ -438,16 +438,13 @@ def slow_scores(rows):
     p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
     counts = np.zeros(len(p.bytes_of))
     p.count(list(c), list(c.values()), counts)
+    for _ in range(lattice.ROUNDS if c else 0):
+        model, into = lattice.Lattice(p, counts, len(learned)), [0.0] * len(counts)
+        for w, k in c.items():
+            model.expect(w, k, into)
+        counts = np.array(into)
     model = lattice.Lattice(p, counts, len(learned))
-    seen = len(c)
-
-    def probability(w):  # the count of the whole word less the discount, and the lattice with what the discounts leave
-        return max(c[w] - 0.75, 0) / n + 0.75 * seen / n * 10 ** model.score(w) if seen else 10 ** model.score(w)
-
-    def scored(w):
-        return math.log10(probability(w)) if probability(w) > 0 else model.score(w) + math.log10(0.75 * seen / n)  # too small for a double
-
-    end = math.log10(len(learned) / n) if seen else model.end
+    scored, end = functools.cache(model.score), model.end
     log = lambda k: math.log10((k + 1) / (n + v + 1))
     out = []
     for i, t in rows:
@@ -461,7 +458,7 @@ def same(got, want):
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
-        assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
+        assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-6)  # expected counts are rounded
 
 
 def test_op3_equals_brute_force_with_few_hot_words(spark, monkeypatch):
@@ -478,7 +475,7 @@ def test_lattice_on_odd_input(spark):
     assert got and all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
 
 
-def test_whole_words_make_held_out_texts_likelier(spark):
+def test_expected_counts_make_held_out_texts_likelier(spark):
     got = [r for r in lattice.op3_lattice_likelihood(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
@@ -487,8 +484,50 @@ def test_whole_words_make_held_out_texts_likelier(spark):
     p.count(list(c), list(c.values()), counts)
     model = lattice.Lattice(p, counts, sum(held(i, 7) != 2 for i in docs))
     known = {w: model.score(w) for w in {w for r in got for w in words(docs[r.doc_id])}}
-    pieces_only = sum(known[w] for r in got for w in words(docs[r.doc_id])) + len(got) * model.end
-    assert sum(r.score for r in got) > 0.95 * pieces_only  # logarithms: higher is likelier
+    before = sum(known[w] for r in got for w in words(docs[r.doc_id])) + len(got) * model.end
+    after = sum(r.score for r in got)
+    print(f"held-out log10 likelihood: {before:.0f} before, {after:.0f} after, base {sum(r.base_score for r in got):.0f}")
+    assert after > before
+
+
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch):
+    p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
+    m = lattice.Lattice(p, np.zeros(len(p.bytes_of)), 1)
+
+    def ways(data):
+        if not data:
+            yield 1.0, []
+        for j in range(1, len(data) + 1):
+            if (lp := m.logp.get(data[:j])) is not None:
+                for weight, rest in ways(data[j:]):
+                    yield math.exp(lp) * weight, [data[:j], *rest]
+
+    for w in [b"the", b"ing", b"zq", "\u00e9".encode(), b"them"]:
+        want, total = Counter(), 0.0
+        for weight, pieces in ways(lattice.SPACE + w):
+            total += weight
+            for piece in pieces:
+                want[piece] += weight
+        into = [0.0] * len(p.bytes_of)
+        m.expect(w, 3, into)
+        got = Counter()
+        for i, x in enumerate(into):
+            if x:
+                got[p.bytes_of[i]] += x
+        assert set(got) == set(want) and all(math.isclose(got[k], 3 * want[k] / total, rel_tol=1e-9) for k in want)
+    into = [0.0] * len(p.bytes_of)
+    m.expect(b"x" * 5_000, 2, into)  # in stretches, within the range of doubles
+    assert math.isclose(sum(x * len(p.bytes_of[i]) for i, x in enumerate(into) if x), 2 * 5_003, rel_tol=1e-9)
+
+
+def test_words_that_only_held_out_texts_hold_are_sent_everywhere_too(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "HOT", 3)
+    monkeypatch.setattr(lattice, "OFTEN", 1)  # so that the join is salted
+    rows = [(i, "rare everywhere " * 5 + f"own{i}") for i in range(200) if held(i, 7) == 2] + [(i, f"other words {i} in training") for i in range(200) if held(i, 7) != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(lattice.score_texts(df).collect(), slow_scores(rows))
+    counts = df.select("text", (lattice.fold("doc_id", 7) != 2).alias("learned")).mapInArrow(lattice._count_words, "word binary, n long, times long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    assert counts.filter("times >= 100 AND n = 0").count() >= 1
 
 
 def test_the_broadcast_words_are_those_above_a_count(spark):
