@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions.roles import RoleMap
+from casemill.plans.lineage import stored
 from casemill.sources.tables import clean_name
 
 LEAST_LIKENESS = 0.8
@@ -36,12 +37,12 @@ def align(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, int]:
 
 def new_by_id(incoming: DataFrame, stored: DataFrame, id_col: str) -> DataFrame:
     """Incoming rows whose id isn't stored; null ids and repetitions among the incoming rows stay."""
-    return incoming.join(stored.select(F.col(id_col).alias("__id")).distinct(), incoming[id_col] == F.col("__id"), "left_anti")
+    return incoming.join(stored.select(F.col(id_col).alias("__id")), incoming[id_col] == F.col("__id"), "left_anti")
 
 
 def new_by_row(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Incoming rows that aren't stored as a whole; nulls are equal."""
-    known = stored.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(incoming.columns)]).distinct()
+    known = stored.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(incoming.columns)])
     same = F.lit(True)
     for i, c in enumerate(incoming.columns):
         same = same & incoming[c].eqNullSafe(F.col(f"__{i}"))
@@ -56,13 +57,20 @@ class Appended:
     extras_ignored: int
     new_table: bool
     profile: DataFrame | None = None
+    state: DataFrame | None = None
 
 
 def reprofile(table: DataFrame, name: str, roles: RoleMap | None = None) -> DataFrame:
     """A profile of a table's columns as they are now; columns that had a role keep it."""
-    from casemill.operators.profile import column_stats, infer_roles
+    from casemill.operators.profile import column_stats
 
-    fresh = infer_roles(column_stats(table, name))
+    return _with_roles(column_stats(table, name), roles)
+
+
+def _with_roles(stats: DataFrame, roles: RoleMap | None) -> DataFrame:
+    from casemill.operators.profile import infer_roles
+
+    fresh = infer_roles(stats)
     kept = F.create_map(*[F.lit(x) for pair in roles.columns.items() for x in pair]) if roles and roles.columns else F.lit(None).cast("map<string,string>")
     return fresh.withColumn("role", F.coalesce(F.try_element_at(kept, F.col("column")), "role"))
 
@@ -81,6 +89,21 @@ def append(incoming: DataFrame, stored: DataFrame | None, roles: RoleMap | None
     return Appended(table, added, n - added, extras, False, reprofile(table, name, roles))
 
 
+def append_to_state(incoming: DataFrame, schema: DataFrame, state: DataFrame, index: str, id_col: str, roles: RoleMap | None = None, name: str = "table") -> Appended:
+    """The incoming rows that the id index lacks, the merged profile state, and the profile from it.
+
+    Nothing that is stored is read but the state and the index; schema gives the stored table's columns. The caller writes
+    the rows and the state, and adds the ids to the index.
+    """
+    from casemill.operators import states
+
+    rows, extras = align(incoming, schema)
+    new = stored(states.new_ids(rows, id_col, index), "new-rows")
+    merged = stored(states.merge_states(state, states.profile_state(new, name)), "state")
+    n, added = rows.count(), new.count()
+    return Appended(new, added, n - added, extras, False, _with_roles(states.stats_of(merged), roles), merged)
+
+
 def link_new_table(profile: DataFrame, table: str) -> DataFrame:
     """Relations between a new table and the others, without a change of the others' roles."""
     from casemill.operators.profile import relations

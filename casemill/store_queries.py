@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from casemill import queries as own
 from casemill.bindings import CASE_ROLES, CASES_SQL, cases, table
 from casemill.functions.roles import RoleMap
-from casemill.operators import merge, profile, reports, signals, triage
-from casemill.plans.lineage import checkpoint_dir
+from casemill.operators import merge, profile, reports, signals, states, triage
+from casemill.plans.lineage import checkpoint_dir, cut
 from casemill.queries import register
 from casemill.sources import tables
 from casemill.streaming import sentinel
@@ -138,6 +138,39 @@ def m5_profile(spark, sf_dir):
     return out.profile.select("column", "row_count", "distinct", "role")
 
 
+#: A column's figures in SQL: counts, ends and mean exactly, and that the sketches are near the truth.
+_FIGURES = lambda c, source, mean: f"""SELECT '{c}' AS "column", count(*) AS row_count, round(1 - count({c}) / count(*), 4) AS null_fraction, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi,
+{f"round(avg({c})::DOUBLE, 2)" if mean else "CAST(NULL AS DOUBLE)"} AS mean, true AS near, true AS middle FROM {source}"""
+
+
+@register(" UNION ALL ".join(_FIGURES(c, "(SELECT * REPLACE (CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice END AS o_totalprice) FROM orders)", True) for c in ("o_orderkey", "o_custkey", "o_totalprice")))
+def m5_state(spark, sf_dir):
+    """An append that reads the incoming rows, the id index and the stored state only; how near its sketches are."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("o_totalprice"))
+    first, incoming = o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 3 <> 1")
+    index = f"ids_{uuid.uuid4().hex}"
+    states.store_ids(first, "o_orderkey", index)
+    out = merge.append_to_state(incoming, first, states.profile_state(first, "orders"), index, "o_orderkey", RoleMap({"o_orderkey": "id"}), "orders")
+    stats = states.stats_of(out.state)
+    truth = o.agg(*[F.array(F.countDistinct(c).cast("double"), F.percentile(c, 0.48), F.percentile(c, 0.52)).alias(c) for c in o.columns])
+    long = truth.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c)[0].alias("d"), F.col(c)[1].alias("a"), F.col(c)[2].alias("b")) for c in o.columns])))
+    met = stats.join(F.broadcast(long), stats["column"] == F.col("c"))  # three rows
+    near, middle = F.abs(F.col("distinct") - F.col("d")) <= 0.02 * F.col("d"), F.col("q50").between(F.col("a"), F.col("b"))
+    spark.sql(f"DROP TABLE {index}")
+    return met.select("column", "row_count", "null_fraction", "lo", "hi", F.round("mean", 2).alias("mean"), near.alias("near"), middle.alias("middle"))
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def m3_indexed(spark, sf_dir):
+    """M3: new rows by an index of ids in hash buckets."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    index = f"ids_{uuid.uuid4().hex}"
+    states.store_ids(o.filter("o_orderkey % 3 <> 0"), "o_orderkey", index)
+    out = cut(states.new_ids(o, "o_orderkey", index))
+    spark.sql(f"DROP TABLE {index}")
+    return out
+
+
 @register("""SELECT 'customer' AS "table", 'customer' AS entity, CASE WHEN count(DISTINCT c_nationkey) < 0.95 * count(*) THEN 'nation_id' ELSE 'cust_id' END AS id_column, 'c_name' AS label_column, CAST([] AS VARCHAR[]) AS link_columns FROM customer
 UNION ALL SELECT 'nation', 'nation', 'nation_id', 'n_name', [] FROM nation HAVING count(DISTINCT n_nationkey) > 0.95 * count(*)
 UNION ALL SELECT 'supplier_contacts', 'supplier_contact', 'supplier_no', 's_name', ['contact_no'] FROM supplier HAVING count(*) > 0""")

@@ -763,3 +763,41 @@ def test_the_filters_of_all_figures_reach_the_scan(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(place,2)" in plan.split("PushedFilters")[1]
     assert {r.id: r.value for r in out.collect()} == {"a": sum(i % 7 == 1 and i % 3 == 2 for i in range(100)), "b": sum(i for i in range(100) if i % 7 == 2 and i % 3 == 2)}
+
+
+# stored states
+
+
+def test_merged_states_equal_the_whole_table_s(spark):
+    from casemill.operators import states
+
+    k = F.col("id")
+    df = spark.range(30_000).select(k, F.when(k % 3 > 0, (k % 977).cast("double")).alias("x"), F.concat(F.lit("v"), (k % 5_000).cast("string")).alias("text"), (k % 2 == 0).alias("flag"), F.timestamp_seconds(k).alias("at"))
+    parts = [states.profile_state(df.filter(k % 4 == i), "t") for i in range(4)] + [states.profile_state(df.limit(0), "t")]
+    got = {r.column: r for r in states.stats_of(states.merge_states(*parts)).collect()}
+    want = {r.column: r for r in profile.column_stats(df, "t").collect()}
+    for c, w in want.items():
+        g = got[c]
+        assert (g.row_count, g.null_fraction, g.lo, g.hi, g.position, g.dtype) == (w.row_count, w.null_fraction, w.lo, w.hi, w.position, w.dtype)
+        assert (g.mean is None) == (w.mean is None) and (g.mean is None or abs(g.mean - w.mean) < 1e-3) and abs(g.distinct - w.distinct) <= 0.02 * w.distinct
+    assert abs(got["id"].q50 - 15_000) < 300 and abs(got["x"].q25 - 244) < 15 and got["text"].q50 is None
+    empty = {r.column: r for r in states.stats_of(states.profile_state(df.limit(0), "t")).collect()}
+    assert empty["x"].row_count == 0 and empty["x"].distinct == 0 and empty["x"].q50 is None
+
+
+@pytest.mark.parametrize("few", [1_000, 3])
+def test_the_index_of_ids_is_never_shuffled(spark, monkeypatch, few):
+    from casemill.operators import states
+
+    monkeypatch.setattr(states, "FEW_IDS", few)
+    index = f"ids_test_{few}"
+    states.store_ids(spark.range(0, 5_000, 2), "id", index, buckets=8)
+    states.store_ids(spark.range(0, 5_000, 5).filter("id % 2 = 1"), "id", index, buckets=8)
+    incoming = spark.createDataFrame([(i,) for i in (1, 2, 5, 5, 7, 7, 9_999)] + [(None,)], "id long")
+    out = states.new_ids(incoming, "id", index)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") <= 1
+    if few == 1_000:
+        assert "SelectedBucketsCount" in plan
+    assert sorted((r.id for r in out.collect()), key=repr) == [1, 7, 7, 9_999, None]
+    spark.sql(f"DROP TABLE {index}")
