@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.plans.lineage import small_or_not
@@ -111,9 +112,40 @@ def write_table(df: DataFrame, folder: str, name: str) -> str:
     return path
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for results of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+#: Rows of a part of an export at most.
+PART_ROWS = 1_000_000
+
+
+def export_csv(df: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
+    """A CSV file with a header for each ``part_rows`` rows, written side by side; few rows are one file."""
+    df.repartition(max(1, -(-df.count() // part_rows))).write.mode("overwrite").option("header", True).csv(path)
+
+
+def export_parts(df: DataFrame, path: str, order: list[str] | None = None, part_rows: int = PART_ROWS) -> None:
+    """CSV in parts that many tasks write, in the order of the given columns (or as they come), and their manifest.
+
+    ``path``/header holds the one header line, ``path``/rows the parts, without one, and ``path``/manifest a line of JSON
+    for each: place, file, bytes. The header and the parts in the manifest's order are the bytes of one CSV file.
+    """
+    spark = df.sparkSession
+    n = max(1, -(-df.count() // part_rows))
+    if order:
+        df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    df.write.mode("overwrite").option("header", False).option("maxRecordsPerFile", part_rows).csv(f"{path}/rows")
+    names = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+    names.coalesce(1).write.mode("overwrite").option("header", False).csv(f"{path}/header")  # one row
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.csv").load(f"{path}/rows").filter("length > 0")
+    name = F.element_at(F.split("path", "/"), -1)
+    # part-<task>-...-c<number>: files in the order of tasks, then of numbers; a row a file
+    listed = parts.select(F.struct(F.regexp_extract(name, r"part-(\d+)", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long")).alias("at"), name.alias("file"), F.col("length").alias("bytes"))
+    listed = listed.withColumn("place", F.row_number().over(W.orderBy("at"))).select("place", "file", "bytes")
+    listed.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """An export's rows, typed as read_csv types them."""
+    header = spark.read.csv(f"{path}/header").first()
+    return clean_columns(spark.read.csv(f"{path}/rows", inferSchema=True).toDF(*header))
 
 
 def composition(tables: dict[str, DataFrame]) -> DataFrame:

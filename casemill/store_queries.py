@@ -89,8 +89,8 @@ def s6_export(spark, sf_dir):
     """A result exported as CSV and read again."""
     at = place(spark)
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    tables.export_csv(c.groupBy("n_name").agg(F.count("*").alias("n")), at)
-    return tables.read_csv(spark, at).withColumn("n", F.col("n").cast("long"))
+    tables.export_parts(c.groupBy("n_name").agg(F.count("*").alias("n")), at, ["n_name"], part_rows=10)
+    return tables.read_parts(spark, at).withColumn("n", F.col("n").cast("long"))
 
 
 @register("""SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS at, 'append ' || count(*) AS action, ['orders.parquet'] AS files, ['orders'] AS tables FROM orders

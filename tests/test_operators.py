@@ -449,6 +449,15 @@ def test_sources(spark, tmp_path):
     assert tables.read_tables(spark, str(tmp_path), ["my_table"])["my_table"].count() == 2 and spark.table("my_table").count() == 2
     tables.export_csv(df, str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+    many = spark.range(1_000).selectExpr("id", "concat('a, \"', id % 7, '\"') AS text", "id / 4.0 AS x").repartition(5)
+    tables.export_parts(many, str(tmp_path / "parts"), ["id"], part_rows=90)
+    listed = sorted(spark.read.json(str(tmp_path / "parts/manifest")).collect(), key=lambda r: r.place)
+    files = [next((tmp_path / "parts/header").glob("part-*.csv")), *(tmp_path / "parts/rows" / r.file for r in listed)]
+    many.orderBy("id").coalesce(1).write.option("header", True).csv(str(tmp_path / "one"))
+    assert b"".join(f.read_bytes() for f in files) == next((tmp_path / "one").glob("part-*.csv")).read_bytes()
+    body = b"".join(f.read_bytes() for f in files).splitlines()
+    assert len(listed) >= 10 and body[0] == b"id,text,x" and [int(x.split(b",")[0]) for x in body[1:]] == list(range(1_000)) and all((tmp_path / "parts/rows" / r.file).stat().st_size == r.bytes for r in listed)
+    assert sorted(map(tuple, tables.read_parts(spark, str(tmp_path / "parts")).collect()))[5] == (5, 'a, "5"', 1.25)
     for at in ("2024-01-01", "2024-02-01"):
         tables.log_event(spark, str(tmp_path / "log"), at, "append", ["f"], ["t"])
     assert [r.at for r in tables.read_log(spark, str(tmp_path / "log")).collect()] == ["2024-02-01", "2024-01-01"]
