@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,20 +62,31 @@ def stats_of(state: DataFrame) -> DataFrame:
     return state.select("table", "column", "position", "dtype", "row_count", nulls.alias("null_fraction"), F.hll_sketch_estimate("distinct").alias("distinct"), "lo", "hi", mean, *at)
 
 
-def store_ids(df: DataFrame, id_col: str, index: str, buckets: int = BUCKETS) -> None:
+def open_index(spark: SparkSession, path: str, id_type: str, buckets: int = BUCKETS) -> tuple[str, bool]:
+    """An index of ids in a folder as a table of the catalogue, and whether it is new. It outlives the session with the folder."""
+    name = f"ids_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    if not spark.catalog.tableExists(name):
+        options = "OPTIONS ('parquet.bloom.filter.enabled#id' 'true', 'parquet.bloom.filter.adaptive.enabled' 'true')"
+        spark.sql(f"CREATE TABLE {name} (id {id_type}, batch BIGINT) USING parquet {options} CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name, spark.table(name).isEmpty()
+
+
+def store_ids(df: DataFrame, id_col: str, index: str, buckets: int = BUCKETS, batch: Column | int = 0) -> None:
     """Adds a table's ids to the index (a table of the catalogue): in hash buckets, sorted, with a Bloom filter for each part."""
-    ids = df.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
+    batch = F.lit(batch) if isinstance(batch, int) else batch
+    ids = df.select(F.col(id_col).alias("id"), batch.cast("long").alias("batch")).filter("id IS NOT NULL").distinct()
     writer = ids.repartition(buckets, "id").write.mode("append").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     writer.bucketBy(buckets, "id").sortBy("id").saveAsTable(index)
 
 
-def new_ids(incoming: DataFrame, id_col: str, index: str) -> DataFrame:
-    """Incoming rows whose id isn't in the index; null ids and repetitions among the incoming rows stay.
+def new_ids(incoming: DataFrame, id_col: str, index: str, but_batch: int | None = None) -> DataFrame:
+    """Incoming rows whose id isn't in the index (or only from one batch); null ids and repetitions among the incoming rows stay.
 
     The index is never shuffled: incoming rows are brought to its buckets. Of a few incoming ids only the buckets they
     fall into are read, and of these only the parts whose Bloom filters may hold them.
     """
-    known = incoming.sparkSession.table(index).select(F.col("id").alias("__id"))
+    known = incoming.sparkSession.table(index)
+    known = (known if but_batch is None else known.filter(F.col("batch") != but_batch)).select(F.col("id").alias("__id"))
     few = [r[0] for r in incoming.select(id_col).filter(F.col(id_col).isNotNull()).distinct().limit(FEW_IDS + 1).collect()]
     if len(few) <= FEW_IDS:
         known = known.filter(F.col("__id").isin(few))

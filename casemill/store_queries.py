@@ -237,14 +237,15 @@ def r3_scan(spark, sf_dir):
 
 @register(f"""WITH {CASES_SQL} SELECT area, category, count(*) AS n, count(*) FILTER (case_id % 10 = 0) AS without_id FROM cases GROUP BY ALL""")
 def st1_sentinel(spark, sf_dir):
-    """ST1: cases arrive in three files as a stream; each batch is appended. Cases without an id stay, known ids come once."""
+    """ST1: cases arrive three times as a stream; each batch is appended. Cases without an id stay, known ids come once."""
     at = place(spark)
     c = cases(spark, sf_dir).withColumn("case_id", F.when(F.col("case_id") % 10 != 0, F.col("case_id")))
     for i in range(3):
         part = F.pmod(F.hash("ts", "area"), F.lit(3))  # the first file's known ids come again with the last one
         again = (part == i) | ((part == 0) & F.col("case_id").isNotNull()) if i == 2 else part == i
-        c.filter(again).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    sentinel.start(spark, f"{at}/in", c.schema, f"{at}/cases", f"{at}/alerts", f"{at}/offsets", CASE_ROLES, every=None, files=1).awaitTermination()
+        c.filter(again).write.mode("append").parquet(f"{at}/in")
+        # it works off what is there and stops, and goes on from there the next time
+        sentinel.start(spark, f"{at}/in", c.schema, f"{at}/cases", f"{at}/alerts", f"{at}/offsets", CASE_ROLES, every=None).awaitTermination()
     return spark.read.parquet(f"{at}/cases").groupBy("area", "category").agg(F.count("*").alias("n"), F.count_if(F.col("case_id").isNull()).alias("without_id"))
 
 
@@ -254,6 +255,6 @@ def st1_daily(spark, sf_dir):
     at = place(spark)
     c = cases(spark, sf_dir)
     for i in range(2):
-        c.filter(F.col("case_id") % 2 == i).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    sentinel.start(spark, f"{at}/in", c.schema, f"{at}/cases", f"{at}/alerts", f"{at}/offsets", CASE_ROLES, every=None, files=1).awaitTermination()
+        c.filter(F.col("case_id") % 2 == i).write.mode("append").parquet(f"{at}/in")
+        sentinel.start(spark, f"{at}/in", c.schema, f"{at}/cases", f"{at}/alerts", f"{at}/offsets", CASE_ROLES, every=None).awaitTermination()
     return spark.read.parquet(f"{at}/cases_daily").groupBy("area", "category", "day").agg(F.sum("n").alias("n"))

@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from casemill.functions.roles import RoleMap
-from casemill.operators import reports, signals
-from casemill.operators.merge import new_by_id
+from casemill.operators import reports, signals, states
+from casemill.plans.lineage import cut
 
 ALERTS = "area string, category string, baseline_daily double, recent_daily double, pct_change double, z_score double, batch long"
 GROUPS = ["area", "category"]
@@ -31,14 +31,18 @@ def process(batch: DataFrame, batch_id: int, stored: str, alerts: str, roles: Ro
 
     Cases are new by their ids: null ids and ids that recur within the batch stay, as in any append. Each batch writes a
     partition of its own, of cases and of their daily counts, so that it can be written again, and spikes are found from
-    the daily counts: what was stored earlier is read only for its ids.
+    the daily counts. Stored cases are not read: their ids are in an index of hash buckets beside them, which is never
+    shuffled, and of which a batch of few ids reads only the buckets and parts that may hold them.
     """
     spark = batch.sparkSession
     daily_path, id_col = f"{stored.rstrip('/')}_daily", roles.first("id")
-    old = stored_or_none(spark, stored)
+    index, empty = states.open_index(spark, f"{stored.rstrip('/')}_ids", batch.schema[id_col].dataType.simpleString())
+    if empty and (old := stored_or_none(spark, stored)) is not None:  # cases from before there was an index
+        states.store_ids(old, id_col, index, batch=F.col("batch"))
     # a batch that is repeated must not find its own rows stored
-    new = batch if old is None else new_by_id(batch, old.filter(F.col("batch") != batch_id), id_col)
+    new = cut(states.new_ids(batch, id_col, index, but_batch=batch_id))
     _write(new, batch_id, stored)
+    states.store_ids(new, id_col, index, batch=batch_id)
     kept = stored_or_none(spark, stored)
     if kept is None:  # nothing yet
         return

@@ -810,3 +810,15 @@ def test_the_index_of_ids_is_never_shuffled(spark, monkeypatch, few):
         assert "SelectedBucketsCount" in plan
     assert sorted((r.id for r in out.collect()), key=repr) == [1, 7, 7, 9_999, None]
     spark.sql(f"DROP TABLE {index}")
+
+
+def test_the_sentinel_takes_on_cases_from_before_its_index(spark, tmp_path):
+    roles = RoleMap({"id": "id", "ts": "timestamp", "area": "admin_area_1", "cat": "category"})
+    rows = lambda ids: spark.createDataFrame([(i, datetime(2024, 1, 1), "A", "Theft") for i in ids], "id long, ts timestamp_ntz, area string, cat string")
+    stored, alerts = str(tmp_path / "cases"), str(tmp_path / "alerts")
+    rows([1, 2]).withColumn("batch", F.lit(0).cast("long")).write.partitionBy("batch").parquet(stored)
+    sentinel.process(rows([2, 3]), 7, stored, alerts, roles)
+    sentinel.process(rows([3, 4]), 8, stored, alerts, roles)
+    sentinel.process(rows([3, 4]), 8, stored, alerts, roles)
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(stored).collect()) == [(1, 0), (2, 0), (3, 7), (4, 8)]
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(f"{stored}_ids").select("id", "batch").distinct().collect()) == [(1, 0), (2, 0), (3, 7), (4, 8)]
