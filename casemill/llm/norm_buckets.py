@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casemill.llm.tables import place, stored
-from casemill.plans.lineage import cut
+from casemill.plans.lineage import cut, place, stored
 
 K = 10
 #: Items of a block, and bytes of their terms, at most (an item is never split).

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casemill.plans.lineage import cut
+from casemill.plans.lineage import place
 
 K = 5
+CHOSEN = "query_id long, vec_id long, score long, exact binary"
 #: Queries of a block, and bytes of their vectors, at most.
 BLOCK, BLOCK_BYTES = 4_096, 32_000_000
 BINS = 256
@@ -221,7 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     size = asked.agg(F.count("*").alias("n"), F.sum(F.size("v") * 8).alias("bytes")).first()
     blocks = max(1, -(-size.n // block), -(-(size.bytes or 0) // BLOCK_BYTES))
     longest = {r.d: r.m for r in everything.mapInArrow(_norms, "d long, m double").groupBy("d").agg(F.max("m").alias("m")).collect()}
-    found = []
+    found, results = None, place(spark, "chosen")
     for b in range(blocks):
         part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         own = Block(part.toArrow())  # a block of bounded size
@@ -251,15 +252,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
             hi[q] = low + np.minimum(left, width[q] - np.uint64(1)).view(np.int64)
             lo[q], need[q] = low, here["need"].to_numpy()
             hi[few] = lo[few] = -bound[few] - 1
-        chosen = everything.mapInArrow(_select(sent, wide, lo, k), "query_id long, vec_id long, score long, exact binary")
-        found.append(cut(chosen) if blocks > 1 else chosen)  # each block once
-    if not found:
+        chosen = everything.mapInArrow(_select(sent, wide, lo, k), CHOSEN)
+        if blocks == 1:
+            found = chosen
+        else:  # each block once, all in one table
+            chosen.write.mode("append").parquet(results)
+            sent.destroy()
+            found = spark.read.schema(CHOSEN).parquet(results)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
     best = W.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_histogram_topk(spark, sf_dir: str) -> DataFrame:

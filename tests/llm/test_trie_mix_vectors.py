@@ -221,3 +221,12 @@ def test_the_row_that_stays_of_equal_ids_and_texts_repeats(spark):
     rows = [(1, "same words in here now", f"s{i}") for i in range(30)] + [(None, "other words over there again", f"s{i}") for i in range(30)]
     kept = [sorted((r.doc_id or 0, r.source) for r in trie.one_of_each(docs_of(spark, rows).repartition(n)).collect()) for n in (1, 3, 7)]
     assert len(kept[0]) == 2 and kept[0] == kept[1] == kept[2]
+
+
+def test_hundreds_of_blocks_are_one_table(spark):
+    r = random.Random(12)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    one = sorted(map(tuple, vectors.top_k(df, df, 3).collect()))
+    out = vectors.top_k(df, df, 3, block=1)
+    assert sorted(map(tuple, out.collect())) == one and "Union" not in out._jdf.queryExecution().executedPlan().toString()
