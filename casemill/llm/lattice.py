@@ -54,8 +54,10 @@ GATHERED, GATHERED_BYTES = 300_000, 64_000_000
 #: Longer words meet their scores under a 128-bit hash, so that they aren't shuffled as a whole.
 LONG = 48
 SPACE = "▁".encode()
-#: A factor for each byte of a piece; bytes of a word that are taken at once for expected counts.
-SCALE, LONGEST = 16.0, 200
+#: A factor for each byte of a piece; bytes from which on a word is taken by itself; words that are taken at once.
+SCALE, LONGEST, TOGETHER = 16.0, 64, 40_000
+#: Stretches of words that are looked up at once, and the base of their hashes (odd).
+CELLS, _BASE = 1_000_000, 0x9E3779B97F4A7C15
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -128,6 +130,14 @@ def pieces_of(path: str) -> Pieces:
     return _pieces[path]
 
 
+def _upto(data: np.ndarray) -> np.ndarray:
+    """Hashes of the starts of all rows of bytes, by length: (length + 1, rows)."""
+    out = np.zeros((data.shape[1] + 1, len(data)), np.uint64)
+    for i in range(data.shape[1]):
+        out[i + 1] = out[i] * np.uint64(_BASE) + data[:, i] + np.uint64(1)
+    return out
+
+
 class Lattice:
     """log10 probabilities of words, from pieces' counts. A byte and a one-byte piece are two ways to write the same."""
 
@@ -136,8 +146,11 @@ class Lattice:
         total = mass.sum() + ends + 1
         self.end = math.log10((ends + 1) / total)
         self.logp: dict[bytes, float | None] = {}
-        #: For each piece its numbers in the vocabulary with their shares, and its scaled probability.
-        self.parts: dict[bytes, tuple[list[tuple[int, float]], float] | None] = {}
+        #: For each piece its place in the expected counts and its probability; for each place the piece's numbers in
+        #: the vocabulary and their shares.
+        self.parts: dict[bytes, tuple[int, float] | None] = {}
+        self.shares: list[list[tuple[int, float]]] = []
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
         same: dict[bytes, list[int]] = {}
         for i, (piece, m) in enumerate(zip(pieces.bytes_of, mass, strict=True)):
             if piece and m > 0:
@@ -145,40 +158,104 @@ class Lattice:
         for piece, own in same.items():
             m = sum(mass[i] for i in own)
             self.logp[piece] = math.log(m / total)
-            self.parts[piece] = [(i, mass[i] / m) for i in own], m / total * SCALE ** len(piece)
+            self.parts[piece] = len(self.shares), m / total
+            self.shares.append([(i, mass[i] / m) for i in own])
         for piece in list(same):
             for j in range(1, len(piece)):  # the start of a piece
                 self.logp.setdefault(piece[:j], None)
                 self.parts.setdefault(piece[:j], None)
 
-    def expect(self, word: bytes, n: float, into: np.ndarray) -> None:
-        """Adds the expected counts of pieces in n occurrences of a word, over all its segmentations.
+    def expect(self, word: bytes, n: float, into) -> None:
+        """Adds the expected counts of pieces in n occurrences of a word, over all its segmentations, by place."""
+        data = SPACE + word
+        size, get, log, exp = len(data), self.parts.get, math.log, math.exp
+        forward, edges = [0.0] + [-math.inf] * size, []
+        plus = lambda a, b: b if a == -math.inf else max(a, b) + log(1.0 + exp(-abs(a - b)))
+        for i in range(size):
+            for j in range(i + 1, size + 1):
+                own = get(data[i:j], 0)
+                if own:
+                    k, q = own[0], log(own[1])
+                    forward[j] = plus(forward[j], forward[i] + q)
+                    edges.append((i, j, k, q))
+                elif own == 0:  # no piece starts like this
+                    break
+        backward = [-math.inf] * size + [log(n) - forward[size]]
+        for i, j, k, q in reversed(edges):  # all edges from j on come before those to j
+            backward[i] = plus(backward[i], q + backward[j])
+            into[k] += exp(forward[i] + q + backward[j])
+
+    def expect_all(self, words: list[bytes], n: list[int], into: np.ndarray) -> None:
+        """The same for many words: those of one length together, their pieces found by hashes of all stretches.
 
-        All segmentations have as many bytes, so a factor a byte changes no share and keeps sums in range; a long word is
-        taken in stretches of LONGEST bytes.
+        Sums are taken as they are, with SCALE for each byte, which changes no share. Words whose sums leave the range of
+        doubles, and long ones, are taken by themselves, in logarithms.
         """
-        data = SPACE + word
-        for at in range(0, len(data), LONGEST):
-            part = data[at : at + LONGEST]
-            size, get = len(part), self.parts.get
-            forward, edges = [1.0] + [0.0] * size, []
-            for i in range(size):
-                here = forward[i]
-                for j in range(i + 1, size + 1):
-                    own = get(part[i:j], 0)
-                    if own is None:
-                        continue
-                    if own == 0:  # no piece starts like this
-                        break
-                    forward[j] += here * own[1]
-                    edges.append((i, j, own))
-            backward = [0.0] * size + [n / forward[size]]
-            for i, j, own in reversed(edges):  # all edges from j on come before those to j
-                share = own[1] * backward[j]
-                backward[i] += share
-                share *= forward[i]
-                for k, part_of in own[0]:
-                    into[k] += share * part_of
+        if self.tables is None:
+            by: dict[int, list[tuple[int, int, float]]] = {}
+            for piece, own in self.parts.items():
+                if own:
+                    by.setdefault(len(piece), []).append((int(_upto(np.frombuffer(piece, np.uint8)[None])[-1, 0]), *own))
+            self.tables = {}
+            for size, rows in by.items():
+                rows.sort()
+                h, k, q = zip(*rows, strict=True)
+                known = np.array(h, np.uint64)
+                maybe = np.zeros(1 << 16, bool)
+                maybe[known >> np.uint64(48)] = True
+                self.tables[size] = known, maybe, np.array(k, np.int64), np.array(q) * SCALE**size
+        sizes = np.array([len(w) for w in words], np.int64) + len(SPACE)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            if size > LONGEST:
+                for i in own:
+                    self.expect(words[i], n[i], into)
+                continue
+            step = max(1, CELLS // (size * min(size, max(self.tables))))
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                data = np.frombuffer(b"".join(SPACE + words[i] for i in part), np.uint8).reshape(-1, size)
+                for i in part[self._expect_group(data, np.array([n[i] for i in part], np.float64), into)]:
+                    self.expect(words[i], n[i], into)
+
+    def _expect_group(self, data: np.ndarray, n: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Adds what rows of bytes are expected to hold; gives the rows that are out of range, of which nothing was added."""
+        rows, size = data.shape
+        upto = _upto(data)
+        edges: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []  # start, end, which rows, places, probabilities
+        for length, (known, maybe, places, q) in self.tables.items():
+            power = np.uint64(pow(_BASE, length, 1 << 64))
+            for i in range(size - length + 1):
+                h = upto[i + length] - upto[i] * power
+                hit = np.flatnonzero(maybe[h >> np.uint64(48)])
+                at = np.minimum(np.searchsorted(known, h[hit]), len(known) - 1)
+                same = known[at] == h[hit]
+                if same.any():
+                    hit, at = hit[same], at[same]
+                    edges.append((i, i + length, hit, places[at], q[at]))
+        forward, backward = np.zeros((size + 1, rows)), np.zeros((size + 1, rows))
+        forward[0] = 1.0
+        edges.sort(key=lambda e: e[0])
+        for i, j, hit, _, q in edges:
+            forward[j, hit] += forward[i, hit] * q
+        fits = (forward[size] > 1e-250) & (forward[size] < 1e250)
+        backward[size, fits] = n[fits] / forward[size, fits]
+        shares = []
+        for i, j, hit, _, q in reversed(edges):  # all edges from j on come before those to j
+            share = q * backward[j, hit]
+            backward[i, hit] += share
+            shares.append(share * forward[i, hit])
+        if edges:
+            into += np.bincount(np.concatenate([e[3] for e in reversed(edges)]), np.concatenate(shares), len(into))
+        return np.flatnonzero(~fits)
+
+    def counts(self, into, size: int) -> np.ndarray:
+        """Expected counts by the vocabulary's numbers."""
+        out = np.zeros(size)
+        for own, n in zip(self.shares, into, strict=True):
+            for i, share in own:
+                out[i] += n * share
+        return out
 
     def score(self, word: bytes) -> float:
         """log10 of the sum over all segmentations of the word, after a space."""
@@ -261,11 +338,17 @@ def _expected(path: str, counts: np.ndarray, ends: int):
     """Each task's expected counts of pieces, in UNIT parts."""
 
     def run(batches):
-        lattice, into = _lattice(path, counts, ends), [0.0] * len(counts)
+        lattice = _lattice(path, counts, ends)
+        into = np.zeros(len(lattice.shares))
+        words, n = [], []
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word, n, into)
-        total = np.rint(np.array(into) * UNIT).astype(np.int64)
+            words += batch.column(0).to_pylist()
+            n += batch.column(1).to_pylist()
+            if len(words) >= TOGETHER:
+                lattice.expect_all(words, n, into)
+                words, n = [], []
+        lattice.expect_all(words, n, into)
+        total = np.rint(lattice.counts(into, len(counts)) * UNIT).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 

@@ -439,10 +439,11 @@ def slow_scores(rows):
     counts = np.zeros(len(p.bytes_of))
     p.count(list(c), list(c.values()), counts)
     for _ in range(lattice.ROUNDS if c else 0):
-        model, into = lattice.Lattice(p, counts, len(learned)), [0.0] * len(counts)
+        model = lattice.Lattice(p, counts, len(learned))
+        into = [0.0] * len(model.shares)
         for w, k in c.items():
             model.expect(w, k, into)
-        counts = np.array(into)
+        counts = model.counts(into, len(counts))
     model = lattice.Lattice(p, counts, len(learned))
     scored, end = functools.cache(model.score), model.end
     log = lambda k: math.log10((k + 1) / (n + v + 1))
@@ -508,16 +509,28 @@ def test_expected_counts_are_those_of_all_segmentations(monkeypatch):
             total += weight
             for piece in pieces:
                 want[piece] += weight
-        into = [0.0] * len(p.bytes_of)
+        into = [0.0] * len(m.shares)
         m.expect(w, 3, into)
         got = Counter()
-        for i, x in enumerate(into):
+        for i, x in enumerate(m.counts(into, len(p.bytes_of)).tolist()):
             if x:
                 got[p.bytes_of[i]] += x
         assert set(got) == set(want) and all(math.isclose(got[k], 3 * want[k] / total, rel_tol=1e-9) for k in want)
-    into = [0.0] * len(p.bytes_of)
-    m.expect(b"x" * 5_000, 2, into)  # in stretches, within the range of doubles
-    assert math.isclose(sum(x * len(p.bytes_of[i]) for i, x in enumerate(into) if x), 2 * 5_003, rel_tol=1e-9)
+    into = [0.0] * len(m.shares)
+    m.expect(b"x" * 5_000, 2, into)
+    assert math.isclose(sum(x * len(p.bytes_of[i]) for i, x in enumerate(m.counts(into, len(p.bytes_of))) if x), 2 * 5_003, rel_tol=1e-9)
+
+
+def test_expected_counts_of_many_words_are_those_of_each():
+    p = lattice.pieces_of(public_tokenizers.path(lattice.VOCABULARY))
+    m = lattice.Lattice(p, np.zeros(len(p.bytes_of)), 1)
+    own = sorted({w for t in texts().values() for w in words(t)} | {b"", b"x" * 3_000, "\u00e9\u65e5".encode(), bytes(range(128, 256))})
+    n = [i % 5 + 1 for i in range(len(own))]
+    each, many = [0.0] * len(m.shares), np.zeros(len(m.shares))
+    for w, k in zip(own, n, strict=True):
+        m.expect(w, k, each)
+    m.expect_all(own, n, many)
+    assert np.allclose(each, many, rtol=1e-9, atol=1e-12)
 
 
 def test_words_that_only_held_out_texts_hold_are_sent_everywhere_too(spark, monkeypatch):
