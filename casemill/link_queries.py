@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -301,6 +302,45 @@ def l13_rates(spark, sf_dir):
     return triage.rate_by_area(features(spark, sf_dir, False), detection)
 
 
+def stated(spark):
+    """Two models that SQL can state: of one tree each, on the loss and on the number of linked persons."""
+    def one(number, cut_at, low, high, loss, base):
+        tree = boosting.Tree(np.array([1, -1, -1]), np.array([[b < 2 for b in range(boosting.BINS)]] * 3), np.array([1, 1, 2]), np.array([2, 1, 2]), np.array([0.0, low, high]))
+        codes = spark.createDataFrame([], "feature string, value string, bin int")
+        return boosting.Boosted([], [number], {number: [cut_at]}, codes, loss, base, [tree])
+
+    order = spark.createDataFrame([("property_loss",), ("n_linked",), ("crime_type",)], "feature string")
+    detection = triage.Bundle(one("property_loss", 100_000.0, -1.0, 0.5, "log", 0.25), importance=order)
+    return detection, triage.Bundle(one("n_linked", 3.0, -50.0, 25.5, "squared", 300.0), metrics={"median": 300.0})
+
+
+STATED_SQL = f"""{TRIAGE_SQL}, o AS (SELECT CAST(case_id AS VARCHAR) AS case_id, area, category, money, coalesce(n, 0) AS k FROM tc LEFT JOIN lk ON l_orderkey = case_id WHERE state = 'open'), m AS (SELECT avg(money) AS a, avg(k) AS b FROM o),
+sc AS (SELECT case_id, area, 1 / (1 + exp(-CASE WHEN money > 100000 THEN 0.75 ELSE -0.75 END)) AS p, 300 + CASE WHEN k > 3 THEN 25.5 ELSE -50 END AS days,
+  ['property_loss ' || CASE WHEN money > a + abs(a) * 0.15 THEN 'above' WHEN money < a - abs(a) * 0.15 THEN 'below' ELSE 'near' END || ' average',
+  'n_linked ' || CASE WHEN k > b + abs(b) * 0.15 THEN 'above' WHEN k < b - abs(b) * 0.15 THEN 'below' ELSE 'near' END || ' average', 'crime_type: ' || category] AS factors FROM o, m),
+pr AS (SELECT case_id, area, round(p, 4)::DOUBLE AS probability, round(days, 1)::DOUBLE AS days, days > 300 AS stall, factors FROM sc ORDER BY probability, case_id LIMIT 25)"""
+
+
+@register(f"WITH {STATED_SQL} SELECT * FROM pr")
+def l11_stated(spark, sf_dir):
+    """Open cases by two stated models, the least likely to be detected first."""
+    return triage.score_open(features(spark, sf_dir, False), *stated(spark))
+
+
+@register(f"WITH {STATED_SQL} SELECT area, round(avg(p), 4)::DOUBLE AS rate, count(*) AS n FROM sc GROUP BY area")
+def l13_stated(spark, sf_dir):
+    """areas' rates by a stated model."""
+    return triage.rate_by_area(features(spark, sf_dir, False), stated(spark)[0])
+
+
+@register(f"""WITH {STATED_SQL}, n AS (SELECT count(*) AS n, avg(1 - probability) AS risk, count(*) FILTER (stall) AS stall FROM pr)
+SELECT 'predicted_undetected' AS type, round_even(least(95, 35 + n * 1.5 + risk * 40), 0)::INT AS severity FROM n WHERE n > 0
+UNION ALL SELECT 'predicted_stall', round_even(least(90, 40 + 5 * stall), 0)::INT FROM n WHERE stall > 0""")
+def f11_stated(spark, sf_dir):
+    """findings on the predictions of two stated models."""
+    return findings.from_triage(triage.score_open(features(spark, sf_dir, False), *stated(spark))).select("type", "severity")
+
+
 def predictions(spark, sf_dir):
     """Open cases with their predictions; without a model there are none. The factors are of no use here, so no importances."""
     detection, duration = bundles(spark, sf_dir, repeats=0)

@@ -104,7 +104,9 @@ def p8_primary_table(spark, sf_dir):
     return profile.primary_table(profile.profile(keyed(spark, sf_dir)))
 
 
-@register()
+@register(f"""WITH {CASES_SQL} SELECT * FROM (VALUES ('kpi', 'total_records', 'count', CAST(NULL AS VARCHAR)), ('kpi', 'active_areas', 'distinct', 'district'), ('timeseries', 'trend', 'count', 'ts'),
+('bar', 'by_category', 'count', 'category'), ('bar', 'by_area', 'count', 'district')) v(kind, id, aggregate, "column")
+UNION ALL SELECT 'map_heat', 'map', 'count', NULL FROM cases HAVING min(lat) >= -90 AND max(lat) <= 90 AND min(lng) >= -180 AND max(lng) <= 180""")
 def p9_suggestions(spark, sf_dir):
     """Key figures and charts from roles."""
     renamed = cases(spark, sf_dir).withColumnRenamed("area", "district")
