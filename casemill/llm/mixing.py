@@ -6,8 +6,8 @@ a rerun gives the same copies. The copies are dealt out and sorted by another ha
 Only DataFrame functions are used.
 
 Odd input: a null source is a source of its own; a null text counts as empty; a null id is replaced by the md5 of the
-text; repeated rows are repeated equally; an empty table gives an empty result; further columns are kept (one named
-as ``copy_col`` is replaced).
+text; repeated rows are repeated equally; a very long text is moved like any other and never taken apart; an empty table
+gives an empty result; further columns are kept (one named as ``copy_col`` is replaced).
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ Probabilities are then put back to the shares of all training labels (Bayes: the
 factor, the grades among toxic texts don't). Lexicon and scores cover everything.
 
 Odd input: a null text is empty; a null id has no label and belongs to fold crc32(''); null labels are left out, the
-largest label of an id counts; without toxic training labels every severity is 0. Repeated rows give repeated rows; an
-empty table gives an empty result; other columns are not read.
+largest label of an id counts; without toxic training labels every severity is 0. Entries of equal z-scores are in
+alphabetical order, which changes no score; a weight equal to a cut has the lower grade. A very long text's words are held
+once, as counts of the entries it has. Repeated rows give repeated rows; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

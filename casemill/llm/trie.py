@@ -11,8 +11,9 @@ forgotten, and node pairs of one class are left out: only a spanning forest of t
 
 Odd input: a null text is empty and has fingerprint zero; fingerprint zero is linked like any other. A null id is never
 a class's smallest id, unless all are null. Repeated rows give repeated rows (one_of_each: one row; of rows that share id
-and fingerprint, the one whose columns have the smallest hash). An empty table gives an empty result. Other columns are
-not read (one_of_each keeps them, whatever their names).
+and fingerprint, the one whose columns have the smallest hash). A very long text's shingles are hashed some thousands at a
+time; its words are held once. An empty table gives an empty result. Other columns are not read (one_of_each keeps them,
+whatever their names).
 """
 
 from __future__ import annotations
