@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from casemill.plans.lineage import small_or_not, stored
 
 #: Gains of a cycle below this end a level; communities whose weights are broadcast.
-LEAST_GAIN, MOST_SENT = 1e-6, 200_000
+LEAST_GAIN, MOST_SENT = 1e-5, 200_000
 
 
 def weighted(edges: DataFrame, weight: str | None = None) -> DataFrame:
