@@ -219,7 +219,7 @@ def _unit(df: DataFrame, loss: str) -> float:
     return UNIT / 2 ** math.ceil(math.log2(most))
 
 
-def fit(df: DataFrame, label: str, categories: list[str], numbers: list[str], loss: str = "log", trees: int = 16, depth: int = 3, rate: float | None = None) -> Boosted:
+def fit(df: DataFrame, label: str, categories: list[str], numbers: list[str], loss: str = "log", trees: int = 20, depth: int = 3, rate: float | None = None) -> Boosted:
     """A boosted model of ``label`` (0 or 1 with loss "log", a number with "squared"); rows without a label are left out.
 
     Without a rate, fewer trees take larger steps: at most LEFT of a signal that a tree can express is left after all.

@@ -19,7 +19,7 @@ from casemill.plans.lineage import cut, small_or_not, stored
 
 CATEGORIES, NUMBERS = ("crime_type", "gravity", "area"), ("hour", "dow", "report_delay_h", "property_loss", "n_linked")
 ALLOWED_ROLES = ("category", "subcategory", "status", "admin_area_1", "timestamp", "date", "money", "measure")
-LEAST_ROWS, SEED, TREES = 200, 42, 16
+LEAST_ROWS, SEED, TREES = 200, 42, 20
 RESOLUTION = r"(?i)csdate|chargesheet|disposal|closed"
 
 
