@@ -225,7 +225,7 @@ def test_the_row_that_stays_of_equal_ids_and_texts_repeats(spark):
 
 def test_hundreds_of_blocks_are_one_table(spark):
     r = random.Random(12)
-    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(90)]
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(4)]) for i in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
     one = sorted(map(tuple, vectors.top_k(df, df, 3).collect()))
     out = vectors.top_k(df, df, 3, block=1)
