@@ -117,6 +117,16 @@ def test_anomalies_find_planted_outliers(spark):
     assert signals.anomalies(df, RoleMap({"id": "id"}), "id").unavailable
 
 
+def test_few_odd_rows_among_very_many_come_first(spark):
+    """Hardly a sample of a tree holds one of them."""
+    k = F.col("id")
+    df = spark.range(120_000).select(k.cast("string").alias("id"), (100 + k % 997).cast("double").alias("loss"), (k % 61).cast("double").alias("age"), (k % 5).cast("string").alias("cat"))
+    odd = spark.createDataFrame([(f"odd{i}", 1e9, float(i), "odd") for i in range(4)], df.schema)
+    roles = RoleMap({"id": "id", "loss": "money", "age": "age", "cat": "category"})
+    out = signals.anomalies(df.union(odd), roles, "id", limit=4).collect()
+    assert {r.key for r in out} == {f"odd{i}" for i in range(4)} and all(r.flagged for r in out)
+
+
 def period_rows(spark):
     rows = []
     for d in range(60):
