@@ -99,7 +99,8 @@ def build_value_map(df: DataFrame, column: str, canonical: list[str], threshold:
 
     c = F.col(column).cast("string")
     keys = df.filter(c.isNotNull() & (F.trim(c) != "")).select(squeeze_lower(c).alias("value_key")).distinct()
-    return keys.withColumn("b", best("value_key")).filter(F.col("b.ratio") >= threshold).select("value_key", "b.canonical")
+    # not deterministic to the optimizer, which would else push the filter, and the comparisons with it, below distinct
+    return keys.withColumn("b", best.asNondeterministic()("value_key")).filter(F.col("b.ratio") >= threshold).select("value_key", "b.canonical")
 
 
 def standardize_values(df: DataFrame, column: str, key: str, mapping: DataFrame | None = None) -> Cleaned:

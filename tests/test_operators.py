@@ -832,3 +832,9 @@ def test_the_sentinel_takes_on_cases_from_before_its_index(spark, tmp_path):
     sentinel.process(rows([3, 4]), 8, stored, alerts, roles)
     assert sorted((r.id, r.batch) for r in spark.read.parquet(stored).collect()) == [(1, 0), (2, 0), (3, 7), (4, 8)]
     assert sorted((r.id, r.batch) for r in spark.read.parquet(f"{stored}_ids").select("id", "batch").distinct().collect()) == [(1, 0), (2, 0), (3, 7), (4, 8)]
+
+
+def test_values_are_compared_after_they_are_distinct(spark):
+    df = spark.range(100).select((F.col("id") % 3).cast("string").alias("v"))
+    plan = cleaning.build_value_map(df, "v", ["1", "2"], 70.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and plan.index("EvalPython") < plan.index("Aggregate")
