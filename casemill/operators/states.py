@@ -62,6 +62,29 @@ def stats_of(state: DataFrame) -> DataFrame:
     return state.select("table", "column", "position", "dtype", "row_count", nulls.alias("null_fraction"), F.hll_sketch_estimate("distinct").alias("distinct"), "lo", "hi", mean, *at)
 
 
+def between_percentiles(df: DataFrame, values: dict[str, float | None], low: float, high: float) -> DataFrame:
+    """column, between: whether each column's value lies between two of its exact percentiles (interpolated; nulls left out).
+
+    Ranks are counted instead of values kept: how many lie below and up to the value, and the neighbours on either side.
+    """
+    aggs, rows = [], []
+    for i, (c, value) in enumerate(values.items()):
+        v, q = F.col(f"`{c}`").cast("double"), F.lit(value).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v < q).alias(f"less{i}"), F.count_if(v <= q).alias(f"upto{i}"), F.max(F.when(v <= q, v)).alias(f"lo{i}"), F.min(F.when(v > q, v)).alias(f"hi{i}")]
+        less, upto = F.col(f"less{i}"), F.col(f"upto{i}")
+
+        def at(p, i=i):
+            pos = p * (F.col(f"n{i}") - 1)
+            a, b = F.floor(pos), F.ceil(pos)
+            return a, b, (b - pos) * F.col(f"lo{i}") + (pos - a) * F.col(f"hi{i}")  # between the neighbours
+
+        (a, b, mixed), (a2, b2, mixed2) = at(low), at(high)
+        over = F.when(b < upto, True).when(a >= upto, False).otherwise(q >= mixed)
+        under = F.when(a2 >= less, True).when(b2 < upto, False).otherwise(q <= mixed2)
+        rows.append(F.struct(F.lit(c).alias("column"), F.when(q.isNotNull() & (F.col(f"n{i}") > 0), over & under).alias("between")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def open_index(spark: SparkSession, path: str, id_type: str, buckets: int = BUCKETS) -> tuple[str, bool]:
     """An index of ids in a folder as a table of the catalogue, and whether it is new. It outlives the session with the folder."""
     name = f"ids_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
@@ -74,8 +97,8 @@ def open_index(spark: SparkSession, path: str, id_type: str, buckets: int = BUCK
 def store_ids(df: DataFrame, id_col: str, index: str, buckets: int = BUCKETS, batch: Column | int = 0) -> None:
     """Adds a table's ids to the index (a table of the catalogue): in hash buckets, sorted, with a Bloom filter for each part."""
     batch = F.lit(batch) if isinstance(batch, int) else batch
-    ids = df.select(F.col(id_col).alias("id"), batch.cast("long").alias("batch")).filter("id IS NOT NULL").distinct()
-    writer = ids.repartition(buckets, "id").write.mode("append").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    ids = df.select(F.col(id_col).alias("id"), batch.cast("long").alias("batch")).filter("id IS NOT NULL")
+    writer = ids.repartition(buckets, "id").distinct().write.mode("append").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     writer.bucketBy(buckets, "id").sortBy("id").saveAsTable(index)
 
 

@@ -152,12 +152,14 @@ def m5_state(spark, sf_dir):
     states.store_ids(first, "o_orderkey", index)
     out = merge.append_to_state(incoming, first, states.profile_state(first, "orders"), index, "o_orderkey", RoleMap({"o_orderkey": "id"}), "orders")
     stats = states.stats_of(out.state)
-    truth = o.agg(*[F.array(F.countDistinct(c).cast("double"), F.percentile(c, 0.48), F.percentile(c, 0.52)).alias(c) for c in o.columns])
-    long = truth.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c)[0].alias("d"), F.col(c)[1].alias("a"), F.col(c)[2].alias("b")) for c in o.columns])))
-    met = stats.join(F.broadcast(long), stats["column"] == F.col("c"))  # three rows
-    near, middle = F.abs(F.col("distinct") - F.col("d")) <= 0.02 * F.col("d"), F.col("q50").between(F.col("a"), F.col("b"))
+    halves = {r["column"]: r["q50"] for r in stats.select("column", "q50").collect()}  # three numbers
+    middle = states.between_percentiles(o, halves, 0.48, 0.52)
+    truth = o.agg(*[F.countDistinct(c).alias(c) for c in o.columns])
+    long = truth.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("d")) for c in o.columns])))
+    met = stats.join(F.broadcast(long), stats["column"] == F.col("c")).join(F.broadcast(middle), "column")  # three rows
+    near = F.abs(F.col("distinct") - F.col("d")) <= 0.02 * F.col("d")
     spark.sql(f"DROP TABLE {index}")
-    return met.select("column", "row_count", "null_fraction", "lo", "hi", F.round("mean", 2).alias("mean"), near.alias("near"), middle.alias("middle"))
+    return met.select("column", "row_count", "null_fraction", "lo", "hi", F.round("mean", 2).alias("mean"), near.alias("near"), F.col("between").alias("middle"))
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")

@@ -838,3 +838,15 @@ def test_values_are_compared_after_they_are_distinct(spark):
     df = spark.range(100).select((F.col("id") % 3).cast("string").alias("v"))
     plan = cleaning.build_value_map(df, "v", ["1", "2"], 70.0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("EvalPython") == 1 and plan.index("EvalPython") < plan.index("Aggregate")
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.0, 2.0, 3.0, None], [5.0], [float(i * i) for i in range(40)], [1.0, 9.0]])
+def test_a_value_between_exact_percentiles(spark, values):
+    from casemill.operators import states
+
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    ends = df.agg(F.percentile("v", 0.48).alias("a"), F.percentile("v", 0.52).alias("b")).first()
+    known = sorted(v for v in values if v is not None)
+    for q in {*known, *(v + 0.5 for v in known), *ends, ends.a - 0.01, ends.b + 0.01, known[0] - 1}:
+        got = states.between_percentiles(df, {"v": q}, 0.48, 0.52).first()
+        assert got.between == (ends.a <= q <= ends.b), (q, ends)
