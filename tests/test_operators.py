@@ -850,3 +850,16 @@ def test_a_value_between_exact_percentiles(spark, values):
     for q in {*known, *(v + 0.5 for v in known), *ends, ends.a - 0.01, ends.b + 0.01, known[0] - 1}:
         got = states.between_percentiles(df, {"v": q}, 0.48, 0.52).first()
         assert got.between == (ends.a <= q <= ends.b), (q, ends)
+
+
+def test_rows_of_equal_bins_are_one_row(spark, monkeypatch):
+    from casemill.operators import boosting
+
+    seen, own = [], boosting.sums_of
+    monkeypatch.setattr(boosting, "sums_of", lambda rows, *a: seen.append(rows.count()) or own(rows, *a))
+    k = F.col("id")
+    df = spark.range(6_000).select((k % 4).cast("string").alias("kind"), (k % 7).cast("double").alias("x"), ((k % 4 == 1) | (k % 11 == 0)).cast("double").alias("label"))
+    model = boosting.fit(df, "label", ["kind"], ["x"], trees=2)
+    assert set(seen) == {28}
+    right = model.transform(df).agg(F.avg(((F.col("probability") > 0.5) == (F.col("kind") == "1")).cast("int"))).first()[0]
+    assert right > 0.99
