@@ -6,8 +6,8 @@ once may get into each other's way, the modularity is taken each round: a round
 on fewer nodes move at once. When a cycle gains too little, communities become the nodes of a smaller weighted graph and
 the same is done to that. Ties go to the node's own community, then to the smaller name, so results repeat.
 
-A round shuffles the edges once and the nodes twice; the driver sees scalars only. Communities are summed before they are
-shuffled, and meet their members in a join that is split by skew.
+A round shuffles the edges once and the nodes twice; the driver sees scalars only, as no table of more than FEW_NODES
+nodes is broadcast. Communities are summed before they are shuffled, and meet their members in a join that is split by skew.
 """
 
 from __future__ import annotations
@@ -15,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.plans.lineage import small_or_not, stored
+from casemill.plans.lineage import stored
 
-#: Gains of a cycle below this end a level; communities whose weights are broadcast.
-LEAST_GAIN, MOST_SENT = 1e-5, 200_000
+#: Gains of a cycle below this end a level; nodes of a graph in whose joins Spark may broadcast what is small.
+LEAST_GAIN, FEW_NODES = 1e-5, 5_000
+
+
+def _met(left: DataFrame, right: DataFrame, on: str, few: bool, how: str = "inner") -> DataFrame:
+    """A shuffled join unless the graph has few nodes: what is broadcast goes through the driver, in each round anew."""
+    return left.join(right if few else right.hint("merge"), on, how)
 
 
 def weighted(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -39,17 +44,17 @@ def modularity(edges: DataFrame, labels: DataFrame, column: str = "community", r
     return each.agg((F.sum("within") / total - resolution * F.sum(F.col("tot") * F.col("tot")) / (total * total)).alias("modularity"), F.count("*").alias("communities"))
 
 
-def _level(pairs: DataFrame, own: DataFrame, m2: float, resolution: float, start: float | None, rounds: int) -> tuple[DataFrame, float]:
+def _level(pairs: DataFrame, own: DataFrame, m2: float, resolution: float, rounds: int, few: bool) -> tuple[DataFrame, float]:
     """(id, c) after local moves, and the modularity. pairs: a, b, w; own: id, k (weight of all ends), inner (of ends within)."""
     state = own.select("id", "k", "inner", F.col("id").alias("c"))
     best, score, parts, quiet, seed = None, None, 2, 0, 0
     for turn in range(rounds):
         ends = state.select(F.col("id").alias("b"), "c")
-        near = pairs.join(ends, "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
+        near = _met(pairs, ends, "b", few).groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
         here = state.select("id", "k", "inner", F.col("c").alias("now"))
         # each node's weights to the communities around it, its own among them (which may be 0)
         around = near.unionByName(state.select("id", "c", F.lit(0.0).alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
-        around = stored(around.join(here, "id"))
+        around = stored(_met(around, here, "id", few))
         tot = stored(state.groupBy("c").agg(F.sum("k").alias("tot")))
         squares = tot.agg(F.sum(F.col("tot") * F.col("tot"))).first()[0]
         within = around.filter("c = now").agg(F.sum(F.col("w") + F.col("inner"))).first()[0]
@@ -64,12 +69,12 @@ def _level(pairs: DataFrame, own: DataFrame, m2: float, resolution: float, start
         if quiet >= 2 * parts or parts > 64 or turn + 1 == rounds:
             break
         seed += turn % parts == 0
-        mine = around.join(small_or_not(tot, MOST_SENT), "c")
+        mine = _met(around, tot, "c", few)
         stays = F.col("c") == F.col("now")
         gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
         to = mine.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "c")).alias("m")).select("id", F.col("m.c").alias("to"), "m.moves")
         turns = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(parts)) == turn % parts
-        state = stored(state.drop("moves").join(to, "id").select("id", "k", "inner", F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c"), "moves"))
+        state = stored(_met(state.drop("moves"), to, "id", few).select("id", "k", "inner", F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c"), "moves"))
         if state.filter("moves").isEmpty():
             break
     return best[2].select("id", "c"), score
@@ -87,19 +92,20 @@ def communities(edges: DataFrame, resolution: float = 1.0, weight: str | None =
     if not m2:
         return labels
     for _ in range(levels):
-        moved, now = _level(pairs, own, m2, resolution, score, rounds)
+        few = own.count() <= FEW_NODES
+        moved, now = _level(pairs, own, m2, resolution, rounds, few)
         names = moved.groupBy("c").agg(F.min("id").alias("name"))
-        moved = stored(moved.join(names, "c").select("id", "name"))
+        moved = stored(_met(moved, names, "c", few).select("id", "name"))
         if score is not None and now - score < LEAST_GAIN:
             break
         score = now
-        labels = stored(labels.join(moved.withColumnRenamed("id", "community"), "community").select("id", F.col("name").alias("community")))
+        labels = stored(_met(labels, moved.withColumnRenamed("id", "community"), "community", False).select("id", F.col("name").alias("community")))
         to = lambda at, name: moved.select(F.col("id").alias(at), F.col("name").alias(name))
-        joined = pairs.join(to("a", "x"), "a").join(to("b", "y"), "b").groupBy("x", "y").agg(F.sum("w").alias("w"))
+        joined = _met(_met(pairs, to("a", "x"), "a", few), to("b", "y"), "b", few).groupBy("x", "y").agg(F.sum("w").alias("w"))
         joined = stored(joined)
         inner = joined.filter("x = y").select(F.col("x").alias("id"), F.col("w").alias("more"))
-        own = own.join(moved, "id").groupBy(F.col("name").alias("id")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
-        own = stored(own.join(inner, "id", "left").select("id", "k", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")))
+        own = _met(own, moved, "id", few).groupBy(F.col("name").alias("id")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
+        own = stored(_met(own, inner, "id", few, "left").select("id", "k", (F.col("inner") + F.coalesce("more", F.lit(0.0))).alias("inner")))
         pairs = joined.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"), "w")
         if pairs.isEmpty():
             break

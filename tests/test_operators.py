@@ -863,3 +863,14 @@ def test_rows_of_equal_bins_are_one_row(spark, monkeypatch):
     assert set(seen) == {28}
     right = model.transform(df).agg(F.avg(((F.col("probability") > 0.5) == (F.col("kind") == "1")).cast("int"))).first()[0]
     assert right > 0.99
+
+
+def test_communities_broadcast_no_table_that_grows(spark, monkeypatch):
+    from casemill.operators import communities
+
+    monkeypatch.setattr(communities, "FEW_NODES", 3)
+    left, right = spark.range(50).selectExpr("string(id) AS id", "1 AS a"), spark.range(50).selectExpr("string(id) AS id", "2 AS b")
+    plan = communities._met(left, right, "id", False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    edges = spark.createDataFrame([(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")], "src string, dst string")
+    assert {(r.id, r.community) for r in communities.communities(edges).collect()} == {(f"{g}{i}", f"{g}0") for g in "ab" for i in range(4)}
