@@ -6,10 +6,17 @@ character of the first says where they are equal; sums with carries over the wor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from math import floor
+
 import numpy as np
 
 #: Pairs that are taken at once, times characters.
 CELLS = 2_000_000
+#: Insertions and deletions up to which two texts are found by two whole segments in common; beyond, by one.
+TWO_SEGMENTS = 16
+ODD = 0x9E3779B97F4A7C15
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
@@ -65,6 +72,75 @@ def ratios(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(total == 0, 100.0, 200.0 * common(a, b) / np.maximum(total, 1))
 
 
+def _least(broken: int, moved: int) -> int:
+    """The least insertions and deletions that break so many segments and move what follows so far."""
+    n = max(broken, abs(moved))
+    return n + (n - moved) % 2
+
+
+@lru_cache(maxsize=65_536)
+def whole_segments(s: int, r: int, t: float) -> tuple[int, tuple[tuple[int, int, int, int], ...]]:
+    """How many segments a text of length s is cut into, and (i, j, p, q): its segments i and j stand whole, moved by p and q, in one of length r >= s.
+
+    Any two texts of these lengths whose ratio reaches t agree in one of these ways at least. With d insertions and
+    deletions allowed (as many as t allows, as odd or even as r - s), the text is cut into parts of up to 3 of them each,
+    such that one part holds no more than its own. A part for b has b + 2 segments, of which two stand whole then; i and j
+    are the first two, so segments before and between them are broken. The parts before a part hold more than their own.
+    With very many insertions and deletions a part is for none and one segment, i = j.
+    """
+    d = floor((s + r) * (1 - t) + 1e-9)
+    d -= (d - (r - s)) % 2
+    whole = 2 if d <= TWO_SEGMENTS else 1
+    parts = -(-(d + 1) // 3) if whole == 2 else d + 1
+    ways, first, before = set(), 0, 0
+    for n in range(parts):
+        own = (d + 1) // parts + (n < (d + 1) % parts) - 1
+        for i in range(own + 1):
+            for j in range(i + 1, own + 2) if whole == 2 else [i]:
+                for z in range(-d, d + 1):
+                    for p in range(z - own, z + own + 1):
+                        for q in range(p - own, p + own + 1):
+                            inside = _least(i, p - z) + _least(max(j - i - 1, 0), q - p)
+                            if inside <= own and _least(before, z) + inside + abs(r - s - q) <= d:
+                                ways.add((first + i, first + j, p, q))
+        first, before = first + own + whole, before + own + 1
+    return first, tuple(sorted(ways))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(ODD)
+    return h ^ (h >> np.uint64(29))
+
+
+def segment_keys(texts: list[str], salts: np.ndarray, lengths: list[int], t: float, longer: bool) -> Iterator[np.ndarray]:
+    """64-bit keys, a row a text of one length; two texts of equal salts whose ratio reaches t have a key in common.
+
+    Keys of texts as the longer ones meet keys of texts as the shorter ones; lengths are those the other texts have.
+    """
+    n = len(texts[0])
+    codes = _codes(texts, n).astype(np.uint64)
+
+    @lru_cache(maxsize=1_024)
+    def piece(at: int, size: int) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        for c in range(at, at + size):
+            h = _mixed(h ^ codes[:, c])
+        return h
+
+    for m in lengths:
+        s, r = (m, n) if longer else (n, m)
+        if s > r or floor((s + r) * (1 - t) + 1e-9) < r - s:
+            continue
+        parts, ways = whole_segments(s, r, t)
+        start = [i * s // parts for i in range(parts + 1)]
+        for i, j, p, q in ways if longer else sorted({(i, j, 0, 0) for i, j, _, _ in ways}):
+            a, b = start[i] + p, start[j] + q
+            u, v = start[i + 1] - start[i], start[j + 1] - start[j]
+            if min(a, b) >= 0 and a + u <= n and b + v <= n:
+                kind = np.uint64((((s * 65_537 + r) * 4_099 + i) * 4_099 + j) * ODD & 0xFFFFFFFFFFFFFFFF)
+                yield _mixed(_mixed(_mixed(piece(a, u) ^ kind) + piece(b, v)) + salts).view(np.int64)
+
+
 def similarities(values: list[str], canonical: list[str]) -> np.ndarray:
     """A row a value, a column a canonical text: the best of whole, word-order-free and partial likeness.
 

@@ -19,6 +19,10 @@ from casemill.plans.lineage import cut, small_or_not, stored
 MOST_VALUES = 200_000
 #: Pairs of a value and a canonical text that are compared at once.
 LIKENESSES = 100_000
+#: Names of a place up to which they are compared where they share one segment; of more, two.
+FEW_NAMES = 5_000
+#: Keys of names that a task holds at once.
+KEYS = 500_000
 CHANGES = "column string, row_key string, op string, before string, after string"
 QUARANTINE = "row_key string, column string, reason string, value string"
 
@@ -154,15 +158,58 @@ def segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
     return lo, hi
 
 
+def two_segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(key, lo) and (key, hi) as of segment_index, but a key holds two whole segments (`likeness.whole_segments`).
+
+    Two segments of 21 random letters are 6 of them, so in a place of very many names few share a key by chance. Keys are
+    made for lengths that occur only.
+    """
+    lengths = sorted(r.n for r in names.select(F.length("own").alias("n")).distinct().collect())  # a number a length
+
+    def keys(longer: bool):
+        def of(batches):
+            for x in batches:
+                held, size = [], 0
+                for n, y in x.groupby(x["own"].str.len()):
+                    others = [m for m in lengths if (m <= n if longer else m >= n)]
+                    own, salts = y["i"].to_numpy(), y["salt"].to_numpy().view("uint64")
+                    for key in likeness.segment_keys(y["own"].tolist(), salts, others, t, longer):
+                        held.append(pd.DataFrame({"i": own, "key": key}))
+                        size += len(own)
+                        if size >= KEYS:
+                            yield pd.concat(held)
+                            held, size = [], 0
+                if held:
+                    yield pd.concat(held)
+
+        return of
+
+    salted = names.select("i", "own", F.xxhash64("place").alias("salt"))
+    lo, hi = (salted.mapInPandas(keys(longer), "i long, key long").withColumnRenamed("i", c) for longer, c in ((False, "lo"), (True, "hi")))
+    # merged: by the size of the names alone, keys of which there are a hundred times as many seem small enough to broadcast
+    return lo.hint("merge"), hi.hint("merge")
+
+
+def met_names(lo: DataFrame, hi: DataFrame) -> DataFrame:
+    """a, b: pairs of numbers that share a key, once each, a < b."""
+    return lo.join(hi, "key").filter("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
+
+
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     """lo, hi: pairs of names of one place whose indel ratio reaches the threshold, lo < hi.
 
     names: o (orderable, unique), place, own (text, not empty). Only names that share a key of the segment index are
-    compared. Pairs are found by number, once each, before they meet their texts.
+    compared; in places of many names a key is of two segments, so that compared pairs don't grow with the square of them.
+    Pairs are found by number, once each, before they meet their texts.
     """
     numbered = stored(names.withColumn("i", F.monotonically_increasing_id()), "names")
-    lo, hi = segment_index(numbered, threshold / 100)
-    met = lo.join(hi, "key").filter("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
+    large = cut(numbered.groupBy("place").agg(F.count("*").alias("n")).filter(F.col("n") > FEW_NAMES).select("place"))
+    if large.isEmpty():
+        met = met_names(*segment_index(numbered, threshold / 100))
+    else:
+        large = small_or_not(large, MOST_VALUES)
+        few, many = numbered.join(large, "place", "left_anti"), numbered.join(large, "place", "left_semi")
+        met = met_names(*segment_index(few, threshold / 100)).unionByName(met_names(*two_segment_index(many, threshold / 100)))
     end = lambda c: numbered.select(F.col("i").alias(c), F.struct("o", "own").alias(f"n_{c}"))
     pairs = met.join(end("a"), "a").join(end("b"), "b")
 
