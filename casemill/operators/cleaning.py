@@ -159,22 +159,26 @@ def segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
 
 
 def two_segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """(key, lo) and (key, hi) as of segment_index, but a key holds two whole segments (`likeness.whole_segments`).
+    """(key, lo, lo_marks) and (key, hi, hi_marks) as of segment_index, but a key holds two whole segments (`likeness.whole_segments`).
 
     Two segments of 21 random letters are 6 of them, so in a place of very many names few share a key by chance. Keys are
-    made for lengths that occur only.
+    made for lengths that occur only. Of names that share one, those whose letters differ by too many never leave the join
+    (`within_marks`).
     """
     lengths = sorted(r.n for r in names.select(F.length("own").alias("n")).distinct().collect())  # a number a length
 
     def keys(longer: bool):
+        side = "hi" if longer else "lo"
+
         def of(batches):
             for x in batches:
                 held, size = [], 0
                 for n, y in x.groupby(x["own"].str.len()):
                     others = [m for m in lengths if (m <= n if longer else m >= n)]
-                    own, salts = y["i"].to_numpy(), y["salt"].to_numpy().view("uint64")
-                    for key in likeness.segment_keys(y["own"].tolist(), salts, others, t, longer):
-                        held.append(pd.DataFrame({"i": own, "key": key}))
+                    texts, own, salts = y["own"].tolist(), y["i"].to_numpy(), y["salt"].to_numpy().view("uint64")
+                    marks = likeness.letter_marks(texts)
+                    for key in likeness.segment_keys(texts, salts, others, t, longer):
+                        held.append(pd.DataFrame({side: own, "key": key, f"{side}_marks": marks}))
                         size += len(own)
                         if size >= KEYS:
                             yield pd.concat(held)
@@ -185,14 +189,22 @@ def two_segment_index(names: DataFrame, t: float) -> tuple[DataFrame, DataFrame]
         return of
 
     salted = names.select("i", "own", F.xxhash64("place").alias("salt"))
-    lo, hi = (salted.mapInPandas(keys(longer), "i long, key long").withColumnRenamed("i", c) for longer, c in ((False, "lo"), (True, "hi")))
+    lo, hi = (salted.mapInPandas(keys(longer), f"{c} long, key long, {c}_marks long") for longer, c in ((False, "lo"), (True, "hi")))
     # merged: by the size of the names alone, keys of which there are a hundred times as many seem small enough to broadcast
     return lo.hint("merge"), hi.hint("merge")
 
 
-def met_names(lo: DataFrame, hi: DataFrame) -> DataFrame:
-    """a, b: pairs of numbers that share a key, once each, a < b."""
-    return lo.join(hi, "key").filter("lo <> hi").select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
+def within_marks(t: float) -> Column:
+    """Whether two names' letter counts (`likeness.letter_marks`) leave a ratio of t possible."""
+    size = lambda c: F.col(c).bitwiseAND(255)
+    differ = F.bit_count(F.shiftrightunsigned(F.col("lo_marks").bitwiseXOR(F.col("hi_marks")), 8))
+    return (differ <= F.floor((size("lo_marks") + size("hi_marks")) * (1 - t) + 1e-9)) | (F.greatest(size("lo_marks"), size("hi_marks")) == 255)
+
+
+def met_names(lo: DataFrame, hi: DataFrame, possible: Column | None = None) -> DataFrame:
+    """a, b: pairs of numbers that share a key and are possible, once each, a < b."""
+    both = lo.join(hi, "key").filter("lo <> hi")
+    return (both if possible is None else both.filter(possible)).select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).distinct()
 
 
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:
@@ -209,7 +221,7 @@ def similar_names(names: DataFrame, threshold: float) -> DataFrame:
     else:
         large = small_or_not(large, MOST_VALUES)
         few, many = numbered.join(large, "place", "left_anti"), numbered.join(large, "place", "left_semi")
-        met = met_names(*segment_index(few, threshold / 100)).unionByName(met_names(*two_segment_index(many, threshold / 100)))
+        met = met_names(*segment_index(few, threshold / 100)).unionByName(met_names(*two_segment_index(many, threshold / 100), within_marks(threshold / 100)))
     end = lambda c: numbered.select(F.col("i").alias(c), F.struct("o", "own").alias(f"n_{c}"))
     pairs = met.join(end("a"), "a").join(end("b"), "b")
 

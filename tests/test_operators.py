@@ -281,12 +281,12 @@ def test_two_segments_find_all_similar_names(spark, threshold, monkeypatch):
 def test_names_of_a_large_place_are_compared_with_few_others(spark, monkeypatch):
     """Of random names of 21 letters, sharing one segment, 105,760 pairs met at 6,000 names and 1,689,118 at 24,000."""
     met, counts = cleaning.met_names, []
-    monkeypatch.setattr(cleaning, "met_names", lambda lo, hi: counts.append((lo.count(), hi.count(), met(lo, hi).count())) or met(lo, hi))
+    monkeypatch.setattr(cleaning, "met_names", lambda lo, hi, *p: counts.append((lo.count(), hi.count(), met(lo, hi, *p).count())) or met(lo, hi, *p))
     for n in (6_000, 24_000):
         counts.clear()
         df = spark.range(n).select(F.col("id").alias("o"), F.lit("p").alias("place"), F.md5(F.col("id").cast("string")).substr(1, 21).alias("own"))
         assert cleaning.similar_names(df, 88.0).count() == 0
-        assert sum(c[0] for c in counts) == 9 * n and sum(c[1] for c in counts) <= 79 * n and sum(c[2] for c in counts) <= n / 4
+        assert sum(c[0] for c in counts) == 9 * n and sum(c[1] for c in counts) <= 79 * n and sum(c[2] for c in counts) <= n / 100
 
 
 def test_a_chain_of_names_in_turn(spark):
