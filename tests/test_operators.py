@@ -902,3 +902,29 @@ def test_communities_broadcast_no_table_that_grows(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     edges = spark.createDataFrame([(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")], "src string, dst string")
     assert {(r.id, r.community) for r in communities.communities(edges).collect()} == {(f"{g}{i}", f"{g}0") for g in "ab" for i in range(4)}
+
+
+def test_rounds_of_communities_write_nodes_not_pairs(spark, monkeypatch):
+    """Before, each round wrote its pairs' communities anew, and shuffled all pairs."""
+    from casemill.operators import communities
+
+    rows, kept = [], communities.stored
+    monkeypatch.setattr(communities, "stored", lambda df, *name: (lambda t: rows.append(t.count()) or t)(kept(df, *name)))
+    pairs = [(f"{i % 2}.{i:03}", f"{j % 2}.{j:03}") for i in range(200) for j in range(i) if (i * 31 + j * 17) % 10 < (8 if i % 2 == j % 2 else 1)]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    label = {r.id: r.community for r in communities.communities(df).collect()}
+    assert label == {f"{i % 2}.{i:03}": f"{i % 2}.{i % 2:03}" for i in range(200)}
+    assert len(pairs) > 2000 and [n for n in rows if n > 600] == [len(pairs)]
+
+
+def test_communities_do_not_depend_on_blocks_and_hubs(spark, monkeypatch):
+    from casemill.operators import communities
+
+    pairs = [(i, j, 1 + (i * j) % 4 / 4) for i in range(60) for j in range(i) if (i * 7 + j * 5) % 11 < (6 if i % 3 == j % 3 else 1)] + [(60, i, 0.5) for i in range(60)]
+    df = spark.createDataFrame([(f"n{a}", f"n{b}", w) for a, b, w in pairs], "src string, dst string, w double")
+    found = []
+    for most, hub in ((2_000_000, 500_000), (100, 25)):
+        monkeypatch.setattr(communities, "PAIRS", most)
+        monkeypatch.setattr(communities, "HUB", hub)
+        found.append({(r.id, r.community) for r in communities.communities(df, weight="w").collect()})
+    assert found[0] == found[1] and len(found[0]) == 61 and 1 < len({c for _, c in found[0]}) < 10
