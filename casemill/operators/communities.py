@@ -84,9 +84,17 @@ def _places(block: pa.Table) -> pa.Table:
 
 
 def _unpacked(block: pa.Table, seen: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-    """The pairs' first and second nodes as rows of the last table, their weights, and the nodes' rows."""
+    """The pairs' first and second nodes as rows of the last table, their weights, and the nodes' rows.
+
+    Nodes that are not among ``seen`` have left, and all their neighbours with them.
+    """
     heads, ends, w = np.repeat(_part(block, "heads", "i4").astype("i8"), _part(block, "degrees", "i4")), _part(block, "ends", "i4"), _part(block, "w", "f8")
-    return heads, ends, w if len(w) else np.ones(len(ends)), seen.sort_by("id")
+    w, seen = w if len(w) else np.ones(len(ends)), seen.sort_by("id")
+    here = np.isin(_part(block, "ids", "i8"), seen.column("id").to_numpy(), assume_unique=True)
+    if not here.all():
+        row, some = np.cumsum(here) - 1, here[heads]
+        heads, ends, w = row[heads[some]], row[ends[some]], w[some]
+    return heads, ends, w, seen
 
 
 def _firsts(sorted_values: np.ndarray) -> np.ndarray:
@@ -94,7 +102,11 @@ def _firsts(sorted_values: np.ndarray) -> np.ndarray:
 
 
 def _summed(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    """The distinct keys in order, and the sum of w of each."""
+    if key.max(initial=0) < 4 * len(key):  # keys lie close
+        first = np.flatnonzero(np.bincount(key))
+        return first, np.bincount(key, w)[first]
+    order = np.argsort(key)
     first = _firsts(key[order])
     return key[order][first], np.add.reduceat(w[order], first)
 
@@ -104,7 +116,7 @@ def _chosen(resolution: float, m2: float):
 
     def choose(block: pa.Table, seen: pa.Table) -> pa.Table:
         heads, ends, w, seen = _unpacked(block, seen)
-        own, k = _part(block, "heads", "i4").astype("i8"), seen.column("k").to_numpy()
+        own, k = heads[_firsts(heads)], seen.column("k").to_numpy()
         names, code = np.unique(seen.column("c").to_numpy(), return_inverse=True)
         tot = np.empty(len(names))
         tot[code] = seen.column("tot").to_numpy()
@@ -117,8 +129,8 @@ def _chosen(resolution: float, m2: float):
         best = np.flatnonzero(gain == np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(node)))))
         best = best[np.lexsort((~stays[best], node[best]))]
         best = best[_firsts(node[best])]
-        mine = seen.take(own).drop_columns(["p"])
-        return mine.append_column("w", pa.array(w[stays])).append_column("to", pa.array(names[to[best]])).append_column("moves", pa.array(~stays[best]))
+        more = {"w": w[stays], "to": names[to[best]], "moves": ~stays[best], "inside": np.diff(np.append(first, len(node))) == 1}
+        return pa.table({**{c: seen.column(c).take(pa.array(own)) for c in seen.column_names if c != "p"}, **more})
 
     return choose
 
@@ -163,37 +175,50 @@ def _moves_of_hubs(hub: DataFrame, state: DataFrame, m2: float, resolution: floa
     around = _met(around, here.select("id", "k", F.col("c").alias("now")), "id", few)
     stays = F.col("c") == F.col("now")
     gain = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
-    to = around.groupBy("id").agg(F.sum(F.when(stays, F.col("w"))).alias("w"), F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "c")).alias("m"))
-    return _met(here, to.select("id", "w", F.col("m.c").alias("to"), "m.moves"), "id", few)
+    to = around.groupBy("id").agg(F.sum(F.when(stays, F.col("w"))).alias("w"), F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "c")).alias("m"), (F.count("*") == 1).alias("inside"))
+    return _met(here, to.select("id", "w", F.col("m.c").alias("to"), "m.moves", "inside"), "id", few)
 
 
 def _level(blocks: DataFrame, hub: DataFrame | None, own: DataFrame, m2: float, resolution: float, rounds: int, few: bool, rest: tuple[float, float]) -> tuple[DataFrame, float]:
     """id, name, k, inner, at, c after local moves, and the modularity.
 
     own: id, name, k (weight of all ends), inner (of ends within), at; rest: inner and squares of k of the nodes left behind.
+    Communities without neighbours can't change any more; once they are many, they leave the rounds.
     """
-    state = own.select("*", F.col("id").alias("c"), F.col("k").alias("tot"))
-    best, score, moving, parts, quiet, seed = None, None, 0, 2, 0, 0
+    state, left, leaving = own.select("*", F.col("id").alias("c"), F.col("k").alias("tot")), [], True
+    best, score, parts, quiet, seed = None, None, 2, 0, 0
+    columns = [*own.columns, "c"]
     for turn in range(rounds):
         sent = _sent(state, "name", "k", "inner", "at")
-        out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", w double, to long, moves boolean"
+        out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", w double, to long, moves boolean, inside boolean"
         found = blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(_chosen(resolution, m2), out)
         found = stored(found.unionByName(_moves_of_hubs(hub, state, m2, resolution, few)) if hub else found)
-        within, squares, moves = found.agg(F.sum(F.col("w") + F.col("inner")), F.sum(F.col("k") * F.col("tot")), F.count_if("moves")).first()
-        now = (within + rest[0]) / m2 - resolution * (squares + rest[1]) / (m2 * m2)
+        sums = F.sum(F.col("w") + F.col("inner")).alias("within"), F.sum(F.col("k") * F.col("tot")).alias("squares")
+        seen = found.agg(*sums, F.count("*").alias("n"), F.count_if("moves").alias("moves"), F.count_if("inside").alias("inside")).first()
+        now = (seen.within + rest[0]) / m2 - resolution * (seen.squares + rest[1]) / (m2 * m2)
         if score is not None and now < score - 1e-12:
             parts *= 2  # undone: fewer at once from here on
             quiet = 0
         else:
             quiet = quiet + 1 if score is not None and now - score < LEAST_GAIN else 0
-            score, best, moving = now, found, moves
+            score, best, moving = now, found, seen.moves
+            if moving and leaving and seen.inside * 2 > seen.n:
+                closed = found.groupBy("c").agg(F.bool_and("inside").alias("closed"))
+                found = stored(_met(found, closed if few else stored(closed), "c", few))
+                left.append(found.filter("closed"))
+                gone = left[-1].agg(*sums, F.count("*").alias("n")).first()
+                rest = rest[0] + (gone.within or 0.0), rest[1] + (gone.squares or 0.0)
+                best, leaving, few = found.filter("NOT closed"), gone.n * 2 > seen.inside, seen.n - gone.n <= FEW_NODES
         if quiet >= 2 * parts or parts > 64 or turn + 1 == rounds or not moving:
             break
         seed += turn % parts == 0
         turns = F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(parts)) == turn % parts
-        state = best.select("id", "name", "k", "inner", "at", F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c"))
-        state = _met(state, stored(state.groupBy("c").agg(F.sum("k").alias("tot"))), "c", few).select(*own.columns, "c", "tot")
-    return best.select(*own.columns, "c"), score
+        state = best.select(*own.columns, F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c"))
+        tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
+        state = _met(state, tot if few else stored(tot), "c", few).select(*columns, "tot")
+    for part in left:
+        best = best.select(*columns).unionByName(part.select(*columns))
+    return best.select(*columns), score
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, weight: str | None = None, rounds: int = 40, levels: int = 20) -> DataFrame:
